@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_join
 from .packing import pack, token_pieces
 from .topk import exact_topk
 from .warc import warc_round_trip
@@ -50,6 +51,27 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=5, percent=75)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o.c >= 75 * (x.n + y.n - o.c)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, (SELECT min(root) FROM r WHERE r.doc_id = n.doc_id) AS component_id, coalesce(k.n_links, 0) AS n_links
+FROM n LEFT JOIN k ON k.doc_id = n.doc_id
+"""
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -71,9 +93,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_topk": op1_exact_topk,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_warc": op9_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_warc": OP9_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_warc": OP9_SQL}
