@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_join
 from .packing import pack, token_pieces
+from .substring_dedup import substring_dedup
 from .topk import exact_topk
 from .warc import warc_round_trip
 
@@ -34,6 +35,27 @@ WITH v AS (
 """
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=100)
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 - 99 AS BIGINT))) AS s FROM d WHERE length(h) >= 200),
+g AS (SELECT doc_id, s, row_number() OVER (PARTITION BY substr(h, 2 * s + 1, 200) ORDER BY doc_id, s) AS k FROM p),
+b AS (SELECT DISTINCT doc_id, unnest(range(s, s + 100)) AS i FROM g WHERE k > 1),
+a AS (SELECT d.doc_id, d.h, unnest(range(0, CAST(length(h) / 2 AS BIGINT))) AS i FROM d),
+m AS (SELECT a.doc_id, a.i, substr(a.h, 2 * a.i + 1, 2) AS x, b.i IS NOT NULL AS gone,
+        lag(b.i IS NOT NULL, 1, false) OVER (PARTITION BY a.doc_id ORDER BY a.i) AS before
+      FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.i = b.i),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_spans,
+        coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack(token_pieces(docs, window=1024, end_id=2), window=1024).withColumnRenamed("id", "doc_id")
@@ -91,6 +113,7 @@ FROM b
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_topk": op1_exact_topk,
+        "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_ngram_jaccard": op8_ngram_jaccard,
@@ -99,4 +122,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op3_suffix_array_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_warc": OP9_SQL}
