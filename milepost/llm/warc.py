@@ -8,7 +8,10 @@ The records are written with Spark's text writer, whose line separator is the
 record separator of the format (CR LF CR LF), so any file system that Spark
 knows will do.
 
-Reading: files are parsed record by record by their Content-Length.  Segments
+The files are gzipped as a whole.
+
+Reading: files (plain, or gzipped as a whole or record by record) are parsed
+record by record by their Content-Length.  Segments
 are grouped by origin identifier, ordered by segment number, checked against
 the total length, joined, and the chunked framing is decoded.  A revisit takes
 its payload's length from the response of the same digest.
@@ -23,6 +26,7 @@ out of number or of another total length raises ValueError.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -154,7 +158,11 @@ def write_warc(
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     out = marked.mapInArrow(records, "value string")
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+
+
+def unzipped(data: bytes) -> bytes:
+    return gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -188,7 +196,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 rows: list[tuple] = []
                 size = 0
-                for h, block in parse_records(content.as_buffer().to_pybytes()):
+                for h, block in parse_records(unzipped(content.as_buffer().to_pybytes())):
                     rid = h["warc-record-id"].strip("<>")
                     segment = number(h.get("warc-segment-number"))
                     origin = h.get("warc-segment-origin-id", rid).strip("<>") if segment else None
@@ -202,7 +210,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.where("length > 0").select("content").mapInArrow(parse, _RECORD)
 
 
