@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_join
+from .lm_score import cross_entropy_difference
 from .packing import pack, token_pieces
+from .quality import fit_quality, score_quality
 from .substring_dedup import substring_dedup
 from .topk import exact_topk
 from .warc import warc_round_trip
@@ -56,6 +58,13 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled good and not toxic; background: all."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id").distinct()
+    return cross_entropy_difference(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=5, percent=75)
 
@@ -93,14 +102,21 @@ FROM b
 """
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return score_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), threshold=0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_topk": op1_exact_topk,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_warc": op9_warc,
+        "op10_quality": op10_quality,
     }
 
 
