@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_join
+from .license_scan import license_scan
 from .lm_score import cross_entropy_difference
+from .mixing import mix_sources
 from .packing import pack, token_pieces
 from .quality import fit_quality, score_quality
 from .substring_dedup import substring_dedup
@@ -37,6 +39,10 @@ WITH v AS (
 """
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=100)
 
@@ -58,6 +64,12 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No source more than twice, in the largest budget that allows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return mix_sources(docs, max_repeats=2.0, carry=["doc_id", "source"])
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled good and not toxic; background: all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -110,9 +122,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_topk": op1_exact_topk,
+        "op2_license_scan": op2_license_scan,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_source_mixing": op6_source_mixing,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_warc": op9_warc,

@@ -41,3 +41,14 @@ def shared_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``shared_table``, dealt into buckets by ``key``: later joins on it
+    move only their other side."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)

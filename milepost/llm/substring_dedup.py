@@ -8,13 +8,13 @@ equal strings is suffix sorting to a fixed depth, by bucket-pointer refinement:
   anchor, the q-gram of least hash among those inside it, so equal strings
   share a bucket at the same offset and only anchors are shuffled (about
   2 / (length - q + 2) of all positions).  A bucket of one member is final.
-* The surviving buckets are refined by the bytes around the anchor: members
-  with one context (all strings of the anchor) form one sub-bucket, whose
-  first member stays and whose other members are repeats as a whole.
-* Where a bucket holds several contexts, its first members are refined string
-  by string: the identifier of a position's string is made of the identifiers
-  of the q-gram buckets at later offsets (q, 2q, ... and length - q), first
-  pairs, then pairs of pairs: each round reuses the identifiers of the last.
+* The members of the other buckets are sorted by the identifier of the bytes
+  around the anchor (all strings of the anchor's run): a member that shares
+  both with an earlier one is a repeat as a whole and final too.
+* Where a bucket holds several contexts, its first members are refined: their
+  runs are cut into aligned sub-runs, whose bucket identifier is made of the
+  parent's and of the bytes that the sub-run's strings share, and the step is
+  repeated on them, down to single strings.
 
 Copies inside one task are settled there, so a passage that a third of all
 documents share reaches a bucket as one row per task and context; buckets are
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_table
+from .shared import bucketed_table, shared_table
 from .textkernels import mix, prefix_sums, sliding_argmin, span_hashes, text_groups, window_hashes
 
 _U = np.uint64
@@ -71,16 +71,6 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int, q: int) -> tupl
     return text, first - starts[text], stop - first + 1, gram[at].view(np.int64), context.view(np.int64)
 
 
-def string_ids(data: np.ndarray, length: int, q: int) -> np.ndarray:
-    """Identifier of the string at every position, refined from q-grams."""
-    ids, depth = window_hashes(prefix_sums(data), q), q
-    while depth < length and len(ids):
-        step = min(depth, length - depth)
-        ids = mix(ids[:-step] ^ mix(ids[step:] + _U(depth))) if len(ids) > step else ids[:0]
-        depth += step
-    return ids
-
-
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by the half-open intervals."""
     if not len(start):
@@ -95,12 +85,19 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
-_RUNS = "kind int, bucket long, context long, id long, start long, strings long"
+#: A span of strings packed in one long: its first string's offset, then how many.
+PACK = 1 << 28
+#: Buckets are told apart by this many bits; a collision only adds a comparison.
+BUCKET_BITS = 44
+
+
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
 def _runs(rows: DataFrame, length: int, q: int) -> DataFrame:
-    """Kind 0: the first run of each context in a batch; kind 1: spans that
-    repeat one of the same batch (their bucket is a spreading value)."""
+    """(bucket, id, run): the first run of each context in a batch, and, under
+    negative buckets, the spans that repeat one of the same batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,76 +110,117 @@ def _runs(rows: DataFrame, length: int, q: int) -> DataFrame:
             order = np.lexsort((start, doc, context))
             again = np.concatenate([[False], context[order][1:] == context[order][:-1]])[: len(order)]
             keep, repeat = order[~again], order[again]
-            yield _batch(np.zeros(len(keep), np.int32), bucket[keep], context[keep], doc[keep], start[keep], strings[keep])
+            short = (bucket[keep].view(np.uint64) >> _U(64 - BUCKET_BITS)).view(np.int64)
+            yield _batch(bucket=short, id=doc[keep], run=start[keep] * PACK + strings[keep])
             if len(repeat):
                 repeat = repeat[np.lexsort((start[repeat], doc[repeat]))]
                 # one row per maximal span: lay the documents end to end
                 far = np.concatenate([[0], np.cumsum(np.diff(doc[repeat]) != 0)]) * (1 << 40)
                 a, b = merged(start[repeat] + far, start[repeat] + strings[repeat] - 1 + length + far)
                 at = np.searchsorted(start[repeat] + far, a)
-                n, base = len(a), far[at]
-                yield _batch(np.ones(n, np.int32), mix(a.astype(_U)).view(np.int64), np.zeros(n, np.int64), doc[repeat][at], a - base, b - a + 1 - length)
+                low = -1 - (mix(a.astype(_U)) >> _U(8)).view(np.int64)
+                yield _batch(bucket=low, id=doc[repeat][at], run=(a - far[at]) * PACK + b - a + 1 - length)
+
+    return rows.mapInArrow(run, "bucket long, id long, run long")
+
 
-    def _batch(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "bucket", "context", "id", "start", "strings"])
+_LEVEL = "bucket long, context long, id long, run long, anchor long, again boolean"
 
-    return rows.mapInArrow(run, _RUNS)
 
+def _contexts(asked: DataFrame, length: int, width: int) -> DataFrame:
+    """(bucket, context, id, run) of sub-runs of at most ``width`` strings.
 
-def _string_rows(wanted: DataFrame, length: int, q: int) -> DataFrame:
-    """(string, id, start) of each wanted run's strings, the first in its text
-    only; later ones of the same text come as rows of a null string."""
+    ``asked``: id, text, and runs, a list of (bucket, run, anchor place).  A
+    sub-run holds the strings whose distance to the anchor lies in one aligned
+    interval of ``width``, so that equal strings of two runs fall into sub-runs
+    of one bucket; its bucket is that of the bytes that all strings of the
+    interval share, its context that of all its bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0).to_pylist()
             for k in range(batch.num_rows):
                 text = batch.column(1)[k].as_buffer()
                 spans = batch.column(2)[k].values
-                starts, counts = (spans.field(f).to_numpy() for f in (0, 1))
-                ids = string_ids(np.frombuffer(text.to_pybytes() if text is not None else b"", np.uint8), length, q)
-                where = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-                where = np.unique(where[where < len(ids)])
-                value = ids[where].view(np.int64)
-                firsts = np.zeros(len(where), bool)
-                firsts[np.unique(value, return_index=True)[1]] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value, mask=~firsts), pa.array(np.full(len(where), docs[k], np.int64)), pa.array(where)], names=["string", "id", "start"]
-                )
+                bucket, packed, anchor = (spans.field(f).to_numpy() for f in range(3))
+                sums = prefix_sums(np.frombuffer(text.to_pybytes(), np.uint8))
+                start, strings = packed // PACK, packed % PACK
+                # distances to the anchor fall from the first string to the last
+                lowest = (anchor - (start + strings - 1)) // width
+                n = (anchor - start) // width - lowest + 1
+                owner = np.repeat(np.arange(len(n)), n)
+                cell = lowest[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                first = np.maximum(anchor[owner] - (cell + 1) * width + 1, start[owner])
+                last = np.minimum(anchor[owner] - cell * width, (start + strings - 1)[owner])
+                core = span_hashes(sums, anchor[owner] - cell * width, anchor[owner] - (cell + 1) * width + 1 + length)
+                place = mix(core ^ mix(bucket[owner].view(np.uint64) + cell.astype(_U)))
+                whole = mix(span_hashes(sums, first, last + length) + (anchor[owner] - first).astype(_U))
+                # what repeats inside the text is settled here
+                order = np.lexsort((first, whole, place))
+                again = np.zeros(len(owner), bool)
+                again[order[1:]] = (place[order[1:]] == place[order[:-1]]) & (whole[order[1:]] == whole[order[:-1]])
+                yield _batch(
+                    bucket=place.view(np.int64), context=whole.view(np.int64), id=np.full(len(owner), batch.column(0)[k].as_py(), np.int64),
+                    run=first * PACK + last - first + 1, anchor=anchor[owner], again=again,
+                )
+
+    return asked.mapInArrow(run, _LEVEL)
+
+
+def _whole_contexts(asked: DataFrame, length: int, q: int) -> DataFrame:
+    """The same for whole runs, whose anchors are found again in the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                spans = batch.column(2)[k].values
+                bucket, packed = (spans.field(f).to_numpy() for f in range(2))
+                sums = prefix_sums(np.frombuffer(batch.column(1)[k].as_buffer().to_pybytes(), np.uint8))
+                start, strings = packed // PACK, packed % PACK
+                anchor = sliding_argmin(window_hashes(sums, q), length - q + 1)[start]
+                whole = mix(span_hashes(sums, start, start + strings - 1 + length) + (anchor - start).astype(_U))
+                yield _batch(
+                    bucket=bucket, context=whole.view(np.int64), id=np.full(len(bucket), batch.column(0)[k].as_py(), np.int64),
+                    run=packed, anchor=anchor, again=np.zeros(len(bucket), bool),
+                )
 
-    return wanted.mapInArrow(run, "string long, id long, start long")
+    return asked.mapInArrow(run, _LEVEL)
 
 
-def repeated_spans(rows: DataFrame, texts_of, length: int, q: int) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(rows: DataFrame, length: int, q: int) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): the texts that can hold a repeat, and the half-open
     spans (id, start, end) of their repeated strings."""
-    counts = _runs(rows, length, q).where("kind = 0").groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+    counts = _runs(rows, length, q).where("bucket >= 0").groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
     shared = counts.where("c > 1").select("bucket", F.lit(True).alias("met"))
-    runs = shared_table(_runs(rows, length, q).join(shared, "bucket", "left").where("kind = 1 OR met").drop("met"), "runs")
-    texts = shared_table(texts_of(runs.select("id").distinct()), "texts")
-
-    members = runs.where("kind = 0")
-    contexts = members.groupBy("bucket", "context").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c"))
-    contexts = shared_table(contexts, "contexts")
-    several = contexts.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").drop("contexts")
-    placed = members.join(contexts.select("bucket", "context", "first"), ["bucket", "context"])
-    later = placed.where("id > first").select("id", "start", (F.col("start") + F.col("strings") - 1 + length).alias("end"))
-    asked = placed.where("id = first").join(several, "bucket", "left_semi")
-    asked = asked.groupBy("id").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
-    strings = shared_table(_string_rows(texts.join(asked, "id").select("id", "text", "runs"), length, q), "strings")
-    twice = strings.where("string IS NOT NULL").groupBy("string").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    across = strings.join(twice.select("string", "first"), "string").where("id > first").select("id", "start")
-    within = strings.where("string IS NULL").select("id", "start")
-    fine = across.unionAll(within).withColumn("end", F.col("start") + length)
-    local = runs.where("kind = 1").select("id", "start", (F.col("start") + F.col("strings") - 1 + length).alias("end"))
-    return texts, later.unionAll(fine).unionAll(local)
+    runs = shared_table(_runs(rows, length, q).join(shared, "bucket", "left").where("bucket < 0 OR met").drop("met"), "runs")
+    texts = bucketed_table(rows.join(runs.select("id").distinct().hint("merge"), "id").select("id", "text"), "texts", "id")
+    span = lambda df: df.select("id", (start := F.floor(F.col("run") / PACK)).alias("start"), (start + F.pmod("run", F.lit(PACK)) - 1 + length).alias("end"))
+    spans = span(runs.where("bucket < 0"))
+    asked = runs.where("bucket >= 0")
+    for width in (PACK, 8, 1):
+        listed = asked.groupBy("id").agg(F.collect_list(F.struct(*[c for c in ("bucket", "run", "anchor") if c in asked.columns])).alias("runs"))
+        asked_texts = texts.join(listed, "id").select("id", "text", "runs")
+        level = shared_table(_whole_contexts(asked_texts, length, q) if width == PACK else _contexts(asked_texts, length, width), "contexts")
+        spans = spans.unionAll(span(level.where("again")))
+        level = level.where("NOT again")
+        least = level.groupBy("bucket", "context").agg(F.min("id").alias("first"))
+        if width == 1:
+            # a string's place is its context: only earlier copies matter
+            level = level.join(least, ["bucket", "context"])
+        else:
+            least = shared_table(least, "least")
+            several = least.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            level = level.join(least, ["bucket", "context"])
+            asked = level.where("id = first").join(several, "bucket", "left_semi").select("id", "bucket", "run", "anchor")
+        spans = spans.unionAll(span(level.where("id > first")))
+    return texts, spans
 
 
 def substring_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", q: int = 24, with_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and
     with ``with_text`` also spans (half-open, in bytes) and kept (binary)."""
     rows = _rows(docs, id_col, text_col)
-    texts, spans = repeated_spans(rows, lambda ids: rows.join(ids, "id"), length, q)
+    texts, spans = repeated_spans(rows, length, q)
     gone = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     more = ", spans array<struct<start:long,end:long>>, kept binary" if with_text else ""
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
