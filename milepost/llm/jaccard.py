@@ -6,14 +6,16 @@ blocks of it that can hold a link are computed:
 
 1. Copies (equal shingle sets) collapse to one row, with a weight.
 2. Columns are ordered rare first.  A set of n shingles needs an overlap of
-   at least ceil(t n) with any partner, so two linked sets share a column among
-   the first n - ceil(t n) + 1 of each; only those prefix entries are shuffled.
-   The order may be any, as long as it is the same for all; frequent columns
-   (counted over all documents) come last, so a passage that many documents
-   share brings no candidates together.
+   at least ceil(t n) with any partner, so two linked sets share at least l
+   columns among the first n - ceil(t n) + l of each (l grows with n: 1 + n / 32,
+   by the smaller set); only those prefix entries are shuffled, and a row that
+   meets fewer others' columns than its bound is discarded.  The order may be
+   any, as long as it is the same for all; frequent columns (counted over all
+   documents) come last, so a passage that many documents share brings no
+   candidates together.
 3. Rows that share prefix columns are gathered into row blocks of bounded
-   size, around the least document they meet.  Two blocks that share a prefix
-   column with sizes that could fit form a cell.
+   size, around the least document they meet.  Two blocks that share enough
+   prefix columns, with sizes that could fit, form a cell.
 4. Each cell's product is accumulated column block by column block; a pair is
    discarded once its overlap plus what is left falls below its size-derived
    bound.  A cell returns, per document, its number of links and the least
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -47,6 +49,17 @@ def bound(n: int | np.ndarray, percent: int):
     return -(-n * percent // 100)
 
 
+def prefix_overlap(n):
+    """The least number of prefix columns that a set of n shares with a partner
+    of its size or more (n: an int or a Column of ints)."""
+    return 1 + F.floor(n / 32) if isinstance(n, Column) else 1 + n // 32
+
+
+def _enough(count: Column, n: Column, percent: int) -> Column:
+    """Can a set of n have a partner, by its number of met prefix columns?"""
+    return count >= prefix_overlap(F.ceil(n * percent / 100))
+
+
 def signature(s: np.ndarray) -> int:
     """One value per set, as a signed 64-bit number; 0 for the empty set."""
     if not len(s):
@@ -114,7 +127,7 @@ def prefix_entries(docs: DataFrame, id_col: str, text_col: str, words: int, perc
                     if not len(s) or not ids[first + k].is_valid or (sig := signature(s)) in seen:
                         continue
                     seen.add(sig)
-                    want = len(s) - bound(len(s), percent) + 1
+                    want = len(s) - bound(len(s), percent) + prefix_overlap(len(s))
                     at = np.searchsorted(values, s)
                     hot = (values[np.minimum(at, len(values) - 1)] == s) if len(values) else np.zeros(len(s), bool)
                     rare = s[~hot][:want]
@@ -213,22 +226,25 @@ def jaccard_join(
 
     sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("sig", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     entries = shared_table(_met(prefix_entries(docs, id_col, text_col, words, percent, common)), "entries")
-    known = entries.select("id").distinct().join(rows.where("n > 0"), "id").join(sets, ["sig", "n"]).select("id", "n", "rep", "copies")
+    strong = entries.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).where(_enough(F.col("c"), F.col("n"), percent))
+    known = strong.select("id").join(rows.where("n > 0"), "id").join(sets, ["sig", "n"]).select("id", "n", "rep", "copies")
     known = shared_table(known, "known")
     met = shared_table(_met(entries.drop("head").join(known, ["id", "n"]).select("tok", F.col("rep").alias("id"), "n").distinct()), "met")
 
     weight = F.sum(1 + F.col("n") / 1000).over(Window.partitionBy("head").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1))
-    placed = met.groupBy("id").agg(F.min("head").alias("head"), F.max("n").alias("n"))
+    placed = met.groupBy("id").agg(F.min("head").alias("head"), F.max("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    placed = placed.where(_enough(F.col("c"), F.col("n"), percent))
     placed = placed.withColumn("part", F.floor(F.coalesce(weight, F.lit(0.0)) / block_weight))
     blocks = shared_table(placed.select("id", F.xxhash64("head", "part").alias("block")), "blocks")
     at = met.join(blocks, "id").groupBy("tok", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("c"))
-    one = at.where("c > 1").select(F.col("block").alias("i"), F.col("block").alias("j"))
+    one = at.where("c > 1").select(F.col("block").alias("i"), F.col("block").alias("j"), "lo")
     x, y = at.alias("x"), at.alias("y")
     fit = (F.col("x.block") < F.col("y.block")) & (F.col("x.lo") * percent <= F.col("y.hi") * 100) & (F.col("y.lo") * percent <= F.col("x.hi") * 100)
-    two = x.join(y, (F.col("x.tok") == F.col("y.tok")) & fit).select(F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-    cells = one.unionAll(two).distinct().withColumn("cell", F.xxhash64("i", "j"))
-    sides = cells.where("i = j").select("cell", "i", "j", F.col("i").alias("block"), F.lit(2).alias("side")).unionAll(
-        cells.where("i < j").select("cell", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("s")).select("cell", "i", "j", "s.block", "s.side")
+    two = x.join(y, (F.col("x.tok") == F.col("y.tok")) & fit).select(F.col("x.block").alias("i"), F.col("y.block").alias("j"), F.least("x.lo", "y.lo").alias("lo"))
+    cells = one.unionAll(two).groupBy("i", "j").agg(F.count(F.lit(1)).alias("c"), F.min("lo").alias("lo"))
+    cells = cells.where(F.col("c") >= prefix_overlap(F.col("lo"))).select("i", "j")
+    sides = cells.where("i = j").select("i", "j", F.col("i").alias("block"), F.lit(2).alias("side")).unionAll(
+        cells.where("i < j").select("i", "j", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("s")).select("i", "j", "s.block", "s.side")
     )
     copies = known.groupBy("rep").agg(F.max("copies").alias("copies")).withColumnRenamed("rep", "id")
     wanted = blocks.join(copies, "id")
