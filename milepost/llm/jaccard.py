@@ -152,6 +152,12 @@ def _met(entries: DataFrame) -> DataFrame:
     return marked.where("before IS NOT NULL OR after IS NOT NULL").select("tok", "id", "n", "head")
 
 
+def _strong(entries: DataFrame, percent: int) -> DataFrame:
+    """The entries of those rows that meet enough others' columns."""
+    met = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    return entries.withColumn("c", met).where(_enough(F.col("c"), F.col("n"), percent)).drop("c")
+
+
 def overlap_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Linked (row, row) pairs, the first of ``left``, the second of ``right``.
 
@@ -210,7 +216,7 @@ def cell_rows(ids: np.ndarray, side: np.ndarray, weight: np.ndarray, sets: list[
 
 
 def jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, common_columns: int = 1 << 16, block_weight: int = 128
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, common_columns: int = 1 << 16, block_weight: int = 1024
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id, n_links.
 
@@ -225,18 +231,19 @@ def jaccard_join(
     common = np.array([r.sig for r in reversed(listed)], np.int64).view(np.uint64)
 
     sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("sig", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    entries = shared_table(_met(prefix_entries(docs, id_col, text_col, words, percent, common)), "entries")
-    strong = entries.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).where(_enough(F.col("c"), F.col("n"), percent))
-    known = strong.select("id").join(rows.where("n > 0"), "id").join(sets, ["sig", "n"]).select("id", "n", "rep", "copies")
-    known = shared_table(known, "known")
-    met = shared_table(_met(entries.drop("head").join(known, ["id", "n"]).select("tok", F.col("rep").alias("id"), "n").distinct()), "met")
+    # by column, by row (strong rows as their copies' first), by column again:
+    # each step filters before the next one moves what is left
+    entries = _strong(_met(prefix_entries(docs, id_col, text_col, words, percent, common)), percent)
+    firsts = rows.where("n > 0 AND id IS NOT NULL").join(sets, ["sig", "n"]).select("id", "rep").distinct()
+    entries = entries.join(firsts.hint("merge"), "id").select("tok", F.col("rep").alias("id"), "n")
+    met = shared_table(_met(entries.repartition("tok").dropDuplicates(["tok", "id"])), "met")
 
     weight = F.sum(1 + F.col("n") / 1000).over(Window.partitionBy("head").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1))
     placed = met.groupBy("id").agg(F.min("head").alias("head"), F.max("n").alias("n"), F.count(F.lit(1)).alias("c"))
     placed = placed.where(_enough(F.col("c"), F.col("n"), percent))
     placed = placed.withColumn("part", F.floor(F.coalesce(weight, F.lit(0.0)) / block_weight))
     blocks = shared_table(placed.select("id", F.xxhash64("head", "part").alias("block")), "blocks")
-    at = met.join(blocks, "id").groupBy("tok", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("c"))
+    at = met.join(blocks, "id").repartition("tok").groupBy("tok", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("c"))
     one = at.where("c > 1").select(F.col("block").alias("i"), F.col("block").alias("j"), "lo")
     x, y = at.alias("x"), at.alias("y")
     fit = (F.col("x.block") < F.col("y.block")) & (F.col("x.lo") * percent <= F.col("y.hi") * 100) & (F.col("y.lo") * percent <= F.col("x.hi") * 100)
@@ -246,8 +253,7 @@ def jaccard_join(
     sides = cells.where("i = j").select("i", "j", F.col("i").alias("block"), F.lit(2).alias("side")).unionAll(
         cells.where("i < j").select("i", "j", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("s")).select("i", "j", "s.block", "s.side")
     )
-    copies = known.groupBy("rep").agg(F.max("copies").alias("copies")).withColumnRenamed("rep", "id")
-    wanted = blocks.join(copies, "id")
+    wanted = blocks.join(sets.groupBy(F.col("rep").alias("id")).agg(F.max("copies").alias("copies")), "id")
     texts = shared_table(_texts(docs, id_col, text_col).join(wanted, "id").select("id", "block", "copies", "text"), "texts")
     gathered = sides.join(texts, "block").select("i", "j", "side", "id", "copies", "text").repartition("i", "j").sortWithinPartitions("i", "j")
 
