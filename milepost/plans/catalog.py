@@ -402,7 +402,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "report_clip": v(
             """-- with
-            c AS (SELECT d.*, t.tid, d.bmp IS NOT NULL AND d.emp IS NOT NULL AND greatest(d.bmp, t.bmp) < least(d.emp, t.emp) AS hit FROM fx_dirty d LEFT JOIN fx_target t ON d.road = t.road)
+            c AS (SELECT d.*, t.tid, t.tid IS NOT NULL AND d.bmp IS NOT NULL AND d.emp IS NOT NULL AND greatest(d.bmp, t.bmp) < least(d.emp, t.emp) AS hit FROM fx_dirty d LEFT JOIN fx_target t ON d.road = t.road)
             SELECT count(*) AS events, count(*) FILTER (coalesce(hit, false)) AS with_geometry, count(*) FILTER (NOT coalesce(hit, false)) AS no_geometry,
             count(*) FILTER (tid IS NULL) AS no_route, CAST(0 AS BIGINT) AS no_route_geometry, count(*) FILTER (bmp >= emp) AS inverted FROM c"""
         ),
