@@ -124,6 +124,31 @@ def _runs(rows: DataFrame, length: int, q: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket long, id long, run long")
 
 
+def _rows_by_text(one, most: int = 1 << 17):
+    """Rows made text by text, sent in batches of at least ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def sent() -> pa.RecordBatch:
+            bucket, context, run, anchor, again, ids = (np.concatenate(x) for x in zip(*held))
+            return _batch(bucket=bucket, context=context, id=ids, run=run, anchor=anchor, again=again)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                made = one(batch, k)
+                held.append((*made, np.full(len(made[0]), batch.column(0)[k].as_py(), np.int64)))
+                size += len(made[0])
+                if size >= most:
+                    yield sent()
+                    held, size = [], 0
+        if held:
+            yield sent()
+
+    return run
+
+
 _LEVEL = "bucket long, context long, id long, run long, anchor long, again boolean"
 
 
@@ -137,54 +162,44 @@ def _contexts(asked: DataFrame, length: int, width: int) -> DataFrame:
     interval share, its context that of all its bytes.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_buffer()
-                spans = batch.column(2)[k].values
-                bucket, packed, anchor = (spans.field(f).to_numpy() for f in range(3))
-                sums = prefix_sums(np.frombuffer(text.to_pybytes(), np.uint8))
-                start, strings = packed // PACK, packed % PACK
-                # distances to the anchor fall from the first string to the last
-                lowest = (anchor - (start + strings - 1)) // width
-                n = (anchor - start) // width - lowest + 1
-                owner = np.repeat(np.arange(len(n)), n)
-                cell = lowest[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                first = np.maximum(anchor[owner] - (cell + 1) * width + 1, start[owner])
-                last = np.minimum(anchor[owner] - cell * width, (start + strings - 1)[owner])
-                core = span_hashes(sums, anchor[owner] - cell * width, anchor[owner] - (cell + 1) * width + 1 + length)
-                place = mix(core ^ mix(bucket[owner].view(np.uint64) + cell.astype(_U)))
-                whole = mix(span_hashes(sums, first, last + length) + (anchor[owner] - first).astype(_U))
-                # what repeats inside the text is settled here
-                order = np.lexsort((first, whole, place))
-                again = np.zeros(len(owner), bool)
-                again[order[1:]] = (place[order[1:]] == place[order[:-1]]) & (whole[order[1:]] == whole[order[:-1]])
-                yield _batch(
-                    bucket=place.view(np.int64), context=whole.view(np.int64), id=np.full(len(owner), batch.column(0)[k].as_py(), np.int64),
-                    run=first * PACK + last - first + 1, anchor=anchor[owner], again=again,
-                )
-
-    return asked.mapInArrow(run, _LEVEL)
+    def one(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+        text = batch.column(1)[k].as_buffer()
+        spans = batch.column(2)[k].values
+        bucket, packed, anchor = (spans.field(f).to_numpy() for f in range(3))
+        sums = prefix_sums(np.frombuffer(text.to_pybytes(), np.uint8))
+        start, strings = packed // PACK, packed % PACK
+        # distances to the anchor fall from the first string to the last
+        lowest = (anchor - (start + strings - 1)) // width
+        n = (anchor - start) // width - lowest + 1
+        owner = np.repeat(np.arange(len(n)), n)
+        cell = lowest[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first = np.maximum(anchor[owner] - (cell + 1) * width + 1, start[owner])
+        last = np.minimum(anchor[owner] - cell * width, (start + strings - 1)[owner])
+        core = span_hashes(sums, anchor[owner] - cell * width, anchor[owner] - (cell + 1) * width + 1 + length)
+        place = mix(core ^ mix(bucket[owner].view(np.uint64) + cell.astype(_U)))
+        whole = mix(span_hashes(sums, first, last + length) + (anchor[owner] - first).astype(_U))
+        # what repeats inside the text is settled here
+        order = np.lexsort((first, whole, place))
+        again = np.zeros(len(owner), bool)
+        again[order[1:]] = (place[order[1:]] == place[order[:-1]]) & (whole[order[1:]] == whole[order[:-1]])
+        return place.view(np.int64), whole.view(np.int64), first * PACK + last - first + 1, anchor[owner], again
+
+    return asked.mapInArrow(_rows_by_text(one), _LEVEL)
 
 
 def _whole_contexts(asked: DataFrame, length: int, q: int) -> DataFrame:
     """The same for whole runs, whose anchors are found again in the text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                spans = batch.column(2)[k].values
-                bucket, packed = (spans.field(f).to_numpy() for f in range(2))
-                sums = prefix_sums(np.frombuffer(batch.column(1)[k].as_buffer().to_pybytes(), np.uint8))
-                start, strings = packed // PACK, packed % PACK
-                anchor = sliding_argmin(window_hashes(sums, q), length - q + 1)[start]
-                whole = mix(span_hashes(sums, start, start + strings - 1 + length) + (anchor - start).astype(_U))
-                yield _batch(
-                    bucket=bucket, context=whole.view(np.int64), id=np.full(len(bucket), batch.column(0)[k].as_py(), np.int64),
-                    run=packed, anchor=anchor, again=np.zeros(len(bucket), bool),
-                )
+    def one(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+        spans = batch.column(2)[k].values
+        bucket, packed = (spans.field(f).to_numpy() for f in range(2))
+        sums = prefix_sums(np.frombuffer(batch.column(1)[k].as_buffer().to_pybytes(), np.uint8))
+        start, strings = packed // PACK, packed % PACK
+        anchor = sliding_argmin(window_hashes(sums, q), length - q + 1)[start]
+        whole = mix(span_hashes(sums, start, start + strings - 1 + length) + (anchor - start).astype(_U))
+        return bucket, whole.view(np.int64), packed, anchor, np.zeros(len(bucket), bool)
 
-    return asked.mapInArrow(run, _LEVEL)
+    return asked.mapInArrow(_rows_by_text(one), _LEVEL)
 
 
 def repeated_spans(rows: DataFrame, length: int, q: int) -> tuple[DataFrame, DataFrame]:
@@ -206,13 +221,15 @@ def repeated_spans(rows: DataFrame, length: int, q: int) -> tuple[DataFrame, Dat
         least = level.groupBy("bucket", "context").agg(F.min("id").alias("first"))
         if width == 1:
             # a string's place is its context: only earlier copies matter
-            level = level.join(least, ["bucket", "context"])
+            later = level.join(least, ["bucket", "context"]).where("id > first")
         else:
             least = shared_table(least, "least")
             several = least.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            level = level.join(least, ["bucket", "context"])
-            asked = level.where("id = first").join(several, "bucket", "left_semi").select("id", "bucket", "run", "anchor")
-        spans = spans.unionAll(span(level.where("id > first")))
+            judged = level.join(least, ["bucket", "context"]).select("id", "bucket", "run", "anchor", (F.col("id") > F.col("first")).alias("later"))
+            judged = shared_table(judged, "judged")
+            later = judged.where("later")
+            asked = judged.where("NOT later").join(several, "bucket", "left_semi").select("id", "bucket", "run", "anchor")
+        spans = spans.unionAll(span(later))
     return texts, spans
 
 
