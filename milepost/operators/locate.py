@@ -59,7 +59,7 @@ def locate_points(
 
     pairs = match_columns(points, events, match_pairs)
     p = points.select(
-        *keyed(points, p_schema, [a for a, _ in pairs], "p"), p_schema.at.alias("m"), F.monotonically_increasing_id().alias("pid"),
+        *keyed(points, p_schema, [a for a, _ in pairs], "p"), p_schema.at.alias("m"),
         F.struct(*[col(c).alias(f"c{n}") for n, c in enumerate(points.columns)]).alias("p"),
     )
     line = [col("geometry").alias("g")] if "geometry" in events.columns else []
