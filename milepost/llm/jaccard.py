@@ -14,7 +14,7 @@ blocks of it that can hold a link are computed:
    documents) come last, so a passage that many documents share brings no
    candidates together.
 3. Rows that share prefix columns are gathered into row blocks of bounded
-   size, around the least document they meet.  Two blocks that share enough
+   size, around the document that is the least in most of their columns.  Two blocks that share enough
    prefix columns, with sizes that could fit, form a cell.
 4. Each cell's product is accumulated column block by column block; a pair is
    discarded once its overlap plus what is left falls below its size-derived
@@ -239,7 +239,9 @@ def jaccard_join(
     met = shared_table(_met(entries.repartition("tok").dropDuplicates(["tok", "id"])), "met")
 
     weight = F.sum(1 + F.col("n") / 1000).over(Window.partitionBy("head").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1))
-    placed = met.groupBy("id").agg(F.min("head").alias("head"), F.max("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    placed = met.groupBy("id", "head").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    most = F.max_by("head", F.struct("c", (-F.col("head")).alias("h")))
+    placed = placed.groupBy("id").agg(most.alias("head"), F.max("n").alias("n"), F.sum("c").alias("c"))
     placed = placed.where(_enough(F.col("c"), F.col("n"), percent))
     placed = placed.withColumn("part", F.floor(F.coalesce(weight, F.lit(0.0)) / block_weight))
     blocks = shared_table(placed.select("id", F.xxhash64("head", "part").alias("block")), "blocks")
