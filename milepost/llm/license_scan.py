@@ -115,7 +115,12 @@ def template_classes(templates: dict[str, str], percent: int = 75, miss: float =
 
 def _band_values(hashes: Column, bands: int) -> Column:
     """The least value under each of ``bands`` permutations of the shingles."""
-    return F.array(*[F.xxhash64(F.lit(k), F.array_min(F.transform(hashes, lambda h, k=k: F.xxhash64(h, F.lit(k))))) for k in range(bands)])
+
+    def least(k: int) -> Column:
+        # k from here, not as the lambda's default: a second parameter would get the place
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k))))
+
+    return F.array(*[F.xxhash64(F.lit(k), least(k)) for k in range(bands)])
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-4) -> DataFrame:

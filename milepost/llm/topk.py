@@ -15,7 +15,8 @@ Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part; ties go to the smaller id; a query with fewer than k
 candidates gets all; rows with a null id take no part; rows that repeat an id
 are candidates each, except for a query of that id; vectors of differing length
-raise ValueError; an empty table gives no rows.
+raise ValueError, as does a scale at which a score might not fit a long; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,11 +39,14 @@ def vertical_topk(
     dims = vectors.shape[1]
     # exact in floats as long as no partial sum can reach the mantissa's end
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * dims
+    if most >= -UNSET:
+        raise ValueError("scores beyond a long: take a smaller scale")
     kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
     q, tall = queries.astype(kind), np.ascontiguousarray(vectors.T.astype(kind))
     cuts = [*range(0, dims, block), dims]
     norms = lambda m: np.sqrt(np.array([np.square(m[:, c:].astype(np.float64)).sum(1) for c in cuts[1:]]))
     q_rest, v_rest = norms(queries), norms(vectors)
+    rounding = most * 2.0**-50  # of a bound, once scores are beyond a double's integers
     best_score = np.full((len(q), k), UNSET, np.int64)
     best_id = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
 
@@ -61,14 +65,14 @@ def vertical_topk(
             for n, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                 if pair_q is None:
                     dense += q[rows, lo:hi] @ part[lo:hi]
-                    slack = q_rest[n, rows, None] * v_rest[n, None, at : at + step] * (1 + 1e-9)
+                    slack = q_rest[n, rows, None] * v_rest[n, None, at : at + step] * (1 + 1e-9) + rounding
                     alive = dense + slack >= floor[:, None]
                     if hi == dims or alive.mean() < 0.1:
                         pair_q, pair_v = np.nonzero(alive)
                         scores = dense[pair_q, pair_v]
                 else:
                     scores = scores + np.einsum("ij,ij->i", q[b + pair_q, lo:hi], part[lo:hi, pair_v].T)
-                    slack = q_rest[n, b + pair_q] * v_rest[n, at + pair_v] * (1 + 1e-9)
+                    slack = q_rest[n, b + pair_q] * v_rest[n, at + pair_v] * (1 + 1e-9) + rounding
                     keep = scores + slack >= floor[pair_q]
                     pair_q, pair_v, scores = pair_q[keep], pair_v[keep], scores[keep]
             own = query_ids[b + pair_q] == part_ids[pair_v]
