@@ -182,7 +182,7 @@ def overlap_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
     todo = np.bincount(row, minlength=len(sets))
     for at in range(0, int(column.max(initial=-1)) + 1, columns):
         a, b = np.searchsorted(column, [at, at + columns])
-        part = np.zeros((len(sets), columns), np.float32)
+        part = np.zeros((len(sets), min(columns, column[b - 1] + 1 - at)), np.float32)
         part[row[a:b], column[a:b] - at] = 1
         overlap += part[left] @ part[right].T
         todo = todo - np.bincount(row[a:b], minlength=len(sets))
@@ -194,29 +194,50 @@ def overlap_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
     return left[i], right[j]
 
 
-def cell_rows(ids: np.ndarray, side: np.ndarray, weight: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _settled(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node of each of n nodes' components; edges both ways."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        np.minimum.at(least, u, least[v])
+        if (least == before).all():
+            return least
+
+
+def cell_rows(
+    ids: np.ndarray, side: np.ndarray, weight: np.ndarray, sets: list[np.ndarray], percent: int, tile: int = 1024
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, least linked id, links by weight) of a cell's linked documents.
 
-    side 0 and 1: the two blocks; 2: both (a block against itself).
+    side 0 and 1: the two blocks; 2: both (a block against itself).  The cell's
+    product is made tile by tile; a tile's links are counted, and only a
+    spanning set of them is kept.
     """
-    if (side == 2).all():
-        a, b = overlap_links(sets, np.arange(len(ids)), np.arange(len(ids)), percent)
-    else:
-        a, b = overlap_links(sets, np.flatnonzero(side == 0), np.flatnonzero(side == 1), percent)
-        a, b = np.concatenate([a, b]), np.concatenate([b, a])
-    links = np.bincount(a, weights=weight[b], minlength=len(ids)).astype(np.int64)
-    least = ids.copy()
-    while True:  # spread the least id until it settles
-        before = least.copy()
-        np.minimum.at(least, a, least[b])
-        if (least == before).all():
-            break
+    own = bool((side == 2).all())
+    left, right = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    names, node = np.unique(ids, return_inverse=True)
+    links = np.zeros(len(ids), np.int64)
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(left), tile):
+        for j in range(i if own else 0, len(right), tile):
+            x, y = left[i : i + tile], right[j : j + tile]
+            rows = np.union1d(x, y)
+            a, b = overlap_links([sets[k] for k in rows], np.searchsorted(rows, x), np.searchsorted(rows, y), percent)
+            a, b = rows[a], rows[b]
+            if not own or i != j:
+                a, b = np.concatenate([a, b]), np.concatenate([b, a])
+            links += np.bincount(a, weights=weight[b], minlength=len(ids)).astype(np.int64)
+            hit = np.unique(node[a])
+            us.append(hit)
+            vs.append(_settled(len(names), node[a], node[b])[hit])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    least = _settled(len(names), np.concatenate([u, v]), np.concatenate([v, u]))
     hit = links > 0
-    return ids[hit], least[hit], links[hit]
+    return ids[hit], names[least[node[hit]]], links[hit]
 
 
 def jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, common_columns: int = 1 << 16, block_weight: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, common_columns: int = 1 << 16, block_weight: int = 4096
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id, n_links.
 
