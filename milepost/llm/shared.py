@@ -5,9 +5,26 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that removes a query's shuffle files once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """While it holds, a write leaves no shuffle files behind: what it has
+    written is read instead."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -40,7 +57,8 @@ def shared_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with shuffles_removed(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,5 +69,6 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
     path = scratch_path(spark, name)
     table = path.rpartition("/")[2].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    with shuffles_removed(spark):
+        df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
     return spark.table(table)
