@@ -18,6 +18,8 @@ from milepost.llm.shared import shared_table
 
 #: The mix's entropy, as a share of the highest that its sources allow.
 ENTROPY_SHARE = 0.95
+#: The mix keeps this share of the words at least, whatever its sources are.
+MIN_KEPT = 0.9
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +39,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources to a flatter mix, every document at most once: the largest
-    budget that needs no repetition, so large sources give way to small ones."""
-    return mix_sources(docs, entropy_share=ENTROPY_SHARE, max_repeats=None).select(docs.columns)
+    """Sources to a flatter mix, every document at most once: sources
+    below their part of the corpus stay whole, larger ones are cut to theirs, by
+    a tenth of all words at most, so a rare source costs the others no more."""
+    return mix_sources(docs, entropy_share=ENTROPY_SHARE, min_kept=MIN_KEPT).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

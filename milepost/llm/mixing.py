@@ -9,6 +9,11 @@ the blocks in its own order, and the last, partial epoch stops where the
 source's budget ends.  The result is every use of every document: its epoch
 and its place in the epoch's order.
 
+With ``min_kept`` every document is used at most once, sources smaller than
+their part of the budget stay whole, and at least that share of the corpus's
+tokens stays (within half a document a source), whatever its sources are: so
+the mix is only as even as that allows.
+
 Only per-source totals reach the driver (``max_sources`` of them at most, or
 ValueError); a document's place needs only its block's documents and the
 totals of its source's blocks, so a source that holds a third of all rows is
@@ -73,20 +78,40 @@ def token_count(text: Column, min_tokens: int) -> Column:
     return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(min_tokens)).cast("long")
 
 
-def source_plan(totals: dict[str, tuple[int, int]], entropy_share: float | None, max_repeats: float | None, budget: float | None, block_docs: int) -> list[dict]:
+def keeping_budget(tokens: list[int], weights: list[float], min_kept: float) -> float:
+    """The corpus's tokens, or more where sources smaller than their part would
+    leave less than ``min_kept`` of the corpus: the least budget that keeps it."""
+    total = float(sum(tokens))
+    kept, open_weight = 0.0, 1.0
+    # as the budget grows, sources are used up in the order of tokens per weight
+    for full, t, w in sorted((t / w, t, w) for t, w in zip(tokens, weights)):
+        if kept + open_weight * full >= min_kept * total:
+            return max(total, (min_kept * total - kept) / open_weight)
+        kept, open_weight = kept + t, open_weight - w
+    return max(total, full)
+
+
+def source_plan(
+    totals: dict[str, tuple[int, int]], entropy_share: float | None, max_repeats: float | None, budget: float | None, block_docs: int, min_kept: float | None = None
+) -> list[dict]:
     """Per source: weight, token budget, number of blocks.
 
     ``totals``: source -> (tokens, documents).  Without a budget it is the
-    largest that repeats no source more than ``max_repeats`` (or once).
+    largest that repeats no source more than ``max_repeats`` (or once).  With
+    ``min_kept`` no source repeats: one smaller than its part stays whole.
     """
     names = sorted(totals)
     tokens = [totals[n][0] for n in names]
     spend = budget if budget is not None else float(sum(tokens))
     weights = temperature_weights([float(t) for t in tokens], solve_exponent(tokens, entropy_share, max_repeats, spend))
-    if budget is None:
+    if min_kept is not None:
+        if budget is not None or max_repeats is not None:
+            raise ValueError("min_kept goes with neither budget nor max_repeats")
+        spend = keeping_budget(tokens, weights, min_kept)
+    elif budget is None:
         spend = min((max_repeats or 1.0) * t / w for t, w in zip(tokens, weights))
     return [
-        {"source": n, "weight": w, "source_budget": w * spend, "source_tokens": t, "blocks": -(-totals[n][1] // block_docs)}
+        {"source": n, "weight": w, "source_budget": w * spend if min_kept is None else min(w * spend, float(t)), "source_tokens": t, "blocks": -(-totals[n][1] // block_docs)}
         for n, w, t in zip(names, weights, tokens)
     ]
 
@@ -94,6 +119,7 @@ def source_plan(totals: dict[str, tuple[int, int]], entropy_share: float | None,
 def mix_sources(
     docs: DataFrame, entropy_share: float | None = None, max_repeats: float | None = None, budget: float | None = None, id_col: str = "doc_id",
     source_col: str = "source", text_col: str = "text", seed: int = 17, min_tokens: int = 1, block_docs: int = 128, max_sources: int = 100_000, carry: list[str] | None = None,
+    min_kept: float | None = None,
 ) -> DataFrame:
     """One row per use of a document: the carried columns (all of ``docs`` by
     default), mix_tokens, mix_weight (its source's), mix_epoch, mix_block (rank
@@ -106,7 +132,7 @@ def mix_sources(
     if len(per_source) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     shape = "array<struct<source:string,weight:double,source_budget:double,source_tokens:long,blocks:int>>"
-    made = source_plan({r.source: (r.t, r.n) for r in per_source}, entropy_share, max_repeats, budget, block_docs) if per_source else []
+    made = source_plan({r.source: (r.t, r.n) for r in per_source}, entropy_share, max_repeats, budget, block_docs, min_kept) if per_source else []
     plan = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(made)), shape)))
 
     dealt = rows.join(F.broadcast(plan), "source")

@@ -3,6 +3,7 @@
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
+from milepost.llm import mixing
 from milepost.llm.shared import shared_table
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,18 @@ def test_stages(spark):
 def test_run_equals_the_stages(spark):
     out = cp.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
+
+
+def test_the_mix_does_not_hang_on_the_smallest_source(spark):
+    docs = [(d, "a b c d e f g h i j", "hot" if d % 3 == 0 else f"s{d % 20}") for d in range(3000)]
+    rows = spark.createDataFrame([*docs, (9000, "one document", "rare"), (9001, None, None)], "doc_id long, text string, source string")
+    after = cp.mixing(spark, rows, SF)
+    kept = {r["doc_id"] for r in after.collect()}
+    assert len(kept) == after.count() >= 0.899 * 3000 and {9000, 9001} <= kept
+    hot = {d for d, _, s in docs if s == "hot"}
+    assert {d for d, _, _ in docs} - hot <= kept and len(hot & kept) < len(hot)
+    # a lone source beside one word, and big sources beside many of one word
+    for totals in ({"a": (10**9, 10**6), "b": (1, 1)}, {f"b{k}": (10**9, 10**6) for k in range(5)} | {f"r{k}": (1, 1) for k in range(1000)}):
+        plan = mixing.source_plan(totals, cp.ENTROPY_SHARE, None, None, 128, cp.MIN_KEPT)
+        assert sum(p["source_budget"] for p in plan) >= 0.8999 * sum(t for t, _ in totals.values())
+        assert all(p["source_budget"] == p["source_tokens"] for p in plan if p["source_tokens"] == 1)
