@@ -1,4 +1,8 @@
-"""Cross-entropy difference between two n-gram models.
+"""Cross-entropy difference between two n-gram models, over words or bytes.
+
+``word_cross_entropy_difference`` is the registered query: pairs of words, so
+the models grow with the corpus; see there.  What follows describes
+``cross_entropy_difference``, over four bytes.
 
 A target model (texts like those wanted) and a background model (all texts)
 are matched: the same order, the same smoothing, and one vocabulary, the bytes
@@ -28,12 +32,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import shared_table
+from .textkernels import _IS_WORD, mix, prefix_sums, span_hashes, text_groups
 
 ORDER = 4
+#: A word or pair above this share of the words is looked up by broadcast: so
+#: there are at most as many of them as its inverse.
+OFTEN = 1 / 65_536
 
 
 def ngram_codes(column: pa.Array, most_bytes: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -145,3 +153,125 @@ def cross_entropy_difference(
         F.col("id").alias(id_col), F.col("n").alias("n_tokens"), each("t").alias("target_loss"), each("b").alias("background_loss"),
         (each("b") - each("t")).alias("score"),
     )
+
+
+def word_pairs(column: pa.Array, most_bytes: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of texts: (first text, words per text, and per word its hash, that
+    of the word before it, and the pair's).  Before a text's start there is 0."""
+    for first, _, data, ends in text_groups(column, most_bytes):
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], _IS_WORD[data], [False]]).astype(np.int8)))
+        word = span_hashes(prefix_sums(data), edge[::2], edge[1::2])
+        bounds = np.searchsorted(edge[::2], np.concatenate([[0], ends]), "left")
+        n = np.diff(bounds)
+        context = np.concatenate([np.zeros(1, np.uint64), word])[:-1]
+        context[bounds[:-1][n > 0]] = 0
+        pair = mix(mix(context + np.uint64(1)) + word)
+        yield first, n, word.view(np.int64), context.view(np.int64), pair.view(np.int64)
+
+
+def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """(word, n, before): how often each word occurs, and how often as the one
+    before another; the start of a text is the word 0, which only comes before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, word, context, _ in word_pairs(batch.column(0)):
+                value, at = np.unique(np.concatenate([word, context]), return_inverse=True)
+                n = [np.bincount(x, minlength=len(value)).astype(np.int64) for x in (at[: len(word)], at[len(word) :])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value, *n)], names=["word", "n", "before"])
+
+    return texts.select(F.col(text_col)).mapInArrow(run, "word long, n long, before long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, often: Column) -> DataFrame:
+    """``rows`` (with a column ``pair``) with the columns of their row of
+    ``table``, which has one for each of their keys.  What is found ``often`` is
+    broadcast, so that no key gathers many rows in one task."""
+    names = [c for c in table.columns if c != key]
+    hot = table.where(often).select(key, *[F.col(c).alias(f"hot_{c}") for c in names])
+    cold = table.where(~often).select(F.col(key).alias("at"), F.lit(True).alias("cold"), *names)
+    found = F.col(f"hot_{names[0]}").isNotNull()
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn("at", F.when(found, F.xxhash64("pair")).otherwise(F.col(key))).withColumn("cold", ~found)
+    both = rows.join(cold, ["at", "cold"], "left")
+    for c in names:
+        both = both.withColumn(c, F.coalesce(F.col(f"hot_{c}"), F.col(c)))
+    return both.drop("at", "cold", *[f"hot_{c}" for c in names])
+
+
+def word_cross_entropy_difference(
+    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = 4.0, slices: int = 4
+) -> DataFrame:
+    """As ``cross_entropy_difference``, with words (runs of other characters
+    than ASCII spaces, as they are spelled) in place of bytes and one word of
+    context.  The vocabulary is every word of ``docs``, of which ``target`` is a
+    part.  Words and pairs are told apart by 64-bit hashes.
+
+    The pairs are dealt into ``slices`` by hash, each a pass over the texts: its
+    summed counts get the counts of their words, its losses are joined with the
+    (document, pair, count) rows, and only sums per document stay on disk.
+    """
+    zero = F.lit(0).cast("long")
+    both = word_counts(docs, text_col).select("word", zero.alias("tn"), zero.alias("tb"), F.col("n").alias("bn"), F.col("before").alias("bb")).unionAll(
+        word_counts(target, text_col).select("word", F.col("n").alias("tn"), F.col("before").alias("tb"), zero.alias("bn"), zero.alias("bb"))
+    )
+    vocabulary = shared_table(both.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("tn", "tb", "bn", "bb")]), "vocabulary")
+    size = vocabulary.agg(F.count(F.when(F.col("bn") > 0, 1)).alias("v"), *[F.coalesce(F.sum(c), zero).alias(c) for c in ("tn", "bn")]).first()
+    uniform = mu / max(size.v, 1)
+    words = vocabulary.where("bn > 0").select(
+        "word", "bn", ((F.col("tn") + uniform) / (size.tn + mu)).alias("pt"), ((F.col("bn") + uniform) / (size.bn + mu)).alias("pb")
+    )
+    contexts = vocabulary.where("bb > 0").select(F.col("word").alias("context"), F.col("tb").alias("ct"), F.col("bb").alias("cb"))
+    least = size.bn * OFTEN
+
+    def counted(texts: DataFrame, part: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, _, word, context, pair in word_pairs(batch.column(0)):
+                    mine = np.flatnonzero(pair.view(np.uint64) % np.uint64(slices) == part)
+                    value, at, n = np.unique(pair[mine], return_index=True, return_counts=True)
+                    at = mine[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value, word[at], context[at], n)], names=["pair", "word", "context", "n"])
+
+        return texts.select(F.col(text_col)).mapInArrow(run, "pair long, word long, context long, n long")
+
+    def losses(part: int) -> DataFrame:
+        sides = counted(docs, part).select("pair", "word", "context", zero.alias("t"), F.col("n").alias("b")).unionAll(
+            counted(target, part).select("pair", "word", "context", F.col("n").alias("t"), zero.alias("b"))
+        )
+        # a pair has one word and one context
+        pairs = sides.groupBy("pair").agg(F.first("word").alias("word"), F.first("context").alias("context"), F.sum("t").alias("t"), F.sum("b").alias("b")).where("b > 0")
+        pairs = looked_up(pairs, "word", words, F.col("bn") > least).select("pair", "context", "t", "b", "pt", "pb")
+        pairs = looked_up(pairs, "context", contexts, F.col("cb") > least)
+        loss = lambda n, p, c: -F.ln((F.col(n) + mu * F.col(p)) / (F.col(c) + mu))
+        return shared_table(pairs.select("pair", "b", loss("t", "pt", "ct").alias("t_loss"), loss("b", "pb", "cb").alias("b_loss")), "losses")
+
+    def entries(part: int) -> DataFrame:
+        """(row, pair, n)"""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, n, _, _, pair in word_pairs(batch.column(1), 1 << 20):
+                    mine = pair.view(np.uint64) % np.uint64(slices) == part
+                    owner, code = np.repeat(np.arange(len(n)), n)[mine], pair[mine]
+                    order = np.lexsort((code, owner))
+                    owner, code = owner[order], code[order]
+                    new = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (code[1:] != code[:-1])])[: len(code)])
+                    row = batch.column(0).slice(first, len(n)).take(pa.array(owner[new]))
+                    yield pa.RecordBatch.from_arrays([row, pa.array(code[new]), pa.array(np.diff(np.append(new, len(code))))], names=["row", "pair", "n"])
+
+        return rows.select("row", "text").mapInArrow(run, "row long, pair long, n long")
+
+    def sums(part: int) -> DataFrame:
+        found = looked_up(entries(part), "pair", losses(part), F.col("b") > least)
+        total = lambda c: F.sum(F.col("n") * F.col(c))
+        return shared_table(found.groupBy("row").agg(F.sum("n").alias("n"), total("t_loss").alias("t"), total("b_loss").alias("b")), "sums")
+
+    # a row's number must be the same in every pass
+    rows = shared_table(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")), "texts")
+    total = reduce(DataFrame.unionAll, [sums(k) for k in range(slices)]).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n", "t", "b")])
+    out = rows.select("id", "row").join(total, "row", "left")
+    each = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce("n", zero).alias("n_tokens"), each("t").alias("target_loss"), each("b").alias("background_loss"),
+        (each("b") - each("t")).alias("score"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_join
 from .license_scan import license_scan
-from .lm_score import cross_entropy_difference
+from .lm_score import word_cross_entropy_difference
 from .mixing import mix_sources
 from .packing import pack, token_pieces
 from .quality import fit_quality, score_quality
@@ -74,7 +74,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled good and not toxic; background: all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    return cross_entropy_difference(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    return word_cross_entropy_difference(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

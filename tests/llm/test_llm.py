@@ -361,6 +361,47 @@ def test_lm_scores(spark, docs, nothing, shard_rows):
     assert lm_score.cross_entropy_difference(nothing, nothing).count() == 0
 
 
+def test_word_lm_scores(spark, docs, nothing, monkeypatch):
+    monkeypatch.setattr(lm_score, "OFTEN", 1 / 200)
+    some = docs.where("doc_id < 90").unionAll(spark.createDataFrame([(None, "one two three", "", "", "", ""), (3, "two one", "", "", "", "")], DOCS))
+    texts = [(r["doc_id"], r["text"]) for r in some.collect()]
+    pairs = lambda t: [*zip([""] + (w := re.findall(r"[^\x20\x09-\x0D]+", t or "")), w)]
+    symbols, mu = len({w for _, t in texts for _, w in pairs(t)}), 4.0
+
+    def model(chosen):
+        both = Counter(p for t in chosen for p in pairs(t))
+        word, before = Counter(), Counter()
+        for (a, b), n in both.items():
+            word[b] += n
+            before[a] += n
+        low = lambda b: (word[b] + mu / symbols) / (word.total() + mu)
+        return lambda p: -math.log((both[p] + mu * low(p[1])) / (before[p[0]] + mu))
+
+    tgt, bg = model([t for d, t in texts if d is not None and d % 2 == 0]), model([t for _, t in texts])
+    want = []
+    for d, t in texts:
+        p = pairs(t)
+        a, c = (np.mean([f(x) for x in p]) if p else None for f in (tgt, bg))
+        want.append((d, len(p), a, c, c - a if p else None))
+    got = [tuple(r) for r in lm_score.word_cross_entropy_difference(some, some.where("doc_id % 2 = 0"), slices=3).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert g[:2] == w[:2] and all(x is y is None or abs(x - y) < 1e-9 for x, y in zip(g[2:], w[2:]))
+    assert lm_score.word_cross_entropy_difference(nothing, nothing).count() == 0
+
+
+def test_the_lm_query_tells_word_order(spark, tmp_path):
+    from milepost.llm.registry import op7_lm_scoring
+
+    # the words' ends and starts are alike for three bytes, so only whole words tell the texts apart
+    a, b = "aaaa1xxxx bbbb1xxxx cccc1xxxx " * 20, "aaaa1xxxx cccc1xxxx bbbb1xxxx " * 20
+    spark.createDataFrame([(1, a), (2, a), (3, b), (4, b)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in op7_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[1]["n_tokens"] == 60 and got[2]["score"] == got[1]["score"] > got[3]["score"] + 0.5
+
+
 def test_mixing(spark, nothing):
     rng = random.Random(4)
     rows = [(d, prose(rng, rng.randrange(5, 40)), "en", "big" if d % 3 else f"small{d % 4}", "b", "x") for d in range(1500)] + [(9000, None, None, None, None, None)]
