@@ -10,9 +10,11 @@ blocks of it that can hold a link are computed:
    columns among the first n - ceil(t n) + l of each (l grows with n: 1 + n / 32,
    by the smaller set); only those prefix entries are shuffled, and a row that
    meets fewer others' columns than its bound is discarded.  The order may be
-   any, as long as it is the same for all; frequent columns (counted over all
-   documents) come last, so a passage that many documents share brings no
-   candidates together.
+   any, as long as it is the same for all; frequent columns come last, so
+   a passage that many documents share brings no candidates together.  Their
+   list is approximate and bounded: counts below 3 in a task's buffer are left
+   out, and past the list's end a column counts as rare.  That changes only the
+   cost.
 3. Rows that share prefix columns are gathered into row blocks of bounded
    size, around the document that is the least in most of their columns.  Two blocks that share enough
    prefix columns, with sizes that could fit, form a cell.
