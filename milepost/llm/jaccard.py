@@ -16,15 +16,21 @@ blocks of it that can hold a link are computed:
    out, and past the list's end a column counts as rare.  That changes only the
    cost.
 3. Rows that share prefix columns are gathered into row blocks of bounded
-   size, around the document that is the least in most of their columns.  Two blocks that share enough
-   prefix columns, with sizes that could fit, form a cell.
-4. Each cell's product is accumulated column block by column block; a pair is
-   discarded once its overlap plus what is left falls below its size-derived
-   bound.  A cell returns, per document, its number of links and the least
-   document of its part of the component, never the pairs.
-
-No cap is set on cells or partners, and a hot group turns into more cells, not
-into larger ones.
+   size, around the document that is the least in most of their columns; a
+   larger group is dealt over several blocks, each with that document in it.
+   The product of every block with itself is made first, and its links are
+   contracted to classes.
+4. What is left are pairs of rows of different blocks and different classes.
+   The rows of a block and class visit each larger block that shares enough
+   prefix columns with them, with sizes that could fit, so a block is sent once
+   however many visit it, and members of a class never meet again.
+5. A product is accumulated column block by column block; a pair is discarded
+   once its overlap plus what is left falls below its size-derived bound.  It
+   returns, per document, the least document of its part of the class, never
+   the pairs.
+
+No cap is set on blocks, visits or partners.  Links inside a class are not
+counted: most of them are never computed.
 
 Defined results: a null text or one without words has no shingles and no link;
 rows of a null id come back with a null component; rows that repeat an id are
@@ -206,42 +212,72 @@ def _settled(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return least
 
 
-def cell_rows(
-    ids: np.ndarray, side: np.ndarray, weight: np.ndarray, sets: list[np.ndarray], percent: int, tile: int = 1024
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, least linked id, links by weight) of a cell's linked documents.
+def class_rows(ids: np.ndarray, owns: np.ndarray, sets: list[np.ndarray], percent: int, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(id, least linked id) of the linked documents of one block's product.
 
-    side 0 and 1: the two blocks; 2: both (a block against itself).  The cell's
-    product is made tile by tile; a tile's links are counted, and only a
-    spanning set of them is kept.
+    With visitors (rows that the block does not own) the product is block
+    against visitors, else the block against itself.  It is made tile by tile,
+    and only a spanning set of a tile's links is kept.
     """
-    own = bool((side == 2).all())
-    left, right = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    own = bool(owns.all())
+    left, right = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(owns), np.flatnonzero(~owns))
     names, node = np.unique(ids, return_inverse=True)
-    links = np.zeros(len(ids), np.int64)
     us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(0, len(left), tile):
         for j in range(i if own else 0, len(right), tile):
             x, y = left[i : i + tile], right[j : j + tile]
             rows = np.union1d(x, y)
             a, b = overlap_links([sets[k] for k in rows], np.searchsorted(rows, x), np.searchsorted(rows, y), percent)
-            a, b = rows[a], rows[b]
-            if not own or i != j:
-                a, b = np.concatenate([a, b]), np.concatenate([b, a])
-            links += np.bincount(a, weights=weight[b], minlength=len(ids)).astype(np.int64)
-            hit = np.unique(node[a])
+            a, b = node[rows[np.concatenate([a, b])]], node[rows[np.concatenate([b, a])]]
+            hit = np.unique(a)
             us.append(hit)
-            vs.append(_settled(len(names), node[a], node[b])[hit])
+            vs.append(_settled(len(names), a, b)[hit])
     u, v = np.concatenate(us), np.concatenate(vs)
     least = _settled(len(names), np.concatenate([u, v]), np.concatenate([v, u]))
-    hit = links > 0
-    return ids[hit], names[least[node[hit]]], links[hit]
+    hit = np.unique(np.concatenate([u, v]))
+    return names[hit], names[least[hit]]
+
+
+def _class_links(gathered: DataFrame, words: int, percent: int, most: int) -> DataFrame:
+    """Spanning links (u, v) of every block's product.
+
+    ``gathered``: block, visits, id, text; a task reads a block's own rows, then
+    its visitors, of which it holds ``most`` at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets, owners = None, [], [], None
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            if len(sets) > 1:
+                owns = np.arange(len(ids)) < (len(ids) if owners is None else owners)
+                out = class_rows(np.array(ids, np.int64), owns, sets, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["u", "v"])
+
+        for batch in batches:
+            block, visits, name = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for first, last, data, ends in text_groups(batch.column(3)):
+                for k, s in zip(range(first, last), shingle_sets(data, ends, words)):
+                    if key != block[k]:
+                        yield from solve()
+                        key, ids, sets, owners = block[k], [], [], None
+                    if visits[k] and owners is None:
+                        owners = len(ids)
+                    if owners is not None and len(ids) >= owners + most:
+                        yield from solve()
+                        ids, sets = ids[:owners], sets[:owners]
+                    ids.append(name[k])
+                    sets.append(s)
+        yield from solve()
+
+    dealt = gathered.select("block", "visits", "id", "text").repartition("block").sortWithinPartitions("block", "visits")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, common_columns: int = 1 << 16, block_weight: int = 4096
 ) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, n_links.
+    """One row per document: id, n_shingles, component_id.
 
     ``common_columns`` is the size of the list of frequent columns (it bounds a
     broadcast of 16 bytes each and only affects the order, not the result);
@@ -253,7 +289,7 @@ def jaccard_join(
     listed = often.orderBy(F.desc("c"), "sig").limit(common_columns).collect()
     common = np.array([r.sig for r in reversed(listed)], np.int64).view(np.uint64)
 
-    sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("sig", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("sig", "n").agg(F.min("id").alias("rep"))
     # by column, by row (strong rows as their copies' first), by column again:
     # each step filters before the next one moves what is left
     entries = _strong(_met(prefix_entries(docs, id_col, text_col, words, percent, common)), percent)
@@ -261,59 +297,47 @@ def jaccard_join(
     entries = entries.join(firsts.hint("merge"), "id").select("tok", F.col("rep").alias("id"), "n")
     met = shared_table(_met(entries.repartition("tok").dropDuplicates(["tok", "id"])), "met")
 
-    weight = F.sum(1 + F.col("n") / 1000).over(Window.partitionBy("head").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1))
     placed = met.groupBy("id", "head").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c"))
     most = F.max_by("head", F.struct("c", (-F.col("head")).alias("h")))
     placed = placed.groupBy("id").agg(most.alias("head"), F.max("n").alias("n"), F.sum("c").alias("c"))
-    placed = placed.where(_enough(F.col("c"), F.col("n"), percent))
-    placed = placed.withColumn("part", F.floor(F.coalesce(weight, F.lit(0.0)) / block_weight))
-    blocks = shared_table(placed.select("id", F.xxhash64("head", "part").alias("block")), "blocks")
-    at = met.join(blocks, "id").repartition("tok").groupBy("tok", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("c"))
-    one = at.where("c > 1").select(F.col("block").alias("i"), F.col("block").alias("j"), "lo")
+    placed = placed.where(_enough(F.col("c"), F.col("n"), percent)).select("id", "head", "n")
+    weight = F.sum(1 + F.col("n") / 1000)
+    parts = placed.groupBy("head").agg(F.ceil(weight / block_weight).cast("int").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
+    block = lambda part: F.xxhash64("head", part).alias("block")
+    blocks = shared_table(placed.join(parts, "head", "left").select("id", block(part.cast("int"))), "blocks")
+    copied = parts.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("head").alias("id"), block(F.col("part")))
+    texts = _texts(docs, id_col, text_col).join(blocks.select("id").union(copied.select("id")).distinct().hint("merge"), "id")
+    texts = shared_table(texts, "texts")
+    first = blocks.unionByName(copied).distinct().withColumn("visits", F.lit(False))
+    near = shared_table(_class_links(first.join(texts, "id"), words, percent, block_weight), "links")
+
+    classes = components(near.where("u <> v")).select(F.col("node").alias("id"), F.col("root").alias("class"))
+    size = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
+    units = blocks.join(classes, "id", "left").join(size, "block").select("id", "block", "rows", F.coalesce("class", "id").alias("class"))
+    units = shared_table(units, "units")
+    at = met.join(units, "id").groupBy("tok", "block", "class").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("rows").alias("rows"))
     x, y = at.alias("x"), at.alias("y")
-    fit = (F.col("x.block") < F.col("y.block")) & (F.col("x.lo") * percent <= F.col("y.hi") * 100) & (F.col("y.lo") * percent <= F.col("x.hi") * 100)
-    two = x.join(y, (F.col("x.tok") == F.col("y.tok")) & fit).select(F.col("x.block").alias("i"), F.col("y.block").alias("j"), F.least("x.lo", "y.lo").alias("lo"))
-    cells = one.unionAll(two).groupBy("i", "j").agg(F.count(F.lit(1)).alias("c"), F.min("lo").alias("lo"))
-    cells = cells.where(F.col("c") >= prefix_overlap(F.col("lo"))).select("i", "j")
-    sides = cells.where("i = j").select("i", "j", F.col("i").alias("block"), F.lit(2).alias("side")).unionAll(
-        cells.where("i < j").select("i", "j", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("s")).select("i", "j", "s.block", "s.side")
+    larger = (F.col("x.rows") < F.col("y.rows")) | ((F.col("x.rows") == F.col("y.rows")) & (F.col("x.block") < F.col("y.block")))
+    fit = (F.col("x.lo") * percent <= F.col("y.hi") * 100) & (F.col("y.lo") * percent <= F.col("x.hi") * 100)
+    open_ = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.class") != F.col("y.class")) & larger & fit)
+    visits = open_.groupBy(F.col("x.block").alias("from"), F.col("x.class").alias("class"), F.col("y.block").alias("block")).agg(
+        F.count_distinct("x.tok").alias("c"), F.min(F.least("x.lo", "y.lo")).alias("lo")
     )
-    wanted = blocks.join(sets.groupBy(F.col("rep").alias("id")).agg(F.max("copies").alias("copies")), "id")
-    texts = shared_table(_texts(docs, id_col, text_col).join(wanted, "id").select("id", "block", "copies", "text"), "texts")
-    gathered = sides.join(texts, "block").select("i", "j", "side", "id", "copies", "text").repartition("i", "j").sortWithinPartitions("i", "j")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            text = t.column("text").combine_chunks()
-            made = [s for _, _, data, ends in text_groups(text) for s in shingle_sets(data, ends, words)]
-            out = cell_rows(t.column("id").to_numpy(), t.column("side").to_numpy(), t.column("copies").to_numpy(), made, percent)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["u", "v", "links"])
-
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            i, j = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cut = np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for a, b in zip([0, *cut], [*cut, len(i)]):
-                if a == b:
-                    continue
-                if key is not None and key != (i[a], j[a]):
-                    yield solve(held)
-                    held = []
-                key = (i[a], j[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield solve(held)
-
-    found = shared_table(gathered.mapInArrow(run, "u long, v long, links long"), "links")
-    roots = components(found.where("u <> v"))
-    links = found.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "rep")
-    named = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
-    named = named.select("sig", "n", F.coalesce("root", "rep").alias("root"), "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    visits = visits.where(F.col("c") >= prefix_overlap(F.col("lo"))).select("from", "class", "block")
+    guests = shared_table(units.withColumnRenamed("block", "from").join(visits, ["from", "class"]).select("id", "block"), "visits")
+    # a block with very many visitors is sent to several tasks
+    tables = guests.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (16 * block_weight)).cast("int").alias("tables"))
+    seat = lambda n: F.xxhash64("block", n).alias("block")
+    seated = guests.join(tables, "block").select("id", seat(F.pmod(F.xxhash64("id"), F.col("tables")).cast("int")), F.lit(True).alias("visits"))
+    hosts = units.join(tables, "block").select("id", "block", F.explode(F.sequence(F.lit(0), F.col("tables") - 1)).alias("t"))
+    hosts = hosts.select("id", seat(F.col("t")), F.lit(False).alias("visits"))
+    far = shared_table(_class_links(hosts.unionByName(seated).join(texts, "id"), words, percent, block_weight), "links")
+
+    roots = components(near.unionAll(far).where("u <> v"))
+    named = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "n", F.coalesce("root", "rep").alias("root"))
     return rows.join(named, ["sig", "n"], "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"),
-        F.when(F.col("copies").isNull() | F.col("id").isNull(), F.lit(0).cast("long")).otherwise(F.col("links") + F.col("copies") - 1).alias("n_links"),
     )

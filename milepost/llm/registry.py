@@ -91,10 +91,8 @@ WITH RECURSIVE w AS (
 e AS (SELECT doc_id, unnest(s) AS g FROM s),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o.c >= 75 * (x.n + y.n - o.c)),
-r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id),
-k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
-SELECT n.doc_id, n.n AS n_shingles, (SELECT min(root) FROM r WHERE r.doc_id = n.doc_id) AS component_id, coalesce(k.n_links, 0) AS n_links
-FROM n LEFT JOIN k ON k.doc_id = n.doc_id
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
+SELECT n.doc_id, n.n AS n_shingles, (SELECT min(root) FROM r WHERE r.doc_id = n.doc_id) AS component_id FROM n
 """
 
 
