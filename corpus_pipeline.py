@@ -8,6 +8,7 @@ one's ``docs``.  All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from milepost.llm.exact_dedup import exact_survivors
 from milepost.llm.jaccard import jaccard_join
@@ -33,9 +34,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by shingle similarity the smallest doc_id stays."""
-    gone = jaccard_join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group linked by shingle similarity the smallest doc_id stays (a
+    null one ranks last, ties go to one row); rows are told apart by a key of
+    this stage's own, so null and repeated ids are rows like others.  A text
+    without words is linked with nothing and stays."""
+    keyed = shared_table(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    found = jaccard_join(keyed, id_col="__key").select("__key", F.col("component_id").alias("__group"))
+    # only rows of groups of several matter; most groups are one row
+    several = found.where("__group <> __key").select("__group").distinct()
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
+    members = found.join(several, "__group").join(keyed.select("__key", "doc_id"), "__key")
+    best = members.groupBy("__group").agg(F.min(rank)["__key"].alias("best"))
+    gone = members.join(best, "__group").where("__key <> best").select("__key")
+    return keyed.join(gone, "__key", "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
