@@ -1,277 +1,206 @@
-"""Cross-entropy difference between two n-gram models, over words or bytes.
-
-``word_cross_entropy_difference`` is the registered query: pairs of words, so
-the models grow with the corpus; see there.  What follows describes
-``cross_entropy_difference``, over four bytes.
-
-A target model (texts like those wanted) and a background model (all texts)
-are matched: the same order, the same smoothing, and one vocabulary, the bytes
-seen in either.  Each order is interpolated with the next lower one,
-
-    p(c | context) = (count(context c) + mu p(c | shorter)) / (count(context) + mu)
-
-down to the uniform distribution over the vocabulary.  As the background
-covers all scored texts, every n-gram in them has a row in the model table, so
-its two losses are computed once, by Spark, from the summed counts, and a
-text's score is a sum of lookups.
-
-The model table goes to the tasks only in shards of at most ``shard_rows``
-n-grams; a larger table means more shards, each a pass over the texts, whose
-partial sums are added up.
-
-Defined results: a null or empty text has no tokens and null losses and score;
-rows with a null id are scored; rows that repeat an id are scored each; no
-target text leaves the target model uniform; an empty table gives no rows;
-other columns are ignored.
+"""Cross-entropy difference between two n-gram models over words.
+
+A target model (documents named by id) and a background model (all documents)
+are matched: pairs of words, the same smoothing, and one vocabulary, every word
+of the documents (runs of other characters than ASCII spaces, as spelled) and
+the end mark.  A word after another has the probability
+
+    p(w | c) = (count(c w) + mu p(w)) / (count(c) + mu)
+    p(w)     = (count(w) + mu / vocabulary) / (all words + mu)
+
+and a document's own counts are taken out of each model that holds it before it
+is scored, so that no text is judged by a model that has learnt it.  As every
+document ends in the end mark, a word's count is also its count as a context.
+
+The texts are written once, dealt into parts of ``part_bytes``.  Each part
+sends every distinct word and pair once, with its counts, to the owner of that
+n-gram's hash bucket; the owners sum the counts of all parts and send the sums
+back, in the same order; then each part scores its own texts.  An n-gram moves
+at most once per part, however often the corpus holds it, so no common word is
+a hot key, and no model is gathered anywhere.  Both groupings are bounded: a
+part by its bytes (or one text), a bucket by ``bucket_bytes`` of text.
+
+Defined results: a null or empty text, and one of spaces only, has no tokens
+and null losses and score; rows with a null id are scored and no target; rows
+that repeat an id are documents each; no target leaves the target model uniform;
+an empty table gives no rows; other columns are ignored.  Words and pairs are
+told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_table
+from .shared import bucketed_table, shared_table
 from .textkernels import _IS_WORD, mix, prefix_sums, span_hashes, text_groups
 
-ORDER = 4
-#: A word or pair above this share of the words is looked up by broadcast: so
-#: there are at most as many of them as its inverse.
-OFTEN = 1 / 65_536
-
-
-def ngram_codes(column: pa.Array, most_bytes: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Groups of texts: (first text, bytes per text, code per byte).
-
-    A code holds the byte and the ORDER - 1 before it; before a text's start
-    there are zero bytes.
-    """
-    pad = b"\0" * (ORDER - 1)
-    first, parts, size = 0, [], 0
-    for k in range(len(column)):
-        text = column[k].as_buffer()
-        parts.append(text.to_pybytes() if text is not None else b"")
-        size += len(parts[-1])
-        if size >= most_bytes or k + 1 == len(column):
-            data = np.frombuffer(pad + pad.join(parts), np.uint8).astype(np.uint32)
-            n = np.array([len(p) for p in parts], np.int64)
-            code = np.zeros(len(data) - ORDER + 1, np.uint32)
-            for back in range(ORDER):
-                code |= data[ORDER - 1 - back : len(data) - back] << np.uint32(8 * back)
-            # ORDER - 1 positions at each text's start are padding but for the first text
-            real = np.ones(len(code), bool)
-            gaps = np.cumsum(n)[:-1] + (ORDER - 1) * np.arange(len(n) - 1)
-            real[(gaps[:, None] + np.arange(ORDER - 1)).ravel()] = False
-            yield first, n, code[real]
-            first, parts, size = k + 1, [], 0
-
-
-def ngram_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """(code, n) of all texts, summed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, code in ngram_codes(batch.column(0)):
-                value, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
-
-    return texts.select(F.col(text_col)).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def loss_table(target: DataFrame, background: DataFrame, mu: float) -> DataFrame:
-    """(code, target_loss, background_loss) in nats for every n-gram seen.
-
-    Both inputs are (code, n).  Lower orders are the sums of higher ones.
-    """
-    zero = F.lit(0).cast("long")
-    both = background.select("code", zero.alias("t"), F.col("n").alias("b")).unionAll(target.select("code", F.col("n").alias("t"), zero.alias("b")))
-    summed = lambda df, key: df.groupBy(key.alias("code")).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    orders = {ORDER: shared_table(summed(both, F.col("code")), "ngrams")}
-    for k in range(ORDER - 1, 0, -1):
-        orders[k] = summed(orders[k + 1], F.col("code").bitwiseAND((1 << 8 * k) - 1))
-    everything = Window.partitionBy(F.lit(0))  # at most 256 rows, the vocabulary
-    lower = orders[1].select("code", *[(1.0 / F.count(F.lit(1)).over(everything)).alias(p) for p in ("pt", "pb")])
-    for k in range(1, ORDER + 1):
-        context = F.shiftright("code", 8)
-        totals = orders[k].groupBy(context.alias("context")).agg(F.sum("t").alias("ct"), F.sum("b").alias("cb"))
-        short = F.col("code").bitwiseAND((1 << 8 * max(k - 1, 1)) - 1)
-        rows = orders[k].select("code", "t", "b", context.alias("context"), short.alias("short"))
-        rows = rows.join(totals, "context").join(lower.withColumnRenamed("code", "short"), "short")
-        lower = rows.select(
-            "code",
-            ((F.col("t") + mu * F.col("pt")) / (F.col("ct") + mu)).alias("pt"),
-            ((F.col("b") + mu * F.col("pb")) / (F.col("cb") + mu)).alias("pb"),
-        )
-    return lower.select("code", (-F.ln("pt")).alias("target_loss"), (-F.ln("pb")).alias("background_loss"))
-
-
-def cross_entropy_difference(
-    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = 4.0, shard_rows: int = 1 << 21
-) -> DataFrame:
-    """One row per document: id, n_tokens, target_loss, background_loss (nats
-    per token) and score, the background's loss less the target's: the higher,
-    the more like the target texts.  ``target``: a table with ``text_col``."""
-    spark = docs.sparkSession
-    table = shared_table(loss_table(ngram_counts(target, text_col), ngram_counts(docs, text_col), mu), "losses")
-    shards = max(1, -(-table.count() // shard_rows))
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-
-    def scored(shard: int) -> DataFrame:
-        part = table.where(F.pmod(F.xxhash64("code"), F.lit(shards)) == shard).toArrow().sort_by("code")
-        model = spark.sparkContext.broadcast(
-            (part["code"].to_numpy().astype(np.uint32), part["target_loss"].to_numpy(), part["background_loss"].to_numpy())
-        )
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, t, b = model.value
-            for batch in batches:
-                counts, sums = [], []
-                for _, n, code in ngram_codes(batch.column(2), 1 << 20):
-                    at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
-                    hit = known[at] == code if len(known) else np.zeros(len(code), bool)
-                    owner = np.repeat(np.arange(len(n)), n)[hit]
-                    at = at[hit]
-                    counts.append(n)
-                    sums.append(np.stack([np.bincount(owner, x[at], len(n)) for x in (t, b)]))
-                count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-                total = np.concatenate(sums, 1) if sums else np.zeros((2, 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count), pa.array(total[0]), pa.array(total[1])], names=["id", "row", "n", "t", "b"])
-
-        return rows.mapInArrow(run, f"id {kind}, row long, n long, t double, b double")
-
-    total = scored(0)
-    if shards > 1:
-        total = reduce(DataFrame.unionAll, [scored(k) for k in range(1, shards)], total)
-        total = total.groupBy("id", "row").agg(F.max("n").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b"))
-    each = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
-    return total.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_tokens"), each("t").alias("target_loss"), each("b").alias("background_loss"),
-        (each("b") - each("t")).alias("score"),
-    )
-
-
-def word_pairs(column: pa.Array, most_bytes: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of texts: (first text, words per text, and per word its hash, that
-    of the word before it, and the pair's).  Before a text's start there is 0."""
-    for first, _, data, ends in text_groups(column, most_bytes):
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], _IS_WORD[data], [False]]).astype(np.int8)))
-        word = span_hashes(prefix_sums(data), edge[::2], edge[1::2])
-        bounds = np.searchsorted(edge[::2], np.concatenate([[0], ends]), "left")
-        n = np.diff(bounds)
-        context = np.concatenate([np.zeros(1, np.uint64), word])[:-1]
-        context[bounds[:-1][n > 0]] = 0
-        pair = mix(mix(context + np.uint64(1)) + word)
-        yield first, n, word.view(np.int64), context.view(np.int64), pair.view(np.int64)
+#: Codes of the end mark (a word, so odd) and of a text's start (a context only).
+END, START = np.uint64(1), np.uint64(0)
+_ODD = np.uint64(1)
 
 
-def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """(word, n, before): how often each word occurs, and how often as the one
-    before another; the start of a text is the word 0, which only comes before."""
+def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words per text, code of each word); a word's code is odd."""
+    sizes, codes = [], []
+    for _, _, data, ends in text_groups(column, 1 << 22):
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], _IS_WORD[data], [False]]).astype(np.int8)))
+        codes.append(span_hashes(prefix_sums(data), edge[::2], edge[1::2]) | _ODD)
+        sizes.append(np.diff(np.searchsorted(edge[::2], np.concatenate([[0], ends]), "left")))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(sizes), np.concatenate(codes)) if sizes else (none, none.view(np.uint64))
+
+
+class PartGrams:
+    """The tokens of some texts: per token its text, word, context and pair."""
+
+    def __init__(self, column: pa.Array):
+        words, code = word_codes(column)
+        self.tokens = np.where(words > 0, words + 1, 0)  # with the end mark
+        last = np.cumsum(self.tokens)[words > 0] - 1
+        self.text = np.repeat(np.arange(len(words)), self.tokens)
+        self.word = np.full(len(self.text), END)
+        inner = np.ones(len(self.text), bool)
+        inner[last] = False
+        self.word[inner] = code
+        self.context = np.concatenate([[START], self.word[:-1]])[: len(self.word)]
+        self.context[last[:-1] + 1] = START
+        self.pair = mix(mix(self.context + _ODD) + self.word) & ~_ODD
+        self.starts = int((words > 0).sum())
+
+    def counts(self, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(codes, count, count in target texts): each word's, each pair's, and
+        the start's, in the order of the codes."""
+        grams = np.concatenate([self.word, self.pair, np.full(self.starts, START)])
+        inside = np.concatenate([target[self.text], target[self.text], target[self.tokens > 0]])
+        code, at = np.unique(grams, return_inverse=True)
+        return code, np.bincount(at, minlength=len(code)), np.bincount(at, inside, len(code)).astype(np.int64)
+
+
+def _owner(code: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a code, in rising order of the codes' high bits."""
+    return ((mix(code >> np.uint64(1)) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _dealt(grams: PartGrams, target: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """The part's counts ordered by bucket, then code, and the buckets' ends."""
+    code, n, t = grams.counts(target)
+    owner = _owner(code, buckets)
+    order = np.argsort(owner, kind="stable")
+    which, first = np.unique(owner[order], return_index=True)
+    return code[order], n[order], t[order], which, np.append(first, len(order))
+
+
+def _packed(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+
+
+def _parts(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> DataFrame:
+    """(part, place, id, text): runs of rows of about ``part_bytes``."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.spark_partition_id().cast("long").alias("task"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place, held = 0, 0, 0
         for batch in batches:
-            for _, _, word, context, _ in word_pairs(batch.column(0)):
-                value, at = np.unique(np.concatenate([word, context]), return_inverse=True)
-                n = [np.bincount(x, minlength=len(value)).astype(np.int64) for x in (at[: len(word)], at[len(word) :])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value, *n)], names=["word", "n", "before"])
+            sizes = [x.as_buffer().size if x.is_valid else 0 for x in batch.column(2)]
+            parts, places = [], []
+            for n in sizes:
+                if held >= part_bytes:
+                    part, place, held = part + 1, 0, 0
+                parts.append(part)
+                places.append(place)
+                place, held = place + 1, held + n + 16
+            number = np.array(parts, np.int64) + batch.column(0).to_numpy() * (1 << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(places, pa.int64()), batch.column(1), batch.column(2)], names=["part", "place", "id", "text"])
 
-    return texts.select(F.col(text_col)).mapInArrow(run, "word long, n long, before long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
+    return bucketed_table(rows.mapInArrow(run, f"part long, place long, id {kind}, text string"), "texts", "part")
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, often: Column) -> DataFrame:
-    """``rows`` (with a column ``pair``) with the columns of their row of
-    ``table``, which has one for each of their keys.  What is found ``often`` is
-    broadcast, so that no key gathers many rows in one task."""
-    names = [c for c in table.columns if c != key]
-    hot = table.where(often).select(key, *[F.col(c).alias(f"hot_{c}") for c in names])
-    cold = table.where(~often).select(F.col(key).alias("at"), F.lit(True).alias("cold"), *names)
-    found = F.col(f"hot_{names[0]}").isNotNull()
-    rows = rows.join(F.broadcast(hot), key, "left").withColumn("at", F.when(found, F.xxhash64("pair")).otherwise(F.col(key))).withColumn("cold", ~found)
-    both = rows.join(cold, ["at", "cold"], "left")
-    for c in names:
-        both = both.withColumn(c, F.coalesce(F.col(f"hot_{c}"), F.col(c)))
-    return both.drop("at", "cold", *[f"hot_{c}" for c in names])
+def _flags(places: pa.Table, rows: int) -> np.ndarray:
+    out = np.zeros(rows, bool)
+    out[places.column("place").to_numpy()] = True
+    return out
 
 
 def word_cross_entropy_difference(
-    docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = 4.0, slices: int = 4
+    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = 4.0, part_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20
 ) -> DataFrame:
-    """As ``cross_entropy_difference``, with words (runs of other characters
-    than ASCII spaces, as they are spelled) in place of bytes and one word of
-    context.  The vocabulary is every word of ``docs``, of which ``target`` is a
-    part.  Words and pairs are told apart by 64-bit hashes.
-
-    The pairs are dealt into ``slices`` by hash, each a pass over the texts: its
-    summed counts get the counts of their words, its losses are joined with the
-    (document, pair, count) rows, and only sums per document stay on disk.
-    """
-    zero = F.lit(0).cast("long")
-    both = word_counts(docs, text_col).select("word", zero.alias("tn"), zero.alias("tb"), F.col("n").alias("bn"), F.col("before").alias("bb")).unionAll(
-        word_counts(target, text_col).select("word", F.col("n").alias("tn"), F.col("before").alias("tb"), zero.alias("bn"), zero.alias("bb"))
-    )
-    vocabulary = shared_table(both.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("tn", "tb", "bn", "bb")]), "vocabulary")
-    size = vocabulary.agg(F.count(F.when(F.col("bn") > 0, 1)).alias("v"), *[F.coalesce(F.sum(c), zero).alias(c) for c in ("tn", "bn")]).first()
-    uniform = mu / max(size.v, 1)
-    words = vocabulary.where("bn > 0").select(
-        "word", "bn", ((F.col("tn") + uniform) / (size.tn + mu)).alias("pt"), ((F.col("bn") + uniform) / (size.bn + mu)).alias("pb")
-    )
-    contexts = vocabulary.where("bb > 0").select(F.col("word").alias("context"), F.col("tb").alias("ct"), F.col("bb").alias("cb"))
-    least = size.bn * OFTEN
-
-    def counted(texts: DataFrame, part: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for _, _, word, context, pair in word_pairs(batch.column(0)):
-                    mine = np.flatnonzero(pair.view(np.uint64) % np.uint64(slices) == part)
-                    value, at, n = np.unique(pair[mine], return_index=True, return_counts=True)
-                    at = mine[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value, word[at], context[at], n)], names=["pair", "word", "context", "n"])
-
-        return texts.select(F.col(text_col)).mapInArrow(run, "pair long, word long, context long, n long")
-
-    def losses(part: int) -> DataFrame:
-        sides = counted(docs, part).select("pair", "word", "context", zero.alias("t"), F.col("n").alias("b")).unionAll(
-            counted(target, part).select("pair", "word", "context", F.col("n").alias("t"), zero.alias("b"))
-        )
-        # a pair has one word and one context
-        pairs = sides.groupBy("pair").agg(F.first("word").alias("word"), F.first("context").alias("context"), F.sum("t").alias("t"), F.sum("b").alias("b")).where("b > 0")
-        pairs = looked_up(pairs, "word", words, F.col("bn") > least).select("pair", "context", "t", "b", "pt", "pb")
-        pairs = looked_up(pairs, "context", contexts, F.col("cb") > least)
-        loss = lambda n, p, c: -F.ln((F.col(n) + mu * F.col(p)) / (F.col(c) + mu))
-        return shared_table(pairs.select("pair", "b", loss("t", "pt", "ct").alias("t_loss"), loss("b", "pb", "cb").alias("b_loss")), "losses")
-
-    def entries(part: int) -> DataFrame:
-        """(row, pair, n)"""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for first, n, _, _, pair in word_pairs(batch.column(1), 1 << 20):
-                    mine = pair.view(np.uint64) % np.uint64(slices) == part
-                    owner, code = np.repeat(np.arange(len(n)), n)[mine], pair[mine]
-                    order = np.lexsort((code, owner))
-                    owner, code = owner[order], code[order]
-                    new = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (code[1:] != code[:-1])])[: len(code)])
-                    row = batch.column(0).slice(first, len(n)).take(pa.array(owner[new]))
-                    yield pa.RecordBatch.from_arrays([row, pa.array(code[new]), pa.array(np.diff(np.append(new, len(code))))], names=["row", "pair", "n"])
-
-        return rows.select("row", "text").mapInArrow(run, "row long, pair long, n long")
-
-    def sums(part: int) -> DataFrame:
-        found = looked_up(entries(part), "pair", losses(part), F.col("b") > least)
-        total = lambda c: F.sum(F.col("n") * F.col(c))
-        return shared_table(found.groupBy("row").agg(F.sum("n").alias("n"), total("t_loss").alias("t"), total("b_loss").alias("b")), "sums")
-
-    # a row's number must be the same in every pass
-    rows = shared_table(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")), "texts")
-    total = reduce(DataFrame.unionAll, [sums(k) for k in range(slices)]).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n", "t", "b")])
-    out = rows.select("id", "row").join(total, "row", "left")
-    each = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("n", zero).alias("n_tokens"), each("t").alias("target_loss"), each("b").alias("background_loss"),
-        (each("b") - each("t")).alias("score"),
-    )
+    """One row per document: id, n_tokens (its words and the end mark),
+    target_loss, background_loss (nats per token) and score, the background's
+    loss less the target's: the higher, the more like the target documents,
+    whose ids the first column of ``target_ids`` holds."""
+    texts = _parts(docs, id_col, text_col, part_bytes)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // bucket_bytes))
+    ids = target_ids.select(F.col(target_ids.columns[0]).alias("id")).distinct()
+    chosen = texts.select("part", "place", "id").join(ids, "id", "left_semi").select("part", "place")
+    chosen = bucketed_table(chosen, "targets", "part")
+
+    def counts(rows: pa.Table, targets: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        made = PartGrams(rows.column("text").combine_chunks())
+        code, n, t, which, ends = _dealt(made, _flags(targets, rows.num_rows), buckets)
+        part = pa.array(np.full(len(which), rows.column("part")[0].as_py() if len(which) else 0, np.int64))
+        lists = [_packed(x, ends) for x in (code, n.astype(np.uint32), t.astype(np.uint32))]
+        return pa.table([part, pa.array(which), *lists], names=["part", "bucket", "code", "n", "t"])
+
+    def sums(key: tuple, rows: pa.Table) -> pa.Table:
+        code, n, t = (np.frombuffer(b"".join(rows.column(c).to_pylist()), k) for c, k in (("code", np.uint64), ("n", np.uint32), ("t", np.uint32)))
+        every, at = np.unique(code, return_inverse=True)
+        n, t = (np.bincount(at, x, len(every)).astype(np.uint64) for x in (n, t))
+        ends = np.concatenate([[0], np.cumsum([len(x.as_py()) // 8 for x in rows.column("code")])]).astype(np.int64)
+        word = (every & _ODD) == 1
+        # the bucket's share of the totals goes on its first row
+        totals = [np.zeros(rows.num_rows, np.int64) for _ in range(3)]
+        for column, x in zip(totals, (word.sum(), n[word].sum(), t[word].sum())):
+            column[:1] = x
+        lists = [_packed(x[at], ends) for x in (n, t)]
+        return pa.table([rows.column("part"), rows.column("bucket"), *lists, *totals], names=["part", "bucket", "n", "t", "words", "all_n", "all_t"])
+
+    sent = texts.groupBy("part").cogroup(chosen.groupBy("part")).applyInArrow(counts, "part long, bucket long, code binary, n binary, t binary")
+    back = sent.groupBy("bucket").applyInArrow(sums, "part long, bucket long, n binary, t binary, words long, all_n long, all_t long")
+    back = shared_table(back, "sums")
+    every = back.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "all_n", "all_t")]).first()
+    vocabulary, all_n, all_t = (int(x) for x in every)
+    kind = texts.schema["id"].dataType.simpleString()
+    # a target's place travels with the sums, as a negative bucket
+    none = F.lit(None).cast("binary")
+    back = back.select("part", "bucket", "n", "t").unionAll(chosen.select("part", -1 - F.col("place"), none, none))
+
+    def scored(rows: pa.Table, reply: pa.Table) -> pa.Table:
+        rows, reply = rows.sort_by("place"), reply.sort_by("bucket")
+        made = PartGrams(rows.column("text").combine_chunks())
+        marks = int((reply.column("bucket").to_numpy() < 0).sum())
+        target = np.zeros(rows.num_rows, bool)
+        target[-1 - reply.column("bucket").to_numpy()[:marks]] = True
+        reply = reply.slice(marks)
+        code = _dealt(made, target, buckets)[0]
+        order = np.argsort(code)
+        n, t = (np.frombuffer(b"".join(reply.column(c).to_pylist()), np.uint64)[order].astype(np.float64) for c in ("n", "t"))
+        code = code[order]
+        text, length = made.text, made.tokens[made.text]
+        inside = target[text]
+
+        def known(gram: np.ndarray) -> tuple[np.ndarray, ...]:
+            """(count, target count) of each token's gram without its text's own."""
+            at = np.searchsorted(code, gram)
+            each, back = np.unique(text * len(code) + at, return_inverse=True)
+            own = np.bincount(back, minlength=len(each))[back]
+            return n[at] - own, t[at] - own * inside
+
+        word, context, pair = known(made.word), known(made.context), known(made.pair)
+        total = np.zeros((2, rows.num_rows))
+        for k, everything in enumerate((all_n - length, all_t - length * inside)):
+            low = (word[k] + mu / vocabulary) / (everything + mu) if vocabulary else word[k]
+            total[k] = np.bincount(text, -np.log((pair[k] + mu * low) / (context[k] + mu)), rows.num_rows)
+        sums = [pa.array(x, mask=made.tokens == 0) for x in total]
+        return pa.table([rows.column("id"), pa.array(made.tokens), *sums], names=["id", "n", "b", "t"])
+
+    out = texts.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(scored, f"id {kind}, n long, b double, t double")
+    b, t = F.col("b") / F.col("n"), F.col("t") / F.col("n")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), t.alias("target_loss"), b.alias("background_loss"), (b - t).alias("score"))

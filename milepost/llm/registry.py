@@ -73,8 +73,33 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled good and not toxic; background: all."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    return word_cross_entropy_difference(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id")
+    scored = word_cross_entropy_difference(docs, good)
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
+f AS (SELECT r, d.doc_id, w, CAST(g.doc_id IS NOT NULL AS INTEGER) AS good FROM d LEFT JOIN g ON g.doc_id = d.doc_id),
+p AS (SELECT r, good, unnest(list_concat([' start'], w)) AS c, unnest(list_concat(w, [' end'])) AS w FROM f WHERE len(w) > 0),
+n AS (SELECT r, good, c, w, count(*) AS k FROM p GROUP BY ALL),
+pc AS (SELECT c, w, sum(k) AS b, sum(k * good) AS t FROM n GROUP BY ALL),
+wc AS (SELECT w, sum(k) AS b, sum(k * good) AS t FROM n GROUP BY ALL),
+cc AS (SELECT c, sum(k) AS b, sum(k * good) AS t FROM n GROUP BY ALL),
+ow AS (SELECT r, w, sum(k) AS k FROM n GROUP BY ALL),
+oc AS (SELECT r, c, sum(k) AS k FROM n GROUP BY ALL),
+le AS (SELECT r, sum(k) AS k FROM n GROUP BY ALL),
+a AS (SELECT count(*) AS v, sum(b) AS b, sum(t) AS t FROM wc),
+l AS (SELECT n.r, n.k,
+  -ln((pc.b - n.k + 4.0::DOUBLE * ((wc.b - ow.k + 4.0::DOUBLE / a.v) / (a.b - le.k + 4.0::DOUBLE))) / (cc.b - oc.k + 4.0::DOUBLE)) AS lb,
+  -ln((pc.t - n.k * good + 4.0::DOUBLE * ((wc.t - ow.k * good + 4.0::DOUBLE / a.v) / (a.t - le.k * good + 4.0::DOUBLE))) / (cc.t - oc.k * good + 4.0::DOUBLE)) AS lt
+  FROM n JOIN pc ON pc.c = n.c AND pc.w = n.w JOIN wc ON wc.w = n.w JOIN cc ON cc.c = n.c JOIN ow ON ow.r = n.r AND ow.w = n.w
+  JOIN oc ON oc.r = n.r AND oc.c = n.c JOIN le ON le.r = n.r, a),
+s AS (SELECT r, CAST(sum(k) AS BIGINT) AS n, sum(k * lt) / sum(k) AS t, sum(k * lb) / sum(k) AS b FROM l GROUP BY r)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_tokens, round(s.t, 6) AS target_loss, round(s.b, 6) AS background_loss, round(s.b - s.t, 6) AS score
+FROM d LEFT JOIN s ON s.r = d.r
+"""
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,4 +158,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_lm_scoring": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_warc": OP9_SQL}

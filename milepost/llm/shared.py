@@ -64,11 +64,13 @@ def shared_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
     """As ``shared_table``, dealt into buckets by ``key``: later joins on it
-    move only their other side."""
+    move only their other side.  Only files stay; the catalog keeps no entry."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = path.rpartition("/")[2].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with shuffles_removed(spark):
         df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found
