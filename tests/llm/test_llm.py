@@ -58,33 +58,52 @@ def nothing(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_extendible_directory():
-    counts = {s: 1 for s in range(16)} | {3: 50}
-    d = build_directory(counts, 4, 4)
+def test_extendible_directory(spark):
+    counts = {s: 1 for s in range(16) if s != 9} | {3: 50}
+    loads = spark.createDataFrame([*counts.items()], "slot long, load long")
+    d = {r["slot"]: r["bucket"] for r in build_directory(loads, 4, 4).collect()}
     sizes = Counter()
-    for slot, bucket in enumerate(d):
+    for slot, bucket in d.items():
         sizes[bucket] += counts[slot]
-    assert d[3] == 3 and sizes[3] == 50  # at full depth: a chain
-    assert all(n <= 4 for b, n in sizes.items() if b != 3) and d == sorted(d)
-    assert set(build_directory({}, 4, 4)) == {0}
+        depth = bucket.bit_length() - 1
+        assert bucket == (1 << depth) + (slot >> (4 - depth))  # a node on the slot's way
+        # it had to split: the node above holds too much
+        assert depth == 0 or sum(n for s, n in counts.items() if s >> (5 - depth) == bucket // 2 - (1 << depth - 1)) > 4
+    assert d.keys() == counts.keys() and d[3] == 16 + 3 and sizes[19] == 50  # at full depth: a chain
+    assert all(n <= 4 for b, n in sizes.items() if b != 19)
 
 
-def test_exact_dedup(spark, docs, nothing):
+@pytest.mark.parametrize("bucket_rows", [2, 2048])
+def test_exact_dedup(spark, docs, nothing, bucket_rows):
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
     groups = defaultdict(list)
     for d, t in rows:
         groups[t].append(d)
-    want = {(d, max(groups[t]), len(groups[t]), d == max(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for d, t in rows}
-    assert {tuple(r)[:5] for r in exact_dedup(docs, bucket_capacity=4).collect()} == want
-    kept = exact_survivors(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {max(g) for g in groups.values()}
-    index = build_index(docs, bucket_capacity=4)
-    assert index.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 8 and index.count() == len(groups)
+    want = Counter((d, max(groups[t]), len(groups[t]), d == max(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for d, t in rows)
+    assert Counter(tuple(r)[:5] for r in exact_dedup(docs, bucket_rows=bucket_rows).collect()) == want
+    kept = exact_survivors(docs, bucket_rows=bucket_rows)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(max(g) for g in groups.values())
+    index = build_index(docs, bucket_rows=bucket_rows)
+    plain = index.where("page IS NULL").groupBy("bucket").count()
+    assert plain.agg(F.max("count")).first()[0] <= max(bucket_rows, 8) and index.count() == len(rows)
+    assert (index.where("page IS NOT NULL").count() > 0) == (bucket_rows == 2)
     assert exact_dedup(nothing).count() == exact_survivors(nothing).count() == 0
     odd = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a"), (2, "b"), (2, "b"), (None, None)], "doc_id long, text string")
-    got = Counter(tuple(r)[:4] for r in exact_dedup(odd).collect())
+    got = Counter(tuple(r)[:4] for r in exact_dedup(odd, bucket_rows=bucket_rows).collect())
     assert got == {(None, 1, 3, False): 2, (1, 1, 3, True): 1, (2, 2, 2, True): 2, (None, None, 1, True): 1}
-    assert exact_survivors(odd).count() == 3
+    assert exact_survivors(odd, bucket_rows=bucket_rows).count() == 3
+
+
+def test_texts_of_one_hash_are_told_apart_by_their_bytes(spark, docs, monkeypatch):
+    from milepost.llm import exact_dedup as ed
+
+    plain = exact_dedup(docs).drop("bucket").collect()
+    # every text has one hash: one chain, in pages or not
+    monkeypatch.setattr(ed.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    for bucket_rows in (3, 2048):
+        assert Counter(exact_dedup(docs, bucket_rows=bucket_rows).drop("bucket").collect()) == Counter(plain)
+        assert exact_survivors(docs, bucket_rows=bucket_rows).count() == len({r["text_sha256"] for r in plain})
+    assert build_index(docs).agg(F.max("chain")).first()[0] == len({r["text_sha256"] for r in plain})
 
 
 def brute_substrings(rows, n=100):
