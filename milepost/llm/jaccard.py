@@ -292,8 +292,9 @@ def jaccard_join(
     sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("sig", "n").agg(F.min("id").alias("rep"))
     # by column, by row (strong rows as their copies' first), by column again:
     # each step filters before the next one moves what is left
-    entries = _strong(_met(prefix_entries(docs, id_col, text_col, words, percent, common)), percent)
-    firsts = rows.where("n > 0 AND id IS NOT NULL").join(sets, ["sig", "n"]).select("id", "rep").distinct()
+    entries = shared_table(_strong(_met(prefix_entries(docs, id_col, text_col, words, percent, common)), percent), "strong")
+    # a set has one strong row a task at most, however many copies
+    firsts = rows.where("n > 0").join(entries.select("id").distinct(), "id", "left_semi").join(sets, ["sig", "n"]).select("id", "rep").distinct()
     entries = entries.join(firsts.hint("merge"), "id").select("tok", F.col("rep").alias("id"), "n")
     met = shared_table(_met(entries.repartition("tok").dropDuplicates(["tok", "id"])), "met")
 
