@@ -55,48 +55,84 @@ def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sizes), np.concatenate(codes)) if sizes else (none, none.view(np.uint64))
 
 
+def _order(key: np.ndarray, limit: int) -> np.ndarray:
+    """A stable order of keys below ``limit``: sorted with their places packed
+    beside them, where both fit a long."""
+    bits = max(len(key) - 1, 1).bit_length()
+    if limit << bits >= 1 << 63:
+        return np.argsort(key, kind="stable")
+    return np.sort(key.astype(np.int64) << bits | np.arange(len(key))) & ((1 << bits) - 1)
+
+
+def _ranked(key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each distinct key, number of each, key number per place)."""
+    order = _order(key, limit)
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(key))), number
+
+
 class PartGrams:
-    """The tokens of some texts: per token its text, word, context and pair."""
+    """The tokens of some texts: per token its text and the numbers of its word
+    and its pair; and the codes of the distinct words, pairs and the start."""
 
     def __init__(self, column: pa.Array):
         words, code = word_codes(column)
         self.tokens = np.where(words > 0, words + 1, 0)  # with the end mark
+        self.starts = int((words > 0).sum())
         last = np.cumsum(self.tokens)[words > 0] - 1
+        n = int(self.tokens.sum())
         self.text = np.repeat(np.arange(len(words)), self.tokens)
-        self.word = np.full(len(self.text), END)
-        inner = np.ones(len(self.text), bool)
+        token = np.full(n, END)
+        inner = np.ones(n, bool)
         inner[last] = False
-        self.word[inner] = code
-        self.context = np.concatenate([[START], self.word[:-1]])[: len(self.word)]
-        self.context[last[:-1] + 1] = START
-        self.pair = mix(mix(self.context + _ODD) + self.word) & ~_ODD
-        self.starts = int((words > 0).sum())
-
-    def counts(self, target: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(codes, count, count in target texts): each word's, each pair's, and
-        the start's, in the order of the codes."""
-        grams = np.concatenate([self.word, self.pair, np.full(self.starts, START)])
-        inside = np.concatenate([target[self.text], target[self.text], target[self.tokens > 0]])
-        code, at = np.unique(grams, return_inverse=True)
-        return code, np.bincount(at, minlength=len(code)), np.bincount(at, inside, len(code)).astype(np.int64)
-
+        token[inner] = code
+        each, self.word = np.unique(token, return_inverse=True)
+        self.first = np.zeros(n, bool)  # tokens after the start
+        self.first[last[:-1] + 1] = True
+        self.first[:1] = True
+        context = np.concatenate([[0], self.word[:-1] + 1])[:n]
+        context[self.first] = 0
+        at, self.pair_n, self.pair = _ranked(context * len(each) + self.word, (len(each) + 1) * len(each))
+        before = np.concatenate([[START], each])
+        pair = mix(mix(before[context[at]] + _ODD) + token[at]) & ~_ODD
+        self.words = len(each)
+        #: words by number, then pairs by number, then the start
+        self.code = np.concatenate([each, pair, [START]]) if n else each
+
+    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each code, the count and the count in target texts."""
+        if not len(self.code):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        inside = target[self.text].astype(float)
+        starts = [self.starts], [int(target[self.tokens > 0].sum())]
+        word = lambda *x: np.bincount(self.word, *x, self.words)
+        n = np.concatenate([word(None), self.pair_n, starts[0]])
+        t = np.concatenate([word(inside), np.bincount(self.pair, inside, len(self.pair_n)), starts[1]])
+        return n, t.astype(np.int64)
+
+
+def _dealt(code: np.ndarray, n: np.ndarray, t: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order in which a part's codes travel (by bucket, then by count, which
+    packs well), the buckets met, and their ends in it."""
+    owner = (((mix(code >> np.uint64(1)) >> np.uint64(20)) % np.uint64(buckets))).astype(np.int64)
+    order = _order(owner * 1024 + np.minimum(n, 31) * 32 + np.minimum(t, 31), buckets * 1024)
+    which, first = np.unique(owner[order], return_index=True)
+    return order, which, np.append(first, len(order))
 
-def _owner(code: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a code, in rising order of the codes' high bits."""
-    return ((mix(code >> np.uint64(1)) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
+def _planes(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Stretches of 64-bit values as bytes, all lowest bytes first and so on."""
+    x = x.astype(np.uint64)
+    return pa.array([x[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
 
-def _dealt(grams: PartGrams, target: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
-    """The part's counts ordered by bucket, then code, and the buckets' ends."""
-    code, n, t = grams.counts(target)
-    owner = _owner(code, buckets)
-    order = np.argsort(owner, kind="stable")
-    which, first = np.unique(owner[order], return_index=True)
-    return code[order], n[order], t[order], which, np.append(first, len(order))
 
-
-def _packed(x: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+def _values(column: pa.ChunkedArray) -> np.ndarray:
+    parts = [np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T.copy().view(np.uint64)[:, 0] for x in column]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def _parts(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> DataFrame:
@@ -121,14 +157,14 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> Data
     return bucketed_table(rows.mapInArrow(run, f"part long, place long, id {kind}, text string"), "texts", "part")
 
 
-def _flags(places: pa.Table, rows: int) -> np.ndarray:
+def _flags(places: np.ndarray, rows: int) -> np.ndarray:
     out = np.zeros(rows, bool)
-    out[places.column("place").to_numpy()] = True
+    out[places] = True
     return out
 
 
 def word_cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = 4.0, part_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20
+    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = 4.0, part_bytes: int = 4 << 20, bucket_bytes: int = 6 << 20
 ) -> DataFrame:
     """One row per document: id, n_tokens (its words and the end mark),
     target_loss, background_loss (nats per token) and score, the background's
@@ -144,22 +180,23 @@ def word_cross_entropy_difference(
     def counts(rows: pa.Table, targets: pa.Table) -> pa.Table:
         rows = rows.sort_by("place")
         made = PartGrams(rows.column("text").combine_chunks())
-        code, n, t, which, ends = _dealt(made, _flags(targets, rows.num_rows), buckets)
-        part = pa.array(np.full(len(which), rows.column("part")[0].as_py() if len(which) else 0, np.int64))
-        lists = [_packed(x, ends) for x in (code, n.astype(np.uint32), t.astype(np.uint32))]
-        return pa.table([part, pa.array(which), *lists], names=["part", "bucket", "code", "n", "t"])
+        n, t = made.counts(_flags(targets.column("place").to_numpy(), rows.num_rows))
+        order, which, ends = _dealt(made.code, n, t, buckets)
+        part = np.full(len(which), rows.column("part")[0].as_py(), np.int64)
+        return pa.table([pa.array(part), pa.array(which), *(_planes(x[order], ends) for x in (made.code, n, t))], names=["part", "bucket", "code", "n", "t"])
 
     def sums(key: tuple, rows: pa.Table) -> pa.Table:
-        code, n, t = (np.frombuffer(b"".join(rows.column(c).to_pylist()), k) for c, k in (("code", np.uint64), ("n", np.uint32), ("t", np.uint32)))
+        code, n, t = (_values(rows.column(c)) for c in ("code", "n", "t"))
         every, at = np.unique(code, return_inverse=True)
-        n, t = (np.bincount(at, x, len(every)).astype(np.uint64) for x in (n, t))
-        ends = np.concatenate([[0], np.cumsum([len(x.as_py()) // 8 for x in rows.column("code")])]).astype(np.int64)
+        # exact below 2**53
+        n, t = (np.bincount(at, x, len(every)) for x in (n, t))
+        ends = np.concatenate([[0], np.cumsum([x.as_buffer().size // 8 for x in rows.column("code")])]).astype(np.int64)
         word = (every & _ODD) == 1
         # the bucket's share of the totals goes on its first row
         totals = [np.zeros(rows.num_rows, np.int64) for _ in range(3)]
         for column, x in zip(totals, (word.sum(), n[word].sum(), t[word].sum())):
             column[:1] = x
-        lists = [_packed(x[at], ends) for x in (n, t)]
+        lists = [_planes(x[at], ends) for x in (n, t)]
         return pa.table([rows.column("part"), rows.column("bucket"), *lists, *totals], names=["part", "bucket", "n", "t", "words", "all_n", "all_t"])
 
     sent = texts.groupBy("part").cogroup(chosen.groupBy("part")).applyInArrow(counts, "part long, bucket long, code binary, n binary, t binary")
@@ -175,29 +212,33 @@ def word_cross_entropy_difference(
     def scored(rows: pa.Table, reply: pa.Table) -> pa.Table:
         rows, reply = rows.sort_by("place"), reply.sort_by("bucket")
         made = PartGrams(rows.column("text").combine_chunks())
-        marks = int((reply.column("bucket").to_numpy() < 0).sum())
-        target = np.zeros(rows.num_rows, bool)
-        target[-1 - reply.column("bucket").to_numpy()[:marks]] = True
-        reply = reply.slice(marks)
-        code = _dealt(made, target, buckets)[0]
-        order = np.argsort(code)
-        n, t = (np.frombuffer(b"".join(reply.column(c).to_pylist()), np.uint64)[order].astype(np.float64) for c in ("n", "t"))
-        code = code[order]
+        bucket = reply.column("bucket").to_numpy()
+        marks = int((bucket < 0).sum())
+        target = _flags(-1 - bucket[:marks], rows.num_rows)
+        order = _dealt(made.code, *made.counts(target), buckets)[0]
         text, length = made.text, made.tokens[made.text]
         inside = target[text]
-
-        def known(gram: np.ndarray) -> tuple[np.ndarray, ...]:
-            """(count, target count) of each token's gram without its text's own."""
-            at = np.searchsorted(code, gram)
-            each, back = np.unique(text * len(code) + at, return_inverse=True)
-            own = np.bincount(back, minlength=len(each))[back]
-            return n[at] - own, t[at] - own * inside
-
-        word, context, pair = known(made.word), known(made.context), known(made.pair)
-        total = np.zeros((2, rows.num_rows))
-        for k, everything in enumerate((all_n - length, all_t - length * inside)):
-            low = (word[k] + mu / vocabulary) / (everything + mu) if vocabulary else word[k]
-            total[k] = np.bincount(text, -np.log((pair[k] + mu * low) / (context[k] + mu)), rows.num_rows)
+        size = rows.num_rows
+
+        def own(number: np.ndarray, most: int) -> np.ndarray:
+            """How often a token's text itself holds the gram of that number."""
+            _, n, at = _ranked(text * most + number, size * most)
+            return n[at]
+
+        own_word, own_pair = own(made.word, made.words), own(made.pair, len(made.pair_n))
+        # the word before is a context as often as it is a word
+        own_context = np.concatenate([[1], own_word[:-1]])[: len(text)]
+        own_context[made.first] = 1
+        total = np.zeros((2, size))
+        for k, (column, everything, mine) in enumerate((("n", all_n, 1), ("t", all_t, inside))):
+            known = np.empty(len(order))
+            known[order] = _values(reply.column(column).slice(marks))
+            word = known[made.word]
+            context = np.concatenate([[0.0], word[:-1]])[: len(text)]
+            context[made.first] = known[-1:]
+            pair = known[made.words + made.pair] - own_pair * mine
+            low = (word - own_word * mine + mu / max(vocabulary, 1)) / (everything - length * mine + mu)
+            total[k] = np.bincount(text, -np.log((pair + mu * low) / (context - own_context * mine + mu)), size)
         sums = [pa.array(x, mask=made.tokens == 0) for x in total]
         return pa.table([rows.column("id"), pa.array(made.tokens), *sums], names=["id", "n", "b", "t"])
 

@@ -54,7 +54,7 @@ def shared_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     with shuffles_removed(spark):
@@ -70,7 +70,7 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
     table = path.rpartition("/")[2].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with shuffles_removed(spark):
-        df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+        df.write.option("compression", "zstd").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
     found = spark.table(table)
     spark.sql(f"DROP TABLE {table}")
     return found
