@@ -9,9 +9,12 @@ that a matching window is missed with a probability below ``miss``.  What meets
 is verified exactly: a template matches where a window holds at least
 ``percent`` of its distinct shingles.
 
-Only windows that can match are summarised: each template has key words such
-that more than the tolerated part of its shingles contain one (checked when
-templates are prepared), so a matching window contains a key word.
+One scan serves all classes: a document is split and its shingles are hashed
+once.  Steps that lose nothing come first.  Only texts with a key word are
+split: the key words are chosen so that more than the tolerated part of every
+template's shingles contain one.  Only documents that hold the least number of
+a class's shingles go on to its windows, and only windows over such a shingle
+are summarised.
 
 All of it is DataFrame functions; the templates are a small fixed table.
 
@@ -25,7 +28,9 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +65,74 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
         "Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "GPL-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "LGPL-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "GPL-warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
+        "obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "EPL-2.0-notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "MIT-disclaimer": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+        "THE SOFTWARE."
+    ),
+    "BSD-conditions": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution."
+    ),
+    "BSD-3-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ),
+    "BSD-disclaimer": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+        "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+        "DAMAGE."
+    ),
+    "ISC-disclaimer": (
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY '
+        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+        "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the "
+        "use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions:"
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0-statement": (
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."
+    ),
 }
 
 
@@ -71,32 +144,39 @@ def _shingles(words: list[str]) -> list[str]:
     return list(dict.fromkeys(" ".join(words[k : k + WORDS]) for k in range(len(words) - WORDS + 1)))
 
 
-def key_words(shingles: list[str], spread: dict[str, int], percent: int) -> list[str]:
-    """Words that, together, more than 100 - percent of the shingles contain:
-    those used by the fewest templates first, then the longest."""
-    need, chosen, hit = len(shingles) * (100 - percent) // 100 + 1, [], set()
-    words = sorted({w for s in shingles for w in s.split()}, key=lambda w: (spread[w], -len(w), w))
-    for w in words:
-        if len(hit) >= need:
-            break
-        more = {s for s in shingles if w in s.split()} - hit
-        if more:
-            chosen.append(w)
-            hit |= more
+def key_words(sets: dict[str, list[str]], percent: int) -> list[str]:
+    """Few words such that more than 100 - percent of every template's shingles
+    contain one: each time the word that does most for what is still missing."""
+    missing = {name: len(s) * (100 - percent) // 100 + 1 for name, s in sets.items()}
+    left = {name: set(s) for name, s in sets.items()}
+    chosen: list[str] = []
+    while any(n > 0 for n in missing.values()):
+        gain: dict[str, float] = {}
+        for name, s in left.items():
+            if missing[name] > 0:
+                hits: dict[str, int] = {}
+                for x in s:
+                    for w in set(x.split()):
+                        hits[w] = hits.get(w, 0) + 1
+                for w, n in hits.items():
+                    # a short word is found in many texts
+                    gain[w] = gain.get(w, 0.0) + min(n, missing[name]) / missing[name] * (1.0 if len(w) > 5 else 0.1)
+        best = max(gain, key=lambda w: (gain[w], w))
+        chosen.append(best)
+        for name, s in left.items():
+            found = {x for x in s if best in x.split()}
+            missing[name] -= len(found)
+            left[name] = s - found
     return chosen
 
 
 def template_classes(templates: dict[str, str], percent: int = 75, miss: float = 1e-4) -> list[dict]:
-    """Per class: window size, stride, bands, key words and its templates."""
+    """Per class: window size, stride, bands, least shared shingles, templates."""
     sets = {}
     for name, text in templates.items():
         sets[name] = _shingles(template_words(text))
         if not sets[name]:
             raise ValueError(f"template {name} has fewer than {WORDS} words")
-    spread: dict[str, int] = {}
-    for s in sets.values():
-        for w in {w for x in s for w in x.split()}:
-            spread[w] = spread.get(w, 0) + 1
     classes: dict[int, list[str]] = {}
     for name, s in sets.items():
         classes.setdefault(max(0, math.ceil(math.log2(len(s)))), []).append(name)
@@ -108,58 +188,68 @@ def template_classes(templates: dict[str, str], percent: int = 75, miss: float =
         held = math.ceil(fewest * percent / 100)
         likeness = held / (size + fewest - held)
         bands = 1 if likeness >= 1 else math.ceil(math.log(miss) / math.log(1 - likeness))
-        keys = sorted({w for n in names for w in key_words(sets[n], spread, percent)})
-        out.append({"class": c, "size": size, "stride": stride, "bands": bands, "keys": keys, "templates": [{"name": n, "shingles": sets[n]} for n in names]})
+        out.append({"class": c, "size": size, "stride": stride, "bands": bands, "held": held, "templates": [{"name": n, "shingles": sets[n]} for n in names]})
     return out
 
 
-def _band_values(hashes: Column, bands: int) -> Column:
-    """The least value under each of ``bands`` permutations of the shingles."""
+def _hash(words: Column) -> Column:
+    """A shingle's hash from the array of its words."""
+    return F.xxhash64(*[F.get(words, F.lit(k)) for k in range(WORDS)])
 
-    def least(k: int) -> Column:
-        # k from here, not as the lambda's default: a second parameter would get the place
-        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k))))
 
-    return F.array(*[F.xxhash64(F.lit(k), least(k)) for k in range(bands)])
+def _least(hashes: Column, points: Column) -> Column:
+    """MinHash values: under each point, the hash next to it.
+
+    Flipping the bits of a point permutes the hashes, so the least flipped one
+    is the least under a permutation of the point's own.
+    """
+    return F.transform(points, lambda p: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(p))))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-4) -> DataFrame:
     """One row per document and template found: id, license, containment (the
     best window's), first_word (that window's place, in words) and n_windows."""
     spark = docs.sparkSession
-    found = None
     classes = template_classes(templates or TEMPLATES, percent, miss)
-    every_key = sorted({w for c in classes for w in c["keys"]})
+    keys = key_words({t["name"]: t["shingles"] for c in classes for t in c["templates"]}, percent)
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    rows = rows.where(F.col("text").rlike("|".join(every_key)))
+    rows = rows.where(reduce(lambda a, b: a | b, [F.contains("text", F.lit(k)) for k in keys]))
     words = F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0))
     rows = rows.select("id", "row", words.alias("w")).where(F.size("w") >= WORDS)
-    for c in classes:
-        shape = "array<struct<name:string,shingles:array<string>>>"
-        table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(c["templates"])), shape)))
-        hashed = table.select("name", F.transform("shingles", lambda x: F.xxhash64(x)).alias("t"))
-        bands = hashed.select("name", "t", F.posexplode(_band_values(F.col("t"), c["bands"])).alias("band", "value"))
-        # windows that hold a key word: its places, then the windows over each
-        keys = F.array(*[F.lit(k) for k in c["keys"]])
-        places = F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(keys, x), i)), lambda i: i.isNotNull())
-        stride, size = c["stride"], c["size"]
-        last = F.floor(F.greatest(F.size("w") - WORDS, F.lit(0)) / stride)
-        first_of = lambda i: F.greatest(F.floor((i - size - WORDS + 2) / stride), F.lit(0).cast("long"))
-        over = F.flatten(F.transform(places, lambda i: F.sequence(first_of(i), F.greatest(F.least(F.floor(i / stride), last), first_of(i)))))
-        at = rows.select("id", "row", "w", F.explode(F.array_distinct(over)).alias("k"))
-        start = (F.col("k") * stride).cast("int")
-        part = F.slice("w", start + 1, F.lit(size + WORDS - 1))
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("p") - WORDS + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("p", i, F.lit(WORDS)), " "))
-        )
-        windows = at.select("id", "row", start.alias("start"), part.alias("p")).where(F.size("p") >= WORDS)
-        windows = windows.select("id", "row", "start", F.array_distinct(grams).alias("g"))
-        met = windows.select("id", "row", "start", "g", F.posexplode(_band_values(F.col("g"), c["bands"])).alias("band", "value"))
-        met = met.join(F.broadcast(bands), ["band", "value"])  # the fixed templates
-        held = F.size(F.array_intersect("g", "t")) / F.size("t")
-        met = met.select("id", "row", "start", F.col("name").alias("license"), held.alias("containment")).where(F.col("containment") * 100 >= percent)
-        found = met if found is None else found.unionAll(met)
+    rows = rows.select("id", "row", F.transform(F.sequence(F.lit(1), F.size("w") - WORDS + 1), lambda i: _hash(F.slice("w", i, F.lit(WORDS)))).alias("g"))
+
+    # the fixed templates, hashed: a few thousand numbers
+    shape = "array<struct<class:int,name:string,shingles:array<string>>>"
+    listed = [{"class": c["class"], **t} for c in classes for t in c["templates"]]
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(listed)), shape)))
+    hashed = table.select("class", "name", F.transform("shingles", lambda x: _hash(F.split(x, " "))).alias("t")).collect()
+    point = random.Random(5)
+    points = [point.getrandbits(64) - (1 << 63) for _ in range(max(c["bands"] for c in classes))]
+    kinds = [
+        {k: c[k] for k in ("class", "size", "stride", "held")} | {"points": points[: c["bands"]], "any": sorted({h for r in hashed if r["class"] == c["class"] for h in r["t"]})}
+        for c in classes
+    ]
+    each = F.from_json(F.lit(json.dumps(kinds)), "array<struct<class:int,size:int,stride:int,held:int,points:array<long>,any:array<long>>>")
+    every = F.from_json(F.lit(json.dumps(sorted({h for k in kinds for h in k["any"]}))), "array<long>")
+    rows = rows.where(F.arrays_overlap("g", every)).select("id", "row", "g", F.explode(each).alias("c"))
+    rows = rows.withColumn("met", F.array_intersect("g", "c.any")).where(F.size("met") >= F.col("c.held"))
+    # windows over the places of the class's shingles
+    places = F.filter(F.transform("g", lambda h, i: F.when(F.array_contains("met", h), i)), lambda i: i.isNotNull())
+    stride, size = F.col("c.stride"), F.col("c.size")
+    first = lambda i: F.greatest(F.floor((i - size) / stride) + 1, F.lit(0).cast("long"))
+    over = F.flatten(F.transform(places, lambda i: F.sequence(first(i), F.floor(i / stride))))
+    at = rows.select("id", "row", "g", "c", F.explode(F.array_distinct(over)).alias("k"))
+    start = (F.col("k") * stride).cast("int")
+    windows = at.select("id", "row", "c.class", "c.points", start.alias("start"), F.array_distinct(F.slice("g", start + 1, size)).alias("w"))
+    met = windows.select("id", "row", "class", "start", "w", F.posexplode(_least(F.col("w"), F.col("points"))).alias("band", "value"))
+    bands = spark.createDataFrame(hashed, "class int, name string, t array<long>").join(
+        spark.range(1).select(F.inline(each)).select("class", "points"), "class"
+    )
+    bands = bands.select("class", "name", "t", F.posexplode(_least(F.col("t"), F.col("points"))).alias("band", "value"))
+    met = met.join(F.broadcast(bands), ["class", "band", "value"])
+    held = F.size(F.array_intersect("w", "t")) / F.size("t")
+    found = met.select("id", "row", "start", F.col("name").alias("license"), held.alias("containment")).where(F.col("containment") * 100 >= percent)
     best = F.max(F.struct("containment", (-F.col("start")).alias("s")))
     return (
         found.groupBy("id", "license")

@@ -447,7 +447,7 @@ def test_license_scan(spark, nothing):
     for d in range(120):
         body = prose(rng, rng.randrange(5, 200)).split()
         if d % 2:
-            words = ls.TEMPLATES[names[d % len(names)]].split()
+            words = ls.TEMPLATES[names[d // 2 % len(names)]].split()
             if d % 5 == 0 and len(words) > 30:
                 words[rng.randrange(len(words))] = "other"
             body[len(body) // 2 : len(body) // 2] = words
@@ -466,13 +466,25 @@ def test_license_scan(spark, nothing):
                     if held * 100 >= 75 and held > want.get((d, t["name"]), (0, 0))[0]:
                         want[d, t["name"]] = (held, at)
     assert got == want and len(want) >= 60
+    # by every window start: whatever holds enough of a template in as many shingles is found
+    for d, text in texts.items():
+        w = ls.template_words(text)
+        grams = [" ".join(w[k : k + 5]) for k in range(len(w) - 4)]
+        for name, template in ls.TEMPLATES.items():
+            t = {*ls._shingles(ls.template_words(template))}
+            if {*grams} & t and any(100 * len({*grams[k : k + len(t)]} & t) >= 75 * len(t) for k in range(len(grams))):
+                assert (d, name) in got
+    planted = {(d, names[d // 2 % len(names)]) for d in range(1, 120, 2)}
+    assert len({n for _, n in got}) == len(names) and len(planted & {*got}) >= 0.95 * len(planted)
+    twice = spark.createDataFrame([*rows[:20], *rows[:20], (None, " ".join(["filler"] * 40_000) + " " + ls.TEMPLATES["Zlib"], "", "", "", "")], DOCS)
+    again = {(r["doc_id"], r["license"]): r["n_windows"] for r in ls.license_scan(twice).collect()}
+    assert {k for k in again if k[0] is not None} == {k for k in got if k[0] < 20} and (None, "Zlib") in again
     assert ls.license_scan(spark.createDataFrame(rows[-2:], DOCS)).count() == ls.license_scan(nothing).count() == 0
     with pytest.raises(ValueError):
         ls.template_classes({"x": "too short"})
-    for c in ls.template_classes(ls.TEMPLATES):
-        for t in c["templates"]:
-            keyed = sum(any(k in s.split() for k in c["keys"]) for s in t["shingles"])
-            assert keyed * 100 > 25 * len(t["shingles"])
+    sets = {n: ls._shingles(ls.template_words(t)) for n, t in ls.TEMPLATES.items()}
+    keys = ls.key_words(sets, 75)
+    assert all(sum(any(k in s.split() for k in keys) for s in x) * 100 > 25 * len(x) for x in sets.values())
 
 
 def test_warc(spark, tmp_path):
