@@ -216,8 +216,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
     rows = rows.where(reduce(lambda a, b: a | b, [F.contains("text", F.lit(k)) for k in keys]))
     words = F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0))
-    rows = rows.select("id", "row", words.alias("w")).where(F.size("w") >= WORDS)
-    rows = rows.select("id", "row", F.transform(F.sequence(F.lit(1), F.size("w") - WORDS + 1), lambda i: _hash(F.slice("w", i, F.lit(WORDS)))).alias("g"))
+    # explode keeps the arrays from being made anew inside every lambda that reads them
+    rows = rows.select("id", "row", F.explode(F.array(words)).alias("w")).where(F.size("w") >= WORDS)
+    rows = rows.select("id", "row", F.explode(F.array(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - WORDS + 1, F.lit(1))), lambda i: _hash(F.slice("w", i, F.lit(WORDS)))))).alias("g"))
 
     # the fixed templates, hashed: a few thousand numbers
     shape = "array<struct<class:int,name:string,shingles:array<string>>>"
@@ -230,8 +231,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
         {k: c[k] for k in ("class", "size", "stride", "held")} | {"points": points[: c["bands"]], "any": sorted({h for r in hashed if r["class"] == c["class"] for h in r["t"]})}
         for c in classes
     ]
-    each = F.from_json(F.lit(json.dumps(kinds)), "array<struct<class:int,size:int,stride:int,held:int,points:array<long>,any:array<long>>>")
-    every = F.from_json(F.lit(json.dumps(sorted({h for k in kinds for h in k["any"]}))), "array<long>")
+    # as literals, so that no row parses them
+    longs = lambda values: f"array({', '.join(f'{v}L' for v in values)})"
+    written = lambda v: longs(v) if isinstance(v, list) else str(v)
+    each = F.expr(f"array({', '.join('named_struct(' + ', '.join(f"'{n}', {written(v)}" for n, v in k.items()) + ')' for k in kinds)})")
+    every = F.expr(longs(sorted({h for k in kinds for h in k["any"]})))
     rows = rows.where(F.arrays_overlap("g", every)).select("id", "row", "g", F.explode(each).alias("c"))
     rows = rows.withColumn("met", F.array_intersect("g", "c.any")).where(F.size("met") >= F.col("c.held"))
     # windows over the places of the class's shingles
