@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,92 +78,121 @@ def union_parts(listed: Column) -> Column:
     return F.when(F.size(parts) > 0, F.struct(kind.alias("type"), parts.alias("parts")))
 
 
-# ---- kernels on one part: an array of rows (x, y, z, m) ----
-
-
-def _array(part) -> np.ndarray:
-    return np.array([[np.nan if v[c] is None else v[c] for c in "xyzm"] for v in part], float).reshape(-1, 4)
-
-
-def _vertices(rows: np.ndarray) -> list[dict]:
-    return [{c: None if np.isnan(x) else float(x) for c, x in zip("xyzm", row)} for row in rows]
-
-
-def along(rows: np.ndarray) -> np.ndarray:
-    """Each vertex's distance from the start, as drawn."""
-    return np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(rows[:, 0]), np.diff(rows[:, 1])))])
-
-
-def at_place(rows: np.ndarray, scale: np.ndarray, place: float) -> np.ndarray:
-    """The vertex at ``place`` on a rising scale, between its neighbours."""
-    k = int(np.clip(np.searchsorted(scale, place, "left"), 1, len(scale) - 1))
-    width = scale[k] - scale[k - 1]
-    t = (place - scale[k - 1]) / width if width > 0 else 0.0
-    return rows[k - 1] + (rows[k] - rows[k - 1]) * min(max(t, 0.0), 1.0)
-
-
-def cut(rows: np.ndarray, scale: np.ndarray, begin: float, end: float) -> np.ndarray | None:
-    """The stretch between two places; vertices strictly inside are kept."""
-    begin, end = max(begin, scale[0]), min(end, scale[-1])
-    if not end > begin:
-        return None
-    inside = rows[(scale > begin) & (scale < end)]
-    return np.vstack([at_place(rows, scale, begin), inside, at_place(rows, scale, end)])
-
-
-def cut_line(parts, line_b: float, line_e: float, clip_b: float, clip_e: float) -> list[np.ndarray]:
-    """A line's stretch between two measures: by M where it has one, else by
-    the same fraction of every part's drawn length."""
-    lo, hi = max(clip_b, line_b), min(clip_e, line_e)
-    span = line_e - line_b
-    arrays = [a for a in map(_array, parts) if len(a) >= 2]
-    if not span > 0 or not hi > lo or not arrays:
-        return []
-    measured = any(not np.isnan(a[0, 3]) for a in arrays)
-    out = []
-    for a in arrays:
-        if measured:
-            # a part whose M falls, or lacks somewhere, gives nothing
-            piece = cut(a, a[:, 3], lo, hi) if not np.isnan(a[:, 3]).any() and a[-1, 3] > a[0, 3] and (np.diff(a[:, 3]) >= 0).all() else None
-        else:
-            d = along(a)
-            piece = cut(a, d, (lo - line_b) / span * d[-1], (hi - line_b) / span * d[-1]) if d[-1] > 0 else None
-        if piece is not None and along(piece)[-1] > 0:
-            out.append(piece)
-    return out
-
-
-def _geometries(found: list[list[np.ndarray]], kind: Callable[[int], str]) -> pd.DataFrame:
-    rows = [(kind(len(p)), [_vertices(a) for a in p]) if p else (None, None) for p in found]
-    return pd.DataFrame(rows, columns=["type", "parts"])
-
-
-@F.pandas_udf(GEOMETRY)
-def _cut_udf(parts: pd.Series, line_b: pd.Series, line_e: pd.Series, clip_b: pd.Series, clip_e: pd.Series) -> pd.DataFrame:
-    found = [cut_line(p, *m) if p is not None else [] for p, *m in zip(parts, line_b, line_e, clip_b, clip_e)]
-    return _geometries(found, lambda n: "MultiLineString" if n > 1 else "LineString")
-
-
-@F.pandas_udf(GEOMETRY)
-def _point_udf(parts: pd.Series, line_b: pd.Series, line_e: pd.Series, measure: pd.Series) -> pd.DataFrame:
-    found: list[list[np.ndarray]] = []
-    for p, b, e, m in zip(parts, line_b, line_e, measure):
-        point = None
-        for a in [] if p is None or not e > b else map(_array, p):
-            if len(a) < 2:
-                continue
-            if not np.isnan(a[0, 3]):
-                if np.isnan(a[:, 3]).any() or not (np.diff(a[:, 3]) >= 0).all():
-                    continue
-                point = at_place(a, a[:, 3], min(max(m, a[0, 3]), a[-1, 3]))
-            else:
-                d = along(a)
-                if not d[-1] > 0:
-                    continue
-                point = at_place(a, d, min(max((m - b) / (e - b), 0.0), 1.0) * d[-1])
-            break
-        found.append([] if point is None else [point[None, :]])
-    return _geometries(found, lambda n: "Point")
+# ---- kernels over the vertices of a whole batch, end to end ----
+
+
+class Vertices:
+    """A batch of lines, flat: per vertex its numbers and its part, per part its
+    first and last vertex and its row.  Parts of fewer than ``least`` vertices
+    are left out."""
+
+    def __init__(self, parts: pa.Array, least: int = 2):
+        self.rows = len(parts)
+        per_row = np.where(np.asarray(parts.is_valid()), np.nan_to_num(pc.list_value_length(parts).to_numpy(zero_copy_only=False)), 0).astype(np.int64)
+        listed = parts.drop_null().flatten()
+        size = np.nan_to_num(pc.list_value_length(listed).to_numpy(zero_copy_only=False)).astype(np.int64)
+        flat = listed.drop_null().flatten()
+        values = np.stack([flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in range(4)], 1) if len(flat) else np.zeros((0, 4))
+        line = size >= least
+        self.row, self.size = np.repeat(np.arange(self.rows), per_row)[line], size[line]
+        self.values = values[np.repeat(line, size)]
+        self.last = np.cumsum(self.size) - 1
+        self.first = self.last - self.size + 1
+        self.part = np.repeat(np.arange(len(self.size)), self.size)
+
+    def along(self) -> np.ndarray:
+        """Each vertex's distance from its part's start, as drawn."""
+        return self.summed(np.hypot(np.diff(self.values[:, 0]), np.diff(self.values[:, 1])))
+
+    def summed(self, steps: np.ndarray) -> np.ndarray:
+        """Sums of the steps between neighbours from each part's start on."""
+        steps = np.concatenate([[0.0], steps])[: len(self.part)]
+        steps[self.first] = 0.0
+        total = np.cumsum(steps)
+        return total - total[self.first][self.part]
+
+    def measured(self) -> tuple[np.ndarray, np.ndarray]:
+        """Does a part begin with an M; may its Ms serve as a scale?"""
+        m = self.values[:, 3]
+        fall = np.zeros(len(m), bool)
+        fall[1:] = ~(np.diff(m) >= 0)
+        fall[self.first] = False
+        odd = np.bincount(self.part, np.isnan(m) | fall, len(self.size)) > 0
+        return ~np.isnan(m[self.first]), ~odd
+
+    def at(self, scale: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Per part, the vertex at its place on its rising scale."""
+        before = np.bincount(self.part, scale < place[self.part], len(self.size)).astype(np.int64)
+        k = self.first + np.clip(before, 1, self.size - 1)
+        width = scale[k] - scale[k - 1]
+        t = np.where(width > 0, (place - scale[k - 1]) / np.where(width > 0, width, 1.0), 0.0)
+        return self.values[k - 1] + (self.values[k] - self.values[k - 1]) * np.clip(t, 0.0, 1.0)[:, None]
+
+
+def _listed(rows: int, row: np.ndarray, size: np.ndarray, values: np.ndarray, kind: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+    """Geometries of the parts (their row and size, in order); null without."""
+    flat = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k]), from_pandas=True) for k in range(4)], names=list("xyzm"))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)
+    n = np.bincount(row, minlength=rows)
+    parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), lists)
+    none = pa.array(n == 0)
+    return pa.StructArray.from_arrays([pc.if_else(none, None, pa.array(kind(n))), parts], names=["type", "parts"])
+
+
+def _numbers(*columns: pa.Array) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False).astype(float) for c in columns]
+
+
+@F.arrow_udf(GEOMETRY)
+def _cut_udf(parts: pa.Array, line_b: pa.Array, line_e: pa.Array, clip_b: pa.Array, clip_e: pa.Array) -> pa.Array:
+    """A line's stretch between two measures: by M where it has one, else by the
+    same fraction of every part's drawn length."""
+    v = Vertices(parts)
+    lb, le, cb, ce = _numbers(line_b, line_e, clip_b, clip_e)
+    lo, hi = np.fmax(cb, lb)[v.row], np.fmin(ce, le)[v.row]
+    begins_m, sound_m = v.measured()
+    by_m = (np.bincount(v.row, begins_m, v.rows) > 0)[v.row]
+    d = v.along()
+    scale = np.where(by_m[v.part], v.values[:, 3], d)
+    span = (le - lb)[v.row]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = [(x - lb[v.row]) / span * d[v.last] for x in (lo, hi)]
+    begin, end = (np.where(by_m, x, s) for x, s in zip((lo, hi), share))
+    begin, end = np.maximum(begin, scale[v.first]), np.minimum(end, scale[v.last])
+    # a part whose M falls, or lacks somewhere, gives nothing
+    good = (span > 0) & (hi > lo) & (end > begin) & np.where(by_m, sound_m, True) & (scale[v.last] > scale[v.first])
+    inside = (scale > begin[v.part]) & (scale < end[v.part]) & good[v.part]
+    n = np.bincount(v.part, inside, len(v.size)).astype(np.int64)
+    size = np.where(good, n + 2, 0)
+    close = np.cumsum(size)
+    out = np.zeros((int(size.sum()), 4))
+    out[(close - size)[good]] = v.at(scale, begin)[good]
+    out[(close - 1)[good]] = v.at(scale, end)[good]
+    place = np.ones(len(out), bool)
+    place[(close - size)[good]] = place[(close - 1)[good]] = False
+    out[place] = v.values[inside]
+    # a stretch of no drawn length is none
+    part = np.repeat(np.arange(len(size)), size)
+    step = np.concatenate([[0.0], np.hypot(np.diff(out[:, 0]), np.diff(out[:, 1]))])[: len(out)]
+    step[(close - size)[good]] = 0.0
+    long = np.bincount(part, step, len(size)) > 0
+    keep = good & long
+    return _listed(v.rows, v.row[keep], size[keep], out[keep[part]], lambda n: np.where(n > 1, "MultiLineString", "LineString"))
+
+
+@F.arrow_udf(GEOMETRY)
+def _point_udf(parts: pa.Array, line_b: pa.Array, line_e: pa.Array, measure: pa.Array) -> pa.Array:
+    """The point at a measure on the first part that can tell it."""
+    v = Vertices(parts)
+    lb, le, m = (x[v.row] for x in _numbers(line_b, line_e, measure))
+    begins_m, sound_m = v.measured()
+    d = v.along()
+    scale = np.where(begins_m[v.part], v.values[:, 3], d)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        place = np.where(begins_m, np.clip(m, scale[v.first], scale[v.last]), np.clip((m - lb) / (le - lb), 0.0, 1.0) * d[v.last])
+    good = np.flatnonzero((le > lb) & np.where(begins_m, sound_m, d[v.last] > 0))
+    good = good[np.unique(v.row[good], return_index=True)[1]]
+    return _listed(v.rows, v.row[good], np.ones(len(good), np.int64), v.at(scale, place)[good], lambda n: np.full(len(n), "Point"))
 
 
 def _or_null(made: Column) -> Column:
@@ -182,39 +212,46 @@ def point_at_measure(g: Column, line_b: Column, line_e: Column, measure: Column)
     return _or_null(_point_udf(F.when(wanted, g["parts"]), line_b, line_e, measure))
 
 
-def _step_lengths(a: np.ndarray, crs: str | None) -> np.ndarray:
+def _steps(v: np.ndarray, crs: str | None) -> np.ndarray:
     if crs == "EPSG:4326":
-        x, y = np.radians(a[:, 0]), np.radians(a[:, 1])
+        x, y = np.radians(v[:, 0]), np.radians(v[:, 1])
         h = np.sin(np.diff(y) / 2) ** 2 + np.cos(y[:-1]) * np.cos(y[1:]) * np.sin(np.diff(x) / 2) ** 2
         return 2 * SPHERE_MILES * np.arcsin(np.minimum(1.0, np.sqrt(h)))
-    return np.hypot(np.diff(a[:, 0]), np.diff(a[:, 1])) / UNITS_PER_MILE.get(crs or "", 1.0)
-
-
-def measured_parts(parts, begin: float, end: float, crs: str | None) -> list[list[dict]]:
-    """Parts with M from ``begin`` to ``end`` by distance along all of them."""
-    arrays = [_array(p) for p in parts]
-    steps = [_step_lengths(a, crs) for a in arrays]
-    whole = sum(s.sum() for s in steps)
-    out, at = [], begin
-    for a, s in zip(arrays, steps):
-        share = s.sum() / whole * (end - begin) if whole > 0 else (end - begin if len(arrays) == 1 else 0.0)
-        if len(a) >= 2:
-            gone = np.concatenate([[0.0], np.cumsum(s)])
-            place = gone / gone[-1] if gone[-1] > 0 else np.concatenate([[0.0], np.ones(len(a) - 1)])
-            a = a.copy()
-            a[:, 2] = np.where(np.isnan(a[:, 2]), 0.0, a[:, 2])
-            a[:, 3] = at + place * share
-        out.append(_vertices(a))
-        at += share
-    return out
+    return np.hypot(np.diff(v[:, 0]), np.diff(v[:, 1])) / UNITS_PER_MILE.get(crs or "", 1.0)
+
+
+def measured_parts(parts: pa.Array, begin: pa.Array, end: pa.Array, crs: str | None) -> pa.Array:
+    """The parts with M from ``begin`` to ``end`` by distance along all of them; a
+    part of one vertex gets none."""
+    v = Vertices(parts, 1)
+    b, e = _numbers(begin, end)
+    gone = v.summed(_steps(v.values, crs)) if len(v.part) else np.zeros(0)
+    length = gone[v.last]
+    whole = np.bincount(v.row, length, v.rows)[v.row]
+    alone = np.bincount(v.row, minlength=v.rows)[v.row] == 1
+    span = (e - b)[v.row]
+    share = np.where(whole > 0, length / np.where(whole > 0, whole, 1.0) * span, np.where(alone, span, 0.0))
+    before = np.concatenate([[0.0], np.cumsum(share)])[: len(share)]
+    first = np.unique(v.row, return_index=True)[1]
+    base = np.zeros(v.rows)
+    base[v.row[first]] = before[first]
+    at = b[v.row] + before - base[v.row]
+    ends = np.ones(len(v.part))
+    ends[v.first] = 0.0
+    place = np.where(length[v.part] > 0, gone / np.where(length > 0, length, 1.0)[v.part], ends)
+    out = v.values.copy()
+    line = (v.size >= 2)[v.part]
+    out[line, 2] = np.nan_to_num(out[line, 2])
+    out[line, 3] = (at[v.part] + place * share[v.part])[line]
+    return _listed(v.rows, v.row, v.size, out, lambda n: np.full(len(n), "LineString")).field("parts")
 
 
 def with_measures(g: Column, begin: Column, end: Column, crs: str | None) -> Column:
     """A line with M values; lines that have them, and other geometries, stay."""
 
-    @F.pandas_udf(GEOMETRY["parts"].dataType)
-    def measured(parts: pd.Series, begin: pd.Series, end: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else measured_parts(p, b, e, crs) for p, b, e in zip(parts, begin, end)], dtype=object)
+    @F.arrow_udf(GEOMETRY["parts"].dataType)
+    def measured(parts: pa.Array, begin: pa.Array, end: pa.Array) -> pa.Array:
+        return measured_parts(parts, begin, end, crs)
 
     wanted = is_line(g) & ~has_m(g)
     made = measured(F.when(wanted, g["parts"]), begin, end)

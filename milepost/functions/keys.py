@@ -20,9 +20,14 @@ def finite(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """A finite double from a number or text; commas and blanks are dropped."""
-    text = F.regexp_replace(F.trim(c.cast("string")), ",", "")
-    return finite(F.when(~is_missing(c), text.try_cast("double")))
+    """A finite double from a number or text; commas and blanks are dropped.
+
+    The column's type is known when the query is planned, so only one branch is
+    left of this: numbers never pass through text.
+    """
+    text = F.replace(F.trim(c.cast("string")), F.lit(","), F.lit(""))
+    number = F.typeof(c).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
+    return F.when(number, finite(c.try_cast("double"))).otherwise(finite(F.when(~is_missing(c), text.try_cast("double"))))
 
 
 @dataclass(frozen=True)
@@ -43,16 +48,14 @@ def pad_route_id(c: Column, rule: PadRule = PadRule()) -> Column:
     """The route id as it is compared: trimmed, a decimal number cut to its
     whole part, padded by ``rule``; missing ids are null."""
     text = F.trim(c.cast("string"))
+    pads = rule.mode != "off" and rule.width > 0
+    padded = lambda t: F.when(F.length(t) < rule.width, F.lpad(t, rule.width, "0")).otherwise(t) if pads else t
     number = text.try_cast("double")
     towards_zero = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("double")
     whole = F.when(text.contains(".") & finite(number).isNotNull(), F.format_string("%.0f", towards_zero)).otherwise(text)
-    if rule.mode == "off" or not rule.width:
-        padded = whole
-    else:
-        short = F.length(whole) < rule.width
-        wanted = short & whole.rlike("^[0-9]+$") if rule.mode == "numeric" else short
-        padded = F.when(wanted, F.lpad(whole, rule.width, "0")).otherwise(whole)
-    return F.when(~is_missing(c), padded)
+    other = F.when(whole.rlike("^[0-9]+$"), padded(whole)).otherwise(whole) if rule.mode == "numeric" else padded(whole)
+    # most ids are plain digits: they are tested once
+    return F.when(text.rlike("^[0-9]+$"), padded(text)).when(~is_missing(c), other)
 
 
 def parse_date(c: Column) -> Column:

@@ -254,7 +254,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY bmp, emp, pk, ln, s
 g AS (SELECT key, lag(emp) OVER (PARTITION BY key ORDER BY bmp NULLS LAST, emp NULLS LAST, pk, ln, seq_sk) AS p, bmp FROM d WHERE key IS NOT NULL),
 f AS (
   SELECT 'inverted_bounds' AS ISSUE, road AS ROADWAY, bmp AS BMP, emp AS EMP, CAST(NULL AS VARCHAR) AS NOTE FROM d WHERE bmp > emp
-  UNION ALL SELECT 'zero_length', road, bmp, emp, 'Reported, not deleted. Point events stay in the session table.' FROM d WHERE bmp = emp
+  UNION ALL SELECT 'zero_length', road, bmp, emp, 'The row covers no length of its route.' FROM d WHERE bmp = emp
   UNION ALL SELECT 'null_key', road, bmp, emp, NULL FROM d WHERE road IS NULL OR bmp IS NULL OR emp IS NULL
   UNION ALL SELECT 'overlap', l.key, l.bmp, l.emp, regexp_replace(CAST(r.bmp AS VARCHAR), '\\.0$', '') || '–' || regexp_replace(CAST(r.emp AS VARCHAR), '\\.0$', '')
     FROM n l JOIN n r ON l.key = r.key AND l.k < r.k AND l.bmp < r.emp AND l.emp > r.bmp
