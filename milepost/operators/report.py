@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import is_line
+from ..functions.geometry import has_m, is_empty, is_line, is_point
+from ..functions.keys import is_missing
 from ..plans.schema import LrsSchema, col
 from .overlay import route_coverage
 from .routes import locate_events_on_routes
@@ -83,6 +84,27 @@ def report_lines(counts: DataFrame) -> list[tuple[str, str]]:
     return [(LINES[k][0], LINES[k][1].format(n)) for k, n in row.items() if k in LINES and (n or LINES[k][0] in ("info", "ok"))]
 
 
+def geometry_bounds(df: DataFrame) -> DataFrame:
+    """One row: the least and greatest x and y of all vertices."""
+    vertex = df.select(F.explode(F.flatten(col("geometry")["parts"])).alias("v"))
+    return vertex.agg(F.min("v.x").alias("min_x"), F.min("v.y").alias("min_y"), F.max("v.x").alias("max_x"), F.max("v.y").alias("max_y"))
+
+
+def geometry_counts(df: DataFrame) -> DataFrame:
+    """One row: rows, rows with a line, with a point, with M, with nothing."""
+    g = col("geometry")
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(is_line(g)).alias("lines"), F.count_if(is_point(g)).alias("points"),
+        F.count_if(has_m(g)).alias("with_m"), F.count_if(is_empty(g)).alias("empty"),
+    )
+
+
+def unique_values(df: DataFrame, column: str, n: int = 8) -> DataFrame:
+    """The first ``n`` distinct values in order, as text; missing ones left out."""
+    value = col(column)
+    return df.where(~is_missing(value)).select(value.cast("string").alias("value")).distinct().orderBy("value").limit(n)
+
+
 def sample_values(df: DataFrame, column: str, n: int = 8) -> Column:
     """First ``n`` distinct values as text, with how many more there are."""
     listed = F.array_sort(F.collect_set(col(column).cast("string")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +59,9 @@ def calibrate_routes(routes: DataFrame, crs: str = "EPSG:4326", seq_cols: list[s
     Missing ids become R000001 ... in row order (``seq_cols``, else read
     order); bounds that are missing or have no length become 0 and the line's
     length; lines without M get it along their length.  Absent columns are
-    added as LRS_UID, LRS_BMP and LRS_EMP.  Only rows without an id are
-    numbered, in one task: they are meant to be few.
+    added as LRS_UID, LRS_BMP and LRS_EMP.  In read order the rows without an id
+    are numbered partition by partition, after one count; an order by
+    ``seq_cols`` takes one task.
     """
     found = resolve_roles(routes.columns, wanted)
     road, bmp, emp = found["roadway"] or "LRS_UID", found["bmp"] or "LRS_BMP", found["emp"] or "LRS_EMP"
@@ -66,9 +69,18 @@ def calibrate_routes(routes: DataFrame, crs: str = "EPSG:4326", seq_cols: list[s
     for name, kind in ((road, "string"), (bmp, "double"), (emp, "double")):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    seq = F.struct(*[col(c) for c in seq_cols]) if seq_cols else F.monotonically_increasing_id()
     lacks = is_missing(col(road))
-    numbered = rows.where(lacks).withColumn("__n", F.row_number().over(Window.orderBy(seq)))
+    if seq_cols:
+        numbered = rows.where(lacks).withColumn("__n", F.row_number().over(Window.orderBy(F.struct(*[col(c) for c in seq_cols]))))
+    else:
+        # in read order: a number within the partition, and how many come before it
+        placed = rows.where(lacks).withColumn("__at", F.monotonically_increasing_id()).withColumn("__p", F.spark_partition_id())
+        before, total = {}, 0
+        for r in sorted(placed.groupBy("__p").count().collect()):
+            before[r[0]], total = total, total + r[1]
+        offset = F.coalesce(F.get(F.from_json(F.lit(json.dumps([before.get(k, 0) for k in range(max(before, default=-1) + 1)])), "array<long>"), F.col("__p")), F.lit(0))
+        inside = F.row_number().over(Window.partitionBy("__p").orderBy("__at"))
+        numbered = placed.withColumn("__n", inside + offset).drop("__at", "__p")
     name = F.concat(F.lit("R"), F.when(F.length(F.col("__n").cast("string")) >= 6, F.col("__n").cast("string")).otherwise(F.lpad(F.col("__n").cast("string"), 6, "0")))
     rows = rows.where(~lacks).withColumn(road, col(road).cast("string")).unionByName(numbered.withColumn(road, name).drop("__n"))
     b, e = to_number(col(bmp)), to_number(col(emp))

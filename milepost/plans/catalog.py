@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.crs import project, parse_projection
+from ..functions.crs import parse_projection, project, to_wgs84
 from ..functions.geometry import line_length
 from ..functions.keys import PadRule, pad_route_id
 from ..operators import packed as packing
@@ -197,6 +197,52 @@ def _projected(kind: str) -> Query:
     return run
 
 
+CONE = (
+    'PROJCS["cone",GEOGCS["g",DATUM["d",SPHEROID["GRS_1980",6378137.0,298.257222101]]],PROJECTION["Lambert_Conformal_Conic"],PARAMETER["False_Easting",600000.0],'
+    'PARAMETER["False_Northing",0.0],PARAMETER["Central_Meridian",-79.0],PARAMETER["Standard_Parallel_1",34.0],PARAMETER["Standard_Parallel_2",36.0],'
+    'PARAMETER["Latitude_Of_Origin",33.0],UNIT["Meter",1.0]]'
+)
+
+
+def bent_routes(s: SparkSession, d: str) -> DataFrame:
+    """Routes of two legs with M: the first half of x has a quarter of the measure."""
+    from ..functions.geometry import line_of, vertex
+
+    e, zero = F.col("emp"), F.lit(0.0)
+    line = line_of(F.array(vertex(zero, zero, zero, zero), vertex(e, zero, zero, e / 4), vertex(e * 2, zero, zero, e)))
+    return fx.targets(s, d).withColumn("geometry", line)
+
+
+def clip_measured(s: SparkSession, d: str) -> DataFrame:
+    out = locate_events_on_routes(fx.overlays(s, d), bent_routes(s, d), LINE, LINE)
+    line = F.col("geometry.parts")[0]
+    ends = [F.round(F.get(line, F.lit(0))["x"], 9).alias("x_from"), F.round(F.element_at(line, -1)["x"], 9).alias("x_to")]
+    return out.select("road", "pk", "sk", "ln", "qty", *ends, F.size(line).alias("n_vertices"))
+
+
+def line_miles(s: SparkSession, d: str) -> DataFrame:
+    """Great-circle length of lines between degrees."""
+    return fx.routes(s, d).select("tid", F.round(line_length(F.col("geometry"), "EPSG:4326"), 6).alias("miles"))
+
+
+def project_geometry(s: SparkSession, d: str) -> DataFrame:
+    out = fx.routes(s, d).withColumn("geometry", to_wgs84(F.col("geometry"), parse_projection(crs="EPSG:3857")))
+    last = F.element_at(F.col("geometry.parts")[0], -1)
+    return out.select("tid", F.col("geometry.type").alias("type"), F.round(last["x"], 12).alias("lon"), F.round(last["y"], 12).alias("lat"))
+
+
+def bounds(s: SparkSession, d: str) -> DataFrame:
+    return report.geometry_bounds(fx.routes(s, d))
+
+
+def geometry_counts(s: SparkSession, d: str) -> DataFrame:
+    return report.geometry_counts(bent_routes(s, d))
+
+
+def unique_values(s: SparkSession, d: str) -> DataFrame:
+    return report.unique_values(fx.points(s, d), "event_type")
+
+
 def report_overlay(s: SparkSession, d: str) -> DataFrame:
     return report.overlay_counts(fx.targets(s, d), fx.overlays(s, d), overlay_left(s, d), LINE, LINE)
 
@@ -214,12 +260,12 @@ def queries() -> dict[str, Query]:
         overlay_left, overlay_inner, overlay_cursor, overlay_collapse_longest, overlay_match_side, overlay_rename, overlay_date_overlap,
         dissolve_default, dissolve_groups, dissolve_gap_ok, dissolve_agg, dissolve_along_route, locate_unmatched, locate_both_sides, locate_unmatched_pairs,
         gaps, gaps_by_side, overlaps, overlaps_binned, neighbors, validate_flat, validate_summary, pad_ids, extract_packed, combine_packed,
-        clip_straight, calibrate_straight, report_overlay, report_locate, report_clip,
+        clip_straight, clip_measured, line_miles, project_geometry, geometry_counts, unique_values, calibrate_straight, report_overlay, report_locate, report_clip,
     ]
     named = {
         "route_coverage": coverage, "collapse_longest": collapse, "locate_points": locate_located, "inspect_keys": inspect, "as_of": in_effect,
         "point_at_measure": point_at, "utm_inverse": _projected("EPSG:26917"), "mercator_inverse": _projected("EPSG:3857"),
-        "state_plane_inverse": _projected("EPSG:2236"),
+        "state_plane_inverse": _projected("EPSG:2236"), "lcc_inverse": _projected(CONE), "geometry_bounds": bounds,
     }
     return {f.__name__: f for f in own} | named
 
@@ -283,6 +329,25 @@ FROM w
 """
 
 
+LCC = """-- with
+c AS (SELECT 6378137.0::DOUBLE AS a, sqrt(0.006694380022900788::DOUBLE) AS e, radians(33.0) AS p0, radians(34.0) AS p1, radians(36.0) AS p2),
+m AS (SELECT *, cos(p1) / sqrt(1 - e*e*sin(p1)*sin(p1)) AS m1, cos(p2) / sqrt(1 - e*e*sin(p2)*sin(p2)) AS m2,
+  tan(pi()/4 - p0/2) / pow((1 - e*sin(p0)) / (1 + e*sin(p0)), e/2) AS t0, tan(pi()/4 - p1/2) / pow((1 - e*sin(p1)) / (1 + e*sin(p1)), e/2) AS t1,
+  tan(pi()/4 - p2/2) / pow((1 - e*sin(p2)) / (1 + e*sin(p2)), e/2) AS t2 FROM c),
+n AS (SELECT *, ln(m1 / m2) / ln(t1 / t2) AS n FROM m), f AS (SELECT *, m1 / (n * pow(t1, n)) AS f FROM n),
+q AS (SELECT event_id, 500000 + measure * 1000 - 600000 AS dx, a*f*pow(t0, n) - (3000000 + event_id % 1000 * 100)::DOUBLE AS dy, a, e, n, f FROM fx_points, f),
+h AS (SELECT *, CASE WHEN n > 0 THEN 1 ELSE -1 END AS s FROM q),
+t AS (SELECT *, pow(s * sqrt(dx*dx + dy*dy) / (a*f), 1/n) AS t FROM h),
+i0 AS (SELECT *, pi()/2 - 2*atan(t) AS p FROM t),
+i1 AS (SELECT * REPLACE (pi()/2 - 2*atan(t * pow((1 - e*sin(p)) / (1 + e*sin(p)), e/2)) AS p) FROM i0),
+i2 AS (SELECT * REPLACE (pi()/2 - 2*atan(t * pow((1 - e*sin(p)) / (1 + e*sin(p)), e/2)) AS p) FROM i1),
+i3 AS (SELECT * REPLACE (pi()/2 - 2*atan(t * pow((1 - e*sin(p)) / (1 + e*sin(p)), e/2)) AS p) FROM i2),
+i4 AS (SELECT * REPLACE (pi()/2 - 2*atan(t * pow((1 - e*sin(p)) / (1 + e*sin(p)), e/2)) AS p) FROM i3),
+i5 AS (SELECT * REPLACE (pi()/2 - 2*atan(t * pow((1 - e*sin(p)) / (1 + e*sin(p)), e/2)) AS p) FROM i4)
+SELECT event_id, round(degrees(atan2(dx * s, dy * s) / n) - 79, 7) AS lon, round(degrees(p), 7) AS lat FROM i5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     v = fx.with_views
     plain = P.format(extra="")
@@ -382,6 +447,23 @@ def oracle_sql() -> dict[str, str]:
         "calibrate_straight": v("SELECT tid, road, bmp, round(2 * emp / CAST(1609.344 AS DOUBLE), 9) AS LRS_EMP, round(2 * emp / CAST(1609.344 AS DOUBLE), 9) AS last_m FROM fx_target"),
         "utm_inverse": v(_inverse_utm_sql("-81.0", "0.9996::DOUBLE", "500000.0", "0.0", "1.0::DOUBLE")),
         "state_plane_inverse": v(_inverse_utm_sql("-81.0", "0.9999411764705882::DOUBLE", "656166.6666666665::DOUBLE * 0.3048006096012192::DOUBLE", "24.33333333333333::DOUBLE", "0.3048006096012192::DOUBLE")),
+        "lcc_inverse": v(LCC),
+        "clip_measured": v(
+            """-- with
+            c AS (SELECT o.road, o.pk, o.sk, o.ln, o.qty, greatest(o.bmp, t.bmp) AS b, least(o.emp, t.emp) AS e, t.emp AS w FROM fx_overlay o JOIN fx_target t ON o.road = t.road),
+            x AS (SELECT *, CASE WHEN b <= w / 4 THEN 4 * b ELSE w + (b - w / 4) * w / (0.75::DOUBLE * w) END AS xb, CASE WHEN e <= w / 4 THEN 4 * e ELSE w + (e - w / 4) * w / (0.75::DOUBLE * w) END AS xe FROM c)
+            SELECT road, pk, sk, ln, qty, CASE WHEN e > b THEN round(xb, 9) END AS x_from, CASE WHEN e > b THEN round(xe, 9) END AS x_to,
+              CASE WHEN e > b THEN CAST(2 + CAST(b < w / 4 AND w / 4 < e AS INTEGER) AS INTEGER) END AS n_vertices FROM x"""
+        ),
+        "line_miles": v("SELECT tid, round(2 * 3958.7613::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(2 * emp) / 2), 2)))), 6) AS miles FROM fx_target"),
+        "project_geometry": v(
+            "SELECT tid, 'LineString' AS type, round(degrees(2 * emp / 6378137), 12) AS lon, round(degrees(2 * atan(exp(0.0::DOUBLE)) - pi() / 2), 12) AS lat FROM fx_target"
+        ),
+        "geometry_bounds": v("SELECT 0.0::DOUBLE AS min_x, 0.0::DOUBLE AS min_y, max(2 * emp) AS max_x, 0.0::DOUBLE AS max_y FROM fx_target"),
+        "geometry_counts": v(
+            "SELECT count(*) AS rows, count(*) AS lines, CAST(0 AS BIGINT) AS points, count(*) AS with_m, CAST(0 AS BIGINT) AS empty FROM fx_target"
+        ),
+        "unique_values": v("SELECT DISTINCT event_type AS value FROM fx_points WHERE event_type IS NOT NULL ORDER BY value LIMIT 8"),
         "mercator_inverse": v(
             """SELECT event_id, round(degrees((500000 + measure * 1000) / 6378137), 7) AS lon,
             round(degrees(2 * atan(exp((3000000 + event_id % 1000 * 100)::DOUBLE / 6378137)) - pi() / 2), 7) AS lat FROM fx_points"""

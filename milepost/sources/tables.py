@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geometry import GEOMETRY
+from ..functions.geometry import GEOMETRY, is_line
 from ..functions.keys import to_number
 from ..plans.schema import ALIASES, col
 from . import formats
@@ -96,12 +96,28 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
 
 
 def _read_files(spark: SparkSession, path: str, header: Callable[[bytes], T.StructType], rows: Callable[[bytes, T.StructType], Iterator[dict]]) -> DataFrame:
-    """Each file's bytes in one task; the first file's columns hold for all."""
+    """Each file's bytes in one task.  The table has the columns of all files, in
+    the order in which they first come; a column of several types is text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
-    first = files.orderBy("path").select("content").first()
-    if first is None:
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [header(content.as_buffer().to_pybytes()).json() for content in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "fields"])
+
+    # one row per different header
+    seen = files.mapInArrow(headers, "path string, fields string").groupBy("fields").agg(F.min("path").alias("path")).orderBy("path").collect()
+    if not seen:
         raise FileNotFoundError(path)
-    schema = header(bytes(first[0]))
+    kinds: dict[str, T.DataType] = {}
+    for r in seen:
+        for field in T.StructType.fromJson(json.loads(r.fields)):
+            known = kinds.setdefault(field.name, field.dataType)
+            kinds[field.name] = known if known == field.dataType else T.StringType()
+    # the geometry comes last
+    names = sorted(kinds, key=lambda n: n == "geometry")
+    schema = T.StructType([T.StructField(n, kinds[n]) for n in names])
+    texts = {n for n in names if kinds[n] == T.StringType()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +132,8 @@ def _read_files(spark: SparkSession, path: str, header: Callable[[bytes], T.Stru
                     yield made(held)
 
     def made(held: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in held], _arrow_type(f.dataType)) for f in schema], names=schema.names)
+        value = lambda r, n: str(r[n]) if n in texts and r.get(n) is not None else r.get(n)
+        return pa.RecordBatch.from_arrays([pa.array([value(r, f.name) for r in held], _arrow_type(f.dataType)) for f in schema], names=schema.names)
 
     return files.select("content").mapInArrow(run, schema)
 
@@ -190,18 +207,32 @@ def to_geojson(df: DataFrame, path: str, crs: str | None = None, single_file: bo
 
 
 def to_shapefile(df: DataFrame, path: str, prj: str) -> None:
-    """A zipped polyline shapefile, written locally by the driver: the format
-    is one file, so at most ``formats.MOST_ROWS`` rows are taken."""
+    """A zipped polyline shapefile of the rows with a line, written locally by the
+    driver: the format is one file, so more than ``formats.MOST_ROWS`` such
+    rows raise ValueError; none is left out."""
     if "geometry" not in df.columns:
         raise ValueError("a shapefile needs a geometry column")
-    rows = df.limit(formats.MOST_ROWS + 1).toLocalIterator()
-    formats.write_shapefile(path, df.schema, (r.asDict(recursive=True) for r in rows), prj)
-
-
-def write_events(df: DataFrame, path: str, crs: str = "EPSG:4326") -> None:
-    """By suffix; spatial formats need a geometry column."""
-    from ..functions.crs import PRJ
-
+    lines = df.where(is_line(F.col("geometry")))
+    if lines.limit(formats.MOST_ROWS + 1).count() > formats.MOST_ROWS:
+        raise ValueError(f"more than {formats.MOST_ROWS} rows with a line: write several parts, GeoJSON or Parquet")
+    formats.write_shapefile(path, df.schema, (r.asDict(recursive=True) for r in lines.toLocalIterator()), prj)
+
+
+def write_events(df: DataFrame, path: str, crs: str = "EPSG:4326", output_crs: str = "wgs84") -> None:
+    """By suffix; spatial formats need a geometry column.
+
+    ``crs`` names what the geometry is in (a code or .prj text).  GeoJSON is
+    always written in WGS 84, a shapefile in WGS 84 or, with
+    ``output_crs="source"``, as it is; what can't be projected stays as it is.
+    """
+    from ..functions.crs import PRJ, parse_projection, to_wgs84
+
+    if output_crs not in ("wgs84", "source"):
+        raise ValueError("output_crs: wgs84 or source")
+    spatial = suffix(path) in ("json", "geojson", "zip", "shp") and "geometry" in df.columns
+    p = parse_projection(crs=crs)
+    if spatial and p.kind not in ("geographic", "unknown") and (output_crs == "wgs84" or suffix(path) in ("json", "geojson")):
+        df, crs = df.withColumn("geometry", to_wgs84(F.col("geometry"), p)), "EPSG:4326"
     kind = suffix(path)
     if kind == "csv":
         to_csv(df, path)
@@ -210,7 +241,7 @@ def write_events(df: DataFrame, path: str, crs: str = "EPSG:4326") -> None:
             raise ValueError("GeoJSON needs a geometry column")
         to_geojson(df, path, crs)
     elif kind in ("zip", "shp"):
-        to_shapefile(df, path, PRJ.get(crs, PRJ["EPSG:4326"]))
+        to_shapefile(df, path, PRJ.get(crs, crs if "[" in crs else PRJ["EPSG:4326"]))
     elif kind == "parquet":
         df.write.parquet(path)
     else:

@@ -5,9 +5,10 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from milepost.functions.crs import PRJ, parse_projection, project, to_wgs84
-from milepost.functions.geometry import line_of, vertex
+from milepost.functions.geometry import GEOMETRY, line_of, vertex
 from milepost.jobs import parser, run_job
 from milepost.sources.formats import short_names
 from milepost.sources.tables import read_events, to_shapefile, write_events
@@ -106,3 +107,48 @@ def test_stream_of_points(spark, tmp_path):
     finally:
         q.stop()
     assert os.path.isdir(f"{tmp_path}/cp")
+
+
+def test_nothing_is_lost_between_files(spark, tmp_path, monkeypatch):
+    from milepost.sources import formats
+    from milepost.sources.tables import read_shapefile, to_shapefile, write_events
+
+    line = {"type": "LineString", "parts": [[{"x": 0.0, "y": 0.0, "z": None, "m": None}, {"x": 1.0, "y": 1.0, "z": None, "m": None}]]}
+    shape = lambda names: T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("geometry", GEOMETRY)])
+    for k, names in enumerate((["A"], ["A", "B"])):
+        formats.write_shapefile(f"{tmp_path}/in/f{k}.zip", shape(names), [{n: f"{n}{k}" for n in names} | {"geometry": line}], PRJ["EPSG:4326"])
+    got = sorted((r["A"], r["B"]) for r in read_shapefile(spark, f"file://{tmp_path}/in").collect())
+    assert got == [("A0", None), ("A1", "B1")]
+    # a record beyond the last shape
+    members = {".dbf": "f1.dbf", ".shp": "f1.shp"}
+    with zipfile.ZipFile(f"{tmp_path}/in/f1.zip") as z:
+        held = {end: z.read(n) for end, n in members.items()}
+    short = held[".shp"][:100]
+    monkeypatch.setattr(formats, "_one", lambda data, ending, needed=True: {".dbf": held[".dbf"], ".shp": short}[ending])
+    assert [r["geometry"] for r in formats.shapefile_rows(b"", None)] == [None]
+    monkeypatch.undo()
+    # rows without a line do not count against the limit, rows beyond it are not dropped
+    rows = spark.createDataFrame([("a", None)] * 5 + [("b", line)] * 3, shape(["A"]))
+    monkeypatch.setattr(formats, "MOST_ROWS", 3)
+    to_shapefile(rows, f"{tmp_path}/out.zip", PRJ["EPSG:4326"])
+    assert read_shapefile(spark, f"file://{tmp_path}/out.zip").count() == 3
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        to_shapefile(rows.unionAll(rows), f"{tmp_path}/out2.zip", PRJ["EPSG:4326"])
+    monkeypatch.undo()
+    # written in WGS 84
+    metres = spark.createDataFrame([("a", {"type": "LineString", "parts": [[{"x": 500000.0, "y": 0.0, "z": None, "m": None}, {"x": 500000.0, "y": 10.0, "z": None, "m": None}]]})], shape(["A"]))
+    write_events(metres, f"{tmp_path}/utm.zip", "EPSG:26917")
+    first = read_shapefile(spark, f"file://{tmp_path}/utm.zip").first()["geometry"]["parts"][0][0]
+    assert abs(first["x"] + 81) < 1e-9 and abs(first["y"]) < 1e-9
+    write_events(metres, f"{tmp_path}/utm2.zip", "EPSG:26917", output_crs="source")
+    assert read_shapefile(spark, f"file://{tmp_path}/utm2.zip").first()["geometry"]["parts"][0][0]["x"] == 500000.0
+
+
+def test_ids_in_read_order_are_numbered_without_gaps(spark):
+    from milepost.operators.routes import calibrate_routes
+
+    rows = spark.range(0, 40, 1, 5).select(F.col("id").alias("n"), line_of(F.array(vertex(F.lit(0), F.lit(0)), vertex(F.col("id"), F.lit(1)))).alias("geometry"))
+    rows = rows.withColumn("ROADWAY", F.when(F.col("n") % 3 == 0, F.concat(F.lit("X"), F.col("n"))))
+    got = {r["n"]: r["ROADWAY"] for r in calibrate_routes(rows, "EPSG:3857").collect()}
+    free = [n for n in range(40) if n % 3]
+    assert [got[n] for n in free] == [f"R{k + 1:06d}" for k in range(len(free))] and got[3] == "X3"
