@@ -7,7 +7,7 @@ laid over the pieces by their rank among pieces of the same length, so every
 task places its own rows.
 
 Planning is exact-complement hashing: the lengths still available are indexed
-by single, pair and triple sums; from the longest length down, combinations
+by the sums of one, two and three of them; from the longest length down, combinations
 that fill the remaining gap exactly are consumed as often as the counts allow;
 what finds no exact filler takes the best fit (the longest length that still
 fits) and tries the exact index again on the smaller gap.
@@ -110,68 +110,76 @@ def token_pieces(
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-class _Lengths:
-    """Available counts by length, and exact fillers of one, two or three."""
+class SumIndex:
+    """Available counts by length, indexed by the sums of one, two and three.
+
+    ``pairs`` holds, for a sum, the longer members of its pairs, and ``triples``
+    the lengths that may begin a triple, both with the longest last.  Counts only
+    fall, so an entry that can't be filled is removed for good when it is met.
+    """
 
     def __init__(self, counts: dict[int, int], window: int):
-        self.left = np.zeros(window + 1, np.int64)
+        self.left = [0] * (window + 1)
         for n, c in counts.items():
             self.left[n] += c
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
 
     def fits(self, parts: tuple[int, ...]) -> bool:
-        return all(self.left[p] >= parts.count(p) for p in set(parts))
+        return all(self.left[p] >= parts.count(p) for p in parts)
+
+    def take(self, parts: tuple[int, ...], times: int = 1) -> None:
+        for p in parts:
+            self.left[p] -= times
 
-    def pair(self, gap: int, top: int) -> tuple[int, ...] | None:
-        """The pair of sum ``gap`` with the longest member (at most ``top``)."""
-        a = np.arange(min(gap - 1, top), (gap - 1) // 2, -1)
-        b = gap - a
-        good = (self.left[a] > 0) & (self.left[b] > (a == b))
-        hit = int(np.argmax(good)) if len(a) else 0
-        return (int(a[hit]), int(b[hit])) if len(a) and good[hit] else None
+    def pairs_of(self, total: int) -> list[int]:
+        if total not in self.pairs:
+            self.pairs[total] = [a for a in range((total + 1) // 2, total) if self.left[a] and self.left[total - a]]
+        found = self.pairs[total]
+        while found and not self.fits((found[-1], total - found[-1])):
+            found.pop()
+        return found
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
-        """Parts that sum to ``gap`` and are available, the longest first."""
+        """Available parts that sum to ``gap``: one, else two, else three, the
+        longest first."""
         if self.left[gap]:
             return (gap,)
-        if found := self.pair(gap, gap):
-            return found
-        firsts = np.flatnonzero(self.left[1 : max(gap - 1, 1)]) + 1
-        for a in firsts[::-1]:
-            if 3 * a < gap:
-                break
-            self.left[a] -= 1
-            rest = self.pair(gap - int(a), int(a))
-            self.left[a] += 1
-            if rest:
-                return (int(a), *rest)
+        if pairs := self.pairs_of(gap):
+            return (pairs[-1], gap - pairs[-1])
+        if gap not in self.triples:
+            self.triples[gap] = [a for a in range(-(-gap // 3), gap - 1) if self.left[a]]
+        firsts = self.triples[gap]
+        while firsts:
+            rest = gap - firsts[-1]
+            for b in reversed(self.pairs_of(rest)):
+                if self.fits((firsts[-1], b, rest - b)):
+                    return (firsts[-1], b, rest - b)
+            firsts.pop()
         return None
 
     def best_fit(self, gap: int) -> int:
         """The longest available length of at most ``gap``; 0 if none."""
-        hits = np.flatnonzero(self.left[1 : gap + 1])
-        return int(hits[-1]) + 1 if len(hits) else 0
+        return next((n for n in range(gap, 0, -1) if self.left[n]), 0)
 
 
 def plan_patterns(counts: dict[int, int], window: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in order, number of sequences) that use every piece once."""
-    stock, plan = _Lengths(counts, window), []
+    stock, plan = SumIndex(counts, window), []
     for longest in range(window, 0, -1):
         while stock.left[longest]:
-            stock.left[longest] -= 1
+            stock.take((longest,))
             parts, gap = [longest], window - longest
             while gap:
                 filler = stock.exact(gap) or ((best,) if (best := stock.best_fit(gap)) else None)
                 if not filler:
                     break
-                for p in filler:
-                    stock.left[p] -= 1
-                    gap -= p
+                stock.take(filler)
+                gap -= sum(filler)
                 parts += filler
             # the same pattern again, as often as the counts allow
-            need = {p: parts.count(p) for p in set(parts)}
-            more = int(min(stock.left[p] // c for p, c in need.items()))
-            for p, c in need.items():
-                stock.left[p] -= more * c
+            more = min(stock.left[p] // parts.count(p) for p in set(parts))
+            stock.take(tuple(parts), more)
             plan.append((tuple(parts), more + 1))
     return plan
 
@@ -191,42 +199,44 @@ def plan_slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nd
     return {p: tuple(np.array(x, np.int64) for x in zip(*rows)) for p, rows in slots.items()}
 
 
-def pack(pieces: DataFrame, window: int = 1024, salts: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, window: int = 1024, strand_rows: int = 1 << 18) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns id, piece, length, ...).
 
-    Pieces of one length are ranked in ``salts`` strands, so that a length
-    shared by a third of all rows is not ranked by one task; the strands'
-    counts (salts x window rows at most) are what the driver sees.
+    A piece of the window's length is a sequence by itself (of a negative id).
+    The others are ranked among those of their length in strands of about
+    ``strand_rows`` in all, dealt by hash, so that a length shared by a third of
+    all rows is not ranked by one task.  The driver sees a count per length.
     """
     spark = pieces.sparkSession
-    strand = F.pmod(F.xxhash64("id", "piece", "start"), F.lit(salts)).cast("int")
-    stored = shared_table(pieces.withColumn("strand", strand), "pieces")
-    counted = stored.groupBy("length", "strand").agg(F.count(F.lit(1)).alias("n")).collect()
-    totals: dict[int, int] = {}
-    first_rank: dict[tuple[int, int], int] = {}
-    for r in sorted(counted):
-        first_rank[r.length, r.strand] = totals.get(r.length, 0)
-        totals[r.length] = totals.get(r.length, 0) + r.n
-    shared = spark.sparkContext.broadcast((plan_slots(plan_patterns(totals, window)), first_rank))
+    stored = shared_table(pieces, "pieces")
+    totals = {r.length: r.n for r in stored.where(F.col("length") < window).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shared = spark.sparkContext.broadcast(plan_slots(plan_patterns(totals, window)))
+    strands = max(64, -(-sum(totals.values()) // strand_rows))
+    strand = F.pmod(F.xxhash64("id", "piece", "start"), F.lit(strands)).cast("int")
+    short = stored.where(F.col("length") < window).withColumn("strand", strand)
+    before = Window.partitionBy("length").orderBy("strand").rowsBetween(Window.unboundedPreceding, -1)
+    counts = short.groupBy("length", "strand").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("length", "strand", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "strand").orderBy("id", "piece", "ids_crc32")
-    ranked = stored.withColumn("place", F.row_number().over(order))
-    schema = ranked.drop("strand", "place").schema.add("sequence_id", "long").add("offset", "long")
-    names = [f.name for f in schema][:-2]
+    ranked = short.withColumn("place", F.row_number().over(order)).join(counts, ["length", "strand"])
+    ranked = ranked.select(*stored.columns, (F.col("before") + F.col("place") - 1).alias("rank"))
+    names = stored.columns
+    schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, first = shared.value
+        slots = shared.value
         for batch in batches:
-            length, salt, rank = (batch.column(c).to_numpy() for c in ("length", "strand", "place"))
+            length, at = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for n in np.unique(length):
                 mine = np.flatnonzero(length == n)
-                start = np.array([first[int(n), int(s)] for s in salt[mine]], np.int64)
-                at = start + rank[mine] - 1
                 begin, base, where = slots[int(n)]
-                k = np.searchsorted(begin, at, "right") - 1
-                sequence[mine], offset[mine] = base[k] + at - begin[k], where[k]
+                k = np.searchsorted(begin, at[mine], "right") - 1
+                sequence[mine], offset[mine] = base[k] + at[mine] - begin[k], where[k]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"]
             )
 
-    return ranked.mapInArrow(place, schema)
+    zero = F.lit(0).cast("long")
+    full = stored.where(F.col("length") >= window).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), zero.alias("offset"))
+    return ranked.mapInArrow(place, schema).unionByName(full)

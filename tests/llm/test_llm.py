@@ -267,7 +267,7 @@ def fewest_sequences(counts, window):
 
 def test_packing(spark, docs, nothing):
     pieces = packing.token_pieces(docs, window=64, with_ids=True)
-    rows = [r.asDict() for r in packing.pack(pieces, window=64, salts=3).collect()]
+    rows = [r.asDict() for r in packing.pack(pieces, window=64, strand_rows=3).collect()]
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.public_byte_bpe()[0])
@@ -300,6 +300,24 @@ def test_packing(spark, docs, nothing):
     assert sorted(len(r["ids"]) for r in got) == [1, 5, 5] and 50256 in got[0]["ids"] + got[1]["ids"] + got[2]["ids"]
 
 
+def test_the_sum_index_finds_a_filler_whenever_there_is_one():
+    rng = random.Random(9)
+    for _ in range(200):
+        counts = Counter(rng.randrange(1, 20) for _ in range(rng.randrange(1, 12)))
+        index = packing.SumIndex(counts, 60)
+        have = Counter(counts)
+        for _ in range(12):
+            gap = rng.randrange(1, 60)
+            items = sorted(have.elements())
+            sums = {k: any(sum(c) == gap for c in itertools.combinations(items, k)) for k in (1, 2, 3)}
+            found = index.exact(gap)
+            assert (found is None) == (not any(sums.values()))
+            if found:
+                assert sum(found) == gap and len(found) == min(k for k in sums if sums[k]) and not Counter(found) - have
+                index.take(found)
+                have -= Counter(found)
+
+
 def test_packing_plan():
     rng = random.Random(5)
     for _ in range(30):
@@ -505,6 +523,15 @@ def test_warc(spark, tmp_path):
     assert sorted(back.values()) == sorted(t.encode() for t in ("same", long, "", "alone"))
     with pytest.raises(Exception, match="segments missing"):
         warc.reassemble(records.where("segment IS NULL OR segment <> 3")).collect()
+    import gzip
+
+    record = b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
+    for data in (record * 3, gzip.compress(record * 3), b"".join(gzip.compress(record) for _ in range(3))):
+        for step in (1, 7, 1 << 18):
+            assert [b for _, b in warc.parse_records(warc.unzipped(data, step))] == [b"ab\r\nc"] * 3
+    for bad in (record[:-1], record + b"x", gzip.compress(record)[:-9]):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(warc.unzipped(bad)))
     assert warc.dechunk(b"3;x=y\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
     for bad in (b"3\r\nab", b"zz\r\n", b"5\r\nabcdefg\r\n"):
         with pytest.raises(ValueError):
