@@ -26,16 +26,16 @@ out of number or of another total length raises ValueError.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch_path
+from .shared import scratch_path, shared_table
 
 SEP = b"\r\n"
 #: Fixed values of the format.
@@ -161,25 +161,53 @@ def write_warc(
     out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
-def unzipped(data: bytes) -> bytes:
-    return gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
-
-
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of one file."""
-    at = 0
-    while at < len(data):
-        end = data.find(SEP + SEP, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode().split("\r\n")[1:]
+def unzipped(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:
+    """The content of a plain or gzipped file (of any number of members), in
+    pieces of about ``step`` bytes."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield from (data[at : at + step] for at in range(0, len(data), step))
+        return
+    while data:
+        member = zlib.decompressobj(31)
+        at = 0
+        while not member.eof:
+            piece = member.unconsumed_tail or data[at : at + step]
+            if not member.unconsumed_tail:
+                at += len(piece)
+            if not piece:
+                raise ValueError("the gzip stream is cut off")
+            yield member.decompress(piece, step)
+        data = member.unused_data + data[at:]
+
+
+def parse_records(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record of one file, read
+    piece by piece: only the record at hand is held."""
+    held, gone, source = bytearray(), 0, iter(parts)
+
+    def reaches(end: int) -> bool:
+        while len(held) < end:
+            if (part := next(source, None)) is None:
+                return False
+            held.extend(part)
+        return True
+
+    while reaches(1):
+        end, seen = -1, 0
+        while (end := held.find(SEP + SEP, max(seen - 3, 0))) < 0:
+            seen = len(held)
+            if not reaches(seen + 1):
+                break
+        if end < 0 or not held.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at byte {gone}")
+        lines = held[:end].decode().split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(headers["content-length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) != n or data[end + 4 + n : end + 8 + n] != SEP + SEP:
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield headers, block
-        at = end + 8 + n
+        stop = end + 4 + int(headers["content-length"])
+        if not reaches(stop + 4) or held[stop : stop + 4] != SEP + SEP:
+            raise ValueError(f"the record at byte {gone} is cut off")
+        yield headers, bytes(held[end + 4 : stop])
+        del held[: stop + 4]
+        gone += stop + 4
 
 
 _RECORD = "kind string, record_id string, origin string, segment int, total long, url string, digest string, refers_to string, block binary"
@@ -215,20 +243,21 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """Segmented records joined by origin; the others pass through."""
-    whole = records.where("origin IS NULL").select("kind", "record_id", "url", "digest", "refers_to", "block")
+    """Segmented records by origin, their blocks in order of segment number; the
+    others pass through.  What takes ``blocks`` joins them, once."""
+    whole = records.where("origin IS NULL").select("kind", "record_id", "url", "digest", "refers_to", F.array("block").alias("blocks"))
     part = F.struct("segment", "kind", "url", "digest", "refers_to", "total", "block")
     parts = records.where("origin IS NOT NULL").groupBy("origin").agg(F.sort_array(F.collect_list(part)).alias("p"))
     first, last = F.col("p")[0], F.element_at("p", -1)
-    numbers = F.transform("p", lambda x: x["segment"])
-    joined = F.aggregate(F.slice("p", 2, F.size("p")), first["block"], lambda a, x: F.concat(a, x["block"]))
-    sound = numbers.eqNullSafe(F.sequence(F.lit(1), F.size("p"))) & last["total"].eqNullSafe(F.octet_length("b").cast("long"))
-    checked = F.when(sound, F.col("b")).otherwise(
-        F.raise_error(F.concat(F.lit("segments missing or of another total length: "), F.col("origin"))).cast("binary")
+    blocks = F.transform("p", lambda x: x["block"])
+    length = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
+    sound = F.transform("p", lambda x: x["segment"]).eqNullSafe(F.sequence(F.lit(1), F.size("p"))) & last["total"].eqNullSafe(length)
+    checked = F.when(sound, blocks).otherwise(
+        F.raise_error(F.concat(F.lit("segments missing or of another total length: "), F.col("origin"))).cast("array<binary>")
     )
-    segmented = parts.withColumn("b", joined).select(
+    segmented = parts.select(
         first["kind"].alias("kind"), F.col("origin").alias("record_id"), first["url"].alias("url"),
-        first["digest"].alias("digest"), first["refers_to"].alias("refers_to"), checked.alias("block"),
+        first["digest"].alias("digest"), first["refers_to"].alias("refers_to"), checked.alias("blocks"),
     )
     return whole.unionByName(segmented)
 
@@ -247,7 +276,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
             kind, rid, url, digest, refers = (batch.column(k).to_pylist() for k in range(5))
             sizes, payloads = [], []
             for k in range(batch.num_rows):
-                data = http_payload(batch.column(5)[k].as_buffer().to_pybytes()) if kind[k] == "response" else None
+                data = http_payload(b"".join(batch.column(5)[k].as_py())) if kind[k] == "response" else None
                 if data is not None and base32_sha1(data) != digest[k]:
                     raise ValueError(f"{rid[k]}: the payload does not match its digest")
                 sizes.append(None if data is None else len(data))
@@ -259,6 +288,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     rows = reassemble(read_records(spark, path)).mapInArrow(decode, schema)
+    if not with_payload:
+        rows = shared_table(rows, "records")  # parsed once, read three times
     response = F.col("kind") == "response"
     sizes = rows.where("kind = 'response'").groupBy("payload_digest").agg(F.max("own_bytes").alias("of_digest"))
     revisits = rows.where(~response).join(sizes, "payload_digest", "left").withColumn("payload_bytes", F.col("of_digest")).drop("of_digest")
