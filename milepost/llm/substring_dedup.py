@@ -20,7 +20,8 @@ Copies inside one task are settled there, so a passage that a third of all
 documents share reaches a bucket as one row per task and context; buckets are
 only counted, aggregated and equi-joined, never gathered.
 
-Defined results: a null text is empty; a text shorter than ``length`` keeps all
+Defined results: a null text is empty; a text of more than 2**28 bytes raises
+ValueError; a text shorter than ``length`` keeps all
 its bytes; rows with a null id lose nothing and make nothing a repeat; rows
 that repeat an id are judged as one document (a span found in one of them
 applies to the others too, within their length); an empty table gives no rows;

@@ -113,6 +113,8 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int = 5) -> list[np.
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """Index of the leftmost least value (by its leading 36 bits) of every
     window of ``width``; at most 2**28 values."""
+    if len(values) > 1 << 28:
+        raise ValueError("a text of more than 2**28 bytes")
     low = _U((1 << 28) - 1)
     best, span = (values & ~low) | np.arange(len(values), dtype=np.uint64), 1
     while span < width and len(best):
