@@ -164,7 +164,7 @@ def _flags(places: np.ndarray, rows: int) -> np.ndarray:
 
 
 def word_cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = 4.0, part_bytes: int = 4 << 20, bucket_bytes: int = 6 << 20
+    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = 4.0, part_bytes: int = 3 << 20, bucket_bytes: int = 4 << 20
 ) -> DataFrame:
     """One row per document: id, n_tokens (its words and the end mark),
     target_loss, background_loss (nats per token) and score, the background's
