@@ -1,6 +1,10 @@
 """The pipeline's stages, each against a brute-force version of its own input."""
 
+import random
+from collections import Counter
+
 import corpus_pipeline as cp
+import pytest
 from pyspark.sql import functions as F
 
 from milepost.llm import mixing
@@ -62,3 +66,52 @@ def test_the_mix_does_not_hang_on_the_smallest_source(spark):
         plan = mixing.source_plan(totals, cp.ENTROPY_SHARE, None, None, 128, cp.MIN_KEPT)
         assert sum(p["source_budget"] for p in plan) >= 0.8999 * sum(t for t, _ in totals.values())
         assert all(p["source_budget"] == p["source_tokens"] for p in plan if p["source_tokens"] == 1)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, h long, id string, bucket int, class string"
+
+
+def odd_rows():
+    rng = random.Random(3)
+    word = lambda: rng.choice(["kabel", "lofin", "migas", "nudor", "rehul"]) + str(rng.randrange(30))
+    long = " ".join(word() for _ in range(40))
+    texts = [
+        (1, long), (1, long), (2, long), (None, long + " end"), (2, " ".join(word() for _ in range(30))), (2, None), (None, None), (3, ""), (4, "   "),
+        (5, "one two"), (5, "two one"), (6, " ".join(word() for _ in range(60_000))), (None, "alone here now and then"), (7, "x"), (7, "x"),
+    ]
+    return [(d, t, "en", None if k % 4 == 0 else "s", None, "r", 1, "i", 2, "c") for k, (d, t) in enumerate(texts)]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, empty):
+    from .test_llm import brute_jaccard
+
+    docs = spark.createDataFrame([] if empty else odd_rows(), ODD).repartition(3)
+    rows = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    plain = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    kept = cp.quality_classifier(spark, docs, SF)
+    assert kept.columns == docs.columns and not plain(kept) - rows
+    kept = cp.exact_dedup(spark, docs, SF)
+    best = {}
+    for d, t in rows:
+        best[t or ""] = max(best.get(t or "", (False, 0)), (d is not None, d or 0))
+    assert kept.columns == docs.columns and Counter(((d is not None, d or 0), t or "") for d, t in plain(kept).elements()) == Counter((b, t) for t, b in best.items())
+    kept = cp.near_dedup(spark, docs, SF)
+    listed = [*rows.elements()]
+    group = brute_jaccard([(k, t) for k, (_, t) in enumerate(listed)])
+    least = {}
+    for k, (d, t) in enumerate(listed):
+        g = group[k][1]
+        least[g] = min(least.get(g, (True, 1 << 60)), (d is None, d or 0))
+    assert kept.columns == docs.columns and Counter((d is None, d or 0) for d, _ in plain(kept).elements()) == Counter(least.values())
+    kept = cp.mixing(spark, docs, SF)
+    assert kept.columns == docs.columns and not plain(kept) - rows and (empty or plain(kept).total() > 0)
+    packed = cp.packing(spark, docs, SF)
+    assert packed.where("piece = 0").count() == rows.total()
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_without_labels_every_document_stays(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    assert cp.quality_classifier(spark, docs, str(tmp_path)).count() == len(odd_rows())
