@@ -24,20 +24,38 @@ MIN_KEPT = 0.9
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score below 0.3) go."""
+    """Documents that the classifier rejects (score below 0.3) go.
+
+    Defined results: a null text is scored as an empty one, a null id is scored
+    and never learnt from, rows that repeat an id are judged each by its text;
+    without labels every score is 0.5 and all rows stay; an empty table stays
+    empty; other columns are carried.
+    """
     return keep_good(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays.
+
+    Defined results: a null text equals an empty one; a null id ranks lowest; of
+    rows equal in id and text one stays; an empty table stays empty; other
+    columns are carried.
+    """
     return exact_survivors(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by shingle similarity the smallest doc_id stays (a
     null one ranks last, ties go to one row); rows are told apart by a key of
-    this stage's own, so null and repeated ids are rows like others.  A text
-    without words is linked with nothing and stays."""
+    this stage's own.
+
+    Defined results: null and repeated ids are rows like others; a null text or
+    one without words is linked with nothing and stays; an empty table stays
+    empty; other columns are carried, but for one named ``__key``, which raises
+    ValueError.
+    """
+    if "__key" in docs.columns:
+        raise ValueError("a column named __key")
     keyed = shared_table(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
     found = jaccard_join(keyed, id_col="__key").select("__key", F.col("component_id").alias("__group"))
     # only rows of groups of several matter; most groups are one row
@@ -52,12 +70,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources to a flatter mix, every document at most once: sources
     below their part of the corpus stay whole, larger ones are cut to theirs, by
-    a tenth of all words at most, so a rare source costs the others no more."""
+    a tenth of all words at most, so a rare source costs the others no more.
+
+    Defined results: a null source is a source of its own (with the empty one);
+    a null or empty text counts one word; null and repeated ids are rows like
+    others; an empty table stays empty; other columns are carried.
+    """
     return mix_sources(docs, entropy_share=ENTROPY_SHARE, min_kept=MIN_KEPT).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents in sequences of at most 1024 tokens."""
+    """Token pieces of all documents in sequences of at most 1024 tokens.
+
+    Defined results: a null or empty text is the lone end token; null and
+    repeated ids are packed like others; an empty table gives no rows; other
+    columns are ignored.
+    """
     return pack(token_pieces(docs)).withColumnRenamed("id", "doc_id")
 
 
