@@ -4,17 +4,23 @@ Of every string of ``length`` bytes only the first occurrence (least id, then
 least offset) stays: a byte goes when some repeated string covers it.  Finding
 equal strings is suffix sorting to a fixed depth, by bucket-pointer refinement:
 
-* Initial buckets are q-grams.  Every string of ``length`` bytes holds one
-  anchor, the q-gram of least hash among those inside it, so equal strings
-  share a bucket at the same offset and only anchors are shuffled (about
-  2 / (length - q + 2) of all positions).  A bucket of one member is final.
-* The members of the other buckets are sorted by the identifier of the bytes
-  around the anchor (all strings of the anchor's run): a member that shares
-  both with an earlier one is a repeat as a whole and final too.
-* Where a bucket holds several contexts, its first members are refined: their
-  runs are cut into aligned sub-runs, whose bucket identifier is made of the
-  parent's and of the bytes that the sub-run's strings share, and the step is
-  repeated on them, down to single strings.
+* Initial buckets are q-grams: every offset has its q-gram's bucket identifier.
+  A bucket is refined by the identifiers that its members have at a later
+  offset: those of 2 q bytes are made of the identifier at an offset and of the
+  one q further on, those of 4 q of two of 2 q, and so on; each width reuses the
+  one before (``BucketIds``).  Identifiers are names made from what they stand
+  for, not ranks, so tasks agree on them without exchanging them.
+* Every string of ``length`` bytes holds one anchor, the q-gram of least
+  identifier among those inside it, so equal strings share an initial bucket at
+  the same offset and only anchors are shuffled (about 2 / (length - q + 2) of
+  all positions).  A bucket of one member is final.
+* The members of the other buckets are sorted by the refined identifier of all
+  strings of the anchor's run: a member that shares both with an earlier one is
+  a repeat as a whole and final too.
+* Where a bucket holds several such identifiers, its first members are refined
+  further: their runs are cut into aligned sub-runs, whose bucket identifier is
+  made of the parent's and of the one at the bytes that the sub-run's strings
+  share, and the step is repeated on them, down to single strings.
 
 Copies inside one task are settled there, so a passage that a third of all
 documents share reaches a bucket as one row per task and context; buckets are
@@ -39,11 +45,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bucketed_table, shared_table
-from .textkernels import mix, prefix_sums, sliding_argmin, span_hashes, text_groups, window_hashes
+from .textkernels import mix, prefix_sums, sliding_argmin, text_groups, window_hashes
 
 _U = np.uint64
 
 
+class BucketIds:
+    """Bucket identifiers of all offsets of some bytes, for q, 2 q, 4 q ... bytes."""
+
+    def __init__(self, data: np.ndarray, q: int):
+        self.q = q
+        self.widths = [window_hashes(prefix_sums(data), q)]
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The identifier of each stretch of q bytes and more: those of the widest
+        kind at its start and, ending where it ends, at a later offset."""
+        size = end - start
+        out = np.zeros(len(start), np.uint64)
+        level, width = 0, self.q
+        todo = np.ones(len(start), bool)
+        while todo.any():
+            if level == len(self.widths):
+                ids, half = self.widths[-1], width // 2
+                here, later = ids[: max(len(ids) - half, 0)], ids[half:]
+                refined = here * _U(0x9FB21C651E98DF25) + (later ^ (later >> _U(31)))
+                self.widths.append(refined ^ (refined >> _U(29)))
+            mine = np.flatnonzero(todo & (size <= 2 * width))
+            ids = self.widths[level]
+            out[mine] = mix(mix(ids[start[mine]] + size[mine].astype(_U)) + ids[end[mine] - width])
+            todo[mine] = False
+            level, width = level + 1, width * 2
+        return out
+
+
 def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
     """(text, start, strings, bucket, context) of the anchors' runs.
 
@@ -51,8 +85,8 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int, q: int) -> tupl
     its first string's offset in its text.
     """
     starts = np.concatenate([[0], ends[:-1] + 1])
-    sums = prefix_sums(data)
-    gram = window_hashes(sums, q)
+    ids = BucketIds(data, q)
+    gram = ids.widths[0]
     anchor = sliding_argmin(gram, length - q + 1)
     n = len(anchor)
     if not n:
@@ -67,7 +101,7 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int, q: int) -> tupl
     first = np.flatnonzero(new)
     stop = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
     at = anchor[first]
-    context = mix(span_hashes(sums, first, stop + length) + (at - first).astype(_U))
+    context = mix(ids.of(first, stop + length) + (at - first).astype(_U))
     text = np.searchsorted(starts, first, "right") - 1
     return text, first - starts[text], stop - first + 1, gram[at].view(np.int64), context.view(np.int64)
 
@@ -153,7 +187,7 @@ def _rows_by_text(one, most: int = 1 << 17):
 _LEVEL = "bucket long, context long, id long, run long, anchor long, again boolean"
 
 
-def _contexts(asked: DataFrame, length: int, width: int) -> DataFrame:
+def _contexts(asked: DataFrame, length: int, width: int, q: int) -> DataFrame:
     """(bucket, context, id, run) of sub-runs of at most ``width`` strings.
 
     ``asked``: id, text, and runs, a list of (bucket, run, anchor place).  A
@@ -167,7 +201,7 @@ def _contexts(asked: DataFrame, length: int, width: int) -> DataFrame:
         text = batch.column(1)[k].as_buffer()
         spans = batch.column(2)[k].values
         bucket, packed, anchor = (spans.field(f).to_numpy() for f in range(3))
-        sums = prefix_sums(np.frombuffer(text.to_pybytes(), np.uint8))
+        ids = BucketIds(np.frombuffer(text.to_pybytes(), np.uint8), q)
         start, strings = packed // PACK, packed % PACK
         # distances to the anchor fall from the first string to the last
         lowest = (anchor - (start + strings - 1)) // width
@@ -176,9 +210,9 @@ def _contexts(asked: DataFrame, length: int, width: int) -> DataFrame:
         cell = lowest[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         first = np.maximum(anchor[owner] - (cell + 1) * width + 1, start[owner])
         last = np.minimum(anchor[owner] - cell * width, (start + strings - 1)[owner])
-        core = span_hashes(sums, anchor[owner] - cell * width, anchor[owner] - (cell + 1) * width + 1 + length)
+        core = ids.of(anchor[owner] - cell * width, anchor[owner] - (cell + 1) * width + 1 + length)
         place = mix(core ^ mix(bucket[owner].view(np.uint64) + cell.astype(_U)))
-        whole = mix(span_hashes(sums, first, last + length) + (anchor[owner] - first).astype(_U))
+        whole = mix(ids.of(first, last + length) + (anchor[owner] - first).astype(_U))
         # what repeats inside the text is settled here
         order = np.lexsort((first, whole, place))
         again = np.zeros(len(owner), bool)
@@ -194,10 +228,10 @@ def _whole_contexts(asked: DataFrame, length: int, q: int) -> DataFrame:
     def one(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
         spans = batch.column(2)[k].values
         bucket, packed = (spans.field(f).to_numpy() for f in range(2))
-        sums = prefix_sums(np.frombuffer(batch.column(1)[k].as_buffer().to_pybytes(), np.uint8))
+        ids = BucketIds(np.frombuffer(batch.column(1)[k].as_buffer().to_pybytes(), np.uint8), q)
         start, strings = packed // PACK, packed % PACK
-        anchor = sliding_argmin(window_hashes(sums, q), length - q + 1)[start]
-        whole = mix(span_hashes(sums, start, start + strings - 1 + length) + (anchor - start).astype(_U))
+        anchor = sliding_argmin(ids.widths[0], length - q + 1)[start]
+        whole = mix(ids.of(start, start + strings - 1 + length) + (anchor - start).astype(_U))
         return bucket, whole.view(np.int64), packed, anchor, np.zeros(len(bucket), bool)
 
     return asked.mapInArrow(_rows_by_text(one), _LEVEL)
@@ -216,7 +250,7 @@ def repeated_spans(rows: DataFrame, length: int, q: int) -> tuple[DataFrame, Dat
     for width in (PACK, 8, 1):
         listed = asked.groupBy("id").agg(F.collect_list(F.struct(*[c for c in ("bucket", "run", "anchor") if c in asked.columns])).alias("runs"))
         asked_texts = texts.join(listed, "id").select("id", "text", "runs")
-        level = shared_table(_whole_contexts(asked_texts, length, q) if width == PACK else _contexts(asked_texts, length, width), "contexts")
+        level = shared_table(_whole_contexts(asked_texts, length, q) if width == PACK else _contexts(asked_texts, length, width, q), "contexts")
         spans = spans.unionAll(span(level.where("again")))
         level = level.where("NOT again")
         least = level.groupBy("bucket", "context").agg(F.min("id").alias("first"))

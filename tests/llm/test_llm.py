@@ -134,6 +134,21 @@ def test_substring_dedup(spark, docs, nothing):
     assert got == {(None, 250, 0): 1, (1, 250, 249): 2, (2, 5, 0): 1, (3, 0, 0): 1}
 
 
+def test_bucket_ids_name_stretches_by_their_bytes():
+    from milepost.llm.substring_dedup import BucketIds
+
+    data = np.frombuffer(bytes(random.Random(1).choices(b"ab", k=600)) * 2, np.uint8)
+    ids = BucketIds(data, 3)
+    rng = np.random.default_rng(2)
+    start = rng.integers(0, 1100, 4000)
+    end = start + rng.integers(3, 100, 4000)
+    names = ids.of(start, end).tolist()
+    by_bytes = defaultdict(set)
+    for a, b, x in zip(start, end, names):
+        by_bytes[data[a:b].tobytes()].add(x)
+    assert all(len(x) == 1 for x in by_bytes.values()) and len({*names}) == len(by_bytes) and len(ids.widths) > 4
+
+
 def test_sliding_argmin_and_hashes():
     v = np.random.default_rng(0).integers(0, 50, 400).astype(np.uint64) << np.uint64(40)
     for w in (1, 2, 69, 77):
