@@ -201,7 +201,7 @@ def word_cross_entropy_difference(
 
     sent = texts.groupBy("part").cogroup(chosen.groupBy("part")).applyInArrow(counts, "part long, bucket long, code binary, n binary, t binary")
     back = sent.groupBy("bucket").applyInArrow(sums, "part long, bucket long, n binary, t binary, words long, all_n long, all_t long")
-    back = shared_table(back, "sums")
+    back = shared_table(back, "sums", codec="zstd")
     every = back.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "all_n", "all_t")]).first()
     vocabulary, all_n, all_t = (int(x) for x in every)
     kind = texts.schema["id"].dataType.simpleString()

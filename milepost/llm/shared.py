@@ -47,14 +47,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/milepost/{name}-{uuid.uuid4().hex}"
 
 
-def shared_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def shared_table(df: DataFrame, name: str, *partition_by: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage at a point that outlives any executor.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     with shuffles_removed(spark):

@@ -68,8 +68,8 @@ class BucketIds:
             if level == len(self.widths):
                 ids, half = self.widths[-1], width // 2
                 here, later = ids[: max(len(ids) - half, 0)], ids[half:]
-                refined = here * _U(0x9FB21C651E98DF25) + (later ^ (later >> _U(31)))
-                self.widths.append(refined ^ (refined >> _U(29)))
+                # the q-grams' identifiers are scrambled, so a weighted sum tells them apart
+                self.widths.append(here * _U(0x9FB21C651E98DF25) + later)
             mine = np.flatnonzero(todo & (size <= 2 * width))
             ids = self.widths[level]
             out[mine] = mix(mix(ids[start[mine]] + size[mine].astype(_U)) + ids[end[mine] - width])
