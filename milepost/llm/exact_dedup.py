@@ -124,6 +124,6 @@ def exact_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chain = Window.partitionBy("bucket", "page").orderBy("h", "text", "rank")
     last = ~(F.lead("h").over(chain).eqNullSafe(F.col("h")) & F.lead("text").over(chain).eqNullSafe(F.col("text")))
     rows = rows.withColumn("last", last).where("last").select("h", "text", "rank", "row", F.col("page").isNotNull().alias("paged"))
-    rows = shared_table(rows, "exact-entries")
+    rows = shared_table(rows, "exact-entries", codec="zstd")
     merged = rows.where("paged").groupBy("h", "text").agg(F.max_by("row", "rank").alias("row"))
     return rows.where("NOT paged").select("row").unionByName(merged.select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in names])

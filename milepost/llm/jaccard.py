@@ -309,7 +309,7 @@ def jaccard_join(
     blocks = shared_table(placed.join(parts, "head", "left").select("id", block(part.cast("int"))), "blocks")
     copied = parts.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("head").alias("id"), block(F.col("part")))
     texts = _texts(docs, id_col, text_col).join(blocks.select("id").union(copied.select("id")).distinct().hint("merge"), "id")
-    texts = shared_table(texts, "texts")
+    texts = shared_table(texts, "texts", codec="zstd")
     first = blocks.unionByName(copied).distinct().withColumn("visits", F.lit(False))
     near = shared_table(_class_links(first.join(texts, "id"), words, percent, block_weight), "links")
 
