@@ -56,7 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     if "__key" in docs.columns:
         raise ValueError("a column named __key")
-    keyed = shared_table(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    keyed = shared_table(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed", codec="zstd")
     found = jaccard_join(keyed, id_col="__key").select("__key", F.col("component_id").alias("__group"))
     # only rows of groups of several matter; most groups are one row
     several = found.where("__group <> __key").select("__group").distinct()
@@ -104,5 +104,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = shared_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = shared_table(stage(spark, docs, sf_dir), f"stage-{name}", codec="zstd")
     return STAGES[-1][1](spark, docs, sf_dir)
