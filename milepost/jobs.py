@@ -16,7 +16,7 @@ from .operators.locate import locate_points
 from .operators.overlay import overlay_events
 from .operators.routes import calibrate_routes, display_events
 from .plans.schema import LrsSchema, advanced_fields, apply_route_pad, as_of
-from .sources.tables import read_events, write_events
+from .sources.tables import read_events, source_crs, write_events
 
 
 def _load(spark: SparkSession, path: str, args: argparse.Namespace) -> DataFrame:
@@ -29,6 +29,10 @@ def _load(spark: SparkSession, path: str, args: argparse.Namespace) -> DataFrame
     return apply_route_pad(df, road, PadRule(args.pad, args.pad_width)) if road in df.columns else df
 
 
+def _crs(spark: SparkSession, args: argparse.Namespace) -> str:
+    return args.crs or source_crs(spark, args.input) or "EPSG:4326"
+
+
 def run_job(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     df = _load(spark, args.input, args)
     other = _load(spark, args.other, args) if args.other else None
@@ -44,7 +48,7 @@ def run_job(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.job == "validate":
         return qc.validate(df, group_cols=groups).flat()
     if args.job == "calibrate":
-        return calibrate_routes(df, args.crs)
+        return calibrate_routes(df, _crs(spark, args))
     if args.job == "display":
         return display_events(df, other, drop_empty=not args.keep_empty)
     if args.job == "extract":
@@ -68,7 +72,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--keep-empty", action="store_true")
     p.add_argument("--stub", type=float, default=0.02)
     p.add_argument("--as-of")
-    p.add_argument("--crs", default="EPSG:4326")
+    p.add_argument("--crs", help="of the input: a code or .prj text (else what the file says, else EPSG:4326)")
+    p.add_argument("--output-crs", default="wgs84", choices=["wgs84", "source"])
     p.add_argument("--pad", default="numeric", choices=["numeric", "all", "off"])
     p.add_argument("--pad-width", type=int, default=8)
     p.add_argument("--preview", type=int, default=40)
@@ -83,7 +88,7 @@ def main(argv: list[str] | None = None) -> None:
         for level, text in report.report_lines(out):
             print(f"{level:5} {text}")
     if args.output:
-        write_events(out, args.output, args.crs)
+        write_events(out, args.output, _crs(spark, args), args.output_crs)
     else:
         out.show(args.preview, truncate=False)
 

@@ -25,7 +25,9 @@ ROUTE_NAMES = {a.lower() for a in ALIASES["roadway"]}
 
 
 def suffix(path: str) -> str:
-    return path.rstrip("/").rpartition("/")[2].rpartition(".")[2].lower()
+    """What follows the last dot of a path's last name; empty without one."""
+    name = path.rstrip("/").rpartition("/")[2]
+    return name.rpartition(".")[2].lower() if "." in name else ""
 
 
 def infer_numbers(df: DataFrame, keep: set[str] = ROUTE_NAMES) -> DataFrame:
@@ -95,20 +97,28 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def _read_files(spark: SparkSession, path: str, header: Callable[[bytes], T.StructType], rows: Callable[[bytes, T.StructType], Iterator[dict]]) -> DataFrame:
-    """Each file's bytes in one task.  The table has the columns of all files, in
-    the order in which they first come; a column of several types is text."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
+
+
+def _bytes(cell: pa.BinaryScalar) -> bytes | None:
+    return cell.as_buffer().to_pybytes() if cell.is_valid else None
+
+
+def _read_files(files: DataFrame, header: Callable[..., T.StructType], rows: Callable[..., Iterator[dict]]) -> DataFrame:
+    """Each row of ``files`` (path, bytes of one or several files) in one task.
+    The table has the columns of all files, in the order in which they first
+    come; a column of several types is text."""
 
     def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [header(content.as_buffer().to_pybytes()).json() for content in batch.column(1)]
+            found = [header(*map(_bytes, cells)).json() for cells in zip(*batch.columns[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "fields"])
 
     # one row per different header
     seen = files.mapInArrow(headers, "path string, fields string").groupBy("fields").agg(F.min("path").alias("path")).orderBy("path").collect()
     if not seen:
-        raise FileNotFoundError(path)
+        raise FileNotFoundError("no file with content")
     kinds: dict[str, T.DataType] = {}
     for r in seen:
         for field in T.StructType.fromJson(json.loads(r.fields)):
@@ -121,9 +131,9 @@ def _read_files(spark: SparkSession, path: str, header: Callable[[bytes], T.Stru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for cells in zip(*batch.columns):
                 held = []
-                for row in rows(content.as_buffer().to_pybytes(), schema):
+                for row in rows(*map(_bytes, cells), schema):
                     held.append(row)
                     if len(held) == 4096:
                         yield made(held)
@@ -135,31 +145,76 @@ def _read_files(spark: SparkSession, path: str, header: Callable[[bytes], T.Stru
         value = lambda r, n: str(r[n]) if n in texts and r.get(n) is not None else r.get(n)
         return pa.RecordBatch.from_arrays([pa.array([value(r, f.name) for r in held], _arrow_type(f.dataType)) for f in schema], names=schema.names)
 
-    return files.select("content").mapInArrow(run, schema)
+    return files.drop("path").mapInArrow(run, schema)
 
 
 def read_excel(spark: SparkSession, path: str, numbers: bool = True) -> DataFrame:
     """The first sheet; all cells as text, then numbers where they all are."""
-    df = _read_files(spark, path, formats.xlsx_schema, formats.xlsx_rows)
+    df = _read_files(_files(spark, path), formats.xlsx_schema, formats.xlsx_rows)
     return infer_numbers(df) if numbers else df
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     """Zipped shapefiles (.shp and .dbf in one archive)."""
-    return _read_files(spark, path, formats.shapefile_schema, formats.shapefile_rows)
+    return _read_files(_files(spark, path), formats.shapefile_schema, formats.shapefile_rows)
+
+
+def _siblings(spark: SparkSession, path: str, ending: str) -> DataFrame:
+    """(stem, content) of the files beside ``path`` that end so, case aside."""
+    folder = path.rpartition("/")[0] or "."
+    letters = "".join(f"[{c}{c.upper()}]" for c in ending)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{letters}").load(folder).where("length > 0")
+    return found.select(F.regexp_replace("path", r"\.[^./]*$", "").alias("stem"), "path", "content")
+
+
+def _named(path: str):
+    """Whether a stem is that of the file asked for; the scheme may differ."""
+    return F.regexp_replace("stem", "^.*/", "") == F.lit(path.rpartition("/")[2].rpartition(".")[0])
+
+
+def first_shape(spark: SparkSession, folder: str) -> str:
+    """The first .shp of a folder, by name."""
+    found = _siblings(spark, folder.rstrip("/") + "/", "shp").agg(F.min("path")).first()[0]
+    if found is None:
+        raise FileNotFoundError(f"no .shp in {folder}")
+    return found
+
+
+def read_shape(spark: SparkSession, path: str) -> DataFrame:
+    """A bare .shp with the .dbf beside it, if there is one."""
+    shp = _siblings(spark, path, "shp").where(_named(path)).select("stem", "path", F.col("content").alias("shp"))
+    dbf = _siblings(spark, path, "dbf").where(_named(path)).select("stem", F.col("content").alias("dbf"))
+    return _read_files(shp.join(dbf, "stem", "left").select("path", "shp", "dbf"), formats.shape_schema, lambda shp, dbf, schema: formats.shape_rows(shp, dbf))
+
+
+def source_crs(spark: SparkSession, path: str) -> str | None:
+    """What a spatial file says its coordinates are in: .prj text or a code;
+    null if it says nothing.  Of several files the first by name counts."""
+    kind = suffix(path)
+    if kind in ("zip", "gpkg"):
+        read = formats.archive_prj if kind == "zip" else formats.geopackage_crs
+        first = _files(spark, path).orderBy("path").first()
+        return read(bytes(first.content)) if first else None
+    if kind in ("", "shp"):
+        shape = path if kind else first_shape(spark, path)
+        first = _siblings(spark, shape, "prj").where(_named(shape)).first()
+        return bytes(first.content).decode("utf-8", "replace") if first else None
+    return None
 
 
 def read_geopackage(spark: SparkSession, path: str) -> DataFrame:
     """The first feature table of each GeoPackage."""
-    return _read_files(spark, path, formats.geopackage_schema, formats.geopackage_rows)
+    return _read_files(_files(spark, path), formats.geopackage_schema, formats.geopackage_rows)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """An event table by its suffix."""
+    """An event table by its suffix; of a folder without one, its first .shp."""
     readers = {
-        "csv": read_csv, "json": read_geojson, "geojson": read_geojson, "xlsx": read_excel, "zip": read_shapefile, "gpkg": read_geopackage,
+        "csv": read_csv, "json": read_geojson, "geojson": read_geojson, "xlsx": read_excel, "zip": read_shapefile, "shp": read_shape, "gpkg": read_geopackage,
     }
     kind = suffix(path)
+    if not kind:
+        return read_shape(spark, first_shape(spark, path))
     if kind == "xls":
         raise ValueError("old Excel files (.xls) are not read; save as .xlsx")
     if kind == "parquet":
@@ -187,11 +242,16 @@ def _geojson_feature(df: DataFrame):
     return F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), shape, F.lit("}"))
 
 
-def to_csv(df: DataFrame, path: str) -> None:
-    """Geometry is left out; structs, maps and arrays are written as JSON."""
+def _flat(df: DataFrame, *more) -> DataFrame:
+    """Without geometry, structs, maps and arrays as JSON; and further columns."""
     kept = [c for c in df.columns if c != "geometry"]
     nested = (T.StructType, T.MapType, T.ArrayType)
-    df.select(*[(F.to_json(col(c)) if isinstance(df.schema[c].dataType, nested) else col(c)).alias(c) for c in kept]).write.csv(path, header=True, quote='"', escape='"')
+    return df.select(*[(F.to_json(col(c)) if isinstance(df.schema[c].dataType, nested) else col(c)).alias(c) for c in kept], *more)
+
+
+def to_csv(df: DataFrame, path: str) -> None:
+    """Geometry is left out; structs, maps and arrays are written as JSON."""
+    _flat(df).write.csv(path, header=True, quote='"', escape='"')
 
 
 def to_geojson(df: DataFrame, path: str, crs: str | None = None, single_file: bool = True) -> None:
@@ -218,18 +278,37 @@ def to_shapefile(df: DataFrame, path: str, prj: str) -> None:
     formats.write_shapefile(path, df.schema, (r.asDict(recursive=True) for r in lines.toLocalIterator()), prj)
 
 
+def to_excel(df: DataFrame, path: str) -> None:
+    """A workbook written locally by the driver, partition by partition; geometry
+    is left out, nested values are JSON.  More rows than a sheet holds raise
+    ValueError."""
+    if df.limit(formats.SHEET_ROWS).count() >= formats.SHEET_ROWS:
+        raise ValueError(f"a sheet holds {formats.SHEET_ROWS - 1} rows: write CSV or Parquet")
+    kept = _flat(df)
+    formats.write_xlsx(path, kept.columns, kept.toLocalIterator())
+
+
+def to_geopackage(df: DataFrame, path: str, code: str = "EPSG:4326", wkt: str = "") -> None:
+    """One feature table, written locally by the driver, partition by partition:
+    the format is one file.  Nested values are JSON."""
+    if "geometry" not in df.columns:
+        raise ValueError("a GeoPackage needs a geometry column")
+    flat = _flat(df, col("geometry"))
+    formats.write_geopackage(path, flat.schema, (r.asDict(recursive=True) for r in flat.toLocalIterator()), code, wkt)
+
+
 def write_events(df: DataFrame, path: str, crs: str = "EPSG:4326", output_crs: str = "wgs84") -> None:
     """By suffix; spatial formats need a geometry column.
 
     ``crs`` names what the geometry is in (a code or .prj text).  GeoJSON is
-    always written in WGS 84, a shapefile in WGS 84 or, with
+    always written in WGS 84, a shapefile or GeoPackage in WGS 84 or, with
     ``output_crs="source"``, as it is; what can't be projected stays as it is.
     """
     from ..functions.crs import PRJ, parse_projection, to_wgs84
 
     if output_crs not in ("wgs84", "source"):
         raise ValueError("output_crs: wgs84 or source")
-    spatial = suffix(path) in ("json", "geojson", "zip", "shp") and "geometry" in df.columns
+    spatial = suffix(path) in ("json", "geojson", "zip", "shp", "gpkg") and "geometry" in df.columns
     p = parse_projection(crs=crs)
     if spatial and p.kind not in ("geographic", "unknown") and (output_crs == "wgs84" or suffix(path) in ("json", "geojson")):
         df, crs = df.withColumn("geometry", to_wgs84(F.col("geometry"), p)), "EPSG:4326"
@@ -242,10 +321,16 @@ def write_events(df: DataFrame, path: str, crs: str = "EPSG:4326", output_crs: s
         to_geojson(df, path, crs)
     elif kind in ("zip", "shp"):
         to_shapefile(df, path, PRJ.get(crs, crs if "[" in crs else PRJ["EPSG:4326"]))
+    elif kind == "gpkg":
+        known = p.kind == "geographic" or crs in PRJ
+        code = crs if crs in PRJ else "EPSG:4326" if known else ""
+        to_geopackage(df, path, code, PRJ.get(code, crs))
+    elif kind == "xlsx":
+        to_excel(df, path)
     elif kind == "parquet":
         df.write.parquet(path)
     else:
-        raise ValueError(f"no writer for .{kind}: csv, geojson, zip (shapefile), parquet")
+        raise ValueError(f"no writer for .{kind}: csv, xlsx, geojson, zip or shp (a zipped shapefile), gpkg, parquet")
 
 
 GEOMETRY_TYPE = GEOMETRY

@@ -152,3 +152,47 @@ def test_ids_in_read_order_are_numbered_without_gaps(spark):
     got = {r["n"]: r["ROADWAY"] for r in calibrate_routes(rows, "EPSG:3857").collect()}
     free = [n for n in range(40) if n % 3]
     assert [got[n] for n in free] == [f"R{k + 1:06d}" for k in range(len(free))] and got[3] == "X3"
+
+
+def test_excel_and_geopackage_are_written(spark, tmp_path):
+    from milepost.sources import formats
+    from milepost.sources.tables import source_crs
+
+    odd = table(spark).withColumn("NOTE", F.lit("<a> & 'b'\x07")).withColumn("N", F.lit(7)).withColumn("DAY", F.lit("2024-02-03").cast("date")).withColumn("L", F.array(F.lit(1)))
+    both = odd.unionByName(odd.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in odd.schema]))
+    write_events(both, f"{tmp_path}/new/t.xlsx")
+    first = read_events(spark, f"{tmp_path}/new/t.xlsx").first().asDict()
+    assert first == dict(ROADWAY="008", BEGIN_POST=0.0, END_POST=10.0, NOTE="<a> & 'b'", N=7.0, DAY="2024-02-03", L="[1]")
+    write_events(both, f"{tmp_path}/new/t.gpkg")
+    write_events(both, f"{tmp_path}/new/t.gpkg")
+    got = sorted(read_events(spark, f"{tmp_path}/new/t.gpkg").collect(), key=lambda r: r["fid"])
+    assert [r["ROADWAY"] for r in got] == ["008", None] and got[0]["N"] == 7 and got[1]["geometry"] is None
+    assert [v["x"] for v in got[0]["geometry"]["parts"][0]] == [0.0, 10.0] and source_crs(spark, f"{tmp_path}/new/t.gpkg") == "EPSG:4326"
+    write_events(table(spark), f"{tmp_path}/utm.gpkg", "EPSG:26917", output_crs="source")
+    assert source_crs(spark, f"{tmp_path}/utm.gpkg") == "EPSG:26917"
+    write_events(table(spark).where("false"), f"{tmp_path}/none.xlsx")
+    assert read_events(spark, f"{tmp_path}/none.xlsx").count() == 0
+    with pytest.raises(ValueError):
+        write_events(table(spark).drop("geometry"), f"{tmp_path}/x.gpkg")
+    for z, m in ((None, None), (5.0, None), (0.0, 2.0), (5.0, 2.0)):
+        p = [{"x": float(k), "y": 1.0, "z": z, "m": m} for k in range(4)]
+        for kind, parts in (("Point", [p[:1]]), ("LineString", [p]), ("MultiLineString", [p, p[:2]]), ("Polygon", [p]), ("MultiPoint", [p]), ("MultiPolygon", [p])):
+            assert formats._wkb(formats.to_wkb({"type": kind, "parts": parts})) == {"type": kind, "parts": parts}, (kind, z, m)
+
+
+def test_bare_shapefiles_and_folders(spark, tmp_path):
+    from milepost.sources.tables import source_crs
+
+    for name, x in (("b", 1), ("a", 2)):
+        to_shapefile(table(spark).withColumn("NOTE", F.lit(name)), f"{tmp_path}/z/{name}.zip", PRJ["EPSG:26917"])
+        with zipfile.ZipFile(f"{tmp_path}/z/{name}.zip") as z:
+            z.extractall(tmp_path / "bare")
+    (tmp_path / "bare" / "a.dbf").rename(tmp_path / "bare" / "a.DBF")
+    assert [r["NOTE"] for r in read_events(spark, f"{tmp_path}/bare").collect()] == ["a"]
+    assert [r["NOTE"] for r in read_events(spark, f"{tmp_path}/bare/b.shp").collect()] == ["b"]
+    (tmp_path / "bare" / "b.dbf").unlink()
+    assert read_events(spark, f"{tmp_path}/bare/b.shp").columns == ["geometry"]
+    assert all(source_crs(spark, f"{tmp_path}/{p}") == PRJ["EPSG:26917"] for p in ("bare", "bare/b.shp", "z/a.zip"))
+    with pytest.raises(FileNotFoundError):
+        read_events(spark, f"{tmp_path}/z")
+    assert source_crs(spark, f"{tmp_path}/t.csv") is None
