@@ -123,7 +123,7 @@ def gaps(s: SparkSession, d: str) -> DataFrame:
 
 
 def gaps_by_side(s: SparkSession, d: str) -> DataFrame:
-    return qc.find_gaps(fx.overlays(s, d), LINE, ["side"], seq_cols=SEQ)
+    return qc.find_gaps(fx.overlays(s, d), LINE, ["side"], seq_cols=SEQ, most_uncut=0)
 
 
 def overlaps(s: SparkSession, d: str) -> DataFrame:
@@ -131,7 +131,7 @@ def overlaps(s: SparkSession, d: str) -> DataFrame:
 
 
 def overlaps_binned(s: SparkSession, d: str) -> DataFrame:
-    return qc.find_overlaps(fx.overlays(s, d), LINE, ["side"], seq_cols=SEQ, bin_width=4.0)
+    return qc.find_overlaps(fx.overlays(s, d), LINE, ["side"], seq_cols=SEQ, most_uncut=0)
 
 
 def neighbors(s: SparkSession, d: str) -> DataFrame:

@@ -131,7 +131,6 @@ def test_checks(spark):
     q = spark.createDataFrame([("1", 0.0, 2.0), ("1", 1.5, 3.0), ("1", 5.0, 6.0)], T)
     same(qc.find_gaps(q), ["GAP_BMP", "GAP_EMP", "GAP_LENGTH"], [(3.0, 5.0, 2.0)])
     same(qc.find_overlaps(q), ["ROADWAY", "LEFT_BMP", "RIGHT_BMP"], [("00000001", 0.0, 1.5)])
-    same(qc.find_overlaps(q, bin_width=0.5), ["ROADWAY", "LEFT_BMP", "RIGHT_BMP"], [("00000001", 0.0, 1.5)])
     nested = spark.createDataFrame([("1", 0.0, 10.0), ("1", 2.0, 4.0), ("1", 6.0, 8.0)], T)
     same(qc.find_gaps(nested), ["GAP_BMP", "GAP_EMP"], [(4.0, 6.0)])
     sides = over(spark, ("1", 0.0, 2.0, "L"), ("1", 0.0, 2.0, "R"))
@@ -218,3 +217,22 @@ def test_route_geometry(spark):
     assert [v["m"] for v in made["geometry"]["parts"][0]] == [0.0, made["LRS_EMP"]]
     kept = calibrate_routes(straight(spark, 20.0)).first()
     assert kept["END_POST"] == 20.0 and kept["geometry"]["parts"][0][1]["m"] == 20.0
+
+
+def test_overlaps_meet_once_whatever_their_lengths(spark):
+    from random import Random
+
+    r = Random(5)
+    rows = []
+    for k in range(260):
+        b = r.choice((r.uniform(-40, 40), float(r.randint(-8, 8)), -1e308, 0.0, 1e12))
+        e = r.choice((b, b + r.choice((1e-9, 0.25, 1.0, 30.0, 4000.0, 1e9)), r.uniform(-40, 40), 1e308, None))
+        rows.append((str(k % 2), b, e, k))
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "ROADWAY string, BEGIN_POST double, END_POST double, SEQ int")
+    found = lambda n: sorted((x["ROADWAY"][-1], *x[1:]) for x in qc.find_overlaps(df, seq_cols=["SEQ"], most_uncut=n).collect())
+    known = [x for x in rows if x[2] is not None]
+    order = lambda x: (x[1], x[2], x[3])
+    want = sorted((x[0], x[1], x[2], y[1], y[2]) for x in known for y in known if x[0] == y[0] and order(x) < order(y) and x[1] < y[2] and x[2] > y[1])
+    assert found(0) == want == found(1000) and len(want) > 1000
+    assert qc.find_overlaps(df.where("false"), most_uncut=0).count() == 0
