@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_audit
 from .jaccard import jaccard_join
+from .lexical_search import build_index, search
 from .license_scan import license_scan
 from .lm_score import word_cross_entropy_difference
 from .mixing import mix_sources
 from .packing import pack, token_pieces
 from .quality import fit_quality, score_quality
+from .quantised_knn import nearest_neighbours
 from .substring_dedup import substring_dedup
 from .topk import exact_topk
 from .warc import warc_round_trip
@@ -142,6 +145,65 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), threshold=0.3)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT t, min(doc_id) AS head FROM d GROUP BY t),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+  100 * len(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 2 * length(d.t), regexp_matches(d.t, '[#$%&*|]'), coalesce(d.doc_id > head, false)] AS f
+  FROM d JOIN h ON h.t = d.t LEFT JOIN l ON l.doc_id = d.doc_id),
+s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || e.c || f.c AS filter_order FROM s a, s b, s c, s e, s f WHERE len(list_distinct([a.c, b.c, c.c, e.c, f.c])) = 5),
+g AS (SELECT part, filter_order, f, good, toxic, list_position(list_transform(range(1, 6), lambda i: f[ascii(substr(filter_order, CAST(i AS INTEGER), 1)) - 64]), true) AS gone FROM x, o),
+k AS (SELECT g.part, g.filter_order, CAST(i AS INTEGER) AS step, ascii(substr(g.filter_order, CAST(i AS INTEGER), 1)) - 64 AS n,
+  count_if(gone IS NULL OR gone > i) AS kept, count_if(gone = i) AS removed, count_if(f[ascii(substr(g.filter_order, CAST(i AS INTEGER), 1)) - 64] AND gone < i) AS redundant,
+  count_if(f[ascii(substr(g.filter_order, CAST(i AS INTEGER), 1)) - 64] AND len(list_filter(f, lambda y: y)) = 1) AS unique_fails,
+  count_if(gone = i AND good = 1) AS good_lost, count_if(gone = i AND toxic = 1) AS toxic_lost
+  FROM g, range(1, 6) r(i) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, n) AS BIGINT) AS shapley FROM k
+"""
+
+
+def op12_quantised_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op13_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+d AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, w FROM t WHERE len(w) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM d),
+p AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY ALL),
+f AS (SELECT w, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight FROM (SELECT w, count(*) AS df FROM p GROUP BY w), c),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, d.doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN f ON f.w = q.w JOIN p ON p.w = q.w JOIN d ON d.r = p.r, c WHERE d.doc_id IS NOT NULL GROUP BY item_id, d.r, d.doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_topk": op1_exact_topk,
@@ -154,8 +216,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_warc": op9_warc,
         "op10_quality": op10_quality,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_quantised_knn": op12_quantised_knn,
+        "op13_block_max_wand": op13_block_max_wand,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_lm_scoring": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_lm_scoring": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_warc": OP9_SQL} | {
+        "op11_filter_audit": OP11_SQL, "op12_quantised_knn": OP12_SQL, "op13_block_max_wand": OP13_SQL,
+    }
