@@ -66,11 +66,12 @@ def flagged_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_buffer() for x in batch.column("text")]
-            texts = [b"" if x is None else x.to_pybytes() for x in texts]
-            flags = pa.array([text_failures(t) for t in texts], pa.int32())
-            digests = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), flags, digests], ["id", "part", "flags", "digest"])
+            flags, digests = [], []
+            for x in batch.column("text"):  # one at a time: texts may be long
+                text = x.as_buffer().to_pybytes() if x.is_valid else b""
+                flags.append(text_failures(text))
+                digests.append(hashlib.sha256(text).digest())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), pa.array(flags, pa.int32()), pa.array(digests, pa.binary())], ["id", "part", "flags", "digest"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.col(text_col).cast("binary").alias("text"))
     rows = shared_table(rows.mapInArrow(scan, "id long, part string, flags int, digest binary"), "flags")

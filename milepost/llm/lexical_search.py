@@ -52,7 +52,7 @@ from .shared import shared_table
 
 BLOCK = 128
 SHARD_DOCS = 1 << 14
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 23
 #: Queries that meet a shard in one group.
 BATCH = 32
 #: Pivots that move together, and those of the first stride.
@@ -82,8 +82,7 @@ def count_terms(texts: pa.Array) -> np.ndarray:
     starts[1:] &= ~inside[:-1]
     edge = at[:-1][at[:-1] < len(inside)]
     starts[edge] = inside[edge]  # a text begins anew
-    before = np.r_[0, np.cumsum(starts)]
-    out = before[at[1:]] - before[at[:-1]]
+    out = np.diff(np.searchsorted(np.flatnonzero(starts), at))
     return np.where(texts.is_null().to_numpy(zero_copy_only=False), 0, out) if texts.null_count else out
 
 
@@ -157,11 +156,11 @@ class Shard:
         self.vocabulary: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
         self.terms, self.ids, self.lengths, self.bytes = [], [], [], 0
 
-    def add(self, id_: int | None, text: bytes) -> None:
+    def add(self, id_: int | None, text: pa.Buffer) -> None:
         code, n = self.vocabulary.__getitem__, 0
         found = []
-        for words in pieces(text):
-            found.append(np.fromiter(map(code, words), np.int64, len(words)))
+        for words in pieces(text.to_pybytes()):
+            found.append(np.fromiter(map(code, words), np.int32, len(words)))
             n += len(words)
         if n:
             self.terms.append(np.concatenate(found))
@@ -179,7 +178,13 @@ class Shard:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         lengths = np.array(self.lengths, np.int64)
-        keys, tf = np.unique(np.concatenate(self.terms) << 20 | np.repeat(rank, lengths), return_counts=True)
+        keys = np.concatenate(self.terms).astype(np.int64)
+        self.terms = []
+        keys <<= 20
+        keys |= np.repeat(rank, lengths)
+        keys.sort()
+        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        tf, keys = np.diff(new, append=len(keys)), keys[new]
         term, place = keys >> 20, keys & ((1 << 20) - 1)
         m = norms(lengths[order], n, total)
         made = compress(term, place, tf, impact(tf, m[place]))
@@ -228,7 +233,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             for id_, text in zip(batch.column("id"), batch.column("text")):
                 if text.is_valid:
-                    held.add(id_.as_py(), text.as_buffer().to_pybytes())
+                    held.add(id_.as_py(), text.as_buffer())
                 if held.full():
                     yield from held.table(number, n, total).to_batches(1 << 16)
                     number, held = number + 1, Shard()
@@ -268,7 +273,7 @@ class Postings:
         out = np.zeros(len(places), np.int64)
         if there.any():
             if self.exact is None:
-                self.exact = np.zeros(len(self.m), np.int64)
+                self.exact = np.zeros(len(self.m), np.int32)
             hit = block[there]
             for b in np.unique(hit[~self.read[hit]]).tolist():
                 self.decompress(b)
@@ -350,6 +355,8 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 20, id_col: str = "
     one = F.struct("item", (weight * F.col("times")).alias("weight"))
     batch = F.pmod(F.xxhash64("item"), F.lit(batches)).cast("int").alias("batch")
     weighted = asked.join(df, "term").select("term", batch, one.alias("one")).groupBy("term", "batch").agg(F.collect_list("one").alias("asked"))
+    # written, so that Spark knows its size before it plans the join with the lists
+    weighted = shared_table(weighted, "weighted-terms")
     left = lists.join(weighted, "term").select("shard", "batch", *COLUMNS[2:8], F.col("asked.item").alias("items"), F.col("asked.weight").alias("weights"))
     right = index.table.where("term IS NULL").select(F.col("shard").alias("shard"), "ids", "lengths", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
     n, total = index.n, index.total
