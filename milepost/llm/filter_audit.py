@@ -37,6 +37,8 @@ from .shared import shared_table
 
 #: Rows whose bitmaps are made at once.
 STRETCH = 1 << 20
+#: A text with this part of all rows is hot.
+HOT_SHARE = 1000
 UPPER = bytes(range(65, 91))
 CONTINUATION = bytes(range(0x80, 0xC0))
 SYMBOLS = b"#$%&*|"
@@ -60,8 +62,8 @@ def flagged_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that a smaller id has.
 
     Texts are read once; what is written is 32 bytes of digest and the flags.
-    The rows of a text that very many share meet one row of theirs, which a
-    skewed join can split.
+    Texts that hold more than a ``HOT_SHARE``-th of all rows each, of which there
+    are at most ``HOT_SHARE``, are broadcast; the others are joined by digest.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,9 +77,16 @@ def flagged_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.col(text_col).cast("binary").alias("text"))
     rows = shared_table(rows.mapInArrow(scan, "id long, part string, flags int, digest binary"), "flags")
-    heads = rows.groupBy("digest").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "head")
+    heads = shared_table(rows.groupBy("digest").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
+    # at most HOT_SHARE texts have so many rows each
+    hot = heads.where(F.col("n") * HOT_SHARE >= rows.count()).select("digest", F.col("head").alias("hot_head"))
+    rows = rows.join(F.broadcast(hot), "digest", "left")
+    # their rows are done: spread by id, they meet nothing
+    key = F.when(F.col("hot_head").isNull(), F.col("digest")).otherwise(F.xxhash64("id").cast("binary"))
+    rows = rows.withColumn("digest", key).join(heads.select("digest", "head"), "digest", "left")
+    first = F.coalesce("hot_head", "head")
     failed = {name: (F.col("flags").bitwiseAND(F.lit(1 << n)) > 0).alias(name) for n, name in enumerate("ABCD")}
-    return rows.join(heads, "digest", "left").select("id", "part", *failed.values(), F.coalesce(F.col("id") > F.col("head"), F.lit(False)).alias("E"))
+    return rows.select("id", "part", *failed.values(), F.coalesce(F.col("id") > first, F.lit(False)).alias("E"))
 
 
 def subset_counts(part: np.ndarray, n_parts: int, failed: np.ndarray, labels: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
