@@ -81,8 +81,8 @@ def flagged_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # at most HOT_SHARE texts have so many rows each
     hot = heads.where(F.col("n") * HOT_SHARE >= rows.count()).select("digest", F.col("head").alias("hot_head"))
     rows = rows.join(F.broadcast(hot), "digest", "left")
-    # their rows are done: spread by id, they meet nothing
-    key = F.when(F.col("hot_head").isNull(), F.col("digest")).otherwise(F.xxhash64("id").cast("binary"))
+    # their rows are done: with keys of their own they meet nothing
+    key = F.when(F.col("hot_head").isNull(), F.col("digest")).otherwise(F.unhex(F.hex(F.monotonically_increasing_id())))
     rows = rows.withColumn("digest", key).join(heads.select("digest", "head"), "digest", "left")
     first = F.coalesce("hot_head", "head")
     failed = {name: (F.col("flags").bitwiseAND(F.lit(1 << n)) > 0).alias(name) for n, name in enumerate("ABCD")}
