@@ -44,18 +44,23 @@ class PadRule:
         object.__setattr__(self, "width", max(0, min(32, int(self.width))))
 
 
+#: Numbers with a point, as text.
+DECIMAL = r"^[-+]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
+
+
 def pad_route_id(c: Column, rule: PadRule = PadRule()) -> Column:
     """The route id as it is compared: trimmed, a decimal number cut to its
     whole part, padded by ``rule``; missing ids are null."""
     text = F.trim(c.cast("string"))
-    pads = rule.mode != "off" and rule.width > 0
-    padded = lambda t: F.when(F.length(t) < rule.width, F.lpad(t, rule.width, "0")).otherwise(t) if pads else t
+    padded = lambda t: F.lpad(t, F.greatest(F.length(t), F.lit(rule.width)), "0")
+    if rule.mode == "off":
+        padded = lambda t: t
+    by_rule = lambda t: F.when(t.rlike("^[0-9]+$"), padded(t)).otherwise(t) if rule.mode == "numeric" else padded(t)
     number = text.try_cast("double")
-    towards_zero = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("double")
-    whole = F.when(text.contains(".") & finite(number).isNotNull(), F.format_string("%.0f", towards_zero)).otherwise(text)
-    other = F.when(whole.rlike("^[0-9]+$"), padded(whole)).otherwise(whole) if rule.mode == "numeric" else padded(whole)
-    # most ids are plain digits: they are tested once
-    return F.when(text.rlike("^[0-9]+$"), padded(text)).when(~is_missing(c), other)
+    # bound to a name, as it is looked at several times
+    whole = F.transform(F.array(F.format_string("%.0f", F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("double"))), by_rule)[0]
+    # most ids are plain digits; only what looks like a decimal number is read as one
+    return F.when(text.rlike("^[0-9]+$"), padded(text)).when(text.rlike(DECIMAL) & finite(number).isNotNull(), whole).when(~is_missing(c), by_rule(text))
 
 
 def parse_date(c: Column) -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import is_point, point_at_measure
 from ..plans.schema import LrsSchema, col
+from .cells import meet
 from .overlay import keyed, match_columns
 
 #: Point columns that an event column of the same name never replaces.
@@ -31,6 +33,7 @@ def locate_points(
     match_pairs: list[tuple[str, str]] | None = None,
     boundary: str = "next",
     unmatched: str = "points",
+    hot_rows: int | None = None,
 ) -> Located:
     """Points with the attributes of each segment that covers them, and those
     that none covers.
@@ -41,7 +44,8 @@ def locate_points(
     columns; ``"pairs"`` every (point, segment) of a route that do not meet,
     and points of routes without segments.  ``how`` is checked and has no
     further effect.  Event columns replace point columns of their name, but
-    for the point's route, measure and provenance columns.
+    for the point's route, measure and provenance columns.  Routes of more than
+    ``hot_rows`` rows are cut into cells (see ``cells``), but for ``"pairs"``.
     """
     if how not in ("inner", "left"):
         raise ValueError("how: inner or left")
@@ -59,7 +63,7 @@ def locate_points(
 
     pairs = match_columns(points, events, match_pairs)
     p = points.select(
-        *keyed(points, p_schema, [a for a, _ in pairs], "p"), p_schema.at.alias("m"),
+        *keyed(points, p_schema, [a for a, _ in pairs], "p"), p_schema.at.alias("m"), F.monotonically_increasing_id().alias("pid"),
         F.struct(*[col(c).alias(f"c{n}") for n, c in enumerate(points.columns)]).alias("p"),
     )
     line = [col("geometry").alias("g")] if "geometry" in events.columns else []
@@ -77,9 +81,6 @@ def locate_points(
         e = e.join(starts.withColumn("next", F.lit(True)), same, "left").drop(*[f"s{k}" for k in keys], "at")
     else:
         e = e.withColumn("next", F.lit(None).cast("boolean"))
-    on_route = F.lit(True)
-    for k in keys:
-        on_route = (F.col(f"p{k}") == F.col(f"e{k}")) & on_route
     handed_on = F.col("next").isNotNull() & (F.col("m") == F.col("e")) & (F.col("m") > F.col("b"))
     covers = F.col("m").between(F.col("b"), F.col("e")) & ~handed_on
 
@@ -96,8 +97,11 @@ def locate_points(
         return df.select(*[v.alias(k) for k, v in columns.items()])
 
     if unmatched == "points":
-        met = p.join(e, on_route & covers, "left")
+        both = [(f"p{k}", f"e{k}") for k in keys]
+        plain, hot = meet(p.withColumn("m2", F.col("m")), e, both, ("m", "m2"), ("b", "e"), covers, "left", [*[f"p{k}" for k in keys], "pid"], hot_rows)
+        met = plain.unionAll(hot)
         return Located(output(met.where("o.hit")), output(met.where("o.hit IS NULL")))
+    on_route = reduce(lambda x, y: x & y, [F.col(f"p{k}") == F.col(f"e{k}") for k in keys])
     met = p.join(e, on_route, "left")
     meets = F.coalesce(covers, F.lit(False))
     return Located(output(met.where(meets)), output(met.where(~meets)))

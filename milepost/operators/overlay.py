@@ -4,7 +4,9 @@ Each target is broken at the bounds of the overlays on its route; each slice
 carries the target's attributes and those of an overlay that covers it.  One
 equi-join on the route key (the range test is its residual) and one
 aggregation over the same partitioning do the work: the overlays of a target
-are collected next to it, sliced with array functions, and exploded.
+are collected next to it, sliced with array functions, and exploded.  On routes
+of very many rows targets and overlays meet in cells along the route instead
+(see ``cells``), so what one task holds is the overlays of single targets.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.schema import LrsSchema, col, dates_overlap
+from .cells import meet
 from .dissolve import collapse_longest
 
 
@@ -47,6 +50,7 @@ def overlay_events(
     method: str = "edges",
     null_keys_match: bool | None = None,
     seq_cols: list[str] | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Slices of ``target`` with the attributes of ``overlay``.
 
@@ -56,7 +60,8 @@ def overlay_events(
     without an overlay.  Overlay columns replace target columns of their name.
     ``match_pairs``: (target column, overlay column) that must agree as text;
     ``date_columns``: target from/to, overlay from/to of periods that must
-    meet.  ``seq_cols`` order overlays that begin together (cursor).
+    meet.  ``seq_cols`` order overlays that begin together (cursor).  Routes of
+    more than ``hot_rows`` rows are cut into cells.
 
     Defined results: targets with a null bound survive a left overlay as they
     are, without overlay attributes; overlays with a null bound are left out;
@@ -96,12 +101,12 @@ def overlay_events(
         o = o.where("NOT ok1")
     keys = [f"k{n}" for n in range(2 + len(pairs))]
     on = (F.col("ob") < F.col("te")) & (F.col("oe") > F.col("tb"))
-    for k in keys:
-        on = (F.col(f"t{k}") == F.col(f"o{k}")) & on
     if dates[0] and dates[2]:
         on = on & dates_overlap(F.col("tf"), F.col("tt"), F.col("of"), F.col("ot"))
-    met = t.join(o, on, "left").drop("tf", "tt", "of", "ot")
-    slices = _edges(met, keys) if method == "edges" else _cursor(met, keys)
+    met = meet(t, o, [(f"t{k}", f"o{k}") for k in keys], ("tb", "te"), ("ob", "oe"), on, "left", [*[f"t{k}" for k in keys], "tid"], hot_rows)
+    cut = _edges if method == "edges" else _cursor
+    plain, hot = (cut(part.drop("tf", "tt", "of", "ot"), keys) for part in met)
+    slices = plain.unionAll(hot)
     hit = F.col("o.hit").isNotNull()
     slices = slices.where(hit if how == "inner" else F.lit(True))
 

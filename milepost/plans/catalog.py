@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,10 @@ def _overlay(s: SparkSession, d: str, **kw) -> DataFrame:
     return out
 
 
+def _hot_overlay(s: SparkSession, d: str, **kw) -> DataFrame:
+    return overlay_events(fx.hot_targets(s, d), fx.hot_overlays(s, d), LINE, LINE, seq_cols=SEQ, **kw)
+
+
 P = """-- with
 p AS (SELECT t.tid, t.road, t.bmp AS tb, t.emp AS te, t.status, o.bmp AS ob, o.emp AS oe, o.pk, o.sk, o.ln, o.qty, o.side
       FROM fx_target t JOIN fx_overlay o ON t.road = o.road AND o.bmp < t.emp AND o.emp > t.bmp{extra}),
@@ -73,6 +78,26 @@ def overlay_date_overlap(s: SparkSession, d: str) -> DataFrame:
     return overlay_events(dated, other, LINE, LINE, how="inner", overlay_cols=["oid"], date_columns=("from_date", "to_date", "from_date", "to_date")).select("tid", "oid", "bmp", "emp")
 
 
+def overlay_hot_route(s: SparkSession, d: str) -> DataFrame:
+    return _hot_overlay(s, d)
+
+
+def overlay_hot_route_cursor(s: SparkSession, d: str) -> DataFrame:
+    return _hot_overlay(s, d, method="cursor")
+
+
+def locate_hot_route(s: SparkSession, d: str) -> DataFrame:
+    return locate_points(fx.hot_points(s, d), fx.hot_overlays(s, d), POINT, LINE).located
+
+
+def locate_hot_route_unmatched(s: SparkSession, d: str) -> DataFrame:
+    return locate_points(fx.hot_points(s, d), fx.hot_overlays(s, d), POINT, LINE).unmatched.select("event_id", "road", "measure", "event_type")
+
+
+def overlaps_hot_route(s: SparkSession, d: str) -> DataFrame:
+    return qc.find_overlaps(fx.hot_overlays(s, d), LINE)
+
+
 def coverage(s: SparkSession, d: str) -> DataFrame:
     return route_coverage(fx.points(s, d), fx.overlays(s, d), LINE, LINE)
 
@@ -123,15 +148,15 @@ def gaps(s: SparkSession, d: str) -> DataFrame:
 
 
 def gaps_by_side(s: SparkSession, d: str) -> DataFrame:
-    return qc.find_gaps(fx.overlays(s, d), LINE, ["side"], seq_cols=SEQ, most_uncut=0)
+    return qc.find_gaps(fx.overlays(s, d), LINE, ["side"], seq_cols=SEQ)
 
 
 def overlaps(s: SparkSession, d: str) -> DataFrame:
-    return qc.find_overlaps(fx.overlays(s, d), LINE, seq_cols=SEQ)
+    return qc.find_overlaps(fx.overlays(s, d), LINE)
 
 
 def overlaps_binned(s: SparkSession, d: str) -> DataFrame:
-    return qc.find_overlaps(fx.overlays(s, d), LINE, ["side"], seq_cols=SEQ, most_uncut=0)
+    return qc.find_overlaps(fx.overlays(s, d), LINE, ["side"], hot_rows=0)
 
 
 def neighbors(s: SparkSession, d: str) -> DataFrame:
@@ -257,6 +282,7 @@ def report_clip(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = [
+        overlay_hot_route, overlay_hot_route_cursor, locate_hot_route, locate_hot_route_unmatched, overlaps_hot_route,
         overlay_left, overlay_inner, overlay_cursor, overlay_collapse_longest, overlay_match_side, overlay_rename, overlay_date_overlap,
         dissolve_default, dissolve_groups, dissolve_gap_ok, dissolve_agg, dissolve_along_route, locate_unmatched, locate_both_sides, locate_unmatched_pairs,
         gaps, gaps_by_side, overlaps, overlaps_binned, neighbors, validate_flat, validate_summary, pad_ids, extract_packed, combine_packed,
@@ -285,6 +311,7 @@ m AS (SELECT p.event_id, p.road, p.measure, p.event_type, o.bmp, o.emp, o.pk, o.
       ON p.road = o.road AND p.measure BETWEEN o.bmp AND o.emp{handed})
 """
 HANDED = """ AND NOT (p.measure = o.emp AND p.measure > o.bmp AND EXISTS (SELECT 1 FROM fx_overlay n WHERE n.road = o.road AND n.bmp = o.emp))"""
+UNMATCHED = "SELECT event_id, road, measure, event_type FROM fx_points p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.event_id = p.event_id)"
 GAPS = """-- with
 g AS (SELECT {pad_road} AS ROADWAY, lag(emp) OVER (PARTITION BY {by} ORDER BY bmp, emp, {seq}) AS GAP_BMP, bmp AS GAP_EMP FROM {view} WHERE road IS NOT NULL)
 SELECT ROADWAY, GAP_BMP, GAP_EMP, GAP_EMP - GAP_BMP AS GAP_LENGTH FROM g WHERE GAP_EMP - GAP_BMP > 1e-4
@@ -352,13 +379,10 @@ def oracle_sql() -> dict[str, str]:
     v = fx.with_views
     plain = P.format(extra="")
     cols = "tid, road, bmp, emp, status, pk, sk, ln, qty, side"
-    pad = "CASE WHEN length({0}) >= 8 THEN {0} ELSE lpad({0}, 8, '0') END"
-    return {
-        "overlay_left": v(plain + f"SELECT {cols} FROM ov"),
-        "overlay_inner": v(plain + f"SELECT {cols} FROM ov WHERE pk IS NOT NULL"),
-        "overlay_cursor": v(
-            P.format(extra="").split("br AS")[0]
-            + """c AS (SELECT *, greatest(tb, coalesce(max(least(te, oe)) OVER (PARTITION BY tid ORDER BY ob, ln, pk, sk, qty ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), tb)) AS cur,
+    hot = lambda q: re.sub(r"fx_(target|overlay|points)\b", r"fx_hot_\1", q)
+    cursor = (
+        P.format(extra="").split("br AS")[0]
+        + """c AS (SELECT *, greatest(tb, coalesce(max(least(te, oe)) OVER (PARTITION BY tid ORDER BY ob, ln, pk, sk, qty ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), tb)) AS cur,
               greatest(tb, max(least(te, oe)) OVER (PARTITION BY tid ORDER BY ob, ln, pk, sk, qty ROWS UNBOUNDED PRECEDING)) AS stop,
               lead(ob) OVER (PARTITION BY tid ORDER BY ob, ln, pk, sk, qty) IS NULL AS last FROM p),
             u AS (SELECT tid, road, cur AS bmp, least(ob, te) AS emp, status, NULL AS pk, NULL AS sk, NULL AS ln, NULL AS qty, NULL AS side FROM c
@@ -366,7 +390,17 @@ def oracle_sql() -> dict[str, str]:
               UNION ALL SELECT tid, road, stop, te, status, NULL, NULL, NULL, NULL, NULL FROM c WHERE last
               UNION ALL SELECT tid, road, bmp, emp, status, NULL, NULL, NULL, NULL, NULL FROM fx_target t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.tid = t.tid))
             SELECT * FROM u WHERE bmp < emp"""
-        ),
+    )
+    pad = "CASE WHEN length({0}) >= 8 THEN {0} ELSE lpad({0}, 8, '0') END"
+    return {
+        "overlay_left": v(plain + f"SELECT {cols} FROM ov"),
+        "overlay_inner": v(plain + f"SELECT {cols} FROM ov WHERE pk IS NOT NULL"),
+        "overlay_cursor": v(cursor),
+        "overlay_hot_route": v(hot(plain) + f"SELECT {cols} FROM ov"),
+        "overlay_hot_route_cursor": v(hot(cursor)),
+        "locate_hot_route": v(hot(MATCH.format(handed=HANDED)) + "SELECT * FROM m"),
+        "locate_hot_route_unmatched": v(hot(MATCH.format(handed=HANDED) + UNMATCHED)),
+        "overlaps_hot_route": v(hot(OVERLAPS.format(pad_left=pad.format("l.road"), extra=""))),
         "overlay_collapse_longest": v(
             plain
             + """, r AS (SELECT *, CASE WHEN abs(bmp - lag(emp) OVER w) <= 1e-4 THEN 0 ELSE 1 END AS brk FROM ov WINDOW w AS (PARTITION BY tid, side ORDER BY bmp, emp, pk, ln, sk, qty)),
@@ -399,7 +433,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "locate_points": v(MATCH.format(handed=HANDED) + "SELECT * FROM m"),
         "locate_both_sides": v(MATCH.format(handed="") + "SELECT * FROM m"),
-        "locate_unmatched": v(MATCH.format(handed=HANDED) + "SELECT event_id, road, measure, event_type FROM fx_points p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.event_id = p.event_id)"),
+        "locate_unmatched": v(MATCH.format(handed=HANDED) + UNMATCHED),
         "locate_unmatched_pairs": v(
             "SELECT p.event_id, p.road, p.measure, p.event_type, o.bmp, o.emp, o.pk, o.sk, o.ln, o.qty, o.side FROM fx_points p LEFT JOIN fx_overlay o ON p.road = o.road WHERE o.road IS NULL OR NOT p.measure BETWEEN o.bmp AND o.emp"
         ),

@@ -230,9 +230,34 @@ def test_overlaps_meet_once_whatever_their_lengths(spark):
         rows.append((str(k % 2), b, e, k))
     rows += rows[:5]
     df = spark.createDataFrame(rows, "ROADWAY string, BEGIN_POST double, END_POST double, SEQ int")
-    found = lambda n: sorted((x["ROADWAY"][-1], *x[1:]) for x in qc.find_overlaps(df, seq_cols=["SEQ"], most_uncut=n).collect())
+    found = lambda n: sorted((x["ROADWAY"][-1], *x[1:]) for x in qc.find_overlaps(df, hot_rows=n).collect())
     known = [x for x in rows if x[2] is not None]
-    order = lambda x: (x[1], x[2], x[3])
-    want = sorted((x[0], x[1], x[2], y[1], y[2]) for x in known for y in known if x[0] == y[0] and order(x) < order(y) and x[1] < y[2] and x[2] > y[1])
+    order = lambda n: (known[n][1], known[n][2], n)
+    pairs = [(x, y) for n, x in enumerate(known) for m, y in enumerate(known) if order(n) < order(m)]
+    want = sorted((x[0], x[1], x[2], y[1], y[2]) for x, y in pairs if x[0] == y[0] and x[1] < y[2] and x[2] > y[1])
     assert found(0) == want == found(1000) and len(want) > 1000
-    assert qc.find_overlaps(df.where("false"), most_uncut=0).count() == 0
+    assert qc.find_overlaps(df.where("false"), hot_rows=0).count() == 0
+
+
+def test_cells_do_not_change_overlay_and_locate(spark):
+    from random import Random
+
+    r = Random(7)
+    spans = lambda n, name: spark.createDataFrame(
+        [
+            (r.choice(("1", "1", "2", None)), b, r.choice((b, (b or 0) + r.choice((1e-9, 0.25, 3.0, 500.0)), r.uniform(-9, 9), None)), k)
+            for k in range(n)
+            for b in [r.choice((r.uniform(-40, 40), float(r.randint(-8, 8)), None, 1e6))]
+        ],
+        f"ROADWAY string, BEGIN_POST double, END_POST double, {name} int",
+    ).cache()
+    target, over = spans(150, "T"), spans(170, "O")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for kw in ({}, {"how": "inner"}, {"method": "cursor"}):
+        plain, cut = (rows(overlay_events(target, over, seq_cols=["O"], hot_rows=n, **kw)) for n in (10**9, 0))
+        assert plain == cut and len(cut) > 100
+    points = target.select("ROADWAY", F.col("BEGIN_POST").alias("LOCATION"), F.col("T").alias("P"))
+    for kw in ({}, {"boundary": "both"}):
+        plain, cut = (locate_points(points, over, hot_rows=n, **kw) for n in (10**9, 0))
+        assert rows(plain.located) == rows(cut.located) and rows(plain.unmatched) == rows(cut.unmatched)
+        assert plain.located.count() > 100 and plain.unmatched.count() > 5
