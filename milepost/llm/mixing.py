@@ -2,12 +2,13 @@
 
 Each source's token share is raised to one exponent and normalised: 1 keeps
 the corpus, 0 makes the sources equal.  The exponent is bisected to meet a
-target entropy (a fraction of the highest one) or a limit on how often a
-source's tokens repeat.  The weights are then realised within a token budget:
-a source's documents are dealt into blocks by hash, each epoch goes through
-the blocks in its own order, and the last, partial epoch stops where the
-source's budget ends.  The result is every use of every document: its epoch
-and its place in the epoch's order.
+target entropy (a fraction of the highest one, or a part of the way from the
+corpus's own to the highest) or a limit on how often a source's tokens repeat.
+The weights are then realised within a token budget: a source's documents are
+dealt into blocks by hash and the blocks into groups, each epoch goes through
+the groups, and through the blocks of each, in its own order, and the last,
+partial epoch stops where the source's budget ends.  The result is every use of
+every document: its epoch and its place in the epoch's order.
 
 With ``min_kept`` every document is used at most once, sources smaller than
 their part of the budget stay whole, and at least that share of the corpus's
@@ -15,9 +16,11 @@ tokens stays (within half a document a source), whatever its sources are: so
 the mix is only as even as that allows.
 
 Only per-source totals reach the driver (``max_sources`` of them at most, or
-ValueError); a document's place needs only its block's documents and the
-totals of its source's blocks, so a source that holds a third of all rows is
-spread over as many tasks as it has blocks.
+ValueError); a document's place needs only its block's documents, the totals of
+its group's blocks and those of its source's groups.  So a source that holds a
+third of all rows is spread over as many tasks as it has blocks, and the longest
+list that one task puts in order has a row for ``block_docs * group_blocks``
+documents of a source.
 
 Defined results: a null source is the source ''; a null or empty text counts
 ``min_tokens`` tokens, as does every text of fewer; rows that repeat an id are
@@ -46,14 +49,25 @@ def entropy(weights: list[float]) -> float:
     return -sum(w * math.log(w) for w in weights if w > 0)
 
 
-def solve_exponent(tokens: list[int], entropy_share: float | None, max_repeats: float | None, budget: float) -> float:
+def target_entropy(shares: list[float], entropy_share: float | None, entropy_gain: float | None) -> float:
+    """A part of the highest entropy; or the corpus's own and a part of what it
+    lacks."""
+    highest = math.log(len(shares))
+    if entropy_gain is None:
+        return entropy_share * highest
+    own = entropy(shares)
+    return own + entropy_gain * (highest - own)
+
+
+def solve_exponent(tokens: list[int], entropy_share: float | None, max_repeats: float | None, budget: float, entropy_gain: float | None = None) -> float:
     """The largest exponent in [0, 1] whose entropy reaches the target, or the
     smallest whose repetition stays within the limit (both fall as it grows)."""
     total = sum(tokens)
     shares = [t / total for t in tokens]
     low, high = 0.0, 1.0
-    if entropy_share is not None:
-        enough = lambda a: entropy(temperature_weights(shares, a)) >= entropy_share * math.log(len(shares))
+    if entropy_share is not None or entropy_gain is not None:
+        target = target_entropy(shares, entropy_share, entropy_gain)
+        enough = lambda a: entropy(temperature_weights(shares, a)) >= target
         if enough(1.0):
             return 1.0
         for _ in range(60):
@@ -61,7 +75,7 @@ def solve_exponent(tokens: list[int], entropy_share: float | None, max_repeats:
             low, high = (mid, high) if enough(mid) else (low, mid)
         return low
     if max_repeats is None:
-        raise ValueError("give entropy_share or max_repeats")
+        raise ValueError("give entropy_share, entropy_gain or max_repeats")
     within = lambda a: max(w * budget / t for w, t in zip(temperature_weights(shares, a), tokens)) <= max_repeats
     if within(0.0):
         return 0.0
@@ -92,7 +106,8 @@ def keeping_budget(tokens: list[int], weights: list[float], min_kept: float) ->
 
 
 def source_plan(
-    totals: dict[str, tuple[int, int]], entropy_share: float | None, max_repeats: float | None, budget: float | None, block_docs: int, min_kept: float | None = None
+    totals: dict[str, tuple[int, int]], entropy_share: float | None, max_repeats: float | None, budget: float | None, block_docs: int, min_kept: float | None = None,
+    entropy_gain: float | None = None,
 ) -> list[dict]:
     """Per source: weight, token budget, number of blocks.
 
@@ -103,7 +118,7 @@ def source_plan(
     names = sorted(totals)
     tokens = [totals[n][0] for n in names]
     spend = budget if budget is not None else float(sum(tokens))
-    weights = temperature_weights([float(t) for t in tokens], solve_exponent(tokens, entropy_share, max_repeats, spend))
+    weights = temperature_weights([float(t) for t in tokens], solve_exponent(tokens, entropy_share, max_repeats, spend, entropy_gain))
     if min_kept is not None:
         if budget is not None or max_repeats is not None:
             raise ValueError("min_kept goes with neither budget nor max_repeats")
@@ -119,11 +134,12 @@ def source_plan(
 def mix_sources(
     docs: DataFrame, entropy_share: float | None = None, max_repeats: float | None = None, budget: float | None = None, id_col: str = "doc_id",
     source_col: str = "source", text_col: str = "text", seed: int = 17, min_tokens: int = 1, block_docs: int = 128, max_sources: int = 100_000, carry: list[str] | None = None,
-    min_kept: float | None = None,
+    min_kept: float | None = None, entropy_gain: float | None = None, whole_corpus: bool = False, group_blocks: int = 1024,
 ) -> DataFrame:
     """One row per use of a document: the carried columns (all of ``docs`` by
     default), mix_tokens, mix_weight (its source's), mix_epoch, mix_block (rank
-    of its block in the epoch) and mix_start (its first token's place)."""
+    of its block in the epoch) and mix_start (its first token's place).
+    ``whole_corpus``: the budget is the corpus's tokens."""
     names = docs.columns if carry is None else carry
     source = F.coalesce(F.col(source_col), F.lit(""))
     fields = [F.col(f"`{c}`") for c in names]
@@ -131,22 +147,30 @@ def mix_sources(
     per_source = rows.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
     if len(per_source) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
+    if whole_corpus:
+        budget = float(sum(r.t for r in per_source))
     shape = "array<struct<source:string,weight:double,source_budget:double,source_tokens:long,blocks:int>>"
-    made = source_plan({r.source: (r.t, r.n) for r in per_source}, entropy_share, max_repeats, budget, block_docs, min_kept) if per_source else []
+    made = source_plan({r.source: (r.t, r.n) for r in per_source}, entropy_share, max_repeats, budget, block_docs, min_kept, entropy_gain) if per_source else []
     plan = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(made)), shape)))
 
     dealt = rows.join(F.broadcast(plan), "source")
     key = F.xxhash64(F.col("__id"), F.col("tokens"), F.lit(seed))
     dealt = dealt.withColumn("block", F.pmod(key, F.col("blocks")).cast("int"))
-    totals = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("source_budget").alias("b"), F.first("source_tokens").alias("t"))
+    group = F.pmod(F.col("block"), F.ceil(F.col("blocks") / group_blocks).cast("int"))
+    dealt = dealt.withColumn("group", group)
+    totals = dealt.groupBy("source", "group", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("source_budget").alias("b"), F.first("source_tokens").alias("t"))
     last = F.floor(F.col("b") / F.col("t"))
-    epochs = totals.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("block", "epoch", F.lit(seed)), "block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = epochs.select(
-        "source", "block", "epoch", (F.row_number().over(order) - 1).alias("block_rank"),
-        F.coalesce(F.sum("block_tokens").over(before), F.lit(0).cast("long")).alias("block_start"),
-        F.when(F.col("epoch") == last, F.col("b") - last * F.col("t")).otherwise(F.col("t").cast("double")).alias("stop"),
+    shuffled = lambda keys, place: Window.partitionBy("source", "epoch", *keys).orderBy(F.xxhash64(place, "epoch", F.lit(seed)), place)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    groups = totals.groupBy("source", "group").agg(F.sum("block_tokens").alias("group_tokens"), F.count(F.lit(1)).alias("n"), F.first("b").alias("b"), F.first("t").alias("t"))
+    groups = groups.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    stop = F.when(F.col("epoch") == last, F.col("b") - last * F.col("t")).otherwise(F.col("t").cast("double"))
+    over = shuffled([], "group")
+    groups = groups.select("source", "group", "epoch", before("group_tokens", over).alias("group_start"), before("n", over).alias("group_rank"), stop.alias("stop"))
+    inner = shuffled(["group"], "block")
+    placed = totals.drop("b", "t").join(groups, ["source", "group"]).select(
+        "source", "block", "epoch", "stop", (F.col("group_rank") + F.row_number().over(inner) - 1).cast("int").alias("block_rank"),
+        (F.col("group_start") + before("block_tokens", inner)).alias("block_start"),
     )
     inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("__id", F.lit(seed + 1)), "__id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("inner", F.coalesce(F.sum("tokens").over(inside), F.lit(0).cast("long")))

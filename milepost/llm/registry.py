@@ -68,9 +68,10 @@ FROM d JOIN g ON d.t = g.t
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No source more than twice, in the largest budget that allows."""
+    """As many tokens as the corpus has, half the way from its own entropy to an
+    even mix: small sources repeat, large ones are cut."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix_sources(docs, max_repeats=2.0, carry=["doc_id", "source"])
+    return mix_sources(docs, entropy_gain=0.5, whole_corpus=True, carry=["doc_id", "source"])
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -473,6 +473,55 @@ def test_mixing(spark, nothing):
         mixing.mix_sources(docs, max_repeats=1.0, budget=1e9).count()
 
 
+@pytest.mark.parametrize("group_blocks", [3, 1024])
+def test_the_drawn_rows_are_those_of_the_plan(spark, group_blocks):
+    """Every use of every document by plain Python, but for Spark's hashes."""
+    rng = random.Random(8)
+    rows = [(d % 700, prose(rng, rng.randrange(0, 30)), "en", rng.choice(["big"] * 6 + ["mid"] * 3 + ["small", None]), "b", "x") for d in range(900)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    found = mixing.mix_sources(docs, entropy_gain=0.5, whole_corpus=True, block_docs=8, group_blocks=group_blocks).collect()
+    got = Counter((r["doc_id"], r["text"], r["source"] or "", r["mix_epoch"], r["mix_block"], r["mix_start"]) for r in found)
+    size = lambda t: max(1, len((t or "").split()))
+    tokens, count = Counter(), Counter()
+    for r in rows:
+        tokens[r[3] or ""] += size(r[1])
+        count[r[3] or ""] += 1
+    names, total = sorted(tokens), sum(tokens.values())
+    shares = [tokens[n] / total for n in names]
+    exponent = mixing.solve_exponent([tokens[n] for n in names], None, None, total, 0.5)
+    weights = dict(zip(names, mixing.temperature_weights(shares, exponent)))
+    assert 0.01 < exponent < 0.99
+    half = (mixing.entropy(shares) + math.log(len(names))) / 2
+    assert abs(mixing.entropy(list(weights.values())) - half) < 1e-9
+    keyed = docs.select("doc_id", "text", "source", F.regexp_count("text", F.lit(r"[^\x20]+")).alias("n"))
+    keyed = keyed.withColumn("n", F.greatest("n", F.lit(1)).cast("long"))
+    keyed = keyed.select("*", F.xxhash64("doc_id", "n", F.lit(17)).alias("k"), F.xxhash64("doc_id", F.lit(18)).alias("o")).collect()
+    top = max(-(-c // 8) for c in count.values())
+    hashes = spark.range(top).select(F.col("id").cast("int").alias("i"), *[F.xxhash64(F.col("id").cast("int"), F.lit(e).cast("long"), F.lit(17)).alias(f"e{e}") for e in range(9)]).collect()
+    order = {(r["i"], e): r[f"e{e}"] for r in hashes for e in range(9)}
+    want = Counter()
+    for name in names:
+        blocks = -(-count[name] // 8)
+        groups = -(-blocks // group_blocks)
+        mine = defaultdict(list)
+        for r in keyed:
+            if (r["source"] or "") == name:
+                mine[r["k"] % blocks].append(r)
+        budget, epoch = weights[name] * total, 0
+        while budget > 0:
+            stop, at, rank = min(budget, tokens[name]), 0, 0
+            present = sorted({b % groups for b in mine}, key=lambda g: (order[g, epoch], g))
+            for g in present:
+                for b in sorted((b for b in mine if b % groups == g), key=lambda b: (order[b, epoch], b)):
+                    for r in sorted(mine[b], key=lambda r: (r["o"], r["doc_id"], r["n"])):
+                        if at + r["n"] / 2 <= stop:
+                            want[r["doc_id"], r["text"], name, epoch, rank, at] += 1
+                        at += r["n"]
+                    rank += 1
+            budget, epoch = budget - tokens[name], epoch + 1
+    assert got == want and want.total() > 800 and max(k[3] for k in want) >= 1
+
+
 def test_license_scan(spark, nothing):
     rng = random.Random(6)
     names = list(ls.TEMPLATES)

@@ -40,7 +40,12 @@ def test_stages(spark):
     want = brute_jaccard([(r["doc_id"], r["text"]) for r in before.collect()])
     assert sorted(ids(after)) == sorted({v[1] for v in want.values()})
     before, after = made["mixing"]
-    assert len(set(ids(after))) == after.count() > before.count() / 2
+    assert len(set(ids(after))) == after.count() >= 0.85 * before.count()
+    # the mix is flatter than its input, which costs rows of large sources
+    tokens = lambda df: [float(r[1]) for r in df.groupBy("source").agg(F.sum(mixing.token_count(F.col("text"), 1))).collect()]
+    shares = lambda t: [x / sum(t) for x in t]
+    assert after.count() < before.count() and mixing.entropy(shares(tokens(after))) > mixing.entropy(shares(tokens(before)))
+    assert 0 < mixing.solve_exponent(tokens(before), None, None, sum(tokens(before)), cp.ENTROPY_GAIN) < 1
     before, after = made["packing"]
     assert {*ids(after)} == {*ids(before)}
     per = after.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
@@ -63,7 +68,7 @@ def test_the_mix_does_not_hang_on_the_smallest_source(spark):
     assert {d for d, _, _ in docs} - hot <= kept and len(hot & kept) < len(hot)
     # a lone source beside one word, and big sources beside many of one word
     for totals in ({"a": (10**9, 10**6), "b": (1, 1)}, {f"b{k}": (10**9, 10**6) for k in range(5)} | {f"r{k}": (1, 1) for k in range(1000)}):
-        plan = mixing.source_plan(totals, cp.ENTROPY_SHARE, None, None, 128, cp.MIN_KEPT)
+        plan = mixing.source_plan(totals, None, None, None, 128, cp.MIN_KEPT, cp.ENTROPY_GAIN)
         assert sum(p["source_budget"] for p in plan) >= 0.8999 * sum(t for t, _ in totals.values())
         assert all(p["source_budget"] == p["source_tokens"] for p in plan if p["source_tokens"] == 1)
 
