@@ -17,8 +17,8 @@ from milepost.llm.packing import pack, token_pieces
 from milepost.llm.quality import fit_quality, keep_good
 from milepost.llm.shared import shared_table
 
-#: The mix's entropy, as a share of the highest that its sources allow.
-ENTROPY_SHARE = 0.95
+#: How far the mix's entropy goes from the corpus's own to the highest one.
+ENTROPY_GAIN = 0.5
 #: The mix keeps this share of the words at least, whatever its sources are.
 MIN_KEPT = 0.9
 
@@ -76,7 +76,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a null or empty text counts one word; null and repeated ids are rows like
     others; an empty table stays empty; other columns are carried.
     """
-    return mix_sources(docs, entropy_share=ENTROPY_SHARE, min_kept=MIN_KEPT).select(docs.columns)
+    return mix_sources(docs, entropy_gain=ENTROPY_GAIN, min_kept=MIN_KEPT).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
