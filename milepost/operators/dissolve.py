@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.schema import LrsSchema, col
+from . import scan
 
 #: Aggregations by name for carried columns.
 AGGREGATES = {
@@ -32,6 +35,7 @@ def dissolve(
     agg: dict[str, str] | None = None,
     run_order: str = "groups",
     seq_cols: list[str] | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Merge neighbouring rows of equal group values.
 
@@ -42,6 +46,7 @@ def dissolve(
     block (groups default to the route alone there).  The other columns keep
     the block's first value (``"route"``: first that is not null), or what
     ``agg`` names for them: sum, mean, min, max, count, nunique, first, last.
+    Groups (or routes) of more than ``hot_rows`` rows are scanned in segments.
     """
     schema = schema or LrsSchema.of(df, require_line=True)
     schema.check_line(df)
@@ -52,14 +57,15 @@ def dissolve(
     groups = [schema.roadway, *[g for g in group_cols if g != schema.roadway]]
     rows = _ordered(df, schema, seq_cols)
     keys = [_field(df, g) for g in groups]
-    parts = keys if run_order == "groups" else keys[:1]
-    w = Window.partitionBy(*parts).orderBy("b", "e", "seq")
-    joins = F.abs(F.col("b") - F.lag("e").over(w)) <= schema.tolerance if require_contiguous else F.lag("e").over(w).isNotNull()
-    if run_order == "route":
-        for k in keys[1:]:
-            joins = joins & k.eqNullSafe(F.lag(k).over(w))
-    brk = F.when(joins, 0).otherwise(1)
-    blocks = rows.withColumn("brk", brk).withColumn("blk", F.sum("brk").over(w)).withColumns({f"g{n}": k for n, k in enumerate(keys)})
+    rows = rows.withColumns({f"g{n}": k for n, k in enumerate(keys)})
+    names = [f"g{n}" for n in range(len(keys))]
+    along = names if run_order == "groups" else names[:1]
+    equal = [n for n in names if n not in along]
+    before = F.struct("e", *equal)
+    joins = F.abs(F.col("b") - F.col("before.e")) <= schema.tolerance if require_contiguous else F.lit(True)
+    for n in equal:
+        joins = joins & F.col(n).eqNullSafe(F.col(f"before.{n}"))
+    blocks = _in_blocks(rows, along, before, joins, hot_rows)
 
     first = F.struct("b", "e", "seq")
     carried: dict[str, Column] = {}
@@ -78,10 +84,25 @@ def dissolve(
                 carried[c] = pick(value, F.when(value.isNotNull(), first)) if run_order == "route" else pick(value, first)
             else:
                 carried[c] = AGGREGATES[how](value)
-    out = blocks.groupBy(*[f"g{n}" for n in range(len(groups))], "blk").agg(*[v.alias(f"v{df.columns.index(c)}") for c, v in carried.items()])
+    out = _united([part.groupBy(*names, "blk").agg(*[v.alias(f"v{df.columns.index(c)}") for c, v in carried.items()]) for part in blocks])
     return out.select(*[(F.col(f"v{n}") if c in carried else F.col(f"g{groups.index(c)}")).alias(c) for n, c in enumerate(df.columns)])
 
 
+def _in_blocks(rows: DataFrame, keys: list[str], before: Column, joins: Column, hot_rows: int | None) -> list[DataFrame]:
+    """Rows with the number of their block along their keys: ``joins`` tells, from
+    what the row before was, whether a row continues its block."""
+    order, found = ["b", "e", "seq"], []
+    for part in scan.parts(rows, keys, "b", hot_rows):
+        part = part.previous("before", before, order)
+        part = part.add(brk=F.when(F.col("before").isNotNull() & joins, F.lit(0)).otherwise(1).cast("long"))
+        found.append(part.running_sum("blk", "brk", order).rows)
+    return found
+
+
+def _united(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, tables)
+
+
 def _merged_geometry(geometry: Column, order: Column) -> Column:
     """All parts of the block's lines, in order, as one multi-part line."""
     listed = F.array_sort(F.collect_list(F.when(geometry.isNotNull(), F.struct(order.alias("o"), geometry["parts"].alias("p")))))
@@ -90,23 +111,23 @@ def _merged_geometry(geometry: Column, order: Column) -> Column:
     return F.when(F.size(parts) > 0, F.struct(kind.alias("type"), parts.alias("parts")))
 
 
-def collapse_longest(df: DataFrame, schema: LrsSchema | None = None, group_cols: list[str] | None = None, seq_cols: list[str] | None = None) -> DataFrame:
+def collapse_longest(df: DataFrame, schema: LrsSchema | None = None, group_cols: list[str] | None = None, seq_cols: list[str] | None = None, hot_rows: int | None = None) -> DataFrame:
     """Each contiguous block of equal group values keeps the whole row of its
     longest segment (of equals the last), with the block's bounds.
 
     Groups default to all attributes.  A change of route ends a block even
-    where the route is no group.
+    where the route is no group.  Routes of more than ``hot_rows`` rows of a group
+    are scanned in segments.
     """
     schema = schema or LrsSchema.of(df, require_line=True)
     schema.check_line(df)
     groups = schema.attributes(df) if group_cols is None else group_cols
     rows = _ordered(df, schema, seq_cols)
     keys = [_field(df, g) for g in groups]
-    road = _field(df, schema.roadway)
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*([] if schema.roadway in groups else [road.asc_nulls_last()]), "b", "e", "seq")
-    joins = (F.abs(F.col("b") - F.lag("e").over(w)) <= schema.tolerance) & road.eqNullSafe(F.lag(road).over(w))
-    blocks = rows.withColumn("brk", F.when(joins, 0).otherwise(1)).withColumn("blk", F.sum("brk").over(w))
-    blocks = blocks.withColumns({f"g{n}": k for n, k in enumerate(keys)})
+    # as a change of route ends a block, the route is always a key
+    names = [f"g{n}" for n in range(len(keys) + 1)]
+    rows = rows.withColumns(dict(zip(names, [*keys, _field(df, schema.roadway)])))
+    blocks = _in_blocks(rows, names, F.struct("e"), F.abs(F.col("b") - F.col("before.e")) <= schema.tolerance, hot_rows)
     longest = F.max_by("row", F.struct((F.col("e") - F.col("b")).alias("l"), "b", "e", "seq"))
-    out = blocks.groupBy(*[f"g{n}" for n in range(len(keys))], "blk").agg(longest.alias("row"), F.min("b").alias("b"), F.max("e").alias("e"))
+    out = _united([part.groupBy(*names, "blk").agg(longest.alias("row"), F.min("b").alias("b"), F.max("e").alias("e")) for part in blocks])
     return out.select(*[(F.col("b") if c == schema.bmp else F.col("e") if c == schema.emp else _field(df, c)).alias(c) for c in df.columns])

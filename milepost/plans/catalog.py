@@ -98,6 +98,22 @@ def overlaps_hot_route(s: SparkSession, d: str) -> DataFrame:
     return qc.find_overlaps(fx.hot_overlays(s, d), LINE)
 
 
+#: So that the long route of the fixture is cut at every scale.
+SEGMENT_ROWS = 1000
+
+
+def dissolve_hot_route(s: SparkSession, d: str) -> DataFrame:
+    return dissolve(fx.hot_overlays(s, d).select("road", "bmp", "emp", "side"), LINE, ["side"], hot_rows=SEGMENT_ROWS)
+
+
+def gaps_hot_route(s: SparkSession, d: str) -> DataFrame:
+    return qc.find_gaps(fx.hot_overlays(s, d), LINE, hot_rows=SEGMENT_ROWS)
+
+
+def neighbors_hot_route(s: SparkSession, d: str) -> DataFrame:
+    return qc.neighbors_along_route(fx.hot_overlays(s, d), "qty", LINE, seq_cols=["emp", *SEQ], hot_rows=SEGMENT_ROWS)
+
+
 def coverage(s: SparkSession, d: str) -> DataFrame:
     return route_coverage(fx.points(s, d), fx.overlays(s, d), LINE, LINE)
 
@@ -144,11 +160,11 @@ def locate_unmatched_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def gaps(s: SparkSession, d: str) -> DataFrame:
-    return qc.find_gaps(fx.overlays(s, d), LINE, seq_cols=SEQ)
+    return qc.find_gaps(fx.overlays(s, d), LINE)
 
 
 def gaps_by_side(s: SparkSession, d: str) -> DataFrame:
-    return qc.find_gaps(fx.overlays(s, d), LINE, ["side"], seq_cols=SEQ)
+    return qc.find_gaps(fx.overlays(s, d), LINE, ["side"])
 
 
 def overlaps(s: SparkSession, d: str) -> DataFrame:
@@ -164,11 +180,11 @@ def neighbors(s: SparkSession, d: str) -> DataFrame:
 
 
 def validate_flat(s: SparkSession, d: str) -> DataFrame:
-    return qc.validate(fx.dirty(s, d), LINE, seq_cols=["pk", "ln", "seq_sk"]).flat()
+    return qc.validate(fx.dirty(s, d), LINE).flat()
 
 
 def validate_summary(s: SparkSession, d: str) -> DataFrame:
-    return qc.validate(fx.dirty(s, d), LINE, seq_cols=["pk", "ln", "seq_sk"]).summary()
+    return qc.validate(fx.dirty(s, d), LINE).summary()
 
 
 def inspect(s: SparkSession, d: str) -> DataFrame:
@@ -282,7 +298,7 @@ def report_clip(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = [
-        overlay_hot_route, overlay_hot_route_cursor, locate_hot_route, locate_hot_route_unmatched, overlaps_hot_route,
+        overlay_hot_route, overlay_hot_route_cursor, locate_hot_route, locate_hot_route_unmatched, overlaps_hot_route, dissolve_hot_route, gaps_hot_route, neighbors_hot_route,
         overlay_left, overlay_inner, overlay_cursor, overlay_collapse_longest, overlay_match_side, overlay_rename, overlay_date_overlap,
         dissolve_default, dissolve_groups, dissolve_gap_ok, dissolve_agg, dissolve_along_route, locate_unmatched, locate_both_sides, locate_unmatched_pairs,
         gaps, gaps_by_side, overlaps, overlaps_binned, neighbors, validate_flat, validate_summary, pad_ids, extract_packed, combine_packed,
@@ -391,6 +407,10 @@ def oracle_sql() -> dict[str, str]:
               UNION ALL SELECT tid, road, bmp, emp, status, NULL, NULL, NULL, NULL, NULL FROM fx_target t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.tid = t.tid))
             SELECT * FROM u WHERE bmp < emp"""
     )
+    neighbors = """-- with
+            n AS (SELECT *, lag(qty) OVER w AS Upstream_Value, lead(qty) OVER w AS Downstream_Value, lag(bmp) OVER w AS Upstream_Measure, lead(bmp) OVER w AS Downstream_Measure
+                  FROM fx_overlay WINDOW w AS (PARTITION BY road ORDER BY bmp, emp, ln, pk, sk, qty))
+            SELECT *, (qty - Upstream_Value) / nullif(Upstream_Value, 0) AS Upstream_Diff_pct, (qty - Downstream_Value) / nullif(Downstream_Value, 0) AS Downstream_Diff_pct FROM n"""
     pad = "CASE WHEN length({0}) >= 8 THEN {0} ELSE lpad({0}, 8, '0') END"
     return {
         "overlay_left": v(plain + f"SELECT {cols} FROM ov"),
@@ -437,16 +457,14 @@ def oracle_sql() -> dict[str, str]:
         "locate_unmatched_pairs": v(
             "SELECT p.event_id, p.road, p.measure, p.event_type, o.bmp, o.emp, o.pk, o.sk, o.ln, o.qty, o.side FROM fx_points p LEFT JOIN fx_overlay o ON p.road = o.road WHERE o.road IS NULL OR NOT p.measure BETWEEN o.bmp AND o.emp"
         ),
+        "dissolve_hot_route": v(hot(_blocks("road, side", "bmp, emp", "") + "SELECT road, side, min(bmp) AS bmp, max(emp) AS emp FROM b GROUP BY road, side, blk")),
+        "gaps_hot_route": v(hot(GAPS.format(pad_road=pad.format("road"), by="road", seq="ln, pk, sk, qty", view="fx_overlay"))),
+        "neighbors_hot_route": v(hot(neighbors)),
         "gaps": v(GAPS.format(pad_road=pad.format("road"), by="road", seq="ln, pk, sk, qty", view="fx_overlay")),
         "gaps_by_side": v(GAPS.format(pad_road=pad.format("road"), by="road, side", seq="ln, pk, sk, qty", view="fx_overlay")),
         "overlaps": v(OVERLAPS.format(pad_left=pad.format("l.road"), extra="")),
         "overlaps_binned": v(OVERLAPS.format(pad_left=pad.format("l.road"), extra=" AND l.side = r.side")),
-        "neighbors": v(
-            """-- with
-            n AS (SELECT *, lag(qty) OVER w AS Upstream_Value, lead(qty) OVER w AS Downstream_Value, lag(bmp) OVER w AS Upstream_Measure, lead(bmp) OVER w AS Downstream_Measure
-                  FROM fx_overlay WINDOW w AS (PARTITION BY road ORDER BY bmp, emp, ln, pk, sk, qty))
-            SELECT *, (qty - Upstream_Value) / nullif(Upstream_Value, 0) AS Upstream_Diff_pct, (qty - Downstream_Value) / nullif(Downstream_Value, 0) AS Downstream_Diff_pct FROM n"""
-        ),
+        "neighbors": v(neighbors),
         "validate_flat": v(FLAT.format(pad_road=pad.format("road")) + "SELECT * FROM f"),
         "validate_summary": v(
             FLAT.format(pad_road=pad.format("road"))

@@ -50,7 +50,7 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _gathered(df: DataFrame, key: Column, *places: str) -> DataFrame:
     """A third of all rows on one long route, each where its key puts it."""
     third = key % 3 == 0
-    shifts = {c: F.when(third, F.col(c) + key / 4.0).otherwise(F.col(c)) for c in places}
+    shifts = {c: F.when(third, F.col(c) + key * 2.0).otherwise(F.col(c)) for c in places}
     return df.withColumns({"road": F.when(third, F.lit("0")).otherwise(F.col("road")), **shifts})
 
 
@@ -100,13 +100,13 @@ SQL = {
     "fx_dirty": """SELECT l_suppkey AS seq_sk, CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE CAST(l_orderkey AS VARCHAR) END AS road,
       CASE WHEN l_partkey % 41 = 0 THEN NULL ELSE (l_partkey % 80) / CAST(8 AS DOUBLE) END AS bmp,
       (l_partkey % 80 + l_quantity - 5) / CAST(8 AS DOUBLE) AS emp, l_partkey AS pk, l_linenumber AS ln FROM lineitem""",
-    "fx_hot_target": """SELECT tid, CASE WHEN tid % 3 = 0 THEN '0' ELSE road END AS road, CASE WHEN tid % 3 = 0 THEN bmp + tid / CAST(4 AS DOUBLE) ELSE bmp END AS bmp,
-      CASE WHEN tid % 3 = 0 THEN emp + tid / CAST(4 AS DOUBLE) ELSE emp END AS emp, status FROM fx_target""",
+    "fx_hot_target": """SELECT tid, CASE WHEN tid % 3 = 0 THEN '0' ELSE road END AS road, CASE WHEN tid % 3 = 0 THEN bmp + tid * CAST(2 AS DOUBLE) ELSE bmp END AS bmp,
+      CASE WHEN tid % 3 = 0 THEN emp + tid * CAST(2 AS DOUBLE) ELSE emp END AS emp, status FROM fx_target""",
     "fx_hot_overlay": """SELECT * REPLACE (CASE WHEN CAST(road AS BIGINT) % 3 = 0 THEN '0' ELSE road END AS road,
-      CASE WHEN CAST(road AS BIGINT) % 3 = 0 THEN bmp + CAST(road AS BIGINT) / CAST(4 AS DOUBLE) ELSE bmp END AS bmp,
-      CASE WHEN CAST(road AS BIGINT) % 3 = 0 THEN emp + CAST(road AS BIGINT) / CAST(4 AS DOUBLE) ELSE emp END AS emp) FROM fx_overlay""",
+      CASE WHEN CAST(road AS BIGINT) % 3 = 0 THEN bmp + CAST(road AS BIGINT) * CAST(2 AS DOUBLE) ELSE bmp END AS bmp,
+      CASE WHEN CAST(road AS BIGINT) % 3 = 0 THEN emp + CAST(road AS BIGINT) * CAST(2 AS DOUBLE) ELSE emp END AS emp) FROM fx_overlay""",
     "fx_hot_points": """SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN '0' ELSE road END AS road,
-      CASE WHEN event_id % 3 = 0 THEN measure + event_id / CAST(4 AS DOUBLE) ELSE measure END AS measure) FROM fx_points""",
+      CASE WHEN event_id % 3 = 0 THEN measure + event_id * CAST(2 AS DOUBLE) ELSE measure END AS measure) FROM fx_points""",
     "fx_dated": """SELECT o_orderkey AS tid, CAST(o_custkey AS VARCHAR) AS road, o_orderdate AS from_date,
       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate + INTERVAL '365' DAY END AS to_date FROM orders""",
 }

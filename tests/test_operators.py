@@ -261,3 +261,24 @@ def test_cells_do_not_change_overlay_and_locate(spark):
         plain, cut = (locate_points(points, over, hot_rows=n, **kw) for n in (10**9, 0))
         assert rows(plain.located) == rows(cut.located) and rows(plain.unmatched) == rows(cut.unmatched)
         assert plain.located.count() > 100 and plain.unmatched.count() > 5
+
+
+def test_segments_do_not_change_scans(spark):
+    from random import Random
+
+    r = Random(9)
+    rows, at = [], 0.0
+    for k in range(240):
+        at = r.choice((at, at + 1.0, at + 1.0, at + 2.5, 0.0))
+        rows.append((r.choice(("1", "1", "2", None)), r.choice((at, at, None)), r.choice((at + 1.0, at + 1.0, at, None)), r.choice(("a", "a", "b", None)), k))
+    df = spark.createDataFrame(rows, "ROADWAY string, BEGIN_POST double, END_POST double, FLAG string, N int").cache()
+    listed = lambda t: sorted(map(repr, t.select(sorted(t.columns)).collect()))
+    for job in (
+        lambda n: dissolve(df, group_cols=["FLAG"], agg={"N": "sum"}, seq_cols=["N"], hot_rows=n),
+        lambda n: dissolve(df, group_cols=["ROADWAY", "FLAG"], run_order="route", seq_cols=["N"], hot_rows=n),
+        lambda n: collapse_longest(df, group_cols=[], seq_cols=["N"], hot_rows=n),
+        lambda n: qc.find_gaps(df, group_cols=["FLAG"], hot_rows=n),
+        lambda n: qc.neighbors_along_route(df, "N", seq_cols=["N"], hot_rows=n),
+    ):
+        whole, cut = listed(job(10**9)), listed(job(4))
+        assert whole == cut and len(cut) > 20
