@@ -35,6 +35,16 @@ def line_of(vertices: Column) -> Column:
     return F.struct(F.lit("LineString").alias("type"), F.array(vertices).alias("parts"))
 
 
+def thinned(part: Column, most: int) -> Column:
+    """At most ``most`` vertices of a line, evenly spaced by place, both ends
+    among them; lines of fewer, and all with ``most`` below 2, stay."""
+    if most < 2:
+        return part
+    step = (F.size(part) - 1) / F.lit(float(most - 1))
+    places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * step + 0.5).cast("int"))
+    return F.when(F.size(part) > most, F.transform(places, lambda i: F.get(part, i))).otherwise(part)
+
+
 def is_line(g: Column) -> Column:
     return F.coalesce(g["type"].isin(*LINES) & F.exists(g["parts"], lambda p: F.size(p) >= 2), F.lit(False))
 

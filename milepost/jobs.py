@@ -16,7 +16,7 @@ from .operators.locate import locate_points
 from .operators.overlay import overlay_events
 from .operators.routes import calibrate_routes, display_events
 from .plans.schema import LrsSchema, advanced_fields, apply_route_pad, as_of
-from .sources.tables import read_events, source_crs, write_events
+from .sources.tables import layer_projection, read_events, source_crs, write_events
 
 
 def _load(spark: SparkSession, path: str, args: argparse.Namespace) -> DataFrame:
@@ -29,8 +29,9 @@ def _load(spark: SparkSession, path: str, args: argparse.Namespace) -> DataFrame
     return apply_route_pad(df, road, PadRule(args.pad, args.pad_width)) if road in df.columns else df
 
 
-def _crs(spark: SparkSession, args: argparse.Namespace) -> str:
-    return args.crs or source_crs(spark, args.input) or "EPSG:4326"
+def _crs(spark: SparkSession, args: argparse.Namespace) -> str | None:
+    """As named, else as the file says; else it is told from the vertices."""
+    return args.crs or source_crs(spark, args.input)
 
 
 def run_job(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -48,7 +49,10 @@ def run_job(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.job == "validate":
         return qc.validate(df, group_cols=groups).flat()
     if args.job == "calibrate":
-        return calibrate_routes(df, _crs(spark, args))
+        crs = _crs(spark, args)
+        if layer_projection(df, crs).kind == "unknown":
+            raise ValueError("lengths need a known system: name it with --crs")
+        return calibrate_routes(df, crs or "EPSG:4326")
     if args.job == "display":
         return display_events(df, other, drop_empty=not args.keep_empty)
     if args.job == "extract":
@@ -72,7 +76,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--keep-empty", action="store_true")
     p.add_argument("--stub", type=float, default=0.02)
     p.add_argument("--as-of")
-    p.add_argument("--crs", help="of the input: a code or .prj text (else what the file says, else EPSG:4326)")
+    p.add_argument("--crs", help="of the input: a code or .prj text (else what the file says, else degrees if the vertices can be)")
     p.add_argument("--output-crs", default="wgs84", choices=["wgs84", "source"])
     p.add_argument("--pad", default="numeric", choices=["numeric", "all", "off"])
     p.add_argument("--pad-width", type=int, default=8)

@@ -45,7 +45,8 @@ def locate_points(
     and points of routes without segments.  ``how`` is checked and has no
     further effect.  Event columns replace point columns of their name, but
     for the point's route, measure and provenance columns.  Routes of more than
-    ``hot_rows`` rows are cut into cells (see ``cells``), but for ``"pairs"``.
+    ``hot_rows`` rows are cut into cells (see ``cells``), but for ``"pairs"`` and for streams of points, whose routes
+    can't be counted first.
     """
     if how not in ("inner", "left"):
         raise ValueError("how: inner or left")
@@ -96,12 +97,15 @@ def locate_points(
             columns["geometry"] = F.when(is_point(own), own)
         return df.select(*[v.alias(k) for k, v in columns.items()])
 
+    both = [(f"p{k}", f"e{k}") for k in keys]
+    on_route = reduce(lambda x, y: x & y, [F.col(x) == F.col(y) for x, y in both])
     if unmatched == "points":
-        both = [(f"p{k}", f"e{k}") for k in keys]
-        plain, hot = meet(p.withColumn("m2", F.col("m")), e, both, ("m", "m2"), ("b", "e"), covers, "left", [*[f"p{k}" for k in keys], "pid"], hot_rows)
-        met = plain.unionAll(hot)
+        if points.isStreaming:
+            met = p.join(e, on_route & covers, "left")
+        else:
+            plain, hot = meet(p.withColumn("m2", F.col("m")), e, both, ("m", "m2"), ("b", "e"), covers, "left", [*[f"p{k}" for k in keys], "pid"], hot_rows)
+            met = plain.unionAll(hot)
         return Located(output(met.where("o.hit")), output(met.where("o.hit IS NULL")))
-    on_route = reduce(lambda x, y: x & y, [F.col(f"p{k}") == F.col(f"e{k}") for k in keys])
     met = p.join(e, on_route, "left")
     meets = F.coalesce(covers, F.lit(False))
     return Located(output(met.where(meets)), output(met.where(~meets)))

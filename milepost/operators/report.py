@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.geometry import has_m, is_empty, is_line, is_point
 from ..functions.keys import is_missing
 from ..plans.schema import LrsSchema, col
+from .cells import meet
 from .overlay import route_coverage
+from .packed import approaches
 from .routes import locate_events_on_routes
 
 
@@ -37,15 +39,19 @@ def overlay_counts(target: DataFrame, overlay: DataFrame, result: DataFrame, tar
 def locate_counts(points: DataFrame, events: DataFrame, point_schema: LrsSchema, event_schema: LrsSchema) -> DataFrame:
     """Points by outcome: on a segment, route unknown, off all segments, no
     measure."""
-    p = points.select(point_schema.key.alias("k"), point_schema.at.alias("m"), F.monotonically_increasing_id().alias("id"))
+    p = points.select(point_schema.key.alias("k"), point_schema.at.alias("m"))
     e = events.select(event_schema.key.alias("ek"), event_schema.begin.alias("b"), event_schema.end.alias("e"))
-    met = p.join(e, F.col("k") == F.col("ek"), "left").groupBy("k", "id").agg(
-        F.any_value("m").alias("m"), F.count("ek").alias("n"), F.coalesce(F.bool_or(F.col("m").between(F.col("b"), F.col("e"))), F.lit(False)).alias("on")
-    )
-    known = F.col("m").isNotNull()
+    # equal points stand for each other; a segment is met once or not at all
+    p = p.groupBy("k", "m").agg(F.count(F.lit(1)).alias("n")).withColumn("m2", F.col("m"))
+    plain, hot = meet(p, e, [("k", "ek")], ("m", "m2"), ("b", "e"), F.col("m").between(F.col("b"), F.col("e")))
+    on = plain.unionAll(hot).select(F.col("k").alias("ok"), F.col("m").alias("om")).distinct().withColumn("on", F.lit(True))
+    routes = e.select(F.col("ek").alias("rk")).distinct().withColumn("route", F.lit(True))
+    met = p.join(on, (F.col("k") == F.col("ok")) & (F.col("m") == F.col("om")), "left").join(routes, F.col("k") == F.col("rk"), "left")
+    known, on, route = F.col("m").isNotNull(), F.col("on").isNotNull(), F.col("route").isNotNull()
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long")
     return met.agg(
-        F.count(F.lit(1)).alias("points"), F.count_if(known & F.col("on")).alias("on_segment"), F.count_if(known & (F.col("n") == 0)).alias("no_roadway"),
-        F.count_if(known & (F.col("n") > 0) & ~F.col("on")).alias("off_measure"), F.count_if(~known).alias("null_measure"),
+        total(F.lit(True)).alias("points"), total(known & on).alias("on_segment"), total(known & ~route).alias("no_roadway"),
+        total(known & route & ~on).alias("off_measure"), total(~known).alias("null_measure"),
     )
 
 
@@ -70,6 +76,7 @@ LINES = {
     "null_keys": ("warn", "{} rows without a route id or measure"), "inverted": ("err", "{} rows begin at or after their end"),
     "points": ("info", "{} points"), "on_segment": ("ok", "{} points located"), "no_roadway": ("warn", "{} points on no known route"),
     "off_measure": ("warn", "{} points outside all segments of their route"), "null_measure": ("warn", "{} points without a measure"),
+    "source_rows": ("info", "{} source rows"), "approaches": ("ok", "{} approaches"), "skipped": ("warn", "{} rows without a readable approach"),
     "events": ("info", "{} events"), "with_geometry": ("ok", "{} geometries written"), "no_geometry": ("warn", "{} events without a line"),
     "no_route": ("warn", "{} events on routes not in the layer"), "no_route_geometry": ("err", "{} events on routes without line geometry"),
     "inverted_bounds": ("err", "{} rows with inverted bounds"), "zero_length": ("warn", "{} rows of no length"), "null_key": ("err", "{} rows without a key"),
@@ -84,6 +91,12 @@ def report_lines(counts: DataFrame) -> list[tuple[str, str]]:
     return [(LINES[k][0], LINES[k][1].format(n)) for k, n in row.items() if k in LINES and (n or LINES[k][0] in ("info", "ok"))]
 
 
+def extract_counts(df: DataFrame, packed_col: str) -> DataFrame:
+    """One row: source rows, readable approaches, rows without one."""
+    n = F.size(approaches(col(packed_col)))
+    return df.agg(F.count(F.lit(1)).alias("source_rows"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("approaches"), F.count_if(n == 0).alias("skipped"))
+
+
 def geometry_bounds(df: DataFrame) -> DataFrame:
     """One row: the least and greatest x and y of all vertices."""
     vertex = df.select(F.explode(F.flatten(col("geometry")["parts"])).alias("v"))
@@ -105,9 +118,11 @@ def unique_values(df: DataFrame, column: str, n: int = 8) -> DataFrame:
     return df.where(~is_missing(value)).select(value.cast("string").alias("value")).distinct().orderBy("value").limit(n)
 
 
-def sample_values(df: DataFrame, column: str, n: int = 8) -> Column:
-    """First ``n`` distinct values as text, with how many more there are."""
-    listed = F.array_sort(F.collect_set(col(column).cast("string")))
-    more = F.size(listed) - n
-    text = F.array_join(F.slice(listed, 1, n), ", ")
-    return F.when(more > 0, F.concat(text, F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(text)
+def sample_values(df: DataFrame, column: str, n: int = 8) -> DataFrame:
+    """One row: the first ``n`` distinct values as ``text``, with how many more
+    there are.  Only those values are gathered."""
+    distinct = df.select(col(column).cast("string").alias("v")).where("v IS NOT NULL").distinct()
+    first = distinct.orderBy("v").limit(n).agg(F.array_join(F.array_sort(F.collect_list("v")), ", ").alias("text"))
+    many = distinct.agg(F.count(F.lit(1)).alias("n"))
+    more = F.col("n") - n
+    return _one(first, many).select(F.when(more > 0, F.concat("text", F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(F.col("text")).alias("text"))

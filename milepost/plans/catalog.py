@@ -15,6 +15,7 @@ from ..operators import packed as packing
 from ..operators import qc, report
 from ..operators.dissolve import collapse_longest, dissolve
 from ..operators.locate import locate_points
+from ..operators.mapping import map_features
 from ..operators.overlay import overlay_events, route_coverage
 from ..operators.routes import calibrate_routes, locate_events_on_routes
 from . import fixtures as fx
@@ -284,6 +285,29 @@ def unique_values(s: SparkSession, d: str) -> DataFrame:
     return report.unique_values(fx.points(s, d), "event_type")
 
 
+def winding_routes(s: SparkSession, d: str) -> DataFrame:
+    """Routes of 101 vertices, evenly spaced."""
+    from ..functions.geometry import line_of, vertex
+
+    line = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: vertex(F.col("emp") * i * 1000.0, F.lit(0.0)))
+    return fx.targets(s, d).withColumn("geometry", F.struct(F.lit("LineString").alias("type"), F.array(line).alias("parts")))
+
+
+def map_features_thinned(s: SparkSession, d: str) -> DataFrame:
+    out = map_features(winding_routes(s, d), parse_projection(crs="EPSG:3857"), 8, "tid")
+    line = F.col("geometry.parts")[0]
+    ends = [F.round(F.element_at(line, n)["x"], 9).alias(c) for n, c in ((1, "lon_from"), (2, "lon_second"), (-1, "lon_to"))]
+    return out.select("_row", F.size(line).alias("n_vertices"), *ends, F.get_json_object("properties", "$.status").alias("status"))
+
+
+def extract_counts(s: SparkSession, d: str) -> DataFrame:
+    return report.extract_counts(fx.packed(s, d), "Intersecting Roadway Id Milepoints")
+
+
+def sample_values(s: SparkSession, d: str) -> DataFrame:
+    return report.sample_values(fx.overlays(s, d), "pk")
+
+
 def report_overlay(s: SparkSession, d: str) -> DataFrame:
     return report.overlay_counts(fx.targets(s, d), fx.overlays(s, d), overlay_left(s, d), LINE, LINE)
 
@@ -302,7 +326,7 @@ def queries() -> dict[str, Query]:
         overlay_left, overlay_inner, overlay_cursor, overlay_collapse_longest, overlay_match_side, overlay_rename, overlay_date_overlap,
         dissolve_default, dissolve_groups, dissolve_gap_ok, dissolve_agg, dissolve_along_route, locate_unmatched, locate_both_sides, locate_unmatched_pairs,
         gaps, gaps_by_side, overlaps, overlaps_binned, neighbors, validate_flat, validate_summary, pad_ids, extract_packed, combine_packed,
-        clip_straight, clip_measured, line_miles, project_geometry, geometry_counts, unique_values, calibrate_straight, report_overlay, report_locate, report_clip,
+        clip_straight, clip_measured, line_miles, project_geometry, geometry_counts, unique_values, calibrate_straight, report_overlay, report_locate, report_clip, map_features_thinned, extract_counts, sample_values,
     ]
     named = {
         "route_coverage": coverage, "collapse_longest": collapse, "locate_points": locate_located, "inspect_keys": inspect, "as_of": in_effect,
@@ -520,6 +544,16 @@ def oracle_sql() -> dict[str, str]:
             """SELECT event_id, round(degrees((500000 + measure * 1000) / 6378137), 7) AS lon,
             round(degrees(2 * atan(exp((3000000 + event_id % 1000 * 100)::DOUBLE / 6378137)) - pi() / 2), 7) AS lat FROM fx_points"""
         ),
+        "map_features_thinned": v(
+            """SELECT tid AS _row, CAST(8 AS INTEGER) AS n_vertices, 0.0::DOUBLE AS lon_from, round(degrees(emp * 14 * 1000.0::DOUBLE / 6378137), 9) AS lon_second,
+            round(degrees(emp * 100 * 1000.0::DOUBLE / 6378137), 9) AS lon_to, status FROM fx_target"""
+        ),
+        "extract_counts": v("SELECT count(DISTINCT road) AS source_rows, count(*) AS approaches, CAST(0 AS BIGINT) AS skipped FROM fx_overlay"),
+        "sample_values": v(
+            """-- with
+            d AS (SELECT DISTINCT CAST(pk AS VARCHAR) AS v FROM fx_overlay), f AS (SELECT v FROM d ORDER BY v LIMIT 8)
+            SELECT (SELECT string_agg(v, ', ' ORDER BY v) FROM f) || CASE WHEN (SELECT count(*) FROM d) > 8 THEN ' (+' || ((SELECT count(*) FROM d) - 8) || ' more)' ELSE '' END AS text"""
+        ),
         "report_overlay": v(
             plain
             + """SELECT (SELECT count(*) FROM fx_target) AS target_rows, (SELECT count(DISTINCT road) FROM fx_target) AS target_routes, (SELECT count(*) FROM fx_overlay) AS overlay_rows,

@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.crs import PRJ, Projection, parse_projection, to_wgs84
 from ..functions.geometry import GEOMETRY, is_line
 from ..functions.keys import to_number
+from ..operators.report import geometry_bounds
 from ..plans.schema import ALIASES, col
 from . import formats
 
@@ -79,7 +81,11 @@ def geometry_from_json(text):
 def read_geojson(spark: SparkSession, path: str, numbers: bool = True) -> DataFrame:
     """A FeatureCollection, one feature, or a bare geometry per file: a row per
     feature, properties as columns."""
-    files = spark.read.text(path, wholetext=True)
+    return _features(spark.read.text(path, wholetext=True), numbers)
+
+
+def _features(files: DataFrame, numbers: bool) -> DataFrame:
+    """The features of texts in ``value``."""
     top = F.from_json("value", "type string, features array<string>, properties string, geometry string")
     features = files.select("value", top.alias("t"))
     feature = F.when(F.col("t.type") == "FeatureCollection", F.col("t.features")).when(F.col("t.type") == "Feature", F.array("value"))
@@ -154,6 +160,33 @@ def read_excel(spark: SparkSession, path: str, numbers: bool = True) -> DataFram
     return infer_numbers(df) if numbers else df
 
 
+def read_zip(spark: SparkSession, path: str, numbers: bool = True) -> DataFrame:
+    """What the archives hold: GeoJSON, else CSV (or .txt), else Excel, else a
+    shapefile; archives inside are opened.  All must hold the same kind."""
+    files = _files(spark, path)
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([formats.archive_kind(_bytes(x)) for x in batch.column("content")], pa.string())], ["kind"])
+
+    found = sorted(r.kind for r in files.mapInArrow(kinds, "kind string").distinct().collect())
+    if len(found) != 1:
+        raise ValueError(f"archives of one kind are read together, not {', '.join(found) or 'none'}")
+    if found == ["shp"]:
+        return read_shapefile(spark, path)
+    if found == ["geojson"]:
+
+        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                inside = [formats.archive_member(_bytes(x), "geojson").decode("utf-8-sig") for x in batch.column("content")]
+                yield pa.RecordBatch.from_arrays([pa.array(inside, pa.string())], ["value"])
+
+        return _features(files.mapInArrow(texts, "value string"), numbers)
+    header, rows = (formats.zipped_csv_schema, formats.zipped_csv_rows) if found == ["csv"] else (formats.zipped_xlsx_schema, formats.zipped_xlsx_rows)
+    df = _read_files(files, header, rows)
+    return infer_numbers(df) if numbers else df
+
+
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     """Zipped shapefiles (.shp and .dbf in one archive)."""
     return _read_files(_files(spark, path), formats.shapefile_schema, formats.shapefile_rows)
@@ -207,10 +240,28 @@ def read_geopackage(spark: SparkSession, path: str) -> DataFrame:
     return _read_files(_files(spark, path), formats.geopackage_schema, formats.geopackage_rows)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """An event table by its suffix; of a folder without one, its first .shp."""
+#: Of several files the table is in the first kind that is there.
+PRECEDENCE = (("zip",), ("geojson", "json"), ("csv", "txt"), ("xlsx",), ("xls",), ("shp",), ("gpkg",), ("parquet",))
+
+
+def main_file(paths: list[str]) -> str:
+    """Of files chosen together (a shapefile with its parts, say), the one to
+    read."""
+    for kinds in PRECEDENCE:
+        found = sorted(p for p in paths if suffix(p) in kinds)
+        if len(found) > 1 and kinds == ("shp",):
+            raise ValueError(f"several shapefiles ({', '.join(found)}): one layer at a time")
+        if found:
+            return found[0]
+    raise ValueError("no CSV, Excel, GeoJSON, shapefile, GeoPackage or Parquet file, and no archive of one")
+
+
+def read_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """An event table by its suffix; of a folder without one, its first .shp; of
+    several files, the one that ``main_file`` names."""
+    path = path if isinstance(path, str) else main_file(path)
     readers = {
-        "csv": read_csv, "json": read_geojson, "geojson": read_geojson, "xlsx": read_excel, "zip": read_shapefile, "shp": read_shape, "gpkg": read_geopackage,
+        "csv": read_csv, "txt": read_csv, "json": read_geojson, "geojson": read_geojson, "xlsx": read_excel, "zip": read_zip, "shp": read_shape, "gpkg": read_geopackage,
     }
     kind = suffix(path)
     if not kind:
@@ -224,6 +275,17 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return readers[kind](spark, path)
 
 
+def layer_projection(df: DataFrame, crs: str | None = None) -> Projection:
+    """The projection that ``crs`` (a code or .prj text) names; without one, by
+    one pass over all vertices: degrees if none lies beyond them, else unknown."""
+    if crs or "geometry" not in df.columns:
+        return parse_projection(crs=crs, first_xy=(1e9, 1e9) if crs else None)
+    bounds = geometry_bounds(df).first()
+    if bounds.min_x is None:
+        return parse_projection()
+    return parse_projection(first_xy=(max(-bounds.min_x, bounds.max_x), max(-bounds.min_y, bounds.max_y)))
+
+
 # ---- writing ----
 
 
@@ -297,20 +359,37 @@ def to_geopackage(df: DataFrame, path: str, code: str = "EPSG:4326", wkt: str =
     formats.write_geopackage(path, flat.schema, (r.asDict(recursive=True) for r in flat.toLocalIterator()), code, wkt)
 
 
-def write_events(df: DataFrame, path: str, crs: str = "EPSG:4326", output_crs: str = "wgs84") -> None:
+#: Names of the spatial formats, and their suffixes.
+SPATIAL = {"shapefile": "shp", "shp": "shp", "geojson": "geojson", "json": "geojson", "geopackage": "gpkg", "gpkg": "gpkg"}
+
+
+def spatial_output(path: str, format: str | None = None) -> str:
+    """The path to write, with the suffix of the format where it has no spatial
+    one; other formats raise ValueError."""
+    wanted = SPATIAL.get((format or suffix(path)).lower())
+    if wanted is None:
+        raise ValueError("spatial formats: shp, geojson, gpkg")
+    if suffix(path) in ("shp", "geojson", "json", "gpkg"):
+        return path
+    return (path.removesuffix(f".{suffix(path)}") if suffix(path) else path) + f".{wanted}"
+
+
+def write_events(df: DataFrame, path: str, crs: str | None = None, output_crs: str = "wgs84") -> None:
     """By suffix; spatial formats need a geometry column.
 
-    ``crs`` names what the geometry is in (a code or .prj text).  GeoJSON is
-    always written in WGS 84, a shapefile or GeoPackage in WGS 84 or, with
-    ``output_crs="source"``, as it is; what can't be projected stays as it is.
+    ``crs`` names what the geometry is in (a code or .prj text; else it is told
+    from the vertices).  GeoJSON is always written in WGS 84, a shapefile or
+    GeoPackage in WGS 84 or, with ``output_crs="source"``, as it is.  A geometry
+    that must be projected and can't be raises ValueError.
     """
-    from ..functions.crs import PRJ, parse_projection, to_wgs84
-
     if output_crs not in ("wgs84", "source"):
         raise ValueError("output_crs: wgs84 or source")
     spatial = suffix(path) in ("json", "geojson", "zip", "shp", "gpkg") and "geometry" in df.columns
-    p = parse_projection(crs=crs)
-    if spatial and p.kind not in ("geographic", "unknown") and (output_crs == "wgs84" or suffix(path) in ("json", "geojson")):
+    p = layer_projection(df, crs) if spatial else parse_projection(crs=crs)
+    crs = crs or ("EPSG:4326" if p.kind == "geographic" else "")
+    if spatial and p.kind != "geographic" and (output_crs == "wgs84" or suffix(path) in ("json", "geojson")):
+        if p.kind == "unknown":
+            raise ValueError(f"no way from {p.code} to WGS 84: name the system, or write a shapefile or GeoPackage with output_crs='source'")
         df, crs = df.withColumn("geometry", to_wgs84(F.col("geometry"), p)), "EPSG:4326"
     kind = suffix(path)
     if kind == "csv":
@@ -320,7 +399,7 @@ def write_events(df: DataFrame, path: str, crs: str = "EPSG:4326", output_crs: s
             raise ValueError("GeoJSON needs a geometry column")
         to_geojson(df, path, crs)
     elif kind in ("zip", "shp"):
-        to_shapefile(df, path, PRJ.get(crs, crs if "[" in crs else PRJ["EPSG:4326"]))
+        to_shapefile(df, path, PRJ.get(crs, crs if "[" in crs else PRJ["EPSG:4326"] if p.kind == "geographic" else ""))
     elif kind == "gpkg":
         known = p.kind == "geographic" or crs in PRJ
         code = crs if crs in PRJ else "EPSG:4326" if known else ""

@@ -196,3 +196,46 @@ def test_bare_shapefiles_and_folders(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_events(spark, f"{tmp_path}/z")
     assert source_crs(spark, f"{tmp_path}/t.csv") is None
+
+
+def test_what_cannot_be_projected_is_not_called_wgs84(spark, tmp_path):
+    from milepost.functions.crs import PRJ
+    from milepost.sources.tables import layer_projection, source_crs, spatial_output
+
+    feet = table(spark).withColumn("geometry", F.expr("named_struct('type', geometry.type, 'parts', transform(geometry.parts, p -> transform(p, v -> named_struct('x', v.x + 656166.0, 'y', v.y + 9e5, 'z', v.z, 'm', v.m))))"))
+    assert layer_projection(table(spark)).kind == "geographic" and layer_projection(feet).kind == "unknown" and layer_projection(feet, "EPSG:2236").kind == "tmerc"
+    for path, crs in (("a.geojson", None), ("a.zip", None), ("a.gpkg", "EPSG:9999")):
+        with pytest.raises(ValueError):
+            write_events(feet, f"{tmp_path}/{path}", crs)
+    write_events(feet, f"{tmp_path}/kept.zip", output_crs="source")
+    assert not source_crs(spark, f"{tmp_path}/kept.zip")
+    write_events(feet, f"{tmp_path}/feet.geojson", PRJ["EPSG:2236"])
+    assert abs(read_events(spark, f"{tmp_path}/feet.geojson").first()["geometry"]["parts"][0][0]["x"] + 81) < 0.1
+    assert [spatial_output(*a) for a in (("x", "shapefile"), ("d/x.csv", "geojson"), ("x.gpkg",), ("x.shp", "json"))] == ["x.shp", "d/x.geojson", "x.gpkg", "x.shp"]
+    with pytest.raises(ValueError):
+        spatial_output("x.csv")
+
+
+def test_archives_and_several_files(spark, tmp_path):
+    import zipfile
+
+    from milepost.sources.tables import main_file
+
+    line = '{"type":"Feature","properties":{"ROADWAY":"1","N":2},"geometry":{"type":"LineString","coordinates":[[0,0],[1,1]]}}'
+    inside = {"a": {"t.csv": 'ROADWAY,"N"\n007,"1,5"\n"0""8",\n'}, "b": {"x.geojson": line, "t.csv": "A\n1\n"}, "c": {"t.txt": "﻿ROADWAY,NOTE\n1,\"two\nlines\"\n"}, "d": {"readme.md": "none"}}
+    for name, members in inside.items():
+        with zipfile.ZipFile(f"{tmp_path}/{name}.zip", "w") as z:
+            for member, text in members.items():
+                z.writestr(member, text)
+    with zipfile.ZipFile(f"{tmp_path}/e.zip", "w") as z:
+        z.write(f"{tmp_path}/a.zip", "deep/a.zip")
+    read = lambda n: [r.asDict() for r in read_events(spark, f"{tmp_path}/{n}.zip").drop("geometry").collect()]
+    assert read("a") == read("e") == [{"ROADWAY": "007", "N": 15.0}, {"ROADWAY": '0"8', "N": None}]
+    assert read("b") == [{"N": 2.0, "ROADWAY": "1"}] and read("c") == [{"ROADWAY": "1", "NOTE": "two\nlines"}]
+    with pytest.raises(Exception, match="no shapefile"):
+        read("d")
+    (tmp_path / "t.txt").write_text("ROADWAY,N\n1,2\n")
+    assert read_events(spark, [f"{tmp_path}/z.xlsx", f"{tmp_path}/t.txt"]).first()["N"] == 2.0
+    assert main_file(["a.dbf", "a.shp", "a.csv"]) == "a.csv" and main_file(["a.dbf", "a.shp"]) == "a.shp"
+    with pytest.raises(ValueError):
+        main_file(["a.shp", "b.shp"])
