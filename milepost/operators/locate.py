@@ -64,7 +64,7 @@ def locate_points(
 
     pairs = match_columns(points, events, match_pairs)
     p = points.select(
-        *keyed(points, p_schema, [a for a, _ in pairs], "p"), p_schema.at.alias("m"), F.monotonically_increasing_id().alias("pid"),
+        *keyed(points, p_schema, [a for a, _ in pairs], "p"), p_schema.at.alias("m"),
         F.struct(*[col(c).alias(f"c{n}") for n, c in enumerate(points.columns)]).alias("p"),
     )
     line = [col("geometry").alias("g")] if "geometry" in events.columns else []
@@ -103,7 +103,7 @@ def locate_points(
         if points.isStreaming:
             met = p.join(e, on_route & covers, "left")
         else:
-            plain, hot = meet(p.withColumn("m2", F.col("m")), e, both, ("m", "m2"), ("b", "e"), covers, "left", [*[f"p{k}" for k in keys], "pid"], hot_rows)
+            plain, hot = meet(p.withColumns({"m2": F.col("m"), "pid": F.monotonically_increasing_id()}), e, both, ("m", "m2"), ("b", "e"), covers, "left", [*[f"p{k}" for k in keys], "pid"], hot_rows)
             met = plain.unionAll(hot)
         return Located(output(met.where("o.hit")), output(met.where("o.hit IS NULL")))
     met = p.join(e, on_route, "left")
