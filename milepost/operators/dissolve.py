@@ -35,7 +35,7 @@ def dissolve(
     agg: dict[str, str] | None = None,
     run_order: str = "groups",
     seq_cols: list[str] | None = None,
-    hot_rows: int | None = None,
+    hot_rows: float | None = None,
 ) -> DataFrame:
     """Merge neighbouring rows of equal group values.
 
@@ -88,7 +88,7 @@ def dissolve(
     return out.select(*[(F.col(f"v{n}") if c in carried else F.col(f"g{groups.index(c)}")).alias(c) for n, c in enumerate(df.columns)])
 
 
-def _in_blocks(rows: DataFrame, keys: list[str], before: Column, joins: Column, hot_rows: int | None) -> list[DataFrame]:
+def _in_blocks(rows: DataFrame, keys: list[str], before: Column, joins: Column, hot_rows: float | None) -> list[DataFrame]:
     """Rows with the number of their block along their keys: ``joins`` tells, from
     what the row before was, whether a row continues its block."""
     order, found = ["b", "e", "seq"], []
@@ -111,7 +111,7 @@ def _merged_geometry(geometry: Column, order: Column) -> Column:
     return F.when(F.size(parts) > 0, F.struct(kind.alias("type"), parts.alias("parts")))
 
 
-def collapse_longest(df: DataFrame, schema: LrsSchema | None = None, group_cols: list[str] | None = None, seq_cols: list[str] | None = None, hot_rows: int | None = None) -> DataFrame:
+def collapse_longest(df: DataFrame, schema: LrsSchema | None = None, group_cols: list[str] | None = None, seq_cols: list[str] | None = None, hot_rows: float | None = None) -> DataFrame:
     """Each contiguous block of equal group values keeps the whole row of its
     longest segment (of equals the last), with the block's bounds.
 

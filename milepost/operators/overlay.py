@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..plans.schema import LrsSchema, col, dates_overlap
 from .cells import meet
 from .dissolve import collapse_longest
+from .scan import NEVER
 
 
 def match_columns(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]] | None) -> list[tuple[Column, Column]]:
@@ -121,7 +122,8 @@ def overlay_events(
     result = slices.select(*[v.alias(k) for k, v in out.items()])
     if collapse == "longest":
         named = {r: rename.get(getattr(t_schema, r), getattr(t_schema, r)) for r in ("roadway", "bmp", "emp")}
-        return collapse_longest(result, t_schema.updated(**named), collapse_group_cols)
+        # the slices are joined and cut already: they are not made thrice to find hot groups
+        return collapse_longest(result, t_schema.updated(**named), collapse_group_cols, hot_rows=NEVER)
     return result
 
 

@@ -25,10 +25,16 @@ def _same(pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs])
 
 
-def parts(rows: DataFrame, keys: list[str], at: str, hot_rows: int | None = None) -> list[Scan]:
+#: Never cut: for rows that are costly to make, as finding the hot keys reads them once more.
+NEVER = float("inf")
+
+
+def parts(rows: DataFrame, keys: list[str], at: str, hot_rows: float | None = None) -> list[Scan]:
     """The rows of plain keys and those of hot ones, as two scans; keys may be
     null, rows whose measure ``at`` is null come last."""
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    if hot_rows == NEVER:
+        return [Scan(rows, keys, False)]
     names = [f"__h{n}" for n in range(len(keys))]
     hot = rows.groupBy(*[F.col(k).alias(h) for k, h in zip(keys, names)]).agg(F.count(F.lit(1)).alias("__n"), F.min(at).alias("__lo"), F.max(at).alias("__hi"))
     hot = hot.where(F.col("__n") > hot_rows)
