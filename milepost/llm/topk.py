@@ -14,9 +14,9 @@ table's size, and returns k rows per query.
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part; ties go to the smaller id; a query with fewer than k
 candidates gets all; rows with a null id take no part; rows that repeat an id
-are candidates each, except for a query of that id; vectors of differing length
-raise ValueError, as does a scale at which a score might not fit a long; an
-empty table gives no rows.
+are candidates each, except for a query of that id; vectors meet those of their
+own length only; a scale at which a score might not fit a long raises
+ValueError; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -106,28 +106,24 @@ def exact_topk(
     chunks, blocks = max(1, -(-total // chunk)), max(1, -(-asked // query_block))
     bucket = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = usable.where("q").select("id", "v", bucket(blocks, 1).alias("b"), every(chunks).alias("c"))
-    right = usable.select("id", "v", every(blocks).alias("b"), bucket(chunks, 2).alias("c"))
+    size = F.size("v").alias("n")
+    left = usable.where("q").select("id", "v", size, bucket(blocks, 1).alias("b"), every(chunks).alias("c"))
+    right = usable.select("id", "v", size, every(blocks).alias("b"), bucket(chunks, 2).alias("c"))
 
     def meet(left: Iterator[pa.RecordBatch] | pa.Table, right: pa.Table) -> pa.Table:
         def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             flat = t.column("v").combine_chunks()
             rows = flat.flatten().to_numpy(zero_copy_only=False) if t.num_rows else np.zeros(0, np.int64)
-            width = len(rows) // max(t.num_rows, 1)
-            if len(rows) != width * t.num_rows or (t.num_rows and (flat.value_lengths().to_numpy() != width).any()):
-                raise ValueError("vectors of differing length")
-            return rows.reshape(t.num_rows, width), t.column("id").to_numpy()
+            return rows.reshape(t.num_rows, -1), t.column("id").to_numpy()
 
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         (q, q_ids), (v, ids) = matrix(left), matrix(right)
-        if q.shape[1] != v.shape[1]:
-            raise ValueError("vectors of differing length")
         order = np.argsort(ids, kind="stable")
         which, found, score = vertical_topk(q, q_ids, v[order], ids[order], k)
         return pa.table({"query_id": q_ids[which], "id": found, "score": score})
 
-    found = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(meet, "query_id long, id long, score long")
+    found = left.groupBy("n", "b", "c").cogroup(right.groupBy("n", "b", "c")).applyInArrow(meet, "query_id long, id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return (
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -264,6 +264,13 @@ def test_exact_topk_small(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in exact_topk(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 512)]
     assert exact_topk(df.limit(0), F.col("vec_id") == 0).count() == 0
+    mixed = [(0, [1.0, 2.0]), (1, [2.0]), (2, [1.0, 1.0]), (50, [3.0]), (2, [1.0, 3.0]), (50, [1.0, 1.0]), (2, [1.0, 3.0])]
+    got = exact_topk(spark.createDataFrame(mixed, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    unit = 256 * 256
+    assert sorted(map(tuple, got)) == [
+        (0, 1, 2, 7 * unit), (0, 2, 2, 7 * unit), (0, 3, 2, 3 * unit), (0, 4, 50, 3 * unit),
+        (50, 1, 1, 6 * unit), (50, 2, 2, 4 * unit), (50, 3, 2, 4 * unit), (50, 4, 0, 3 * unit), (50, 5, 2, 2 * unit),
+    ]
     with pytest.raises(Exception, match="beyond a long"):
         exact_topk(df, F.col("vec_id") == 0, scale=1 << 40).collect()
 
