@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import union_parts
 from ..functions.keys import PadRule, finite, is_missing, measure_text, pad_route_id, to_number
 from ..plans.schema import ALIASES, LrsSchema, col, find_column, resolve_roles
+from .numbering import numbered
 
 #: Columns that unpacking adds and packing takes away.
 WORKING = ("LRS_SUB_ID", "LRS_ROAD_NAME", "LRS_SOURCE_ROW", "ROADWAY_ORIG", "BEGIN_POST_ORIG", "END_POST_ORIG", "LOCATION")
@@ -58,8 +59,9 @@ def explode_routes(
     """One row per approach, with working columns for ``combine_routes``.
 
     A point approach gets a stub of ``stub_length`` around it (0: none).
-    ``row_col`` numbers the source rows; without it they are numbered in the
-    order in which Spark reads them, which is best effort.  ``names_col=""``
+    ``row_col`` numbers the source rows; without it they are numbered from 1 in
+    the order in which Spark reads them, which runs a job while the query is
+    built and keeps the numbers (``numbering``).  ``names_col=""``
     ignores road names.  Rows without a readable approach are left out;
     geometry is dropped.
     """
@@ -68,8 +70,8 @@ def explode_routes(
         raise KeyError("no packed route column, such as Intersecting Roadway Id Milepoints")
     parent_col = parent_col or find_column(df.columns, ALIASES["parent"])
     names_col = None if names_col == "" else names_col or find_column(df.columns, ALIASES["names"])
-    number = col(row_col).cast("long") if row_col else F.monotonically_increasing_id() + 1
-    rows = df.withColumn("__n", number).withColumn("__a", approaches(col(packed_col)))
+    rows = df.withColumn("__n", col(row_col).cast("long")) if row_col else numbered(df, "__n")
+    rows = rows.withColumn("__a", approaches(col(packed_col)))
     rows = rows.select("*", F.posexplode("__a").alias("__k", "__x"))
     stub = (F.col("__x.bmp") == F.col("__x.emp")) & F.lit(stub_length > 0)
     half = stub_length / 2

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import is_empty, is_line, line_length, split_line_by_measure, with_measures
 from ..functions.keys import is_missing, to_number
 from ..plans.schema import LrsSchema, col, resolve_roles
 from .dissolve import dissolve
+from .numbering import kept, numbered
+from .planar import united
 
 
 def locate_events_on_routes(events: DataFrame, routes: DataFrame, event_schema: LrsSchema | None = None, route_schema: LrsSchema | None = None, null_keys_match: bool = True) -> DataFrame:
@@ -42,9 +42,18 @@ def locate_events_on_routes(events: DataFrame, routes: DataFrame, event_schema:
     return done.select(*[F.col(f"row.c{n}").alias(c) for n, c in enumerate(kept)], geometry.alias("geometry"))
 
 
-def dissolve_geometries(df: DataFrame, schema: LrsSchema | None = None, group_cols: list[str] | None = None, seq_cols: list[str] | None = None) -> DataFrame:
-    """``dissolve`` of a table with geometry: a block's lines become one."""
-    return dissolve(df, schema, group_cols, seq_cols=seq_cols)
+def dissolve_geometries(df: DataFrame, schema: LrsSchema | None = None, group_cols: list[str] | None = None, seq_cols: list[str] | None = None, union: str = "parts", require_contiguous: bool = True) -> DataFrame:
+    """``dissolve`` of a table with geometry: a block's lines become one, of all
+    their parts (``union="parts"``) or split at nodes with every stretch once
+    (``"true"``).  Blocks without a line stay, with a null geometry in a true union."""
+    if union not in ("parts", "true"):
+        raise ValueError("union: parts or true")
+    blocks = dissolve(df, schema, group_cols, require_contiguous, seq_cols=seq_cols)
+    if union == "parts":
+        return blocks
+    blocks = kept(blocks.withColumn("__block", F.monotonically_increasing_id()))
+    lines = united(blocks, ["__block"])
+    return blocks.drop("geometry").join(lines, "__block", "left").select(df.columns)
 
 
 def display_events(routes: DataFrame, events: DataFrame | None = None, drop_empty: bool = True, **schemas: LrsSchema | None) -> DataFrame:
@@ -59,9 +68,8 @@ def calibrate_routes(routes: DataFrame, crs: str = "EPSG:4326", seq_cols: list[s
     Missing ids become R000001 ... in row order (``seq_cols``, else read
     order); bounds that are missing or have no length become 0 and the line's
     length; lines without M get it along their length.  Absent columns are
-    added as LRS_UID, LRS_BMP and LRS_EMP.  In read order the rows without an id
-    are numbered partition by partition, after one count; an order by
-    ``seq_cols`` takes one task.
+    added as LRS_UID, LRS_BMP and LRS_EMP.  Rows are numbered in ranges kept in
+    the shared folder (``numbering``), which runs a job while the query is built.
     """
     found = resolve_roles(routes.columns, wanted)
     road, bmp, emp = found["roadway"] or "LRS_UID", found["bmp"] or "LRS_BMP", found["emp"] or "LRS_EMP"
@@ -70,19 +78,10 @@ def calibrate_routes(routes: DataFrame, crs: str = "EPSG:4326", seq_cols: list[s
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     lacks = is_missing(col(road))
-    if seq_cols:
-        numbered = rows.where(lacks).withColumn("__n", F.row_number().over(Window.orderBy(F.struct(*[col(c) for c in seq_cols]))))
-    else:
-        # in read order: a number within the partition, and how many come before it
-        placed = rows.where(lacks).withColumn("__at", F.monotonically_increasing_id()).withColumn("__p", F.spark_partition_id())
-        before, total = {}, 0
-        for r in sorted(placed.groupBy("__p").count().collect()):
-            before[r[0]], total = total, total + r[1]
-        offset = F.coalesce(F.get(F.from_json(F.lit(json.dumps([before.get(k, 0) for k in range(max(before, default=-1) + 1)])), "array<long>"), F.col("__p")), F.lit(0))
-        inside = F.row_number().over(Window.partitionBy("__p").orderBy("__at"))
-        numbered = placed.withColumn("__n", inside + offset).drop("__at", "__p")
+    # read order, or that of seq_cols; rows that have an id are not counted
+    rows = numbered(rows, "__n", [col(c) for c in seq_cols or []], lacks)
     name = F.concat(F.lit("R"), F.when(F.length(F.col("__n").cast("string")) >= 6, F.col("__n").cast("string")).otherwise(F.lpad(F.col("__n").cast("string"), 6, "0")))
-    rows = rows.where(~lacks).withColumn(road, col(road).cast("string")).unionByName(numbered.withColumn(road, name).drop("__n"))
+    rows = rows.withColumn(road, F.when(F.col("__n").isNull(), col(road).cast("string")).otherwise(name)).drop("__n")
     b, e = to_number(col(bmp)), to_number(col(emp))
     sound: Column = F.coalesce(e > b, F.lit(False))
     rows = rows.withColumns({"__b": F.when(sound, b).otherwise(F.lit(0.0)), "__e": F.when(sound, e).otherwise(F.coalesce(line_length(col("geometry"), crs), F.lit(0.0)))})

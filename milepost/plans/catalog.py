@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.crs import parse_projection, project, to_wgs84
-from ..functions.geometry import line_length
+from ..functions.geometry import line_length, line_of, part_length, vertex
 from ..functions.keys import PadRule, pad_route_id
 from ..operators import packed as packing
 from ..operators import qc, report
@@ -17,7 +17,8 @@ from ..operators.dissolve import collapse_longest, dissolve
 from ..operators.locate import locate_points
 from ..operators.mapping import map_features
 from ..operators.overlay import overlay_events, route_coverage
-from ..operators.routes import calibrate_routes, locate_events_on_routes
+from ..operators.planar import union_lines
+from ..operators.routes import calibrate_routes, dissolve_geometries, locate_events_on_routes
 from . import fixtures as fx
 from .schema import LrsSchema, as_of
 
@@ -230,6 +231,24 @@ def calibrate_straight(s: SparkSession, d: str) -> DataFrame:
     return out.select("tid", "road", "bmp", F.round("LRS_EMP", 9).alias("LRS_EMP"), F.round(last["m"], 9).alias("last_m"))
 
 
+def calibrate_numbered(s: SparkSession, d: str) -> DataFrame:
+    """Two rows of three lack their id and are numbered by status and key."""
+    routes = fx.routes(s, d).withColumn("road", F.when(F.col("tid") % 3 == 0, F.col("road")))
+    return calibrate_routes(routes, "EPSG:3857", ["status", "tid"], roadway="road", bmp="bmp", emp="emp").select("tid", "road")
+
+
+def union_of_lines(s: SparkSession, d: str) -> DataFrame:
+    parts = union_lines(fx.networks(s, d), ["net"])
+    return parts.groupBy("net").agg(F.count(F.lit(1)).alias("n_parts"), F.round(F.sum(part_length(F.col("part"))), 6).alias("length"))
+
+
+def dissolve_true_union(s: SparkSession, d: str) -> DataFrame:
+    """Overlapping lines along a route, a third of all rows on one."""
+    rows = fx.hot_overlays(s, d).select("road", "bmp", "emp", "side", line_of(F.array(vertex(F.col("bmp"), F.lit(0.0)), vertex(F.col("emp"), F.lit(0.0)))).alias("geometry"))
+    out = dissolve_geometries(rows, LINE, ["side"], union="true", require_contiguous=False)
+    return out.select("road", "side", "bmp", "emp", F.size("geometry.parts").cast("long").alias("n_parts"), F.round(line_length(F.col("geometry")), 6).alias("length"))
+
+
 def _projected(kind: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         rows = fx.points(s, d).select("event_id", (500000 + F.col("measure") * 1000).alias("x"), (3000000 + F.col("event_id") % 1000 * 100).cast("double").alias("y"))
@@ -248,8 +267,6 @@ CONE = (
 
 def bent_routes(s: SparkSession, d: str) -> DataFrame:
     """Routes of two legs with M: the first half of x has a quarter of the measure."""
-    from ..functions.geometry import line_of, vertex
-
     e, zero = F.col("emp"), F.lit(0.0)
     line = line_of(F.array(vertex(zero, zero, zero, zero), vertex(e, zero, zero, e / 4), vertex(e * 2, zero, zero, e)))
     return fx.targets(s, d).withColumn("geometry", line)
@@ -287,8 +304,6 @@ def unique_values(s: SparkSession, d: str) -> DataFrame:
 
 def winding_routes(s: SparkSession, d: str) -> DataFrame:
     """Routes of 101 vertices, evenly spaced."""
-    from ..functions.geometry import line_of, vertex
-
     line = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: vertex(F.col("emp") * i * 1000.0, F.lit(0.0)))
     return fx.targets(s, d).withColumn("geometry", F.struct(F.lit("LineString").alias("type"), F.array(line).alias("parts")))
 
@@ -326,7 +341,7 @@ def queries() -> dict[str, Query]:
         overlay_left, overlay_inner, overlay_cursor, overlay_collapse_longest, overlay_match_side, overlay_rename, overlay_date_overlap,
         dissolve_default, dissolve_groups, dissolve_gap_ok, dissolve_agg, dissolve_along_route, locate_unmatched, locate_both_sides, locate_unmatched_pairs,
         gaps, gaps_by_side, overlaps, overlaps_binned, neighbors, validate_flat, validate_summary, pad_ids, extract_packed, combine_packed,
-        clip_straight, clip_measured, line_miles, project_geometry, geometry_counts, unique_values, calibrate_straight, report_overlay, report_locate, report_clip, map_features_thinned, extract_counts, sample_values,
+        clip_straight, clip_measured, line_miles, project_geometry, geometry_counts, unique_values, calibrate_straight, calibrate_numbered, union_of_lines, dissolve_true_union, report_overlay, report_locate, report_clip, map_features_thinned, extract_counts, sample_values,
     ]
     named = {
         "route_coverage": coverage, "collapse_longest": collapse, "locate_points": locate_located, "inspect_keys": inspect, "as_of": in_effect,
@@ -544,6 +559,29 @@ def oracle_sql() -> dict[str, str]:
             """SELECT event_id, round(degrees((500000 + measure * 1000) / 6378137), 7) AS lon,
             round(degrees(2 * atan(exp((3000000 + event_id % 1000 * 100)::DOUBLE / 6378137)) - pi() / 2), 7) AS lat FROM fx_points"""
         ),
+        "calibrate_numbered": v(
+            """SELECT tid, CASE WHEN tid % 3 = 0 THEN road ELSE 'R' || CASE WHEN n < 100000 THEN lpad(CAST(n AS VARCHAR), 6, '0') ELSE CAST(n AS VARCHAR) END END AS road
+            FROM (SELECT *, row_number() OVER (PARTITION BY tid % 3 = 0 ORDER BY status, tid) AS n FROM fx_target)"""
+        ),
+        # a part has two ends, and each lies at a node; lines that merely run along each other there make none
+        "union_of_lines": v(
+            """-- with
+            st AS (SELECT net, px, py, lead(px) OVER w AS qx, lead(py) OVER w AS qy FROM fx_steps WINDOW w AS (PARTITION BY net, tid ORDER BY i)),
+            ed AS (SELECT DISTINCT net, least((px, py), (qx, qy)) AS a, greatest((px, py), (qx, qy)) AS b FROM st WHERE qx IS NOT NULL),
+            nd AS (SELECT net, (px, py) AS p FROM fx_steps GROUP BY ALL HAVING bool_or(last) OR count(*) > 1 AND (bool_or(course = 'corner') OR count(DISTINCT course) > 1)),
+            dg AS (SELECT net, count(*) AS n FROM (SELECT net, a AS p FROM ed UNION ALL SELECT net, b FROM ed) JOIN nd USING (net, p) GROUP BY net),
+            ln AS (SELECT net, round(sum(CASE WHEN a[1] = b[1] OR a[2] = b[2] THEN 0.5::DOUBLE ELSE sqrt(0.5::DOUBLE) END), 6) AS length FROM ed GROUP BY net)
+            SELECT net, n // 2 AS n_parts, length FROM dg JOIN ln USING (net)"""
+        ),
+        "dissolve_true_union": v(
+            """-- with
+            st AS (SELECT road, side, bmp, emp, unnest(generate_series(CAST(bmp * 8 AS BIGINT), CAST(emp * 8 AS BIGINT))) AS x FROM fx_hot_overlay),
+            ed AS (SELECT DISTINCT road, side, x AS a, x + 1 AS b FROM st WHERE x < emp * 8),
+            nd AS (SELECT road, side, x AS p FROM st GROUP BY ALL HAVING bool_or(x = bmp * 8 OR x = emp * 8)),
+            dg AS (SELECT road, side, count(*) // 2 AS n_parts FROM (SELECT road, side, a AS p FROM ed UNION ALL SELECT road, side, b FROM ed) JOIN nd USING (road, side, p) GROUP BY ALL),
+            ln AS (SELECT road, side, round(count(*) / 8.0::DOUBLE, 6) AS length FROM ed GROUP BY ALL)
+            SELECT road, side, min(bmp) AS bmp, max(emp) AS emp, any_value(n_parts) AS n_parts, any_value(length) AS length FROM fx_hot_overlay JOIN dg USING (road, side) JOIN ln USING (road, side) GROUP BY road, side"""
+        ),
         "map_features_thinned": v(
             """SELECT tid AS _row, CAST(8 AS INTEGER) AS n_vertices, 0.0::DOUBLE AS lon_from, round(degrees(emp * 14 * 1000.0::DOUBLE / 6378137), 9) AS lon_second,
             round(degrees(emp * 100 * 1000.0::DOUBLE / 6378137), 9) AS lon_to, status FROM fx_target"""

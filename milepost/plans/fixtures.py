@@ -80,6 +80,21 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets(spark, sf_dir).withColumn("geometry", line_of(F.array(vertex(zero, zero), vertex(F.col("emp") * 2, zero))))
 
 
+def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bent line per order (level, upright, aslant), by customer; a third of all
+    rows is one network.  Whatever meets does so at half steps."""
+    from ..functions.geometry import line_of, vertex
+
+    o = _table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    hot = k % 3 == 0
+    x, y = k % 7 + F.when(hot, k).otherwise(0), k * 5 % 11
+    right, top = x + c % 9 + 1, y + k % 6 + 1
+    aslant = c % 5 + 1
+    line = line_of(F.array(vertex(x, y), vertex(right, y), vertex(right, top), vertex(right + (1 - k % 2 * 2) * aslant, top + aslant)))
+    return o.select(F.when(hot, 0).otherwise(c).alias("net"), k.alias("tid"), line.alias("geometry"))
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with its items packed as part = measure."""
     i = overlays(spark, sf_dir)
@@ -107,6 +122,12 @@ SQL = {
       CASE WHEN CAST(road AS BIGINT) % 3 = 0 THEN emp + CAST(road AS BIGINT) * CAST(2 AS DOUBLE) ELSE emp END AS emp) FROM fx_overlay""",
     "fx_hot_points": """SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN '0' ELSE road END AS road,
       CASE WHEN event_id % 3 = 0 THEN measure + event_id * CAST(2 AS DOUBLE) ELSE measure END AS measure) FROM fx_points""",
+    # the half steps of each line, numbered; coordinates in halves
+    "fx_steps": """SELECT net, tid, i, CASE WHEN i <= 2 * w THEN 2 * x + i WHEN i <= 2 * (w + v) THEN 2 * (x + w) ELSE 2 * (x + w) + (1 - tid % 2 * 2) * (i - 2 * (w + v)) END AS px,
+      2 * y + CASE WHEN i <= 2 * w THEN 0 ELSE i - 2 * w END AS py, i = 0 OR i = 2 * (w + v + d) AS last,
+      CASE WHEN i = 2 * w OR i = 2 * (w + v) THEN 'corner' WHEN i < 2 * w THEN 'level' WHEN i < 2 * (w + v) THEN 'upright' ELSE 'aslant' || tid % 2 END AS course
+      FROM (SELECT *, unnest(generate_series(0, 2 * (w + v + d))) AS i FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS net, o_orderkey AS tid,
+      o_orderkey % 7 + CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE 0 END AS x, o_orderkey * 5 % 11 AS y, o_custkey % 9 + 1 AS w, o_orderkey % 6 + 1 AS v, o_custkey % 5 + 1 AS d FROM orders))""",
     "fx_dated": """SELECT o_orderkey AS tid, CAST(o_custkey AS VARCHAR) AS road, o_orderdate AS from_date,
       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate + INTERVAL '365' DAY END AS to_date FROM orders""",
 }
