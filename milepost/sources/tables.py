@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from ..functions.geometry import GEOMETRY, is_line
 from ..functions.keys import to_number
 from ..operators.report import geometry_bounds
 from ..plans.schema import ALIASES, col
-from . import formats
+from . import formats, splits
 
 ROUTE_NAMES = {a.lower() for a in ALIASES["roadway"]}
 
@@ -80,18 +81,34 @@ def geometry_from_json(text):
 
 def read_geojson(spark: SparkSession, path: str, numbers: bool = True) -> DataFrame:
     """A FeatureCollection, one feature, or a bare geometry per file: a row per
-    feature, properties as columns."""
-    return _features(spark.read.text(path, wholetext=True), numbers)
+    feature, properties as columns.  A collection is read by many tasks
+    (``splits``); a file without features is one text."""
+    texts, files = splits.feature_texts(spark, path)
+    shape = "type string, properties map<string,string>, geometry string"
+    listed = texts.select("file", F.from_json("text", shape).alias("r")).where("r.type = 'Feature'").select("file", "r.properties", "r.geometry")
+    rest = [unquote(r[0]) for r in files.join(listed.select("file").distinct(), "file", "left_anti").collect()]
+    rows = listed.drop("file")
+    if rest:
+        rows = rows.unionAll(_of_texts(spark.read.text(rest, wholetext=True)))
+    return _as_table(rows, numbers)
 
 
 def _features(files: DataFrame, numbers: bool) -> DataFrame:
     """The features of texts in ``value``."""
+    return _as_table(_of_texts(files), numbers)
+
+
+def _of_texts(files: DataFrame) -> DataFrame:
     top = F.from_json("value", "type string, features array<string>, properties string, geometry string")
     features = files.select("value", top.alias("t"))
     feature = F.when(F.col("t.type") == "FeatureCollection", F.col("t.features")).when(F.col("t.type") == "Feature", F.array("value"))
     bare = F.array(F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), F.col("value"), F.lit("}")))
     rows = features.select(F.explode(F.coalesce(feature, bare)).alias("f"))
-    rows = rows.select(F.from_json("f", "properties map<string,string>, geometry string").alias("r")).select("r.properties", "r.geometry")
+    return rows.select(F.from_json("f", "properties map<string,string>, geometry string").alias("r")).select("r.properties", "r.geometry")
+
+
+def _as_table(rows: DataFrame, numbers: bool) -> DataFrame:
+    """Properties (of all rows) as columns, then the geometry."""
     names = [r[0] for r in rows.select(F.explode(F.map_keys("properties"))).distinct().sort("col").collect()]
     df = rows.select(*[F.col("properties").getItem(n).alias(n) for n in names], geometry_from_json(F.col("geometry")).alias("geometry"))
     return infer_numbers(df) if numbers else df
