@@ -22,7 +22,7 @@ from ..functions.geometry import GEOMETRY, is_line
 from ..functions.keys import to_number
 from ..operators.report import geometry_bounds
 from ..plans.schema import ALIASES, col
-from . import formats, splits
+from . import formats, shapes, splits
 
 ROUTE_NAMES = {a.lower() for a in ALIASES["roadway"]}
 
@@ -47,13 +47,41 @@ def infer_numbers(df: DataFrame, keep: set[str] = ROUTE_NAMES) -> DataFrame:
     return df.withColumns(value)
 
 
+#: Doubled quotes; fields in quotes may hold line breaks.
+_CSV = {"quote": '"', "escape": '"'}
+
+
 def read_csv(spark: SparkSession, path: str, numbers: bool = True) -> DataFrame:
-    """Quoted fields with doubled quotes, headers trimmed; all text at first."""
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    df = df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
+    """Quoted fields with doubled quotes, headers trimmed; all text at first.
+    Lines that hold only blanks are left out.  Many tasks read a file: by lines
+    where no field holds a line break (one job finds out), else by records
+    (``splits``); files with such fields whose lines end in \\r alone are read by
+    a task each."""
+    names = spark.read.csv(path, header=True, multiLine=True, **_CSV).columns
+    lines = spark.read.text(path)
+    opens = splits.leaves_open(F.col("value"))[0]
+    if lines.where(opens).isEmpty():
+        df = spark.read.schema(_texts(names)).csv(path, header=True, **_CSV)
+    elif not _only_returns(spark, path).isEmpty():
+        df = spark.read.csv(path, header=True, multiLine=True, **_CSV)
+    else:
+        fields = F.from_csv("text", _texts([f"c{n}" for n in range(len(names))]), {**_CSV, "multiLine": "true"})
+        rows = splits.csv_records(spark, path).where("record > 1").select(fields.alias("r"))
+        df = rows.select("r.*")
+    df = df.toDF(*[c.strip().lstrip("\ufeff") for c in names])
     return infer_numbers(df) if numbers else df
 
 
+def _texts(names: list[str]) -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+
+
+def _only_returns(spark: SparkSession, path: str) -> DataFrame:
+    """Files with \\r within their only line."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.rtrim("value").rlike(r"\r.").alias("inside"))
+    return lines.groupBy("file").agg(F.count("*").alias("n"), F.bool_or("inside").alias("inside")).where("n = 1 and inside")
+
+
 #: A feature's geometry, with coordinates as text: their nesting varies.
 _FEATURE = "type string, properties string, geometry struct<type string, coordinates string, geometries string>"
 
@@ -230,8 +258,21 @@ def first_shape(spark: SparkSession, folder: str) -> str:
     return found
 
 
+#: File systems of which a task can read a range by itself.
+RANGED = ("file:", "s3:", "gs:")
+
+
 def read_shape(spark: SparkSession, path: str) -> DataFrame:
-    """A bare .shp with the .dbf beside it, if there is one."""
+    """A bare .shp with the .dbf beside it, if there is one.  With an index
+    (.shx) beside it, on a file system of ``RANGED``, many tasks read it
+    (``shapes``); else one."""
+    beside = {}
+    for ending in ("shp", "shx", "dbf"):
+        first = _siblings(spark, path, ending).where(_named(path)).agg(F.min("path")).first()[0]
+        beside[ending] = first or ""
+    if beside["shp"] and beside["shx"] and beside["shp"].startswith(RANGED):
+        spark.dataSource.register(shapes.ShapefileSource)
+        return spark.read.format("shapefile").options(shx=beside["shx"], dbf=beside["dbf"]).load(beside["shp"])
     shp = _siblings(spark, path, "shp").where(_named(path)).select("stem", "path", F.col("content").alias("shp"))
     dbf = _siblings(spark, path, "dbf").where(_named(path)).select("stem", F.col("content").alias("dbf"))
     return _read_files(shp.join(dbf, "stem", "left").select("path", "shp", "dbf"), formats.shape_schema, lambda shp, dbf, schema: formats.shape_rows(shp, dbf))

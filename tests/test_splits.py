@@ -44,3 +44,97 @@ def test_folders_of_collections_features_and_geometries(spark, tmp_path):
 
     found = read_geojson(spark, str(folder)).collect()
     assert sorted((x["n"] or 0, (x["geometry"] or {"type": "-"})["type"]) for x in found) == [(0, "-"), (0, "Point"), (1, "LineString"), (2, "LineString"), (3, "LineString")]
+
+
+CELLS = ["plain", "a,b", "two\nlines", "\n\n", 'say "x"', '"\n"', ",\n\",", "é ", " ", "a\r\nb", '"', "\n"]
+
+
+def cut_small(spark, split):
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    return before
+
+
+@pytest.mark.parametrize("split", [23, 200, 1 << 20])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_each_record_once_wherever_the_csv_is_cut(spark, tmp_path, split, end):
+    import csv
+
+    r = random.Random(split)
+    rows = [[str(n), r.choice(CELLS), r.choice(CELLS)] for n in range(60)]
+    with open(tmp_path / "t.csv", "w", newline="", encoding="utf-8-sig") as f:
+        out = csv.writer(f, lineterminator=end)
+        out.writerow(["n", 'the "text"\nof it', "c"])
+        out.writerows(rows[:30])
+        # quotes within a field without quotes are text
+        f.write(f'100,5" pipe,"6"" pipe"{end}{end}101,a"b"c,x"{end}')
+        out.writerows(rows[30:])
+    from milepost.sources.tables import read_csv
+
+    before = cut_small(spark, split)
+    try:
+        df = read_csv(spark, f"{tmp_path}/t.csv", numbers=False)
+        assert df.columns == ["n", 'the "text"\nof it', "c"]
+        found = sorted((int(x[0]), x[1], x[2]) for x in df.collect())
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert found == sorted([(int(a), b, c) for a, b, c in rows] + [(100, '5" pipe', '6" pipe'), (101, 'a"b"c', 'x"')])
+
+
+def test_csv_files_without_line_breaks_in_fields_and_old_line_ends(spark, tmp_path):
+    from milepost.sources.tables import read_csv
+
+    (tmp_path / "a.csv").write_text('n, t \n1,"x, ""y"""\n\n2,5" pipe\n3,\n4,"z"\n')
+    plain = read_csv(spark, f"{tmp_path}/a.csv")
+    assert plain.columns == ["n", "t"]
+    assert sorted((x["n"], x["t"] or "") for x in plain.collect()) == [(1.0, 'x, "y"'), (2.0, '5" pipe'), (3.0, ""), (4.0, "z")]
+    (tmp_path / "old.csv").write_bytes(b'n,t\r1,"a\rb"\r2,c\r')
+    assert sorted((x["n"], x["t"]) for x in read_csv(spark, f"{tmp_path}/old.csv").collect())[1] == (2.0, "c")
+    (tmp_path / "head.csv").write_text("n,t\n")
+    assert read_csv(spark, f"{tmp_path}/head.csv").count() == 0
+    (tmp_path / "open.csv").write_text('n,t\n1,"a\n2,b\n')
+    assert [(x["n"], x["t"]) for x in read_csv(spark, f"{tmp_path}/open.csv", numbers=False).collect()] == [("1", "a\n2,b")]
+
+
+@pytest.mark.parametrize("range_bytes", [1, 700, 1 << 20])
+def test_each_shape_once_wherever_the_layer_is_cut(spark, tmp_path, range_bytes):
+    import zipfile
+
+    from pyspark.sql import types as T
+
+    from milepost.functions.geometry import GEOMETRY
+    from milepost.sources import formats
+    from milepost.sources.shapes import ShapefileSource
+    from milepost.sources.tables import read_shape
+
+    line = lambda n: {"type": "LineString", "parts": [[{"x": float(n + k), "y": float(k), "z": None, "m": None} for k in range(2 + n % 5)]]}
+    schema = T.StructType([T.StructField("N", T.DoubleType()), T.StructField("NOTE", T.StringType()), T.StructField("geometry", GEOMETRY)])
+    formats.write_shapefile(f"{tmp_path}/a.zip", schema, [{"N": float(n), "NOTE": f"é{n}" if n % 3 else None, "geometry": line(n)} for n in range(50)], "")
+    (tmp_path / "a b%").mkdir()
+    with zipfile.ZipFile(f"{tmp_path}/a.zip") as z:
+        z.extractall(tmp_path / "a b%")
+    shp = f"{tmp_path}/a b%/a.shp"
+    dbf = bytearray((tmp_path / "a b%" / "a.dbf").read_bytes())
+    fields, count, header, width = formats._dbf_fields(bytes(dbf))
+    dbf[header + 7 * width] = ord("*")
+    # two records more than shapes
+    dbf[4:8] = (52).to_bytes(4, "little")
+    dbf = dbf[: header + 50 * width] + dbf[header : header + 2 * width]
+    (tmp_path / "a b%" / "a.dbf").write_bytes(dbf)
+    spark.dataSource.register(ShapefileSource)
+    found = spark.read.format("shapefile").option("rangeBytes", range_bytes).load(shp)
+    tasks = found.rdd.getNumPartitions()
+    assert tasks == {1: 52, 700: -(-((tmp_path / "a b%" / "a.shp").stat().st_size + len(dbf)) // 700), 1 << 20: 1}[range_bytes]
+    key = lambda r: (r["N"], r["NOTE"] or "", str(r["geometry"]))
+    want = list(formats.shape_rows((tmp_path / "a b%" / "a.shp").read_bytes(), bytes(dbf)))
+    rows = [r.asDict(True) for r in found.collect()]
+    assert len(rows) == 51 and sorted(map(key, rows)) == sorted(map(key, want))
+    assert sorted(key(r.asDict(True)) for r in read_shape(spark, shp).collect()) == sorted(map(key, want))
+    few = spark.read.format("shapefile").schema("NOTE string, missing double").load(shp)
+    assert few.columns == ["NOTE", "missing"] and sorted(r["NOTE"] or "" for r in few.collect()) == sorted(r["NOTE"] or "" for r in want)
+    bare = spark.read.format("shapefile").options(dbf="").load(shp)
+    assert bare.columns == ["geometry"] and bare.count() == 50
+    (tmp_path / "a b%" / "a.shx").unlink()
+    assert sorted(key(r.asDict(True)) for r in read_shape(spark, shp).collect()) == sorted(map(key, want))
