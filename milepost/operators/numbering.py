@@ -15,16 +15,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in the folder of ``spark.checkpoint.dir``; the
-    partitions and their order stay.  Only a session in one process may run
-    without that folder."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder below ``spark.checkpoint.dir``, which driver and
+    executors share.  Only a session in one process may run without that
+    setting."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or f"file://{tempfile.gettempdir()}/milepost-scratch")
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in the shared folder; the partitions and their
+    order stay."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,11 @@ from ..operators import qc, report
 from ..operators.dissolve import collapse_longest, dissolve
 from ..operators.locate import locate_points
 from ..operators.mapping import map_features
+from ..operators.numbering import shared_folder
 from ..operators.overlay import overlay_events, route_coverage
 from ..operators.planar import union_lines
 from ..operators.routes import calibrate_routes, dissolve_geometries, locate_events_on_routes
+from ..sources.tables import read_csv, read_geojson, to_csv, to_geojson
 from . import fixtures as fx
 from .schema import LrsSchema, as_of
 
@@ -323,6 +326,35 @@ def sample_values(s: SparkSession, d: str) -> DataFrame:
     return report.sample_values(fx.overlays(s, d), "pk")
 
 
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Written and read back: quotes, commas and line breaks in quotes, blanks
+    around text, quotes in fields without quotes."""
+    path, t = _folder(s, "csv"), fx.targets(s, d)
+    spans = F.concat(F.lit('says "a,\n'), "road", F.lit('",\r\n"\n"'))
+    note = F.when(F.col("tid") % 3 == 0, spans).when(F.col("tid") % 3 == 1, F.concat(F.lit(" "), "status", F.lit(" "))).otherwise(F.concat("road", F.lit('" pipe')))
+    to_csv(t.select("tid", F.col("road").alias("ROADWAY"), "emp", note.alias("note")), path)
+    return read_csv(s, path)
+
+
+def csv_lines_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """No field holds a line break: files are cut at lines."""
+    path = _folder(s, "csv")
+    to_csv(fx.overlays(s, d).select(F.col("road").alias("ROADWAY"), "bmp", "emp", F.concat_ws(',"', "side", "ln").alias("note")), path)
+    return read_csv(s, path)
+
+
+def geojson_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Collections written by many tasks and read back by byte ranges."""
+    path = _folder(s, "geojson")
+    to_geojson(fx.routes(s, d).withColumn("note", F.concat(F.lit('}"{'), "road")), path, single_file=False)
+    last = F.element_at(F.element_at("geometry.parts", 1), -1)["x"]
+    return read_geojson(s, path).select("tid", "note", "status", F.size(F.col("geometry.parts")[0]).alias("n_vertices"), last.alias("x_to"))
+
+
 def report_overlay(s: SparkSession, d: str) -> DataFrame:
     return report.overlay_counts(fx.targets(s, d), fx.overlays(s, d), overlay_left(s, d), LINE, LINE)
 
@@ -342,6 +374,7 @@ def queries() -> dict[str, Query]:
         dissolve_default, dissolve_groups, dissolve_gap_ok, dissolve_agg, dissolve_along_route, locate_unmatched, locate_both_sides, locate_unmatched_pairs,
         gaps, gaps_by_side, overlaps, overlaps_binned, neighbors, validate_flat, validate_summary, pad_ids, extract_packed, combine_packed,
         clip_straight, clip_measured, line_miles, project_geometry, geometry_counts, unique_values, calibrate_straight, calibrate_numbered, union_of_lines, dissolve_true_union, report_overlay, report_locate, report_clip, map_features_thinned, extract_counts, sample_values,
+        csv_round_trip, csv_lines_round_trip, geojson_round_trip,
     ]
     named = {
         "route_coverage": coverage, "collapse_longest": collapse, "locate_points": locate_located, "inspect_keys": inspect, "as_of": in_effect,
@@ -592,6 +625,12 @@ def oracle_sql() -> dict[str, str]:
             d AS (SELECT DISTINCT CAST(pk AS VARCHAR) AS v FROM fx_overlay), f AS (SELECT v FROM d ORDER BY v LIMIT 8)
             SELECT (SELECT string_agg(v, ', ' ORDER BY v) FROM f) || CASE WHEN (SELECT count(*) FROM d) > 8 THEN ' (+' || ((SELECT count(*) FROM d) - 8) || ' more)' ELSE '' END AS text"""
         ),
+        "csv_round_trip": v(
+            """SELECT CAST(tid AS DOUBLE) AS tid, road AS ROADWAY, emp, CASE tid % 3 WHEN 0 THEN 'says "a,' || chr(10) || road || '",' || chr(13) || chr(10) || '"' || chr(10) || '"'
+            WHEN 1 THEN ' ' || status || ' ' ELSE road || '" pipe' END AS note FROM fx_target"""
+        ),
+        "csv_lines_round_trip": v("""SELECT road AS ROADWAY, bmp, CAST(emp AS DOUBLE) AS emp, side || ',"' || ln AS note FROM fx_overlay"""),
+        "geojson_round_trip": v("""SELECT CAST(tid AS DOUBLE) AS tid, '}"{' || road AS note, status, CAST(2 AS INTEGER) AS n_vertices, emp * 2 AS x_to FROM fx_target"""),
         "report_overlay": v(
             plain
             + """SELECT (SELECT count(*) FROM fx_target) AS target_rows, (SELECT count(DISTINCT road) FROM fx_target) AS target_routes, (SELECT count(*) FROM fx_overlay) AS overlay_rows,

@@ -53,7 +53,8 @@ def feature_texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     # the first member comes after the outermost brace
     first, later = rf"^(?s){_SKIP}\{{{_SKIP}", rf"^(?s){_SKIP}"
     text = F.when(F.col("member") == 0, F.regexp_replace(text, first, "")).otherwise(F.regexp_replace(text, later, ""))
-    return found.select("file", text.alias("text")), pieces.select("file").distinct()
+    # read more than once: for names, for numbers in text, then as rows
+    return kept(found.select("file", text.alias("text"))), pieces.select("file").distinct()
 
 
 # ---- CSV ----
@@ -114,4 +115,5 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), "\n")
     joined = lines.where(~whole).groupBy("file", "record").agg(text.alias("text"))
     records = lines.where(whole).select("file", F.col("value").alias("text"), "record").unionByName(joined)
-    return records.withColumn("text", F.regexp_replace("text", r"\r$", "")).where(F.trim("text") != "")
+    # read more than once: for numbers in text, then as rows
+    return kept(records.withColumn("text", F.regexp_replace("text", r"\r$", "")).where(F.trim("text") != ""))

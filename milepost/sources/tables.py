@@ -370,20 +370,29 @@ def _flat(df: DataFrame, *more) -> DataFrame:
 
 
 def to_csv(df: DataFrame, path: str) -> None:
-    """Geometry is left out; structs, maps and arrays are written as JSON."""
-    _flat(df).write.csv(path, header=True, quote='"', escape='"')
+    """Geometry is left out; structs, maps and arrays are written as JSON.  Text
+    keeps the blanks around it."""
+    _flat(df).write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def to_geojson(df: DataFrame, path: str, crs: str | None = None, single_file: bool = True) -> None:
-    """One FeatureCollection (one task writes it), or with ``single_file=False``
-    a folder of newline-delimited features, written in parallel."""
-    features = df.select(_geojson_feature(df).alias("value"))
-    if not single_file:
-        features.write.text(path)
-        return
+    """One FeatureCollection, its features passed on one by one to the task that
+    writes it, or with ``single_file=False`` a folder of collections, one a
+    task.  No task holds a collection."""
     named = "" if crs is None else f'"crs":{{"type":"name","properties":{{"name":{json.dumps(crs)}}}}},'
-    listed = features.agg(F.array_join(F.collect_list("value"), ",\n").alias("f"))
-    listed.select(F.concat(F.lit('{"type":"FeatureCollection",' + named + '"features":[\n'), "f", F.lit("\n]}")).alias("value")).write.text(path)
+    features = df.select(_geojson_feature(df).alias("value"))
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda texts: pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+        comma = ""
+        yield made(['{"type":"FeatureCollection",' + named + '"features":['])
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            yield made([f"{',' if n else comma}{text}" for n, text in enumerate(texts)])
+            comma = "," if texts else comma
+        yield made(["]}"])
+
+    (features.repartition(1) if single_file else features).mapInArrow(framed, "value string").write.text(path)
 
 
 def to_shapefile(df: DataFrame, path: str, prj: str) -> None:
