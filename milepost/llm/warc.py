@@ -125,8 +125,11 @@ def write_warc(
 ) -> None:
     """Write one record (or a segmented one) per page below ``path``.
 
-    Equal payloads are found by SHA-256 and length, aggregated before the
-    shuffle; the join back is a plain equi-join, whose hot keys Spark splits.
+    The pages are numbered in a written table, so that every later read, by
+    whatever executor, sees the same numbers.  Equal payloads are found by
+    SHA-256 and length, aggregated before the shuffle; the join back is a plain
+    equi-join, whose hot keys Spark splits.  A block has ``segment_bytes`` at
+    most, so a file has about a gibibyte at most, whatever the pages' sizes.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(
@@ -134,6 +137,7 @@ def write_warc(
         F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"),
         F.sha2(payload, 256).alias("sha"), F.octet_length(payload).alias("n"),
     )
+    rows = shared_table(rows, "pages", codec="zstd")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row"))
     groups = rows.groupBy("sha", "n").agg(first.alias("head"), F.count(F.lit(1)).alias("c"))
     repeated = groups.where(f"c > 1 AND n >= {int(min_revisit_bytes)}").select("sha", "n", "head")
@@ -158,7 +162,8 @@ def write_warc(
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     out = marked.mapInArrow(records, "value string")
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+    most = max(1, min(records_per_file, (1 << 30) // segment_bytes))
+    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
 
 
 def unzipped(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:

@@ -576,6 +576,24 @@ def test_license_scan(spark, nothing):
     assert all(sum(any(k in s.split() for k in keys) for s in x) * 100 > 25 * len(x) for x in sets.values())
 
 
+def test_warc_of_rows_that_come_in_another_order_each_time(spark):
+    def mixed(batches):
+        import random
+
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = batch.to_pylist()
+            random.SystemRandom().shuffle(rows)
+            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+
+    pages = spark.createDataFrame([(n % 40, "u", "same" if n % 2 else f"other {n}") for n in range(60)], "page_id long, url string, html string").coalesce(1)
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.warc_round_trip(pages.mapInArrow(mixed, pages.schema)).collect())
+    same = sorted(n % 40 for n in range(60) if n % 2)
+    want = Counter((n % 40, "response", None) for n in range(60) if not n % 2) + Counter([(same[0], "response", None)]) + Counter((n, "revisit", same[0]) for n in same[1:])
+    assert got == want
+
+
 def test_warc(spark, tmp_path):
     long = "ü" * 50_000 + "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"
     rows = [(3, "http://a", "same"), (1, "http://b\r\nX: y", "same"), (7, None, "same"), (2, "u", long), (9, "u", long), (4, "u", None), (5, "u", ""), (1, "u", "same"), (None, "u", "alone")]
