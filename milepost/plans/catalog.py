@@ -21,7 +21,7 @@ from ..operators.numbering import shared_folder
 from ..operators.overlay import overlay_events, route_coverage
 from ..operators.planar import union_lines
 from ..operators.routes import calibrate_routes, dissolve_geometries, locate_events_on_routes
-from ..sources.tables import read_csv, read_geojson, to_csv, to_geojson
+from ..sources.tables import read_csv, read_geojson, read_shapefiles, to_csv, to_geojson, to_shapefiles
 from . import fixtures as fx
 from .schema import LrsSchema, as_of
 
@@ -355,6 +355,14 @@ def geojson_round_trip(s: SparkSession, d: str) -> DataFrame:
     return read_geojson(s, path).select("tid", "note", "status", F.size(F.col("geometry.parts")[0]).alias("n_vertices"), last.alias("x_to"))
 
 
+def shapefile_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Layers written and read back by many tasks; long names are cut and numbered."""
+    path, r = _folder(s, "shp"), fx.routes(s, d)
+    to_shapefiles(r.select("tid", "status", F.col("road").alias("intersecting_a"), F.nullif(F.col("status"), F.lit("F")).alias("intersecting_b"), "geometry"), path, "")
+    last = F.element_at(F.element_at("geometry.parts", 1), -1)["x"]
+    return read_shapefiles(s, path).select("tid", "status", F.col("intersecti").alias("first"), F.col("intersect1").alias("second"), last.alias("x_to"))
+
+
 def report_overlay(s: SparkSession, d: str) -> DataFrame:
     return report.overlay_counts(fx.targets(s, d), fx.overlays(s, d), overlay_left(s, d), LINE, LINE)
 
@@ -374,7 +382,7 @@ def queries() -> dict[str, Query]:
         dissolve_default, dissolve_groups, dissolve_gap_ok, dissolve_agg, dissolve_along_route, locate_unmatched, locate_both_sides, locate_unmatched_pairs,
         gaps, gaps_by_side, overlaps, overlaps_binned, neighbors, validate_flat, validate_summary, pad_ids, extract_packed, combine_packed,
         clip_straight, clip_measured, line_miles, project_geometry, geometry_counts, unique_values, calibrate_straight, calibrate_numbered, union_of_lines, dissolve_true_union, report_overlay, report_locate, report_clip, map_features_thinned, extract_counts, sample_values,
-        csv_round_trip, csv_lines_round_trip, geojson_round_trip,
+        csv_round_trip, csv_lines_round_trip, geojson_round_trip, shapefile_round_trip,
     ]
     named = {
         "route_coverage": coverage, "collapse_longest": collapse, "locate_points": locate_located, "inspect_keys": inspect, "as_of": in_effect,
@@ -631,6 +639,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "csv_lines_round_trip": v("""SELECT road AS ROADWAY, bmp, CAST(emp AS DOUBLE) AS emp, side || ',"' || ln AS note FROM fx_overlay"""),
         "geojson_round_trip": v("""SELECT CAST(tid AS DOUBLE) AS tid, '}"{' || road AS note, status, CAST(2 AS INTEGER) AS n_vertices, emp * 2 AS x_to FROM fx_target"""),
+        "shapefile_round_trip": v("SELECT CAST(tid AS DOUBLE) AS tid, status, road AS first, nullif(status, 'F') AS second, emp * 2 AS x_to FROM fx_target"),
         "report_overlay": v(
             plain
             + """SELECT (SELECT count(*) FROM fx_target) AS target_rows, (SELECT count(DISTINCT road) FROM fx_target) AS target_routes, (SELECT count(*) FROM fx_overlay) AS overlay_rows,

@@ -407,6 +407,34 @@ def to_shapefile(df: DataFrame, path: str, prj: str) -> None:
     formats.write_shapefile(path, df.schema, (r.asDict(recursive=True) for r in lines.toLocalIterator()), prj)
 
 
+def to_shapefiles(df: DataFrame, path: str, prj: str, range_bytes: int = shapes.RANGE_BYTES) -> None:
+    """A folder of polyline layers of the rows with a line, written in parallel to
+    a file system of ``RANGED``; ``read_shapefiles`` reads them.  One pass finds
+    the columns' widths; a text of more than 254 bytes raises ValueError."""
+    if "geometry" not in df.columns:
+        raise ValueError("a shapefile needs a geometry column")
+    lines = _flat(df, F.col("geometry")).where(is_line(F.col("geometry")))
+    numeric = {f.name for f in lines.schema if isinstance(f.dataType, T.NumericType)}
+    columns = [c for c in lines.columns if c != "geometry"]
+    seen = lines.agg(F.count(F.lit(1)).alias("n"), *[F.max(F.octet_length(col(c).cast("string"))).alias(f"w{n}") for n, c in enumerate(columns) if c not in numeric]).first()
+    if not seen["n"]:
+        raise ValueError("no row has a line geometry")
+    # a double has 24 characters at most
+    width = {c: 24 if c in numeric else max(1, seen[f"w{n}"] or 0) for n, c in enumerate(columns)}
+    long = [c for c in columns if width[c] > formats.TEXT_BYTES]
+    if long:
+        raise ValueError(f"text of more than {formats.TEXT_BYTES} bytes in {', '.join(long)}: write GeoJSON or Parquet")
+    df.sparkSession.dataSource.register(shapes.ShapefileSource)
+    texts = [col(c) if c in numeric or c == "geometry" else col(c).cast("string").alias(c) for c in lines.columns]
+    lines.select(texts).write.format("shapefile").options(width=json.dumps(width), prj=prj, rangeBytes=range_bytes).mode("append").save(path)
+
+
+def read_shapefiles(spark: SparkSession, path: str) -> DataFrame:
+    """All layers of a folder, each read by many tasks."""
+    spark.dataSource.register(shapes.ShapefileSource)
+    return spark.read.format("shapefile").load(path)
+
+
 def to_excel(df: DataFrame, path: str) -> None:
     """A workbook written locally by the driver, partition by partition; geometry
     is left out, nested values are JSON.  More rows than a sheet holds raise

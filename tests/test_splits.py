@@ -138,3 +138,33 @@ def test_each_shape_once_wherever_the_layer_is_cut(spark, tmp_path, range_bytes)
     assert bare.columns == ["geometry"] and bare.count() == 50
     (tmp_path / "a b%" / "a.shx").unlink()
     assert sorted(key(r.asDict(True)) for r in read_shape(spark, shp).collect()) == sorted(map(key, want))
+
+
+def test_layers_written_by_many_tasks_hold_each_row_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from milepost.functions.geometry import line_of, vertex
+    from milepost.sources.tables import read_shapefiles, to_shapefiles
+
+    rows = spark.range(0, 300, 1, 5).select(
+        F.col("id").alias("n"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("é"), "id")).alias("note"), F.array("id").alias("listed"),
+        F.when(F.col("id") % 10 > 0, line_of(F.array(vertex(F.col("id"), F.lit(0)), vertex(F.lit(-1), F.col("id"))))).alias("geometry"),
+    )
+    path = f"file://{tmp_path}/out"
+    to_shapefiles(rows, path, "GEOGCS[]", range_bytes=2000)
+    files = sorted(f.name for f in (tmp_path / "out").iterdir())
+    assert len(files) == 5 * len([f for f in files if f.endswith(".shp")]) > 25 and not any(f.startswith("_") for f in files)
+    found = read_shapefiles(spark, path).collect()
+    want = [n for n in range(300) if n % 10]
+    assert sorted(r["n"] for r in found) == want
+    assert all(r["note"] == (f"é{int(r['n'])}" if r["n"] % 3 else None) and r["listed"] == f"[{int(r['n'])}]" and r["geometry"]["parts"][0][1]["y"] == r["n"] for r in found)
+    # a second write adds its layers
+    to_shapefiles(rows.where("n = 1"), path, "")
+    assert read_shapefiles(spark, path).count() == len(want) + 1
+    with pytest.raises(ValueError, match="254 bytes in note"):
+        to_shapefiles(rows.withColumn("note", F.repeat(F.lit("é"), 128)), f"{tmp_path}/long", "")
+    with pytest.raises(ValueError, match="no row has a line"):
+        to_shapefiles(rows.where("n % 10 = 0"), f"{tmp_path}/none", "")
+    with pytest.raises(Exception, match="no .shp"):
+        (tmp_path / "empty").mkdir()
+        read_shapefiles(spark, f"{tmp_path}/empty").count()
