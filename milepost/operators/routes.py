@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.geometry import is_empty, is_line, line_length, split_line_by_measure, with_measures
 from ..functions.keys import is_missing, to_number
 from ..plans.schema import LrsSchema, col, resolve_roles
-from .dissolve import dissolve
-from .numbering import kept, numbered
-from .planar import united
+from .dissolve import dissolve, dissolve_apart
+from .numbering import numbered
+from .planar import union_lines, united
 
 
 def locate_events_on_routes(events: DataFrame, routes: DataFrame, event_schema: LrsSchema | None = None, route_schema: LrsSchema | None = None, null_keys_match: bool = True) -> DataFrame:
@@ -45,15 +45,22 @@ def locate_events_on_routes(events: DataFrame, routes: DataFrame, event_schema:
 def dissolve_geometries(df: DataFrame, schema: LrsSchema | None = None, group_cols: list[str] | None = None, seq_cols: list[str] | None = None, union: str = "parts", require_contiguous: bool = True) -> DataFrame:
     """``dissolve`` of a table with geometry: a block's lines become one, of all
     their parts (``union="parts"``) or split at nodes with every stretch once
-    (``"true"``).  Blocks without a line stay, with a null geometry in a true union."""
+    (``"true"``; ``dissolve_lines`` has a row a line).  Blocks without a line stay,
+    with a null geometry in a true union."""
     if union not in ("parts", "true"):
         raise ValueError("union: parts or true")
-    blocks = dissolve(df, schema, group_cols, require_contiguous, seq_cols=seq_cols)
     if union == "parts":
-        return blocks
-    blocks = kept(blocks.withColumn("__block", F.monotonically_increasing_id()))
-    lines = united(blocks, ["__block"])
-    return blocks.drop("geometry").join(lines, "__block", "left").select(df.columns)
+        return dissolve(df, schema, group_cols, require_contiguous, seq_cols=seq_cols)
+    blocks, lines = dissolve_apart(df, schema, group_cols, require_contiguous, seq_cols)
+    return blocks.join(united(lines, ["__block"]), "__block", "left").select(df.columns)
+
+
+def dissolve_lines(df: DataFrame, schema: LrsSchema | None = None, group_cols: list[str] | None = None, seq_cols: list[str] | None = None, require_contiguous: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``dissolve_geometries`` in a true union with a row a line, for blocks of
+    more lines than one value can hold: the blocks without geometry, and their
+    lines between nodes as ``union_lines`` gives them, both with ``__block``."""
+    blocks, lines = dissolve_apart(df, schema, group_cols, require_contiguous, seq_cols)
+    return blocks, union_lines(lines, ["__block"])
 
 
 def display_events(routes: DataFrame, events: DataFrame | None = None, drop_empty: bool = True, **schemas: LrsSchema | None) -> DataFrame:

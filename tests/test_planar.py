@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from milepost.functions.geometry import GEOMETRY
 from milepost.operators.numbering import numbered
 from milepost.operators.planar import union_lines, united
-from milepost.operators.routes import calibrate_routes, dissolve_geometries
+from milepost.operators.routes import calibrate_routes, dissolve_geometries, dissolve_lines
 
 SCHEMA = f"g string, geometry {GEOMETRY.simpleString()}"
 
@@ -150,6 +150,18 @@ def test_dissolve_with_a_true_union(spark):
         dissolve_geometries(df, union="other")
 
 
+def test_a_block_of_a_true_union_need_not_be_one_value(spark):
+    line = lambda *xs: ("LineString", [[(float(x), 0.0, None, None) for x in xs]])
+    rows = [(("1", None)[k % 2], k * 1.0, k + 1.5, ("a", "b", None)[k % 3], line(k, k + 1.5) if k % 5 else None) for k in range(40)]
+    df = spark.createDataFrame(rows, "ROADWAY string, BEGIN_POST double, END_POST double, FLAG string, geometry struct<type:string,parts:array<array<struct<x:double,y:double,z:double,m:double>>>>")
+    whole = dissolve_geometries(df, group_cols=["FLAG"], union="true", require_contiguous=False)
+    blocks, lines = dissolve_lines(df, group_cols=["FLAG"], require_contiguous=False)
+    assert not any("LIST" in x.upper() and "n_part" in x for x in lines._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    apart = blocks.join(lines, "__block", "left").groupBy("ROADWAY", "FLAG", "BEGIN_POST", "END_POST").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    listed = lambda t, parts: sorted(repr(tuple(r)) for r in t.select("ROADWAY", "FLAG", "BEGIN_POST", "END_POST", F.array_sort(F.coalesce(parts, F.array())).alias("parts")).collect())
+    assert listed(whole, F.col("geometry.parts")) == listed(apart, F.col("parts")) and whole.count() == 6
+
+
 def test_numbers_are_whole_and_in_order(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), (F.col("id") % 3 == 0).alias("hot")).repartition(7)
     df = df.withColumn("w", F.when(~F.col("hot"), F.col("v")))
