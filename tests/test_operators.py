@@ -282,3 +282,21 @@ def test_segments_do_not_change_scans(spark):
     ):
         whole, cut = listed(job(10**9)), listed(job(4))
         assert whole == cut and len(cut) > 20
+
+
+def test_rows_of_a_hot_key_are_not_dealt_by_key(spark):
+    rows = spark.range(9000).selectExpr("string(IF(id % 3 = 0, 0, id)) AS ROADWAY", "double(id) AS BEGIN_POST", "id + 1.5D AS END_POST", "double(id) AS MEASURE", "id AS N")
+    over = rows.select("ROADWAY", "BEGIN_POST", "END_POST", F.col("N").alias("O"))
+    jobs = {
+        "gaps": qc.find_gaps(rows, hot_rows=1000), "neighbors": qc.neighbors_along_route(rows, "N", hot_rows=1000, seq_cols=["N"]), "overlaps": qc.find_overlaps(rows),
+        "overlay": overlay_events(rows.drop("MEASURE"), over, seq_cols=["O"]), "locate": locate_points(rows.select("ROADWAY", "MEASURE", "N"), over).located,
+        "dissolve": dissolve(rows.drop("MEASURE"), group_cols=["ROADWAY"], hot_rows=1000),
+    }
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, job in jobs.items():
+            plan = job._jdf.queryExecution().sparkPlan().toString().split("\n")
+            away = [x for x in plan if "LeftAnti" in x]
+            assert away and all("BroadcastHashJoin" in x for x in away), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
