@@ -300,3 +300,11 @@ def test_rows_of_a_hot_key_are_not_dealt_by_key(spark):
             assert away and all("BroadcastHashJoin" in x for x in away), name
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_overlaps_in_cells_alone_count_no_keys(spark):
+    rows = spark.range(300).selectExpr("string(id % 4) AS ROADWAY", "double(id % 37) AS BEGIN_POST", "id % 37 + double(id % 5) AS END_POST")
+    job = qc.find_overlaps(rows, hot_rows=0)
+    assert "LeftAnti" not in job._jdf.queryExecution().optimizedPlan().toString()
+    listed = [sorted(qc.find_overlaps(rows, hot_rows=n).collect()) for n in (0, 70, 10**9)]
+    assert listed[0] == listed[1] == listed[2] and listed[0]
