@@ -93,8 +93,9 @@ def report_lines(counts: DataFrame) -> list[tuple[str, str]]:
 
 def extract_counts(df: DataFrame, packed_col: str) -> DataFrame:
     """One row: source rows, readable approaches, rows without one."""
-    n = F.size(approaches(col(packed_col)))
-    return df.agg(F.count(F.lit(1)).alias("source_rows"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("approaches"), F.count_if(n == 0).alias("skipped"))
+    # counted once a row, before the sums name it
+    n, rows = F.col("n"), df.select(F.size(approaches(col(packed_col))).alias("n"))
+    return rows.agg(F.count(F.lit(1)).alias("source_rows"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("approaches"), F.count_if(n == 0).alias("skipped"))
 
 
 def geometry_bounds(df: DataFrame) -> DataFrame:
