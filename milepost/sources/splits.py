@@ -39,7 +39,8 @@ def feature_texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     read = spark.read.option("lineSep", "}").text(path)
     # the order of a range's pieces, not their numbers, is what counts
     pieces = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    pieces = pieces.withColumn("plain", F.regexp_replace("value", r"(?s)\\.", "")).withColumn("quotes", _count(F.col("plain"), '"').cast("long"))
+    plain = F.when(F.col("value").contains("\\"), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
+    pieces = pieces.withColumn("plain", plain).withColumn("quotes", _count(F.col("plain"), '"').cast("long"))
     pieces = _running(pieces, "quotes", "before")
     opened = F.col("before") % 2 == 1
     outside = F.regexp_replace(F.concat(F.when(opened, '"').otherwise(""), F.col("plain")), '"[^"]*("|$)', "")
@@ -48,13 +49,12 @@ def feature_texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     pieces = _running(pieces, "step", "depth")
     pieces = pieces.withColumn("done", ((F.col("closes") == 1) & (F.col("depth") + F.col("step") == 1)).cast("long"))
     pieces = _running(pieces, "done", "member")
-    found = pieces.groupBy("file", "member").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("l"), F.max("done").alias("done")).where("done = 1")
-    text = F.concat(F.array_join(F.transform("l", lambda x: x["value"]), "}"), F.lit("}"))
+    found = pieces.groupBy("file", "member").agg(F.sort_array(F.collect_list(F.struct("block", "at", "value"))).alias("l"), F.max("done").alias("done")).where("done = 1")
+    text = F.concat(F.array_join(F.col("l.value"), "}"), F.lit("}"))
     # the first member comes after the outermost brace
     first, later = rf"^(?s){_SKIP}\{{{_SKIP}", rf"^(?s){_SKIP}"
     text = F.when(F.col("member") == 0, F.regexp_replace(text, first, "")).otherwise(F.regexp_replace(text, later, ""))
-    # read more than once: for names, for numbers in text, then as rows
-    return kept(found.select("file", text.alias("text"))), pieces.select("file").distinct()
+    return found.select("file", text.alias("text")), pieces.select("file").distinct()
 
 
 # ---- CSV ----

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions.crs import PRJ, Projection, parse_projection, to_wgs84
 from ..functions.geometry import GEOMETRY, is_line
 from ..functions.keys import to_number
+from ..operators.numbering import kept
 from ..operators.report import geometry_bounds
 from ..plans.schema import ALIASES, col
 from . import formats, shapes, splits
@@ -97,9 +98,9 @@ def _parts(kind, coordinates):
     return F.transform(nested.when(kind == "MultiPolygon", polygons), ring)
 
 
-def geometry_from_json(text):
-    """A geometry struct from GeoJSON text; collections become their lines."""
-    g = F.from_json(text, "type string, coordinates string, geometries string")
+def _geometry(g):
+    """A geometry struct from that of GeoJSON, its coordinates as text; collections
+    become their lines.  ``g`` is a column that is there: it is named often."""
     listed = F.from_json(g["geometries"], "array<struct<type:string,coordinates:string>>")
     lines = F.flatten(F.transform(F.filter(listed, lambda x: x["type"].isin("LineString", "MultiLineString")), lambda x: _parts(x["type"], x["coordinates"])))
     plain = F.struct(g["type"].alias("type"), _parts(g["type"], g["coordinates"]).alias("parts"))
@@ -112,9 +113,11 @@ def read_geojson(spark: SparkSession, path: str, numbers: bool = True) -> DataFr
     feature, properties as columns.  A collection is read by many tasks
     (``splits``); a file without features is one text."""
     texts, files = splits.feature_texts(spark, path)
-    shape = "type string, properties map<string,string>, geometry string"
-    listed = texts.select("file", F.from_json("text", shape).alias("r")).where("r.type = 'Feature'").select("file", "r.properties", "r.geometry")
-    rest = [unquote(r[0]) for r in files.join(listed.select("file").distinct(), "file", "left_anti").collect()]
+    # read more than once: for names, for numbers in text, then as rows
+    listed = kept(_parsed(texts, "text", "type string, properties map<string,string>, geometry string").where("type = 'Feature'").select("file", "properties", "geometry"))
+    # summed, not joined: a join would be planned over the rows, before they are one a file
+    seen = files.select("file", F.lit(0).alias("n")).unionAll(listed.select("file", F.lit(1).alias("n"))).groupBy("file").agg(F.max("n").alias("n"))
+    rest = [unquote(r[0]) for r in seen.where("n = 0").collect()]
     rows = listed.drop("file")
     if rest:
         rows = rows.unionAll(_of_texts(spark.read.text(rest, wholetext=True)))
@@ -132,13 +135,21 @@ def _of_texts(files: DataFrame) -> DataFrame:
     feature = F.when(F.col("t.type") == "FeatureCollection", F.col("t.features")).when(F.col("t.type") == "Feature", F.array("value"))
     bare = F.array(F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), F.col("value"), F.lit("}")))
     rows = features.select(F.explode(F.coalesce(feature, bare)).alias("f"))
-    return rows.select(F.from_json("f", "properties map<string,string>, geometry string").alias("r")).select("r.properties", "r.geometry")
+    return _parsed(rows, "f", "properties map<string,string>, geometry string").select("properties", "geometry")
+
+
+def _parsed(rows: DataFrame, text: str, shape: str) -> DataFrame:
+    """With the fields of a JSON text as columns.  A text is parsed once: taken from
+    ``from_json`` by name, each field would be parsed for apart."""
+    return rows.select("*", F.inline(F.array(F.from_json(text, shape))))
 
 
 def _as_table(rows: DataFrame, numbers: bool) -> DataFrame:
     """Properties (of all rows) as columns, then the geometry."""
     names = [r[0] for r in rows.select(F.explode(F.map_keys("properties"))).distinct().sort("col").collect()]
-    df = rows.select(*[F.col("properties").getItem(n).alias(n) for n in names], geometry_from_json(F.col("geometry")).alias("geometry"))
+    shaped = _parsed(rows.withColumnRenamed("geometry", "__text"), "__text", "type string, coordinates string, geometries string")
+    g = F.struct("type", "coordinates", "geometries")
+    df = shaped.select(*[F.col("properties").getItem(n).alias(n) for n in names], _geometry(g).alias("geometry"))
     return infer_numbers(df) if numbers else df
 
 

@@ -6,8 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from milepost.functions.keys import measure_text
+from milepost.functions.keys import measure_text, to_number
 from milepost.operators import packed, report
+from milepost.operators.dissolve import dissolve
+from milepost.plans.schema import LrsSchema
 
 
 def optimised(df) -> str:
@@ -46,3 +48,37 @@ def test_approaches_of_odd_texts(spark):
     assert rows == [("a", 1.0, 1.0, 2.0), ("b", 4.0, 4.0, 5.0), ("e", 7.0, 7.0, 7.0), ("h", 9.0, 9.0, 9.0), ("j", 1.0, 1.0, 2.0), ("l", 6.0, 6.0, 6.0)]
     # a text is cut at its signs once
     assert optimised(found).count("split(translate(") == 1
+
+
+def test_geojson_text_is_parsed_once(spark, tmp_path):
+    from milepost.sources.tables import read_geojson
+
+    line = '{"type":"LineString","coordinates":[[0,1],[2,3.5]]}'
+    texts = [f'{{"type":"Feature","properties":{{"n":"{n}","t":"x{n}"}},"geometry":{line}}}' for n in range(3)]
+    (tmp_path / "a.geojson").write_text('{"type":"FeatureCollection","features":[' + ",".join(texts) + "]}")
+    out = read_geojson(spark, str(tmp_path)).select("n", "t", F.size(F.col("geometry.parts")[0]).alias("many"), F.col("geometry.type"))
+    assert sorted(map(tuple, out.collect())) == [(float(n), f"x{n}", 2, "LineString") for n in range(3)]
+    # the geometry's own text; features are parsed before, and kept
+    assert optimised(out).count("from_json(StructField(type,") == 1
+
+
+def test_numbers_in_text(spark):
+    texts = [" 1,000 ", "-5", "+.5", "1e3", "\t7", "7d", "0x1p3", "x1", "", "nan", "Infinity", "-inf", "} 5", None, "1 2"]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    was = F.replace(F.trim("t"), F.lit(","), F.lit("")).try_cast("double")
+    was = F.when(~F.isnan(was) & (F.abs(was) != math.inf), was)
+    got = rows.select("t", to_number(F.col("t")), was).collect()
+    assert [r[1] for r in got] == [r[2] for r in got] and [r[1] for r in got[:4]] == [1000.0, -5.0, 0.5, 1000.0]
+
+
+def test_dissolve_moves_each_column_once(spark):
+    rows = spark.createDataFrame([("1", 0.0, 1.0, None, "a"), ("1", 0.0, 1.0, 2, "b"), ("1", 1.0, 2.0, 1, "c")], "road string, bmp double, emp double, n int, note string")
+    line = LrsSchema(roadway="road", bmp="bmp", emp="emp")
+    for hot in (None, 1):
+        out = dissolve(rows, line, ["road"], require_contiguous=False, seq_cols=["n", "note"], hot_rows=hot)
+        # null orders first, as within a struct
+        assert [tuple(r) for r in out.collect()] == [("1", 0.0, 2.0, None, "a")]
+    plan = dissolve(rows, line, ["road"], seq_cols=["n", "note"])._jdf.queryExecution().sparkPlan().toString()
+    # beside what is looked back at, nothing is made for a window: its order is columns
+    assert "AS _w1#" not in plan
+    assert "AS row#" not in plan and "AS seq#" not in plan
