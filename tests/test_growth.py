@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from milepost.functions.keys import measure_text, to_number
 from milepost.operators import packed, report
 from milepost.operators.dissolve import dissolve
+from milepost.operators.locate import locate_points
 from milepost.plans.schema import LrsSchema
 
 
@@ -82,3 +83,17 @@ def test_dissolve_moves_each_column_once(spark):
     # beside what is looked back at, nothing is made for a window: its order is columns
     assert "AS _w1#" not in plan
     assert "AS row#" not in plan and "AS seq#" not in plan
+
+
+def test_locate_hands_on_without_a_join_of_the_segments(spark):
+    cols = "ROADWAY string, BEGIN_POST double, END_POST double, FLAG string"
+    ev = spark.createDataFrame([("1", 0.0, 2.0, "a"), ("1", 2.0, 3.0, "b"), ("2", 0.0, 2.0, "c"), ("2", 2.0, None, "no end"), ("3", 0.0, 2.0, "d"), ("3", 2.0, 1.0, "inverted"), ("4", 0.0, 2.0, "e"), (None, 1.0, 2.0, "null"), ("5", None, 2.0, "no start")], cols)
+    pts = spark.createDataFrame([(r, 2.0) for r in ("1", "2", "3", "4", "5", "6", None)] + [("1", 2.5), ("1", None)], "ROADWAY string, LOCATION double")
+    for hot in (None, 0, 1):
+        found = locate_points(pts, ev, hot_rows=hot)
+        assert sorted(map(str, (tuple(r) for r in found.located.select("ROADWAY", "LOCATION", "FLAG").collect()))) == ["('1', 2.0, 'b')", "('1', 2.5, 'b')", "('4', 2.0, 'e')", "(None, 2.0, 'null')"]
+        left = sorted(map(str, (tuple(r) for r in found.unmatched.select("ROADWAY", "LOCATION", "FLAG").collect())))
+        assert left == ["('1', None, None)", "('2', 2.0, None)", "('3', 2.0, None)", "('5', 2.0, None)", "('6', 2.0, None)"]
+    # segments meet points, not one another
+    plan = optimised(locate_points(pts, ev).located)
+    assert "[distinct" not in plan and plan.count("Join Inner") + plan.count("Join LeftOuter") <= 4
