@@ -3,7 +3,8 @@
 The lines of a group are cut at their ends, where two of them cross or touch,
 and where one runs along another; a stretch that several lines share is kept
 once.  A point is a node if a line ends there or if it is passed more than once;
-the result is the lines between nodes.
+the result is the lines between nodes.  So a vertex that is no node is passed by
+one line only, and counting points tells which.
 
 Pairs of segments are sought in the cells of square grids.  A segment is at home
 on the finest grid on which it touches four cells at most, and visits the coarser
@@ -15,105 +16,154 @@ counting, not by pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import is_line
-from .cells import GRIDS, _cell, _grid
+from .cells import GRID_STEP, GRIDS, _grid
 from .numbering import kept
 
 #: A segment: its lower end (by x, then y) and its upper one.
 ENDS = ["ax", "ay", "bx", "by"]
 
 
-def _xy(v: Column) -> Column:
-    # adding zero makes one of the two zeros
-    return F.struct((v["x"] + 0.0).alias("x"), (v["y"] + 0.0).alias("y"))
+def _same(a: Column, b: Column) -> Column:
+    """Equality that is no key of a join: the hash of both is, and is what rows are
+    sorted by."""
+    return (a <= b) & (a >= b)
 
 
 def _lines(df: DataFrame, keys: list[str], geometry: str) -> DataFrame:
-    """Each different line of a group once: a number, its vertices without
-    repeats, and how many there are like it."""
+    """The lines of all groups: a number and their vertices without repeats."""
     parts = F.explode(F.when(is_line(F.col(geometry)), F.col(f"{geometry}.parts")))
-    rows = df.select(F.struct(*keys).alias("k"), parts.alias("v"))
+    # dealt by what they hold: the tasks don't depend on how the table is cut
+    rows = df.select(F.struct(*keys).alias("k"), parts.alias("v")).repartition("k", "v")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.withColumn("v", F.filter("v", lambda v: finite(v["x"]) & finite(v["y"])))
     before = lambda i: F.get(F.col("v"), i - 1)
     moved = F.filter("v", lambda v, i: (i == 0) | (v["x"] != before(i)["x"]) | (v["y"] != before(i)["y"]))
-    rows = rows.withColumn("v", moved).where(F.size("v") >= 2)
-    once = rows.groupBy("k", F.transform("v", _xy).alias("xy")).agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("copies"))
-    return kept(once.select("k", F.monotonically_increasing_id().alias("line"), "v", "copies"))
+    return kept(rows.select("k", F.monotonically_increasing_id().alias("line"), moved.alias("v"))).where(F.size("v") >= 2)
 
 
 def _segments(lines: DataFrame) -> DataFrame:
-    """The lines' segments in order, with their ends and where they go."""
-    steps = F.zip_with(F.slice("v", 1, F.size("v") - 1), F.slice("v", 2, F.size("v") - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-    rows = lines.select("k", "line", "copies", F.size("v").alias("n"), F.posexplode(steps).alias("at", "s"))
-    p, q = _xy(F.col("s.p")), _xy(F.col("s.q"))
-    low, high = F.least(p, q), F.greatest(p, q)
-    return rows.select("k", "line", "copies", "n", "at", F.col("s.p").alias("p"), F.col("s.q").alias("q"), *[e[c].alias(n) for n, (e, c) in zip(ENDS, ((low, "x"), (low, "y"), (high, "x"), (high, "y")))])
+    """The lines' segments without z and M, from (px, py) to (qx, qy)."""
+    rows = lines.select("k", "line", "v", F.posexplode(F.slice("v", 2, F.size("v") - 1)).alias("at", "q")).withColumn("p", F.get("v", F.col("at")))
+    # none is null: said here, it need not be asked of each; adding zero makes one of the two zeros
+    return rows.select("k", "line", "at", *[(F.coalesce(F.col(e)[c], F.lit(0.0)) + 0.0).alias(f"{e}{c}") for e in "pq" for c in "xy"])
+
+
+def _placed(segments: DataFrame, *more: str | Column) -> DataFrame:
+    """Segments by their ends, whichever way they run (``on``: from a to b)."""
+    on = (F.col("px") < F.col("qx")) | ((F.col("px") == F.col("qx")) & (F.col("py") < F.col("qy")))
+    rows = segments.withColumn("on", on)
+    pick = lambda n, x, y: F.when(F.col("on"), F.col(x)).otherwise(F.col(y)).alias(n)
+    return rows.select("k", "on", *more, *[pick(*n) for n in zip(ENDS, ("px", "py", "qx", "qy"), ("qx", "qy", "px", "py"))])
+
+
+def _cells(rows: DataFrame, *more: str) -> DataFrame:
+    """A row for each cell that a segment touches on the grid ``g``: the hash of
+    group and cell, and the cell's place in steps of ``1 / per``."""
+    per = F.when(F.col("g") == GRIDS - 1, 0.0).otherwise(F.pow(F.lit(2.0), (GRIDS // 2 - F.col("g")) * GRID_STEP))
+    rows = rows.withColumn("per", per)
+    place = lambda v: F.floor(v * F.col("per"))
+    rows = rows.withColumns({"x0": place(F.col("ax")), "x1": place(F.col("bx")), "y0": place(F.least("ay", "by")), "y1": place(F.greatest("ay", "by"))})
+    wide, high = F.col("x0") != F.col("x1"), F.col("y0") != F.col("y1")
+    cell = lambda x, y: F.struct(F.col(x).alias("cx"), F.col(y).alias("cy"))
+    touched = F.array(cell("x0", "y0"), F.when(wide, cell("x1", "y0")), F.when(high, cell("x0", "y1")), F.when(wide & high, cell("x1", "y1")))
+    rows = rows.withColumn("c", F.explode(touched)).where("c IS NOT NULL")
+    return rows.select(F.xxhash64("k", "g", "c.cx", "c.cy").alias("h"), "k", *ENDS, "per", "c.cx", "c.cy", *more)
 
 
 def _cuts(segments: DataFrame) -> DataFrame:
-    """The inner points at which each different segment is cut, by segment."""
-    one = segments.select("k", *ENDS).distinct()
-    one = one.withColumns({"ly": F.least("ay", "by"), "hy": F.greatest("ay", "by")})
-    one = one.withColumn("grid", F.greatest(_grid(F.col("ax"), F.col("bx")), _grid(F.col("ly"), F.col("hy"))))
+    """The inner points at which each different segment is cut, a row a point; a
+    point may come more than once."""
+    grid = lambda p, q: F.greatest(F.lit(0), _grid(F.col(f"{p}x"), F.col(f"{q}x")), _grid(F.col(f"{p}y"), F.col(f"{q}y")))
+    one = kept(_placed(segments).select("k", *ENDS).distinct().withColumn("grid", grid("a", "b")))
     used = one.agg(F.bit_or(F.expr("shiftleft(1L, grid)"))).first()[0] or 0
-    grids = [g for g in range(GRIDS) if used >> g & 1]
-
-    def touched(grid: Column) -> Column:
-        ends = lambda a, b: F.array_distinct(F.array(_cell(F.col(a), grid), _cell(F.col(b), grid)))
-        return F.flatten(F.transform(ends("ax", "bx"), lambda x: F.transform(ends("ly", "hy"), lambda y: F.struct(grid.alias("g"), x.alias("cx"), y.alias("cy")))))
-
-    box = ["ax", "bx", "ly", "hy"]
-    home = one.withColumn("c", F.explode(touched(F.col("grid")))).select("k", "c", F.lit(True).alias("home"), *ENDS, "ly", "hy")
-    coarser = F.filter(F.array(*[F.lit(g) for g in grids]).cast("array<int>"), lambda g: g > F.col("grid"))
-    away = one.withColumn("c", F.explode(F.flatten(F.transform(coarser, touched)))).select("k", "c", F.lit(False).alias("home"), *ENDS, "ly", "hy")
-    s = home.select("k", "c", *[F.col(n).alias(f"s_{n}") for n in dict.fromkeys([*ENDS, *box])])
-    t = home.unionAll(away).select("k", "c", "home", *[F.col(n).alias(f"t_{n}") for n in dict.fromkeys([*ENDS, *box])])
-    ends = lambda side: F.struct(*[F.col(f"{side}_{n}") for n in ENDS])
-    boxes = (F.col("s_ax") <= F.col("t_bx")) & (F.col("t_ax") <= F.col("s_bx")) & (F.col("s_ly") <= F.col("t_hy")) & (F.col("t_ly") <= F.col("s_hy"))
-    pairs = s.join(t, ["k", "c"]).where((~F.col("home") | (ends("s") < ends("t"))) & boxes)
-    corner = (F.col("c.cx") == _cell(F.greatest("s_ax", "t_ax"), F.col("c.g"))) & (F.col("c.cy") == _cell(F.greatest("s_ly", "t_ly"), F.col("c.g")))
-    pairs = pairs.where(corner)
+    coarser = [F.when(F.col("grid") < g, F.lit(g)) for g in range(GRIDS) if used >> g & 1]
+    visits = one.withColumn("g", F.explode(F.array(F.col("grid"), *coarser))).where("g IS NOT NULL").withColumn("home", F.col("g") == F.col("grid"))
+    side = lambda df, n: df.select(*[F.col(c).alias(f"{n}_{c}") for c in df.columns])
+    s = side(_cells(one.withColumn("g", F.col("grid"))), "s")
+    t = side(_cells(visits, "home").drop("per", "cx", "cy"), "t")
 
     x, y = (lambda n: F.col(f"{n[0]}_{n[1]}x")), (lambda n: F.col(f"{n[0]}_{n[1]}y"))
     sa, sb, ta, tb = "sa", "sb", "ta", "tb"
+    low, high = (lambda o: F.least(f"{o}_ay", f"{o}_by")), (lambda o: F.greatest(f"{o}_ay", f"{o}_by"))
+    first = F.lit(False)
+    for n in reversed(ENDS):
+        first = (F.col(f"s_{n}") < F.col(f"t_{n}")) | ((F.col(f"s_{n}") == F.col(f"t_{n}")) & first)
+    boxes = (x(sa) <= x(tb)) & (x(ta) <= x(sb)) & (low("s") <= high("t")) & (low("t") <= high("s"))
+    corner = (F.col("s_cx") == F.floor(F.greatest(x(sa), x(ta)) * F.col("s_per"))) & (F.col("s_cy") == F.floor(F.greatest(low("s"), low("t")) * F.col("s_per")))
     # on which side of the line from p to q the point r lies
     turn = lambda p, q, r: (x(q) - x(p)) * (y(r) - y(p)) - (y(q) - y(p)) * (x(r) - x(p))
-    pairs = pairs.withColumns({"d1": turn(sa, sb, ta), "d2": turn(sa, sb, tb), "d3": turn(ta, tb, sa), "d4": turn(ta, tb, sb)})
-    inside = lambda r, o: x(r).between(F.col(f"{o}_ax"), F.col(f"{o}_bx")) & y(r).between(F.col(f"{o}_ly"), F.col(f"{o}_hy"))
-    point = lambda px, py: F.struct(px.alias("x"), py.alias("y"))
-    touch = lambda d, r, o: F.when((F.col(d) == 0) & inside(r, o), point(x(r), y(r)))
-    crossed = (F.signum("d1") * F.signum("d2") < 0) & (F.signum("d3") * F.signum("d4") < 0)
+    turns = [turn(sa, sb, ta), turn(sa, sb, tb), turn(ta, tb, sa), turn(ta, tb, sb)]
+    opposite = lambda d, e: F.signum(d) * F.signum(e) < 0
+    meet = (opposite(*turns[:2]) & opposite(*turns[2:])) | reduce(or_, [d == 0 for d in turns])
+    pairs = s.hint("merge").join(t, (F.col("s_h") == F.col("t_h")) & boxes & (~F.col("t_home") | first) & corner & _same(F.col("s_k"), F.col("t_k")) & meet)
+    pairs = pairs.select("s_k", *[f"{o}_{n}" for o in "st" for n in ENDS], *[d.alias(f"d{n}") for n, d in enumerate(turns, 1)])
+    ends = lambda o, px, py: ((px == F.col(f"{o}_ax")) & (py == F.col(f"{o}_ay"))) | ((px == F.col(f"{o}_bx")) & (py == F.col(f"{o}_by")))
+    inside = lambda r, o: x(r).between(F.col(f"{o}_ax"), F.col(f"{o}_bx")) & y(r).between(low(o), high(o)) & ~ends(o, x(r), y(r))
+    point = lambda o, px, py: F.struct(F.lit(o == "s").alias("s"), px.alias("x"), py.alias("y"))
+    touch = lambda d, r, o: F.when((F.col(d) == 0) & inside(r, o), point(o, x(r), y(r)))
+    crossed = opposite("d1", "d2") & opposite("d3", "d4")
     # one division at the end: small whole coordinates give the nearest double, whichever pair meets there
     whole = F.col("d3") - F.col("d4")
     at = lambda a, b: (a * whole + (b - a) * F.col("d3")) / whole + 0.0
-    cross = F.when(crossed, point(at(x(sa), x(sb)), at(y(sa), y(sb))))
-    found = lambda side, *points: F.struct(*[F.col(f"{side}_{n}").alias(n) for n in ENDS], F.filter(F.array(*points), lambda p: p.isNotNull()).alias("points"))
-    both = F.array(found("s", cross, touch("d1", ta, "s"), touch("d2", tb, "s")), found("t", cross, touch("d3", sa, "t"), touch("d4", sb, "t")))
-    cut = pairs.select("k", F.explode(both).alias("f")).select("k", "f.*").withColumn("p", F.explode("points"))
-    at_end = ((F.col("p.x") == F.col("ax")) & (F.col("p.y") == F.col("ay"))) | ((F.col("p.x") == F.col("bx")) & (F.col("p.y") == F.col("by")))
-    return cut.where(~at_end).groupBy("k", *ENDS).agg(F.collect_set("p").alias("cuts"))
-
-
-def _pieces(segments: DataFrame, cuts: DataFrame) -> DataFrame:
-    """The lines' pieces between neighbouring points, in order."""
-    rows = segments.join(cuts, ["k", *ENDS], "left")
-    p, q = F.col("p"), F.col("q")
-    dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-    along = lambda c: ((c["x"] - p["x"]) * dx + (c["y"] - p["y"]) * dy) / (dx * dx + dy * dy)
-    between = lambda c, n: (p[n] + (q[n] - p[n]) * along(c)).alias(n)
-    inner = F.transform(F.col("cuts"), lambda c: F.struct(along(c).alias("t"), F.struct(c["x"].alias("x"), c["y"].alias("y"), between(c, "z"), between(c, "m")).alias("v")))
-    inner = F.transform(F.array_sort(F.coalesce(inner, F.array().cast("array<struct<t:double,v:struct<x:double,y:double,z:double,m:double>>>"))), lambda i: i["v"])
-    stops = F.concat(F.array(p), inner, F.array(q))
-    rows = rows.select("k", "line", "copies", "n", "at", stops.alias("w"))
-    steps = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.struct(a.alias("p"), b.alias("q")))
-    # the line's very first point is its end; the piece's number tells
-    return rows.select("k", "line", "copies", F.col("at"), (F.col("at") == F.col("n") - 2).alias("closing"), F.size("w").alias("stops"), F.posexplode(steps).alias("sub", "s")).select(
-        "k", "line", "copies", "at", "sub", "s.p", "s.q", ((F.col("at") == 0) & (F.col("sub") == 0)).alias("opens"), (F.col("closing") & (F.col("sub") == F.col("stops") - 2)).alias("closes")
-    )
+    px, py = at(x(sa), x(sb)), at(y(sa), y(sb))
+    cross = lambda o: F.when(crossed & ~ends(o, px, py), point(o, px, py))
+    found = F.array(cross("s"), cross("t"), touch("d1", ta, "s"), touch("d2", tb, "s"), touch("d3", sa, "t"), touch("d4", sb, "t"))
+    cut = pairs.withColumn("f", F.explode(found)).where("f IS NOT NULL")
+    return kept(cut.select(F.col("s_k").alias("k"), *[F.when(F.col("f.s"), F.col(f"s_{n}")).otherwise(F.col(f"t_{n}")).alias(n) for n in ENDS], "f.x", "f.y"))
+
+
+def _marks(lines: DataFrame, segments: DataFrame, cuts: DataFrame) -> DataFrame:
+    """By line: the points at which its segments are cut (``t``: how far along), and
+    its vertices that are no nodes (these without t, x and y)."""
+    ends = F.xxhash64("k", *ENDS)
+    c = cuts.select(ends.alias("c_h"), F.col("k").alias("c_k"), *[F.col(n).alias(f"c_{n}") for n in ENDS], "x", "y")
+    exact = reduce(and_, [_same(F.col(n), F.col(f"c_{n}")) for n in ["k", *ENDS]])
+    met = _placed(segments, "line", "at").withColumn("h", ends).hint("merge").join(c, (F.col("h") == F.col("c_h")) & exact)
+    start = lambda c: F.when(F.col("on"), F.col(f"a{c}")).otherwise(F.col(f"b{c}"))
+    to = lambda c: F.when(F.col("on"), F.col(f"b{c}")).otherwise(F.col(f"a{c}"))
+    met = met.select("line", "at", "x", "y", *[start(c).alias(f"p{c}") for c in "xy"], *[(to(c) - start(c)).alias(f"d{c}") for c in "xy"])
+    along = ((F.col("x") - F.col("px")) * F.col("dx") + (F.col("y") - F.col("py")) * F.col("dy")) / (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    inner = met.select("line", "at", along.alias("t"), "x", "y")
+    passed = lines.select("k", "line", F.size("v").alias("n"), F.posexplode("v").alias("at", "p"))
+    passed = passed.select("k", (F.col("p.x") + 0.0).alias("x"), (F.col("p.y") + 0.0).alias("y"), "line", "at", ((F.col("at") == 0) | (F.col("at") == F.col("n") - 1)).alias("node"))
+    nothing = [F.lit(None).cast("long").alias("line"), F.lit(None).cast("int").alias("at"), F.lit(True).alias("node")]
+    # who passes where nobody else does is the only one there, so no join has to find the line
+    points = passed.unionAll(cuts.select("k", "x", "y", *nothing)).groupBy("k", "x", "y")
+    plain = points.agg(F.count(F.lit(1)).alias("times"), F.bool_or("node").alias("node"), F.min("line").alias("line"), F.min("at").alias("at")).where("times = 1 AND NOT node")
+    marks = inner.unionAll(plain.select("line", "at", *[F.lit(None).cast("double").alias(n) for n in ("t", "x", "y")]))
+    return marks.groupBy("line").agg(F.collect_set(F.struct("at", "t", "x", "y")).alias("marks"))
+
+
+def _parts(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """The lines between nodes, in order, by line."""
+    mark = "struct<at:int,t:double,x:double,y:double>"
+    rows = lines.hint("merge").join(marks, "line", "left").withColumn("marks", F.coalesce("marks", F.array().cast(f"array<{mark}>")))
+    plain = F.transform(F.filter("marks", lambda c: c["x"].isNull()), lambda c: c["at"])
+    nothing = F.lit(None).cast("double")
+    nodes = F.transform(F.array_except(F.sequence(F.lit(0), F.size("v") - 1), plain), lambda i: F.struct(i.alias("at"), nothing.alias("t"), nothing.alias("x"), nothing.alias("y")))
+    # nulls come first: a vertex before the cuts of its segment
+    stops = F.sort_array(F.concat(nodes, F.filter("marks", lambda c: c["x"].isNotNull())))
+    rows = rows.select("k", "line", "v", stops.alias("stops"))
+    rows = rows.select("k", "line", "v", "stops", F.posexplode(F.slice("stops", 1, F.size("stops") - 1)).alias("run", "a")).withColumn("b", F.get("stops", F.col("run") + 1))
+
+    def vertex(c: str) -> Column:
+        p, q, t = F.get("v", F.col(f"{c}.at")), F.get("v", F.col(f"{c}.at") + 1), F.col(f"{c}.t")
+        between = lambda n: (p[n] + (q[n] - p[n]) * t).alias(n)
+        return F.when(F.col(f"{c}.x").isNull(), p).otherwise(F.struct(F.col(f"{c}.x").alias("x"), F.col(f"{c}.y").alias("y"), between("z"), between("m")))
+
+    # between two stops lie the vertices that are no nodes
+    many = F.col("b.at") - F.col("a.at") - F.when(F.col("b.x").isNull(), 1).otherwise(0)
+    rows = rows.select("k", F.struct("line", (F.col("run") + 1).cast("long").alias("run")).alias("n_part"), "v", F.col("a.at").alias("at"), many.alias("many"), vertex("a").alias("a"), vertex("b").alias("b"))
+    part = F.when(F.col("many") == 0, F.array("a", "b")).otherwise(F.concat(F.array("a"), F.slice("v", F.col("at") + 2, F.col("many")), F.array("b")))
+    xy = [(F.col(e)[c] + 0.0).alias(f"{n}{c}") for e, n in (("a", "p"), ("b", "q")) for c in "xy"]
+    return rows.select("k", "n_part", *xy, (F.col("many") == 0).alias("single"), part.alias("part"))
 
 
 def union_lines(df: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
@@ -123,29 +173,21 @@ def union_lines(df: DataFrame, keys: list[str], geometry: str = "geometry") -> D
     z and M are interpolated at cuts; a stretch that several lines share has those
     of one of them.  Whether a point lies on a segment is told in doubles: what
     misses by rounding does not touch.  Crossings are rounded once, for both
-    lines.  The vertices of one line are scanned in one task, as a line is one value.
+    lines.  The vertices of one line are cut in one task, as a line is one value.
 
     Keys may be null; equal nulls are one group.  Geometries that are null, empty or
     no lines, vertices without finite x and y, and lines that stay at one point
     give no rows; an empty table gives none.  Runs jobs while it is built.
     """
-    segments = _segments(_lines(df, keys, geometry))
-    pieces = kept(_pieces(segments, _cuts(segments)))
-    start, stop = _xy(F.col("p")), _xy(F.col("q"))
-    # a piece passes its start, the last one of a line its end too
-    passes = F.array(F.struct(start.alias("xy"), F.col("opens").alias("end")), F.struct(F.when(F.col("closes"), stop).alias("xy"), F.lit(True).alias("end")))
-    points = pieces.select("k", "copies", F.explode(passes).alias("o")).where("o.xy IS NOT NULL").groupBy("k", F.col("o.xy").alias("xy"))
-    nodes = points.agg(F.bool_or("o.end").alias("ends"), F.sum("copies").alias("passed")).where("ends OR passed > 1").select("k", "xy", F.lit(1).alias("node"))
-    marked = pieces.withColumn("xy", start).join(nodes, ["k", "xy"], "left")
-    run = F.sum(F.coalesce("node", F.lit(0))).over(Window.partitionBy("line").orderBy("at", "sub").rowsBetween(Window.unboundedPreceding, 0))
-    chains = marked.withColumn("run", run).groupBy("k", "line", "run").agg(F.array_sort(F.collect_list(F.struct("at", "sub", "p", "q"))).alias("l"))
-    part = F.concat(F.transform("l", lambda s: s["p"]), F.array(F.element_at("l", -1)["q"]))
-    chains = chains.select("k", F.struct("line", "run").alias("n_part"), part.alias("part"))
-    ends = [_xy(F.element_at("part", 1)), _xy(F.element_at("part", -1))]
-    # only single pieces can be shared: an inner point of a chain is passed once
-    own = F.when(F.size("part") > 2, F.col("n_part"))
-    once = chains.groupBy("k", F.least(*ends).alias("u"), F.greatest(*ends).alias("v"), own.alias("own")).agg(F.min_by("part", "n_part").alias("part"), F.min("n_part").alias("n_part"))
-    return once.select(*[F.col(f"k.{c}").alias(c) for c in keys], "n_part", "part")
+    lines = _lines(df, keys, geometry)
+    segments = _segments(lines)
+    parts = _parts(lines, _marks(lines, segments, _cuts(segments)))
+    # only parts of one piece can be shared: an inner vertex of a part is passed once
+    same = ["k", *ENDS, "own"]
+    rows = _placed(parts, F.when(~F.col("single"), F.col("n_part")).alias("own"), F.struct("n_part", "part").alias("p"))
+    # rows are sorted by the hash first, which is quick to compare
+    once = rows.groupBy(F.xxhash64(*same).alias("h"), *same).agg(F.min("p").alias("p"))
+    return once.select(*[F.col(f"k.{c}").alias(c) for c in keys], "p.n_part", "p.part")
 
 
 def united(df: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:

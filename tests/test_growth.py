@@ -97,3 +97,29 @@ def test_locate_hands_on_without_a_join_of_the_segments(spark):
     # segments meet points, not one another
     plan = optimised(locate_points(pts, ev).located)
     assert "[distinct" not in plan and plan.count("Join Inner") + plan.count("Join LeftOuter") <= 4
+
+
+def test_union_moves_a_vertex_with_its_line(spark):
+    from milepost.functions.geometry import GEOMETRY
+    from milepost.operators.planar import union_lines
+
+    vertices = lambda *xy: ("LineString", [[(float(x), float(y), float(n), None) for n, (x, y) in enumerate(xy)]])
+    data = [
+        # there and back, crossed on the way: both passes are cut, and what they share stays once
+        ("spike", vertices((0, 0), (4, 0), (0, 0))), ("spike", vertices((2, -1), (2, 1))),
+        # a segment of three lines, one of them against the others, cut by a fourth
+        ("shared", vertices((0, 0), (4, 0), (5, 1))), ("shared", vertices((4, 0), (0, 0), (0, 7))), ("shared", vertices((-3, 2), (0, 0), (4, 0))), ("shared", vertices((1, -1), (1, 1))),
+        # an end within a segment, at the vertex of a third line; the other vertices stay inside
+        ("plain", vertices((0, 0), (1, 1), (2, 0), (3, 1), (5, 1), (7, 1))), ("plain", vertices((4, 3), (4, 2), (4, 1))), ("plain", vertices((9, 9), (4, 1), (9, 8))),
+    ]
+    out = union_lines(spark.createDataFrame(data, f"g string, geometry {GEOMETRY.simpleString()}"), ["g"])
+    found = {}
+    for r in out.collect():
+        found.setdefault(r["g"], []).append([(v.x, v.y) for v in r["part"]])
+    way = lambda parts: sorted(min(p, p[::-1]) for p in parts)
+    assert way(found["spike"]) == way([[(0, 0), (2, 0)], [(2, 0), (4, 0), (2, 0)], [(2, -1), (2, 0)], [(2, 0), (2, 1)]])
+    assert way(found["shared"]) == way([[(0, 0), (1, 0)], [(1, 0), (4, 0)], [(4, 0), (5, 1)], [(0, 0), (0, 7)], [(-3, 2), (0, 0)], [(1, -1), (1, 0)], [(1, 0), (1, 1)]])
+    assert way(found["plain"]) == way([[(0, 0), (1, 1), (2, 0), (3, 1), (4, 1)], [(4, 1), (5, 1), (7, 1)], [(4, 3), (4, 2), (4, 1)], [(9, 9), (4, 1)], [(4, 1), (9, 8)]])
+    # a line is cut as it is: its pieces aren't brought together again, and nodes aren't joined with them
+    plan = optimised(out)
+    assert "Window" not in plan and plan.count("Join Inner") == 1 and plan.count("Join LeftOuter") == 1
