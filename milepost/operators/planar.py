@@ -39,8 +39,9 @@ def _same(a: Column, b: Column) -> Column:
 def _lines(df: DataFrame, keys: list[str], geometry: str) -> DataFrame:
     """The lines of all groups: a number and their vertices without repeats."""
     parts = F.explode(F.when(is_line(F.col(geometry)), F.col(f"{geometry}.parts")))
-    # dealt by what they hold: the tasks don't depend on how the table is cut
-    rows = df.select(F.struct(*keys).alias("k"), parts.alias("v")).repartition("k", "v")
+    # dealt in turn: tasks don't depend on how the table is cut, nor on copies of a line
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.struct(*keys).alias("k"), parts.alias("v")).repartition(tasks)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.withColumn("v", F.filter("v", lambda v: finite(v["x"]) & finite(v["y"])))
     before = lambda i: F.get(F.col("v"), i - 1)
