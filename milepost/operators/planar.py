@@ -12,6 +12,12 @@ grids in use; a pair meets once, in the cell that holds the lower left corner of
 what their boxes share.  So a group that holds a third of all rows is spread over
 its cells.  Equal segments are compared once, and shared vertices are found by
 counting, not by pairs.
+
+A line of two vertices is its segment: it is cut where its segment is, and of the
+equal ones one is cut.  Where such segments run along each other the one that
+begins first has the stretch, so each of the others goes without all up to where
+the last of those that began before it ends.  Only bent lines are put together
+from their vertices and compared part by part.
 """
 
 from __future__ import annotations
@@ -24,10 +30,12 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import is_line
 from .cells import GRID_STEP, GRIDS, _grid
-from .numbering import kept
+from .numbering import stored
 
 #: A segment: its lower end (by x, then y) and its upper one.
 ENDS = ["ax", "ay", "bx", "by"]
+#: Of a straight line: its number, whether it runs from a to b, z and M there.
+OF_LINE = ["line", "on", "az", "am", "bz", "bm"]
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -36,17 +44,35 @@ def _same(a: Column, b: Column) -> Column:
     return (a <= b) & (a >= b)
 
 
-def _lines(df: DataFrame, keys: list[str], geometry: str) -> DataFrame:
-    """The lines of all groups: a number and their vertices without repeats."""
-    parts = F.explode(F.when(is_line(F.col(geometry)), F.col(f"{geometry}.parts")))
-    # dealt in turn: tasks don't depend on how the table is cut, nor on copies of a line
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.struct(*keys).alias("k"), parts.alias("v")).repartition(tasks)
+def _vertices(df: DataFrame, keys: list[str], geometry: str) -> DataFrame:
+    """The lines of all groups: their vertices as they are."""
+    return df.select(F.struct(*keys).alias("k"), F.explode(F.when(is_line(F.col(geometry)), F.col(f"{geometry}.parts"))).alias("v"))
+
+
+def _cleaned(rows: DataFrame) -> DataFrame:
+    """Without vertices that are none or repeat the one before."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.withColumn("v", F.filter("v", lambda v: finite(v["x"]) & finite(v["y"])))
     before = lambda i: F.get(F.col("v"), i - 1)
     moved = F.filter("v", lambda v, i: (i == 0) | (v["x"] != before(i)["x"]) | (v["y"] != before(i)["y"]))
-    return kept(rows.select("k", F.monotonically_increasing_id().alias("line"), moved.alias("v"))).where(F.size("v") >= 2)
+    return rows.withColumn("v", moved)
+
+
+def _bent(rows: DataFrame) -> DataFrame:
+    """Lines of three vertices or more, with a number."""
+    # dealt in turn: tasks don't depend on how the table is cut, nor on copies of a line
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _cleaned(rows.where(F.size("v") > 2).repartition(tasks))
+    return stored(rows.select("k", (F.monotonically_increasing_id() * 2 + 1).alias("line"), "v")).where(F.size("v") > 2)
+
+
+def _straight(rows: DataFrame) -> DataFrame:
+    """Lines of two vertices, as segments with a number and z and M at both ends."""
+    rows = _cleaned(rows).select("k", (F.monotonically_increasing_id() * 2).alias("line"), "v").where(F.size("v") == 2)
+    rows = rows.select("k", "line", F.get("v", F.lit(0)).alias("p"), F.get("v", F.lit(1)).alias("q"))
+    rows = rows.select("k", "line", "p", "q", *[(F.coalesce(F.col(e)[c], F.lit(0.0)) + 0.0).alias(f"{e}{c}") for e in "pq" for c in "xy"])
+    pick = lambda n, e, o, c: F.when(F.col("on"), F.col(e)[c]).otherwise(F.col(o)[c]).alias(f"{n}{c}")
+    return _placed(rows, "line", "p", "q").select("k", "line", "on", *ENDS, *[pick(*n, c) for n in ("apq", "bqp") for c in "zm"])
 
 
 def _segments(lines: DataFrame) -> DataFrame:
@@ -64,50 +90,71 @@ def _placed(segments: DataFrame, *more: str | Column) -> DataFrame:
     return rows.select("k", "on", *more, *[pick(*n) for n in zip(ENDS, ("px", "py", "qx", "qy"), ("qx", "qy", "px", "py"))])
 
 
+def _per(grid: Column) -> Column:
+    return F.when(grid == GRIDS - 1, 0.0).otherwise(F.pow(F.lit(2.0), (GRIDS // 2 - grid) * GRID_STEP))
+
+
+def _cell_hash(k: Column, grid: Column, cx: Column, cy: Column) -> Column:
+    return F.xxhash64(k, grid.cast("int"), cx, cy)
+
+
 def _cells(rows: DataFrame, *more: str) -> DataFrame:
     """A row for each cell that a segment touches on the grid ``g``: the hash of
-    group and cell, and the cell's place in steps of ``1 / per``."""
-    per = F.when(F.col("g") == GRIDS - 1, 0.0).otherwise(F.pow(F.lit(2.0), (GRIDS // 2 - F.col("g")) * GRID_STEP))
-    rows = rows.withColumn("per", per)
+    group and cell, whose place is in steps of ``1 / per``."""
+    rows = rows.withColumn("per", _per(F.col("g")))
     place = lambda v: F.floor(v * F.col("per"))
     rows = rows.withColumns({"x0": place(F.col("ax")), "x1": place(F.col("bx")), "y0": place(F.least("ay", "by")), "y1": place(F.greatest("ay", "by"))})
     wide, high = F.col("x0") != F.col("x1"), F.col("y0") != F.col("y1")
     cell = lambda x, y: F.struct(F.col(x).alias("cx"), F.col(y).alias("cy"))
     touched = F.array(cell("x0", "y0"), F.when(wide, cell("x1", "y0")), F.when(high, cell("x0", "y1")), F.when(wide & high, cell("x1", "y1")))
     rows = rows.withColumn("c", F.explode(touched)).where("c IS NOT NULL")
-    return rows.select(F.xxhash64("k", "g", "c.cx", "c.cy").alias("h"), "k", *ENDS, "per", "c.cx", "c.cy", *more)
+    return rows.select(_cell_hash(F.col("k"), F.col("g"), F.col("c.cx"), F.col("c.cy")).alias("h"), "k", *ENDS, *more)
 
 
-def _cuts(segments: DataFrame) -> DataFrame:
-    """The inner points at which each different segment is cut, a row a point; a
-    point may come more than once."""
+def _different(straight: DataFrame, bent: DataFrame) -> DataFrame:
+    """Each different segment once, with the number of its grid; ``own``: it is a
+    straight line, and has what one of those that equal it has (``OF_LINE``)."""
+    names = ["k", *ENDS]
     grid = lambda p, q: F.greatest(F.lit(0), _grid(F.col(f"{p}x"), F.col(f"{q}x")), _grid(F.col(f"{p}y"), F.col(f"{q}y")))
-    one = kept(_placed(segments).select("k", *ENDS).distinct().withColumn("grid", grid("a", "b")))
-    used = one.agg(F.bit_or(F.expr("shiftleft(1L, grid)"))).first()[0] or 0
+    # all are of one row
+    rows = straight.groupBy(*names).agg(*[F.first(c).alias(c) for c in OF_LINE]).withColumn("own", F.lit(True))
+    kinds = dict(straight.select(*OF_LINE).dtypes)
+    rest = bent.select(*names).distinct().select(*names, *[F.lit(None).cast(kinds[c]).alias(c) for c in OF_LINE], F.lit(False).alias("own"))
+    return stored(rows.unionAll(rest).withColumn("grid", grid("a", "b")))
+
+
+def _cuts(one: DataFrame, used: int) -> DataFrame:
+    """The inner points at which each segment is cut, a row a point; a point may
+    come more than once.  ``lap``: so far, which may be to its end, others have
+    what the segment runs along."""
     coarser = [F.when(F.col("grid") < g, F.lit(g)) for g in range(GRIDS) if used >> g & 1]
+    one = one.select("k", *ENDS, "own", "grid")
     visits = one.withColumn("g", F.explode(F.array(F.col("grid"), *coarser))).where("g IS NOT NULL").withColumn("home", F.col("g") == F.col("grid"))
-    side = lambda df, n: df.select(*[F.col(c).alias(f"{n}_{c}") for c in df.columns])
-    s = side(_cells(one.withColumn("g", F.col("grid"))), "s")
-    t = side(_cells(visits, "home").drop("per", "cx", "cy"), "t")
+    # both sides are the same rows under the same names, so they are moved once
+    cells = _cells(visits, "grid", "own", "home")
+    s, t = cells.alias("s"), cells.alias("t")
 
-    x, y = (lambda n: F.col(f"{n[0]}_{n[1]}x")), (lambda n: F.col(f"{n[0]}_{n[1]}y"))
+    x, y = (lambda n: F.col(f"{n[0]}.{n[1]}x")), (lambda n: F.col(f"{n[0]}.{n[1]}y"))
     sa, sb, ta, tb = "sa", "sb", "ta", "tb"
-    low, high = (lambda o: F.least(f"{o}_ay", f"{o}_by")), (lambda o: F.greatest(f"{o}_ay", f"{o}_by"))
+    low, high = (lambda o: F.least(f"{o}.ay", f"{o}.by")), (lambda o: F.greatest(f"{o}.ay", f"{o}.by"))
     first = F.lit(False)
     for n in reversed(ENDS):
-        first = (F.col(f"s_{n}") < F.col(f"t_{n}")) | ((F.col(f"s_{n}") == F.col(f"t_{n}")) & first)
+        first = (F.col(f"s.{n}") < F.col(f"t.{n}")) | ((F.col(f"s.{n}") == F.col(f"t.{n}")) & first)
     boxes = (x(sa) <= x(tb)) & (x(ta) <= x(sb)) & (low("s") <= high("t")) & (low("t") <= high("s"))
-    corner = (F.col("s_cx") == F.floor(F.greatest(x(sa), x(ta)) * F.col("s_per"))) & (F.col("s_cy") == F.floor(F.greatest(low("s"), low("t")) * F.col("s_per")))
+    # s is at home; a product, as what rests on one side alone would be asked before rows are moved
+    one_of = F.col("s.home").cast("int") * (1 - F.col("t.home").cast("int") + first.cast("int")) > 0
     # on which side of the line from p to q the point r lies
     turn = lambda p, q, r: (x(q) - x(p)) * (y(r) - y(p)) - (y(q) - y(p)) * (x(r) - x(p))
     turns = [turn(sa, sb, ta), turn(sa, sb, tb), turn(ta, tb, sa), turn(ta, tb, sb)]
     opposite = lambda d, e: F.signum(d) * F.signum(e) < 0
-    meet = (opposite(*turns[:2]) & opposite(*turns[2:])) | reduce(or_, [d == 0 for d in turns])
-    pairs = s.hint("merge").join(t, (F.col("s_h") == F.col("t_h")) & boxes & (~F.col("t_home") | first) & corner & _same(F.col("s_k"), F.col("t_k")) & meet)
-    pairs = pairs.select("s_k", *[f"{o}_{n}" for o in "st" for n in ENDS], *[d.alias(f"d{n}") for n, d in enumerate(turns, 1)])
-    ends = lambda o, px, py: ((px == F.col(f"{o}_ax")) & (py == F.col(f"{o}_ay"))) | ((px == F.col(f"{o}_bx")) & (py == F.col(f"{o}_by")))
-    inside = lambda r, o: x(r).between(F.col(f"{o}_ax"), F.col(f"{o}_bx")) & y(r).between(low(o), high(o)) & ~ends(o, x(r), y(r))
-    point = lambda o, px, py: F.struct(F.lit(o == "s").alias("s"), px.alias("x"), py.alias("y"))
+    pairs = s.hint("merge").join(t, (F.col("s.h") == F.col("t.h")) & (F.col("t.grid") <= F.col("s.grid")) & boxes & one_of & _same(F.col("s.k"), F.col("t.k")))
+    pairs = pairs.select("s.k", "s.h", "s.grid", *[F.struct(*[F.col(f"{o}.{n}") for n in [*ENDS, "own"]]).alias(o) for o in "st"], first.alias("first"), *[d.alias(f"d{n}") for n, d in enumerate(turns, 1)])
+    per = _per(F.col("grid"))
+    corner = F.col("h") == _cell_hash(F.col("k"), F.col("grid"), F.floor(F.greatest(x(sa), x(ta)) * per), F.floor(F.greatest(low("s"), low("t")) * per))
+    ends = lambda o, px, py: ((px == F.col(f"{o}.ax")) & (py == F.col(f"{o}.ay"))) | ((px == F.col(f"{o}.bx")) & (py == F.col(f"{o}.by")))
+    box = lambda r, o: x(r).between(F.col(f"{o}.ax"), F.col(f"{o}.bx")) & y(r).between(low(o), high(o))
+    inside = lambda r, o: box(r, o) & ~ends(o, x(r), y(r))
+    point = lambda o, px, py, lap=False: F.struct(F.lit(o == "s").alias("s"), px.alias("x"), py.alias("y"), F.lit(lap).alias("lap"))
     touch = lambda d, r, o: F.when((F.col(d) == 0) & inside(r, o), point(o, x(r), y(r)))
     crossed = opposite("d1", "d2") & opposite("d3", "d4")
     # one division at the end: small whole coordinates give the nearest double, whichever pair meets there
@@ -115,15 +162,60 @@ def _cuts(segments: DataFrame) -> DataFrame:
     at = lambda a, b: (a * whole + (b - a) * F.col("d3")) / whole + 0.0
     px, py = at(x(sa), x(sb)), at(y(sa), y(sb))
     cross = lambda o: F.when(crossed & ~ends(o, px, py), point(o, px, py))
-    found = F.array(cross("s"), cross("t"), touch("d1", ta, "s"), touch("d2", tb, "s"), touch("d3", sa, "t"), touch("d4", sb, "t"))
-    cut = pairs.withColumn("f", F.explode(found)).where("f IS NOT NULL")
-    return kept(cut.select(F.col("s_k").alias("k"), *[F.when(F.col("f.s"), F.col(f"s_{n}")).otherwise(F.col(f"t_{n}")).alias(n) for n in ENDS], "f.x", "f.y"))
-
-
-def _marks(lines: DataFrame, segments: DataFrame, cuts: DataFrame) -> DataFrame:
+    # whichever of two straight lines along each other begins first has all that both have
+    along = F.col("s.own") & F.col("t.own") & reduce(and_, [F.col(f"d{n}") == 0 for n in (1, 2, 3, 4)])
+    less = lambda p, q: (x(p) < x(q)) | ((x(p) == x(q)) & (y(p) < y(q)))
+
+    def lapped(o: str, a: str, b: str, oa: str, ob: str) -> Column:
+        """The segment ``o`` from oa to ob is lapped from its start on by the other, from a to b."""
+        other = a[0]
+        shared = box(oa, other) & less(oa, b)
+        return F.when(shared & less(b, ob) & box(b, o), point(o, x(b), y(b), True)).when(shared & ~less(b, ob) & box(ob, other), point(o, x(ob), y(ob), True))
+
+    on_t = F.coalesce(F.when(along & F.col("first"), lapped("t", sa, sb, ta, tb)), touch("d4", sb, "t"))
+    on_s = F.coalesce(F.when(along & ~F.col("first"), lapped("s", ta, tb, sa, sb)), touch("d2", tb, "s"))
+    found = F.array(cross("s"), cross("t"), touch("d1", ta, "s"), on_s, touch("d3", sa, "t"), on_t)
+    meet = crossed | reduce(or_, [F.col(f"d{n}") == 0 for n in (1, 2, 3, 4)])
+    # a lambda's code is not made one with the join's, and the join's own must be short: what is longer is never compiled
+    cut = pairs.withColumn("f", F.explode(F.when(meet & corner, F.filter(found, lambda f: f.isNotNull()))))
+    return stored(cut.select("k", *[F.when(F.col("f.s"), F.col(f"s.{n}")).otherwise(F.col(f"t.{n}")).alias(n) for n in ENDS], "f.x", "f.y", "f.lap"))
+
+
+def _straight_parts(one: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The straight lines between nodes, each stretch once."""
+    one = one.select("k", *ENDS, *OF_LINE, F.lit(None).cast("struct<x:double,y:double,lap:boolean>").alias("mark"))
+    cuts = cuts.select("k", *ENDS, *[F.lit(None).cast(kind).alias(c) for c, kind in one.select(*OF_LINE).dtypes], F.struct("x", "y", "lap").alias("mark"))
+    # rows are sorted by the hash first, which is quick to compare
+    rows = one.unionAll(cuts).groupBy(F.hash("k", *ENDS).alias("h"), "k", *ENDS).agg(*[F.max(c).alias(c) for c in OF_LINE], F.collect_set("mark").alias("marks")).where("line IS NOT NULL")
+    wx, wy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    # how far along, told by the longer side
+    far = lambda px, py: F.when(F.abs(wx) >= F.abs(wy), px).otherwise(py * F.signum(wy))
+    stop = lambda px, py: F.struct(far(px, py).alias("u"), px.alias("x"), py.alias("y"))
+    a, b = stop(F.col("ax"), F.col("ay")), stop(F.col("bx"), F.col("by"))
+    stops = lambda keep: F.transform(F.filter("marks", keep), lambda c: stop(c["x"], c["y"]))
+    inner = stops(lambda c: ~((c["x"] == F.col("bx")) & (c["y"] == F.col("by"))))
+    listed = F.when(F.size("marks") == 0, F.array(a, b)).otherwise(F.concat(F.array(a), F.sort_array(F.array_distinct(inner)), F.array(b)))
+    rows = rows.withColumns({"stops": listed, "reach": F.array_max(stops(lambda c: c["lap"]))})
+    # as the line runs: where it starts, and from there on
+    side = lambda e, o, c: F.when(F.col("on"), F.col(f"{e}{c}")).otherwise(F.col(f"{o}{c}"))
+    way = [c for n in "xyzm" for c in (side("a", "b", n).alias(f"p{n}"), side("b", "a", n).alias(f"q{n}"), (side("b", "a", n) - side("a", "b", n)).alias(f"d{n}"))]
+    rows = rows.select("k", "line", "on", *way, "stops", F.size("stops").alias("n"), "reach.u", F.posexplode(F.slice("stops", 1, F.size("stops") - 1)).alias("run", "a"))
+    rows = rows.withColumn("b", F.get("stops", F.col("run") + 1)).where("u IS NULL OR a.u >= u")
+    t = lambda e: ((F.col(f"{e}.x") - F.col("px")) * F.col("dx") + (F.col(f"{e}.y") - F.col("py")) * F.col("dy")) / (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    rows = rows.withColumns({"ta": t("a"), "tb": t("b")})
+    between = lambda e, c: F.when(F.col(f"t{e}") == 0, F.col(f"p{c}")).when(F.col(f"t{e}") == 1, F.col(f"q{c}")).otherwise(F.col(f"p{c}") + F.col(f"d{c}") * F.col(f"t{e}"))
+    vertex = lambda e: F.struct(f"{e}.x", f"{e}.y", between(e, "z").alias("z"), between(e, "m").alias("m"))
+    run = F.when(F.col("on"), F.col("run") + 1).otherwise(F.col("n") - 1 - F.col("run")).cast("long")
+    rows = rows.select("k", F.struct("line", run.alias("run")).alias("n_part"), "on", vertex("a").alias("a"), vertex("b").alias("b"))
+    return rows.select("k", "n_part", F.when(F.col("on"), F.array("a", "b")).otherwise(F.array("b", "a")).alias("part"))
+
+
+def _marks(lines: DataFrame, segments: DataFrame, cuts: DataFrame, straight: DataFrame) -> DataFrame:
     """By line: the points at which its segments are cut (``t``: how far along), and
-    its vertices that are no nodes (these without t, x and y)."""
+    its vertices that are no nodes (these without t, x and y); ``straight`` ends at
+    nodes."""
     ends = F.xxhash64("k", *ENDS)
+    cuts = cuts.where("NOT (x = bx AND y = by)")
     c = cuts.select(ends.alias("c_h"), F.col("k").alias("c_k"), *[F.col(n).alias(f"c_{n}") for n in ENDS], "x", "y")
     exact = reduce(and_, [_same(F.col(n), F.col(f"c_{n}")) for n in ["k", *ENDS]])
     met = _placed(segments, "line", "at").withColumn("h", ends).hint("merge").join(c, (F.col("h") == F.col("c_h")) & exact)
@@ -136,7 +228,10 @@ def _marks(lines: DataFrame, segments: DataFrame, cuts: DataFrame) -> DataFrame:
     passed = passed.select("k", (F.col("p.x") + 0.0).alias("x"), (F.col("p.y") + 0.0).alias("y"), "line", "at", ((F.col("at") == 0) | (F.col("at") == F.col("n") - 1)).alias("node"))
     nothing = [F.lit(None).cast("long").alias("line"), F.lit(None).cast("int").alias("at"), F.lit(True).alias("node")]
     # who passes where nobody else does is the only one there, so no join has to find the line
-    points = passed.unionAll(cuts.select("k", "x", "y", *nothing)).groupBy("k", "x", "y")
+    points = passed.unionAll(cuts.select("k", "x", "y", *nothing))
+    for e in "ab":
+        points = points.unionAll(straight.select("k", f"{e}x", f"{e}y", *nothing))
+    points = points.groupBy("k", "x", "y")
     plain = points.agg(F.count(F.lit(1)).alias("times"), F.bool_or("node").alias("node"), F.min("line").alias("line"), F.min("at").alias("at")).where("times = 1 AND NOT node")
     marks = inner.unionAll(plain.select("line", "at", *[F.lit(None).cast("double").alias(n) for n in ("t", "x", "y")]))
     return marks.groupBy("line").agg(F.collect_set(F.struct("at", "t", "x", "y")).alias("marks"))
@@ -180,15 +275,27 @@ def union_lines(df: DataFrame, keys: list[str], geometry: str = "geometry") -> D
     no lines, vertices without finite x and y, and lines that stay at one point
     give no rows; an empty table gives none.  Runs jobs while it is built.
     """
-    lines = _lines(df, keys, geometry)
+    rows = _vertices(df, keys, geometry)
+    lines = _bent(rows)
     segments = _segments(lines)
-    parts = _parts(lines, _marks(lines, segments, _cuts(segments)))
+    one = _different(_straight(rows), _placed(segments))
+    found = one.agg(F.bit_or(F.expr("shiftleft(1L, grid)")), F.bool_or("own"), F.bool_or(~F.col("own"))).first()
+    used, straight, bent = found[0] or 0, bool(found[1]), bool(found[2])
+    cuts = _cuts(one, used)
+    name = lambda parts: parts.select(*[F.col(f"k.{c}").alias(c) for c in keys], "n_part", "part")
+    own = one.where("own")
+    if not bent:
+        return name(_straight_parts(own, cuts))
+    parts = _parts(lines, _marks(lines, segments, cuts, own))
+    if straight:
+        ends = [F.col("part")[n][c].alias(f"{e}{c}") for n, e in enumerate("pq") for c in "xy"]
+        parts = parts.unionByName(stored(_straight_parts(own, cuts)).select("*", *ends, F.lit(True).alias("single")))
     # only parts of one piece can be shared: an inner vertex of a part is passed once
     same = ["k", *ENDS, "own"]
     rows = _placed(parts, F.when(~F.col("single"), F.col("n_part")).alias("own"), F.struct("n_part", "part").alias("p"))
     # rows are sorted by the hash first, which is quick to compare
     once = rows.groupBy(F.xxhash64(*same).alias("h"), *same).agg(F.min("p").alias("p"))
-    return once.select(*[F.col(f"k.{c}").alias(c) for c in keys], "p.n_part", "p.part")
+    return name(once.select("k", "p.*"))
 
 
 def united(df: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:

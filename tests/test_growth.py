@@ -123,3 +123,35 @@ def test_union_moves_a_vertex_with_its_line(spark):
     # a line is cut as it is: its pieces aren't brought together again, and nodes aren't joined with them
     plan = optimised(out)
     assert "Window" not in plan and plan.count("Join Inner") == 1 and plan.count("Join LeftOuter") == 1
+
+
+def test_union_of_straight_lines_keeps_and_moves_little(spark):
+    import os
+
+    from milepost.functions.geometry import line_of, vertex
+    from milepost.operators import numbering
+    from milepost.operators.routes import dissolve_lines
+
+    folder = numbering.shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+    n = 20_000
+    b = F.col("id") % 3 + F.floor(F.col("id") / 4) * 4.0
+    zero = F.lit(0.0)
+    rows = spark.range(n).select((F.col("id") % 3).cast("string").alias("ROADWAY"), b.alias("BEGIN_POST"), (b + 2).alias("END_POST"), F.lit("a").alias("FLAG"))
+    rows = rows.withColumn("geometry", line_of(F.array(vertex(F.col("BEGIN_POST"), zero), vertex(F.col("END_POST"), zero))))
+    removal = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = size(), spark.conf.get(removal, "false")
+    blocks, lines = dissolve_lines(rows, group_cols=["FLAG"], require_contiguous=False)
+    # segments and cuts are all that is kept, and as packed columns
+    assert size() - before < 40 * n
+    assert spark.conf.get(removal, "false") == was
+    plan = optimised(lines)
+    assert "Window" not in plan and "Join" not in plan and plan.count("\n+- Aggregate") + plan.count(" Aggregate [") == 1
+    # a block that only its group ends is found without looking at neighbours
+    assert "Window" not in optimised(blocks) and "Join" not in optimised(blocks)
+    found = lines.groupBy("__block").agg(F.sum(F.col("part")[1]["x"] - F.col("part")[0]["x"]).alias("length")).select("__block.g0", "length").collect()
+    covered = {}
+    for k in range(n):
+        at = k % 3 + k // 4 * 4
+        covered.setdefault(str(k % 3), set()).update((at, at + 1))
+    assert {r[0]: r[1] for r in found} == {g: float(len(c)) for g, c in covered.items()}

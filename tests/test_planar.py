@@ -118,6 +118,37 @@ def test_random_networks_of_all_sizes(spark, seed):
     assert got(df) == {g: brute(lines) for g, lines in cases.items()}
 
 
+@pytest.mark.parametrize("bent", [False, True])
+def test_straight_lines_along_each_other(spark, bent):
+    r = random.Random(7)
+    cases = {}
+    for g, (dx, dy) in {"level": (1, 0), "upright": (0, 1), "aslant": (1, 2), "down": (2, -1), "mixed": (0, 0)}.items():
+        lines = []
+        for n in range(40):
+            ux, uy = (dx, dy) if g != "mixed" else r.choice([(1, 0), (0, 1), (1, 1), (1, -1)])
+            a, b = r.sample(range(-12, 12), 2)
+            shift = r.choice([0, 0, 0, 1])
+            # whole steps of one direction, run either way: nested, lapping, end to end and equal ones
+            lines.append([(ux * a + shift * uy, uy * a - shift * ux), (ux * b + shift * uy, uy * b - shift * ux)])
+            if bent and n % 5 == 0:
+                lines.append([lines[-1][1], lines[-1][0], (n, 30 + n)])
+        cases[g] = lines + lines[:3]
+    cases["one in all"] = [[(0, 0), (9, 0)], [(0, 0), (3, 0)], [(6, 0), (9, 0)], [(2, 0), (7, 0)], [(9, 0), (0, 0)], [(3, -1), (3, 1)]]
+    cases["wide and narrow"] = [[(0, 0), (4096, 0)], *[[(64 * n, 0), (64 * n + 3, 0)] for n in range(30)], [(100, -50), (100, 50)]]
+    df = spark.createDataFrame([(g, line(*ps)) for g, lines in cases.items() for ps in lines], SCHEMA)
+    assert got(df) == {g: brute(lines) for g, lines in cases.items()}
+
+
+def test_z_and_m_of_straight_lines(spark):
+    data = [("a", line((4, 0, 8, 30), (0, 0, 0, 10))), ("a", line((1, -1), (1, 1))), ("b", line((0, 0, 5, 1), (2, 0, None, 3))), ("b", line((1, 0), (3, 0, 7)))]
+    out = union_lines(spark.createDataFrame(data, SCHEMA), ["g"]).collect()
+    found = {(r["g"], tuple((v.x, v.z, v.m) for v in r["part"])) for r in out if all(v.y == 0 for v in r["part"])}
+    # as the lines run, in order along them
+    assert found == {("a", ((4.0, 8.0, 30.0), (1.0, 2.0, 15.0))), ("a", ((1.0, 2.0, 15.0), (0.0, 0.0, 10.0))), ("b", ((0.0, 5.0, 1.0), (1.0, None, 2.0))), ("b", ((1.0, None, 2.0), (2.0, None, 3.0))), ("b", ((2.0, None, None), (3.0, 7.0, None)))}
+    run = {r["part"][0].x: r["n_part"]["run"] for r in out if r["g"] == "a" and r["part"][0].y == 0 and r["part"][1].y == 0}
+    assert run == {4.0: 1, 1.0: 2}
+
+
 def test_cut_vertices_have_z_and_m(spark):
     df = spark.createDataFrame([("a", line((0, 0, 0, 10), (4, 0, 8, 30))), ("a", line((1, -1), (1, 1)))], SCHEMA)
     cut = {(v.x, v.z, v.m) for r in union_lines(df, ["g"]).collect() for v in r["part"] if v.y == 0}
