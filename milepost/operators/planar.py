@@ -112,26 +112,27 @@ def _cells(rows: DataFrame, *more: str) -> DataFrame:
 
 
 def _different(straight: DataFrame, bent: DataFrame) -> DataFrame:
-    """Each different segment once, with the number of its grid; ``own``: it is a
-    straight line, and has what one of those that equal it has (``OF_LINE``)."""
+    """Each different segment once, with the number of its grid.  A straight line has
+    what one of those that equal it has (``OF_LINE``), a bent line's segment nulls."""
     names = ["k", *ENDS]
     grid = lambda p, q: F.greatest(F.lit(0), _grid(F.col(f"{p}x"), F.col(f"{q}x")), _grid(F.col(f"{p}y"), F.col(f"{q}y")))
     # all are of one row
-    rows = straight.groupBy(*names).agg(*[F.first(c).alias(c) for c in OF_LINE]).withColumn("own", F.lit(True))
+    rows = straight.groupBy(*names).agg(*[F.first(c).alias(c) for c in OF_LINE])
     kinds = dict(straight.select(*OF_LINE).dtypes)
-    rest = bent.select(*names).distinct().select(*names, *[F.lit(None).cast(kinds[c]).alias(c) for c in OF_LINE], F.lit(False).alias("own"))
+    rest = bent.select(*names).distinct().select(*names, *[F.lit(None).cast(kinds[c]).alias(c) for c in OF_LINE])
     return stored(rows.unionAll(rest).withColumn("grid", grid("a", "b")))
 
 
-def _cuts(one: DataFrame, used: int) -> DataFrame:
+def _cuts(one: DataFrame, used: int, bent: bool) -> DataFrame:
     """The inner points at which each segment is cut, a row a point; a point may
     come more than once.  ``lap``: so far, which may be to its end, others have
-    what the segment runs along."""
+    what the segment runs along.  A straight line is told by its number, a segment
+    that may be one of bent lines by its group and ends (``bent``)."""
     coarser = [F.when(F.col("grid") < g, F.lit(g)) for g in range(GRIDS) if used >> g & 1]
-    one = one.select("k", *ENDS, "own", "grid")
+    one = one.select("k", *ENDS, "line", "grid")
     visits = one.withColumn("g", F.explode(F.array(F.col("grid"), *coarser))).where("g IS NOT NULL").withColumn("home", F.col("g") == F.col("grid"))
     # both sides are the same rows under the same names, so they are moved once
-    cells = _cells(visits, "grid", "own", "home")
+    cells = _cells(visits, "grid", "line", "home")
     s, t = cells.alias("s"), cells.alias("t")
 
     x, y = (lambda n: F.col(f"{n[0]}.{n[1]}x")), (lambda n: F.col(f"{n[0]}.{n[1]}y"))
@@ -148,7 +149,7 @@ def _cuts(one: DataFrame, used: int) -> DataFrame:
     turns = [turn(sa, sb, ta), turn(sa, sb, tb), turn(ta, tb, sa), turn(ta, tb, sb)]
     opposite = lambda d, e: F.signum(d) * F.signum(e) < 0
     pairs = s.hint("merge").join(t, (F.col("s.h") == F.col("t.h")) & (F.col("t.grid") <= F.col("s.grid")) & boxes & one_of & _same(F.col("s.k"), F.col("t.k")))
-    pairs = pairs.select("s.k", "s.h", "s.grid", *[F.struct(*[F.col(f"{o}.{n}") for n in [*ENDS, "own"]]).alias(o) for o in "st"], first.alias("first"), *[d.alias(f"d{n}") for n, d in enumerate(turns, 1)])
+    pairs = pairs.select("s.k", "s.h", "s.grid", *[F.struct(*[F.col(f"{o}.{n}") for n in [*ENDS, "line"]]).alias(o) for o in "st"], first.alias("first"), *[d.alias(f"d{n}") for n, d in enumerate(turns, 1)])
     per = _per(F.col("grid"))
     corner = F.col("h") == _cell_hash(F.col("k"), F.col("grid"), F.floor(F.greatest(x(sa), x(ta)) * per), F.floor(F.greatest(low("s"), low("t")) * per))
     ends = lambda o, px, py: ((px == F.col(f"{o}.ax")) & (py == F.col(f"{o}.ay"))) | ((px == F.col(f"{o}.bx")) & (py == F.col(f"{o}.by")))
@@ -163,7 +164,7 @@ def _cuts(one: DataFrame, used: int) -> DataFrame:
     px, py = at(x(sa), x(sb)), at(y(sa), y(sb))
     cross = lambda o: F.when(crossed & ~ends(o, px, py), point(o, px, py))
     # whichever of two straight lines along each other begins first has all that both have
-    along = F.col("s.own") & F.col("t.own") & reduce(and_, [F.col(f"d{n}") == 0 for n in (1, 2, 3, 4)])
+    along = F.col("s.line").isNotNull() & F.col("t.line").isNotNull() & reduce(and_, [F.col(f"d{n}") == 0 for n in (1, 2, 3, 4)])
     less = lambda p, q: (x(p) < x(q)) | ((x(p) == x(q)) & (y(p) < y(q)))
 
     def lapped(o: str, a: str, b: str, oa: str, ob: str) -> Column:
@@ -178,15 +179,14 @@ def _cuts(one: DataFrame, used: int) -> DataFrame:
     meet = crossed | reduce(or_, [F.col(f"d{n}") == 0 for n in (1, 2, 3, 4)])
     # a lambda's code is not made one with the join's, and the join's own must be short: what is longer is never compiled
     cut = pairs.withColumn("f", F.explode(F.when(meet & corner, F.filter(found, lambda f: f.isNotNull()))))
-    return stored(cut.select("k", *[F.when(F.col("f.s"), F.col(f"s.{n}")).otherwise(F.col(f"t.{n}")).alias(n) for n in ENDS], "f.x", "f.y", "f.lap"))
+    of = [F.when(F.col("f.s"), F.col(f"s.{n}")).otherwise(F.col(f"t.{n}")).alias(n) for n in ["line", *(ENDS if bent else [])]]
+    return stored(cut.select(*(["k"] if bent else []), *of, "f.x", "f.y", "f.lap"))
 
 
 def _straight_parts(one: DataFrame, cuts: DataFrame) -> DataFrame:
     """The straight lines between nodes, each stretch once."""
-    one = one.select("k", *ENDS, *OF_LINE, F.lit(None).cast("struct<x:double,y:double,lap:boolean>").alias("mark"))
-    cuts = cuts.select("k", *ENDS, *[F.lit(None).cast(kind).alias(c) for c, kind in one.select(*OF_LINE).dtypes], F.struct("x", "y", "lap").alias("mark"))
-    # rows are sorted by the hash first, which is quick to compare
-    rows = one.unionAll(cuts).groupBy(F.hash("k", *ENDS).alias("h"), "k", *ENDS).agg(*[F.max(c).alias(c) for c in OF_LINE], F.collect_set("mark").alias("marks")).where("line IS NOT NULL")
+    marks = cuts.where("line IS NOT NULL").groupBy(F.col("line").alias("of")).agg(F.collect_set(F.struct("x", "y", "lap")).alias("marks"))
+    rows = one.where("line IS NOT NULL").select("k", *ENDS, *OF_LINE).hint("merge").join(marks, F.col("line") == F.col("of"), "left")
     wx, wy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     # how far along, told by the longer side
     far = lambda px, py: F.when(F.abs(wx) >= F.abs(wy), px).otherwise(py * F.signum(wy))
@@ -194,7 +194,7 @@ def _straight_parts(one: DataFrame, cuts: DataFrame) -> DataFrame:
     a, b = stop(F.col("ax"), F.col("ay")), stop(F.col("bx"), F.col("by"))
     stops = lambda keep: F.transform(F.filter("marks", keep), lambda c: stop(c["x"], c["y"]))
     inner = stops(lambda c: ~((c["x"] == F.col("bx")) & (c["y"] == F.col("by"))))
-    listed = F.when(F.size("marks") == 0, F.array(a, b)).otherwise(F.concat(F.array(a), F.sort_array(F.array_distinct(inner)), F.array(b)))
+    listed = F.when(F.col("marks").isNull(), F.array(a, b)).otherwise(F.concat(F.array(a), F.sort_array(F.array_distinct(inner)), F.array(b)))
     rows = rows.withColumns({"stops": listed, "reach": F.array_max(stops(lambda c: c["lap"]))})
     # as the line runs: where it starts, and from there on
     side = lambda e, o, c: F.when(F.col("on"), F.col(f"{e}{c}")).otherwise(F.col(f"{o}{c}"))
@@ -279,17 +279,16 @@ def union_lines(df: DataFrame, keys: list[str], geometry: str = "geometry") -> D
     lines = _bent(rows)
     segments = _segments(lines)
     one = _different(_straight(rows), _placed(segments))
-    found = one.agg(F.bit_or(F.expr("shiftleft(1L, grid)")), F.bool_or("own"), F.bool_or(~F.col("own"))).first()
+    found = one.agg(F.bit_or(F.expr("shiftleft(1L, grid)")), F.bool_or(F.col("line").isNotNull()), F.bool_or(F.col("line").isNull())).first()
     used, straight, bent = found[0] or 0, bool(found[1]), bool(found[2])
-    cuts = _cuts(one, used)
+    cuts = _cuts(one, used, bent)
     name = lambda parts: parts.select(*[F.col(f"k.{c}").alias(c) for c in keys], "n_part", "part")
-    own = one.where("own")
     if not bent:
-        return name(_straight_parts(own, cuts))
-    parts = _parts(lines, _marks(lines, segments, cuts, own))
+        return name(_straight_parts(one, cuts))
+    parts = _parts(lines, _marks(lines, segments, cuts, one.where("line IS NOT NULL")))
     if straight:
         ends = [F.col("part")[n][c].alias(f"{e}{c}") for n, e in enumerate("pq") for c in "xy"]
-        parts = parts.unionByName(stored(_straight_parts(own, cuts)).select("*", *ends, F.lit(True).alias("single")))
+        parts = parts.unionByName(stored(_straight_parts(one, cuts)).select("*", *ends, F.lit(True).alias("single")))
     # only parts of one piece can be shared: an inner vertex of a part is passed once
     same = ["k", *ENDS, "own"]
     rows = _placed(parts, F.when(~F.col("single"), F.col("n_part")).alias("own"), F.struct("n_part", "part").alias("p"))

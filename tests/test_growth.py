@@ -146,7 +146,8 @@ def test_union_of_straight_lines_keeps_and_moves_little(spark):
     assert size() - before < 40 * n
     assert spark.conf.get(removal, "false") == was
     plan = optimised(lines)
-    assert "Window" not in plan and "Join" not in plan and plan.count("\n+- Aggregate") + plan.count(" Aggregate [") == 1
+    # cuts are gathered by line and met by the segments; parts are not compared
+    assert "Window" not in plan and plan.count("Join") == 1 and plan.count("Aggregate [") == 1
     # a block that only its group ends is found without looking at neighbours
     assert "Window" not in optimised(blocks) and "Join" not in optimised(blocks)
     found = lines.groupBy("__block").agg(F.sum(F.col("part")[1]["x"] - F.col("part")[0]["x"]).alias("length")).select("__block.g0", "length").collect()
