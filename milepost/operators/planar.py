@@ -128,12 +128,13 @@ def _cuts(one: DataFrame, used: int, bent: bool) -> DataFrame:
     come more than once.  ``lap``: so far, which may be to its end, others have
     what the segment runs along.  A straight line is told by its number, a segment
     that may be one of bent lines by its group and ends (``bent``)."""
-    coarser = [F.when(F.col("grid") < g, F.lit(g)) for g in range(GRIDS) if used >> g & 1]
-    one = one.select("k", *ENDS, "line", "grid")
-    visits = one.withColumn("g", F.explode(F.array(F.col("grid"), *coarser))).where("g IS NOT NULL").withColumn("home", F.col("g") == F.col("grid"))
-    # both sides are the same rows under the same names, so they are moved once
-    cells = _cells(visits, "grid", "line", "home")
-    s, t = cells.alias("s"), cells.alias("t")
+    # what is read from files might be null: said here, it need not be asked of each pair
+    one = one.select("k", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in ENDS], "line", F.coalesce("grid", F.lit(0)).alias("grid"))
+    # under the same names, so that rows at home are moved once, whichever side they are
+    home = _cells(one.withColumn("g", F.col("grid")), "grid", "line")
+    grids = [g for g in range(GRIDS) if used >> g & 1]
+    coarser = F.array(*[F.when(F.col("grid") < g, F.lit(g)) for g in grids[1:]])
+    visits = _cells(one.withColumn("g", F.explode(coarser)).where("g IS NOT NULL"), "grid", "line") if grids[1:] else None
 
     x, y = (lambda n: F.col(f"{n[0]}.{n[1]}x")), (lambda n: F.col(f"{n[0]}.{n[1]}y"))
     sa, sb, ta, tb = "sa", "sb", "ta", "tb"
@@ -142,16 +143,19 @@ def _cuts(one: DataFrame, used: int, bent: bool) -> DataFrame:
     for n in reversed(ENDS):
         first = (F.col(f"s.{n}") < F.col(f"t.{n}")) | ((F.col(f"s.{n}") == F.col(f"t.{n}")) & first)
     boxes = (x(sa) <= x(tb)) & (x(ta) <= x(sb)) & (low("s") <= high("t")) & (low("t") <= high("s"))
-    # s is at home; a product, as what rests on one side alone would be asked before rows are moved
-    one_of = F.col("s.home").cast("int") * (1 - F.col("t.home").cast("int") + first.cast("int")) > 0
     # on which side of the line from p to q the point r lies
     turn = lambda p, q, r: (x(q) - x(p)) * (y(r) - y(p)) - (y(q) - y(p)) * (x(r) - x(p))
     turns = [turn(sa, sb, ta), turn(sa, sb, tb), turn(ta, tb, sa), turn(ta, tb, sb)]
     opposite = lambda d, e: F.signum(d) * F.signum(e) < 0
-    pairs = s.hint("merge").join(t, (F.col("s.h") == F.col("t.h")) & (F.col("t.grid") <= F.col("s.grid")) & boxes & one_of & _same(F.col("s.k"), F.col("t.k")))
-    pairs = pairs.select("s.k", "s.h", "s.grid", *[F.struct(*[F.col(f"{o}.{n}") for n in [*ENDS, "line"]]).alias(o) for o in "st"], first.alias("first"), *[d.alias(f"d{n}") for n, d in enumerate(turns, 1)])
+    meet = (opposite(*turns[:2]) & opposite(*turns[2:])) | reduce(or_, [d == 0 for d in turns])
+    near = (F.col("s.h") == F.col("t.h")) & (F.col("t.grid") <= F.col("s.grid")) & boxes & _same(F.col("s.k"), F.col("t.k")) & meet
+    met = lambda others, on: home.alias("s").hint("merge").join(others.alias("t"), on)
+    found_in = [met(home, near & first), *([met(visits, near)] if visits is not None else [])]
+    pairs = reduce(DataFrame.unionAll, [p.select("s.k", "s.h", "s.grid", *[F.struct(*[F.col(f"{o}.{n}") for n in [*ENDS, "line"]]).alias(o) for o in "st"], first.alias("first"), *[d.alias(f"d{n}") for n, d in enumerate(turns, 1)]) for p in found_in])
     per = _per(F.col("grid"))
-    corner = F.col("h") == _cell_hash(F.col("k"), F.col("grid"), F.floor(F.greatest(x(sa), x(ta)) * per), F.floor(F.greatest(low("s"), low("t")) * per))
+    where = _cell_hash(F.col("k"), F.col("grid"), F.floor(F.greatest(x(sa), x(ta)) * per), F.floor(F.greatest(low("s"), low("t")) * per))
+    # with a lambda it is no code of one piece with the join's, of which so much would never be compiled
+    corner = F.exists(F.array("h"), lambda h: h == where)
     ends = lambda o, px, py: ((px == F.col(f"{o}.ax")) & (py == F.col(f"{o}.ay"))) | ((px == F.col(f"{o}.bx")) & (py == F.col(f"{o}.by")))
     box = lambda r, o: x(r).between(F.col(f"{o}.ax"), F.col(f"{o}.bx")) & y(r).between(low(o), high(o))
     inside = lambda r, o: box(r, o) & ~ends(o, x(r), y(r))
@@ -160,7 +164,7 @@ def _cuts(one: DataFrame, used: int, bent: bool) -> DataFrame:
     crossed = opposite("d1", "d2") & opposite("d3", "d4")
     # one division at the end: small whole coordinates give the nearest double, whichever pair meets there
     whole = F.col("d3") - F.col("d4")
-    at = lambda a, b: (a * whole + (b - a) * F.col("d3")) / whole + 0.0
+    at = lambda a, b: F.try_divide(a * whole + (b - a) * F.col("d3"), whole) + 0.0
     px, py = at(x(sa), x(sb)), at(y(sa), y(sb))
     cross = lambda o: F.when(crossed & ~ends(o, px, py), point(o, px, py))
     # whichever of two straight lines along each other begins first has all that both have
@@ -176,9 +180,8 @@ def _cuts(one: DataFrame, used: int, bent: bool) -> DataFrame:
     on_t = F.coalesce(F.when(along & F.col("first"), lapped("t", sa, sb, ta, tb)), touch("d4", sb, "t"))
     on_s = F.coalesce(F.when(along & ~F.col("first"), lapped("s", ta, tb, sa, sb)), touch("d2", tb, "s"))
     found = F.array(cross("s"), cross("t"), touch("d1", ta, "s"), on_s, touch("d3", sa, "t"), on_t)
-    meet = crossed | reduce(or_, [F.col(f"d{n}") == 0 for n in (1, 2, 3, 4)])
-    # a lambda's code is not made one with the join's, and the join's own must be short: what is longer is never compiled
-    cut = pairs.withColumn("f", F.explode(F.when(meet & corner, F.filter(found, lambda f: f.isNotNull()))))
+    cut = pairs.select("k", "s", "t", found.alias("found"), corner.alias("corner"))
+    cut = cut.withColumn("f", F.explode(F.when(F.col("corner"), F.col("found")))).where("f IS NOT NULL")
     of = [F.when(F.col("f.s"), F.col(f"s.{n}")).otherwise(F.col(f"t.{n}")).alias(n) for n in ["line", *(ENDS if bent else [])]]
     return stored(cut.select(*(["k"] if bent else []), *of, "f.x", "f.y", "f.lap"))
 
@@ -201,9 +204,10 @@ def _straight_parts(one: DataFrame, cuts: DataFrame) -> DataFrame:
     way = [c for n in "xyzm" for c in (side("a", "b", n).alias(f"p{n}"), side("b", "a", n).alias(f"q{n}"), (side("b", "a", n) - side("a", "b", n)).alias(f"d{n}"))]
     rows = rows.select("k", "line", "on", *way, "stops", F.size("stops").alias("n"), "reach.u", F.posexplode(F.slice("stops", 1, F.size("stops") - 1)).alias("run", "a"))
     rows = rows.withColumn("b", F.get("stops", F.col("run") + 1)).where("u IS NULL OR a.u >= u")
-    t = lambda e: ((F.col(f"{e}.x") - F.col("px")) * F.col("dx") + (F.col(f"{e}.y") - F.col("py")) * F.col("dy")) / (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    rows = rows.withColumns({"ta": t("a"), "tb": t("b")})
-    between = lambda e, c: F.when(F.col(f"t{e}") == 0, F.col(f"p{c}")).when(F.col(f"t{e}") == 1, F.col(f"q{c}")).otherwise(F.col(f"p{c}") + F.col(f"d{c}") * F.col(f"t{e}"))
+    along = lambda e: F.try_divide((F.col(f"{e}.x") - F.col("px")) * F.col("dx") + (F.col(f"{e}.y") - F.col("py")) * F.col("dy"), F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    rows = rows.withColumns({"ta": along("a"), "tb": along("b")})
+    is_at = lambda e, p: (F.col(f"{e}.x") == F.col(f"{p}x")) & (F.col(f"{e}.y") == F.col(f"{p}y"))
+    between = lambda e, c: F.when(is_at(e, "p"), F.col(f"p{c}")).when(is_at(e, "q"), F.col(f"q{c}")).otherwise(F.col(f"p{c}") + F.col(f"d{c}") * F.col(f"t{e}"))
     vertex = lambda e: F.struct(f"{e}.x", f"{e}.y", between(e, "z").alias("z"), between(e, "m").alias("m"))
     run = F.when(F.col("on"), F.col("run") + 1).otherwise(F.col("n") - 1 - F.col("run")).cast("long")
     rows = rows.select("k", F.struct("line", run.alias("run")).alias("n_part"), "on", vertex("a").alias("a"), vertex("b").alias("b"))

@@ -147,6 +147,9 @@ def test_z_and_m_of_straight_lines(spark):
     assert found == {("a", ((4.0, 8.0, 30.0), (1.0, 2.0, 15.0))), ("a", ((1.0, 2.0, 15.0), (0.0, 0.0, 10.0))), ("b", ((0.0, 5.0, 1.0), (1.0, None, 2.0))), ("b", ((1.0, None, 2.0), (2.0, None, 3.0))), ("b", ((2.0, None, None), (3.0, 7.0, None)))}
     run = {r["part"][0].x: r["n_part"]["run"] for r in out if r["g"] == "a" and r["part"][0].y == 0 and r["part"][1].y == 0}
     assert run == {4.0: 1, 1.0: 2}
+    # too short for its square to be told from zero
+    short = union_lines(spark.createDataFrame([("a", line((0, 0, 1, 2), (1e-200, 0, 3, 4)))], SCHEMA), ["g"]).first()["part"]
+    assert [tuple(v) for v in short] == [(0.0, 0.0, 1.0, 2.0), (1e-200, 0.0, 3.0, 4.0)]
 
 
 def test_cut_vertices_have_z_and_m(spark):
